@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES = ["bpe"]
+_MODULES = ["bpe", "langid", "quality"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
