@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES = ["bpe", "langid", "quality"]
+_MODULES = ["bpe", "langid", "quality", "toxicity"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
