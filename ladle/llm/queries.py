@@ -7,16 +7,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES = ["bpe", "langid", "quality", "toxicity"]
+_MODULES = ["bpe", "langid", "quality", "toxicity", "urlfilter"]
+
+
+def _modules() -> list:
+    return [importlib.import_module(f"{__package__}.{name}") for name in _MODULES]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = {}
-    for name in _MODULES:
-        module = importlib.import_module(f"{__package__}.{name}")
-        found |= {k: f for k, f in vars(module).items() if k.startswith("op") and k[2:3].isdigit()}
-    return found
+    """All functions op<N>_<name>."""
+    return {k: f for m in _modules() for k, f in vars(m).items() if k.startswith("op") and k[2:3].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """OP<N>_SQL of a module belongs to its op<N>_<name>."""
+    found = {}
+    for m in _modules():
+        for k, f in vars(m).items():
+            if k.startswith("op") and k[2:3].isdigit() and (sql := vars(m).get(f"{k.split('_')[0].upper()}_SQL")):
+                found[k] = sql
+    return found
