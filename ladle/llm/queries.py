@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES = ["bpe", "langid", "quality", "toxicity", "urlfilter", "merkle"]
+_MODULES = ["bpe", "langid", "quality", "toxicity", "urlfilter", "merkle", "neardup"]
 
 
 def _modules() -> list:
