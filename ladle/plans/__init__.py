@@ -4,7 +4,7 @@ import importlib
 
 from ladle.plans import registry
 
-MODULES = ["basics"]
+MODULES = ["basics", "relational"]
 
 
 def load():
