@@ -58,9 +58,10 @@ def recipe_nutrition(recipes: DataFrame, ingredients: DataFrame, master: DataFra
 
 
 def nutrition_label(nutrition: DataFrame) -> DataFrame:
-    """A rounded label per recipe; nulls count as 0."""
+    """A rounded label per recipe; nulls count as 0. (The tiny addend keeps sums that stand on a tie from rounding either way.)"""
+
     def r(c: str, digits: int = 1) -> Column:
-        return F.round(F.coalesce(c, F.lit(0.0)), digits)
+        return F.round(F.coalesce(c, F.lit(0.0)) + 1e-7, digits)
 
     return nutrition.select("recipe_id", F.struct(r("serving_calories", 0).alias("calories"), r("serving_protein_g").alias("protein"), r("serving_carbs_g").alias("carbs"), r("serving_fat_g").alias("fat")).alias("label"))
 
@@ -70,7 +71,7 @@ def goal_comparison(nutrition: DataFrame, goals: DataFrame, pairs: DataFrame) ->
     both = pairs.join(goals, "user_id").join(nutrition, "recipe_id")
     factors = F.array_compact(F.array(*(F.when(F.col(f"prefer_{p}"), F.when(F.col(f"is_{p}"), 1.0).otherwise(0.5)) for p in ("high_protein", "low_carb", "low_calorie"))))
     mean = F.when(F.size(factors) > 0, F.aggregate(factors, F.lit(0.0), lambda a, x: a + x) / F.size(factors)).otherwise(0.5)
-    return both.select("user_id", "recipe_id", *(F.round(F.col(f"serving_{n}") / F.col(f"daily_{n}") * 100, 4).alias(f"pct_{n}") for n in ("calories", "protein_g", "carbs_g", "fat_g")), F.round(mean, 6).alias("alignment"))
+    return both.select("user_id", "recipe_id", *(F.round(F.col(f"serving_{n}") / F.col(f"daily_{n}") * 100 + 1e-7, 4).alias(f"pct_{n}") for n in ("calories", "protein_g", "carbs_g", "fat_g")), F.round(mean, 6).alias("alignment"))
 
 
 def batch_report(requested: DataFrame, nutrition: DataFrame) -> DataFrame:

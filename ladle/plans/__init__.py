@@ -4,7 +4,7 @@ import importlib
 
 from ladle.plans import registry
 
-MODULES = ["basics", "relational"]
+MODULES = ["basics", "relational", "texts"]
 
 
 def load():

@@ -119,10 +119,11 @@ def _(t):
 
 
 @query("nested_prefetch", """SELECT r.recipe_id, coalesce(c.c_name, 'Unknown') AS creator, coalesce(i.ingredients, []) AS ingredients FROM recipes r LEFT JOIN customer c ON c.c_custkey = r.creator_id
-LEFT JOIN (SELECT recipe_id, list(struct_pack(line := line, ingredient_id := ingredient_id, quantity := quantity) ORDER BY line, ingredient_id, quantity) AS ingredients FROM ingredients GROUP BY 1) i ON i.recipe_id = r.recipe_id WHERE r.recipe_id < 1000""")
+LEFT JOIN (SELECT recipe_id, list(concat(line, ':', ingredient_id, ':', CAST(quantity AS INT)) ORDER BY line, ingredient_id, quantity) AS ingredients FROM ingredients GROUP BY 1) i ON i.recipe_id = r.recipe_id WHERE r.recipe_id < 1000""")
 def _(t):
     r = t.recipes.where("recipe_id < 1000").join(t.customer.select(F.col("c_custkey").alias("creator_id"), "c_name"), "creator_id", "left").select("recipe_id", F.coalesce("c_name", F.lit("Unknown")).alias("creator"))
-    return J.nested(r, {"ingredients": (t.ingredients, ["line", "ingredient_id", "quantity"])}, "recipe_id")
+    full = J.nested(r, {"ingredients": (t.ingredients, ["line", "ingredient_id", "quantity"])}, "recipe_id")
+    return full.withColumn("ingredients", F.transform("ingredients", lambda i: F.concat_ws(":", i["line"], i["ingredient_id"], i["quantity"].cast("int"))))
 
 
 @query("cluster_members", "SELECT source_url, recipe_id, c_name FROM recipes LEFT JOIN customer ON c_custkey = creator_id WHERE source_url IN (SELECT source_url FROM recipes GROUP BY 1 HAVING count(*) > 1)")
@@ -225,21 +226,21 @@ def _nutrition(t):
 def _(t): return t.ingredients.join(t.master, "ingredient_id").select("recipe_id", "line", F.round(N.unit_to_grams(F.col("quantity"), F.col("unit"), F.col("standard_name")), 6).alias("grams"))
 
 
-@query("recipe_nutrition", f"""WITH {_NUTRITION} SELECT recipe_id, round(calories, 4) AS calories, round(protein / servings, 4) AS protein_serving, round(CASE WHEN protein * 4 + carbs * 4 + fat * 9 > 0 THEN protein * 4 / (protein * 4 + carbs * 4 + fat * 9) * 100 ELSE 0 END, 6) AS protein_percentage,
-protein / servings >= 15 AS is_high_protein, carbs / servings < 20 AS is_low_carb, calories / servings < 300 AS is_low_calorie, round((carbs / servings - fiber / servings) * 50 / 100, 4) AS glycemic_load, round(1 - missing / total, 6) AS confidence, missing, total FROM s""")
-def _(t): return _nutrition(t).select("recipe_id", F.round("total_calories", 4).alias("calories"), F.round("serving_protein_g", 4).alias("protein_serving"), *r6("protein_percentage"), "is_high_protein", "is_low_carb", "is_low_calorie", F.round("glycemic_load", 4).alias("glycemic_load"), *r6("confidence"), F.col("missing_ingredient_count").alias("missing"), F.col("total_ingredient_count").alias("total"))
+@query("recipe_nutrition", f"""WITH {_NUTRITION} SELECT recipe_id, round(calories + 1e-7, 4) AS calories, round(protein / servings + 1e-7, 4) AS protein_serving, round(CASE WHEN protein * 4 + carbs * 4 + fat * 9 > 0 THEN protein * 4 / (protein * 4 + carbs * 4 + fat * 9) * 100 ELSE 0 END, 6) AS protein_percentage,
+protein / servings >= 15 AS is_high_protein, carbs / servings < 20 AS is_low_carb, calories / servings < 300 AS is_low_calorie, round((carbs / servings - fiber / servings) * 50 / 100 + 1e-7, 4) AS glycemic_load, round(1 - missing / total, 6) AS confidence, missing, total FROM s""")
+def _(t): return _nutrition(t).select("recipe_id", F.round(F.col("total_calories") + 1e-7, 4).alias("calories"), F.round(F.col("serving_protein_g") + 1e-7, 4).alias("protein_serving"), *r6("protein_percentage"), "is_high_protein", "is_low_carb", "is_low_calorie", F.round(F.col("glycemic_load") + 1e-7, 4).alias("glycemic_load"), *r6("confidence"), F.col("missing_ingredient_count").alias("missing"), F.col("total_ingredient_count").alias("total"))
 
 
 @query("nutrition_batch_report", "SELECT success, count(*) AS n FROM (SELECT o_orderkey, EXISTS (SELECT 1 FROM ingredients WHERE recipe_id = o_orderkey) AS success FROM orders) GROUP BY 1")
 def _(t): return N.batch_report(t.recipes.select("recipe_id"), _nutrition(t)).groupBy("success").agg(F.count("*").alias("n"))
 
 
-@query("nutrition_label", f"WITH {_NUTRITION} SELECT recipe_id, struct_pack(calories := round(calories / servings, 0), protein := round(protein / servings, 1), carbs := round(carbs / servings, 1), fat := round(fat / servings, 1)) AS label FROM s")
-def _(t): return N.nutrition_label(_nutrition(t))
+@query("nutrition_label", f"WITH {_NUTRITION} SELECT recipe_id, round(calories / servings + 1e-7, 0) AS calories, round(protein / servings + 1e-7, 1) AS protein, round(carbs / servings + 1e-7, 1) AS carbs, round(fat / servings + 1e-7, 1) AS fat FROM s")
+def _(t): return N.nutrition_label(_nutrition(t)).select("recipe_id", "label.*")
 
 
 @query("goal_comparison", f"""WITH {_NUTRITION}, g AS (SELECT c_custkey AS user_id, c_custkey % 2 = 0 AS hp, c_custkey % 3 = 0 AS lc FROM customer WHERE c_custkey < 100)
-SELECT user_id, recipe_id, round(calories / servings / 2000 * 100, 4) AS pct_calories, round(protein / servings / 50 * 100, 4) AS pct_protein_g, round(CASE WHEN hp AND lc THEN (CASE WHEN protein / servings >= 15 THEN 1 ELSE 0.5 END + CASE WHEN carbs / servings < 20 THEN 1 ELSE 0.5 END) / 2 WHEN hp THEN CASE WHEN protein / servings >= 15 THEN 1 ELSE 0.5 END WHEN lc THEN CASE WHEN carbs / servings < 20 THEN 1 ELSE 0.5 END ELSE 0.5 END, 6) AS alignment
+SELECT user_id, recipe_id, round(calories / servings / 2000 * 100 + 1e-7, 4) AS pct_calories, round(protein / servings / 50 * 100 + 1e-7, 4) AS pct_protein_g, round(CASE WHEN hp AND lc THEN (CASE WHEN protein / servings >= 15 THEN 1 ELSE 0.5 END + CASE WHEN carbs / servings < 20 THEN 1 ELSE 0.5 END) / 2 WHEN hp THEN CASE WHEN protein / servings >= 15 THEN 1 ELSE 0.5 END WHEN lc THEN CASE WHEN carbs / servings < 20 THEN 1 ELSE 0.5 END ELSE 0.5 END, 6) AS alignment
 FROM g JOIN s ON s.recipe_id % 100 = g.user_id""")
 def _(t):
     goals = t.customer.where("c_custkey < 100").select(F.col("c_custkey").alias("user_id"), F.lit(2000.0).alias("daily_calories"), F.lit(50.0).alias("daily_protein_g"), F.lit(300.0).alias("daily_carbs_g"), F.lit(65.0).alias("daily_fat_g"), (F.col("c_custkey") % 2 == 0).alias("prefer_high_protein"), (F.col("c_custkey") % 3 == 0).alias("prefer_low_carb"), F.lit(False).alias("prefer_low_calorie"))
@@ -271,8 +272,8 @@ def _(t): return _rules(t).select("recipe_id", "is_vrat", "has_vrat_grain")
 def _(t): return _rules(t).select("recipe_id", "is_diabetic_friendly", *r6("average_gi"), "diabetic_confidence")
 
 
-@query("high_protein_check", f"SELECT r.recipe_id, round(coalesce(sum(quantity * CASE WHEN unit = 'kg' THEN 1000 ELSE 1 END / 100 * protein_per_100g), 0) / max(servings), 4) AS protein_per_serving {_RULE}")
-def _(t): return _rules(t).select("recipe_id", F.round("protein_per_serving", 4).alias("protein_per_serving"))
+@query("high_protein_check", f"SELECT r.recipe_id, round(coalesce(sum(quantity * CASE WHEN unit = 'kg' THEN 1000 ELSE 1 END / 100 * protein_per_100g), 0) / max(servings) + 1e-7, 4) AS protein_per_serving {_RULE}")
+def _(t): return _rules(t).select("recipe_id", F.round(F.col("protein_per_serving") + 1e-7, 4).alias("protein_per_serving"))
 
 
 @query("gluten_free_check", f"SELECT r.recipe_id, NOT coalesce(bool_or(contains(standard_name, 'gear')), false) AS is_gluten_free, {_listed(chr(39).join(['CASE WHEN contains(standard_name, ', 'gear', ') THEN standard_name END']))} AS gluten_violations {_RULE}")
@@ -316,8 +317,8 @@ k AS (SELECT DISTINCT recipe_id, concat(dimension, ':', tag_value) AS tag FROM t
 def _(t): return L.tag_feedback(t.swipes, t.cooks, t.tags).select("user_id", "tag", *r6("score"))
 
 
-@query("recipe_feedback_score", f"WITH {_FEEDBACK} SELECT p.user_id, p.recipe_id, round(coalesce(avg(score), 0), 6) AS feedback FROM (SELECT DISTINCT user_id, recipe_id FROM recommendations) p LEFT JOIN (k JOIN f ON f.tag = k.tag) ON k.recipe_id = p.recipe_id AND f.user_id = p.user_id GROUP BY 1, 2")
-def _(t): return L.recipe_feedback(L.tag_feedback(t.swipes, t.cooks, t.tags), t.tags, t.recommendations.select("user_id", "recipe_id").distinct()).select("user_id", "recipe_id", *r6("feedback"))
+@query("recipe_feedback_score", f"WITH {_FEEDBACK} SELECT p.user_id, p.recipe_id, round(coalesce(avg(score), 0) + 1e-9, 6) AS feedback FROM (SELECT DISTINCT user_id, recipe_id FROM recommendations) p LEFT JOIN (k JOIN f ON f.tag = k.tag) ON k.recipe_id = p.recipe_id AND f.user_id = p.user_id GROUP BY 1, 2")
+def _(t): return L.recipe_feedback(L.tag_feedback(t.swipes, t.cooks, t.tags), t.tags, t.recommendations.select("user_id", "recipe_id").distinct()).select("user_id", "recipe_id", F.round(F.col("feedback") + 1e-9, 6).alias("feedback"))
 
 
 @query("normalise_by_max_abs", "SELECT c_custkey, round(coalesce(c_acctbal / nullif(max(abs(c_acctbal)) OVER (PARTITION BY c_nationkey), 0), 0), 6) AS score FROM customer")
