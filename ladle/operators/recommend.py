@@ -14,3 +14,56 @@ def diversify(scored: DataFrame, user: str, order: list[Column], kind: str, limi
     before = F.coalesce(F.sum(F.col("_fresh").cast("int")).over(Window.partitionBy(user).orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     taken = s.withColumn("_before", before).where(F.col("_fresh") | (F.col("_before") >= limit - 2))
     return taken.withColumn("_rank", F.row_number().over(Window.partitionBy(user).orderBy("_pos"))).where(F.col("_rank") <= limit).drop("_pos", "_fresh", "_before", "_rank")
+
+
+#: Weights of the parts of the scores.
+OVERALL = {"rating": 0.25, "preference": 0.25, "dietary": 0.30, "diversity": 0.10, "freshness": 0.10}
+HYBRID = {"vector": 0.40, "feedback": 0.30, "diversity": 0.20, "freshness": 0.10}
+
+
+def weighted(parts: dict[str, Column], weights: dict[str, float]) -> Column:
+    return sum((parts[k] * w for k, w in weights.items()), F.lit(0.0))
+
+
+def overall_score(parts: dict[str, Column], weights: dict[str, float] = OVERALL) -> Column:
+    """0 where the diet isn't met."""
+    return F.when(parts["dietary"] == 0, 0.0).otherwise(weighted(parts, weights))
+
+
+def preference_score(region: Column, spice: Column, time: Column) -> Column:
+    """Mean of matched terms; a miss (null) counts with half its weight and no score. Weights 0.4, 0.35, 0.25."""
+    terms = [(region, 0.4), (spice, 0.35), (time, 0.25)]
+    score = sum((F.coalesce(t, F.lit(0.0)) * w for t, w in terms), F.lit(0.0))
+    mass = sum((F.when(t.isNull(), w * 0.5).otherwise(w) for t, w in terms), F.lit(0.0))
+    return score / mass
+
+
+def card_score(region: Column, style: Column, gravy: Column, spice: Column, time: Column, discovered: Column) -> Column:
+    return F.least(F.lit(1.0), 0.30 * region + 0.25 * style + 0.15 * gravy + 0.10 * spice + 0.10 * time + 0.10 * discovered)
+
+
+def hybrid_recommendations(candidates: DataFrame, excluded: DataFrame, fallback_below: int = 5, k: int = 10, pool: int = 30) -> DataFrame:
+    """The k best recipes of each user (user_id, recipe_id, score, rank).
+
+    candidates: user_id, recipe_id, title, vector (similarity), feedback (-1 to 1), freshness.
+    Excluded pairs go, unless that leaves a user fewer than fallback_below candidates. Diversity
+    is judged within each user's `pool` best by similarity.
+    """
+    from ladle.operators.joins import diversity
+
+    flagged = candidates.join(excluded.withColumn("_out", F.lit(1)), ["user_id", "recipe_id"], "left")
+    left = F.count_if(F.col("_out").isNull()).over(Window.partitionBy("user_id"))
+    open_ = flagged.withColumn("_left", left).where(F.col("_out").isNull() | (F.col("_left") < fallback_below)).drop("_out", "_left")
+    ranked = open_.withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("vector"), "recipe_id"))).where(F.col("rank") <= pool)
+    parts = {"vector": F.col("vector"), "feedback": F.greatest(F.lit(0.0), (F.col("feedback") + 1) / 2), "diversity": F.col("diversity"), "freshness": F.col("freshness")}
+    scored = diversity(ranked).withColumn("score", weighted(parts, HYBRID)).drop("rank")
+    best = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc(F.round("score", 9)), "recipe_id"))
+    return scored.withColumn("rank", best).where(F.col("rank") <= k).select("user_id", "recipe_id", "score", "rank")
+
+
+def rerank(candidates: DataFrame, ranking: DataFrame, k: int) -> DataFrame:
+    """candidates in the order of an external ranking (user_id, recipe_ids array); unknown ids go, k a user stay."""
+    order = ranking.select("user_id", F.posexplode("recipe_ids").alias("place", "recipe_id"))
+    kept = order.join(candidates, ["user_id", "recipe_id"])
+    rank = F.row_number().over(Window.partitionBy("user_id").orderBy("place"))
+    return kept.withColumn("rank", rank).where(F.col("rank") <= k).drop("place")
