@@ -52,22 +52,31 @@ def similar_strings(strings: DataFrame, least: float, measure: str = "levenshtei
 
 
 def similar_sets(sets: DataFrame, least: float = 0.7) -> DataFrame:
-    """(a, b, score) of sets (id, item) with that Jaccard similarity; a < b.
+    """(a, b, score) of sets (id, item) with that Jaccard similarity (0.5 at least); a < b.
 
-    Prefix filter: with items in order of rarity, two sets so alike share one of the first
-    |x| - ceil(least * |x|) + 1 of each. Sizes are filtered too; what is left is counted exactly.
-    Equal sets are one until the end.
+    Prefix filter: with items in order of rarity, a set x and one y at most as large share two
+    of the first |x| - ceil(least * |x|) + 2 of x and the first |y| - ceil(2 * least / (1 + least) * |y|) + 2
+    of y, as they have two or more in common unless they are equal. So pairs of items are the
+    keys. Sizes are filtered too; what is left is counted exactly. Equal sets are one until the end.
     """
+    if least < 0.5:
+        raise ValueError("least must be 0.5 at least")
     rows = sets.select("id", "item").distinct()
     whole = rows.groupBy("id").agg(F.array_sort(F.collect_list("item")).alias("items"))
     groups = whole.groupBy("items").agg(F.min("id").alias("rep"), F.count("*").alias("members"))
     groups = written(groups.withColumn("n", F.size("items")))
-    rank = groups.select("rep", F.explode("items").alias("item"), "n")
-    order = rank.groupBy("item").agg(F.count("*").alias("df"))
-    place = F.row_number().over(Window.partitionBy("rep").orderBy("df", "item"))
-    prefix = rank.join(order, "item").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1).select("rep", "n", "item")
-    other = prefix.select(F.col("rep").alias("rep_b"), F.col("n").alias("n_b"), "item")
-    pairs = prefix.join(other, "item").where((F.col("rep") < F.col("rep_b")) & (F.least("n", "n_b") >= F.lit(least) * F.greatest("n", "n_b"))).select("rep", "rep_b").distinct()
+    single = groups.select("rep", F.explode("items").alias("item"), "n")
+    order = single.groupBy("item").agg(F.count("*").alias("df"))
+    ranked = written(single.join(order, "item").groupBy("rep", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "item"))), lambda x: x["item"]).alias("ranked")))
+
+    def keyed(share: float, names: tuple[str, str]) -> DataFrame:
+        prefix = F.slice("ranked", 1, F.greatest(F.lit(0), F.col("n") - F.ceil(F.round(F.lit(share) * F.col("n"), 9)) + 2).cast("int"))
+        pairs = F.expr("flatten(transform(sequence(0, size(p) - 2), i -> transform(slice(p, i + 2, size(p)), y -> struct(p[i] AS k, y AS l))))")
+        return ranked.where("n > 1").select("rep", "n", prefix.alias("p")).where("size(p) > 1").select(F.col("rep").alias(names[0]), F.col("n").alias(names[1]), F.explode(pairs).alias("key"))
+
+    probe, index = keyed(least, ("rep", "n")), keyed(2 * least / (1 + least), ("rep_b", "n_b"))
+    smaller = (F.col("n_b") < F.col("n")) | ((F.col("n_b") == F.col("n")) & (F.col("rep_b") < F.col("rep")))
+    pairs = probe.join(index, "key").where(smaller & (F.col("n_b") >= F.lit(least) * F.col("n") - 1e-9)).select("rep", "rep_b").distinct()
     left, right = groups.select("rep", "items"), groups.select(F.col("rep").alias("rep_b"), F.col("items").alias("items_b"))
     close = pairs.join(left, "rep").join(right, "rep_b").withColumn("score", T.jaccard(F.col("items"), F.col("items_b"))).where(F.col("score") >= least).select("rep", "rep_b", "score")
     members = whole.join(groups.select("items", "rep"), "items").select("id", "rep")

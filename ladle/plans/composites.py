@@ -34,7 +34,7 @@ def _(t): return M.similar_titles(t.part.select(c("p_partkey").alias("recipe_id"
 _SETS = "s AS (SELECT recipe_id AS id, list_sort(list_distinct(list(ingredient_id % 40))) AS s FROM ingredients GROUP BY 1), z AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.s, b.s)) AS i, len(a.s) AS n, len(b.s) AS m FROM s a JOIN s b ON a.id < b.id AND len(a.s) * 10 >= 7 * len(b.s) AND len(b.s) * 10 >= 7 * len(a.s) WHERE list_has_any(a.s, b.s))"
 
 
-@query("self_join_jaccard")
+@query("self_join_jaccard", f"WITH {_SETS} SELECT a, b, round(i / (n + m - i), 6) AS score FROM z WHERE i / (n + m - i) >= 0.7")
 def _(t): return M.similar_sets(t.ingredients.select(c("recipe_id").alias("id"), (c("ingredient_id") % 40).alias("item")), 0.7).select("a", "b", F.round("score", 6).alias("score"))
 
 
@@ -340,3 +340,39 @@ def _(t): return St.run_once(St.refine_triggers(St.read_events(t.spark, t.sf_dir
 
 @query("stream_affinity_state")
 def _(t): return St.run_once(St.affinity_state(St.read_events(t.spark, t.sf_dir)), "affinity", "update")
+
+
+@query("incremental_pipeline", "SELECT page_id AS recipe_id, nullif(trim(regexp_extract(html, '<h1[^>]*>(.*?)</h1>', 1, 'is')), '') AS title FROM pages p WHERE regexp_matches(html, '<h1') AND page_id = (SELECT min(page_id) FROM pages q WHERE q.url = p.url)")
+def _(t): return St.incremental_recipes(t.spark, t.sf_dir).select("recipe_id", "title")
+
+
+# --- sinks, read back ------------------------------------------------------------------------
+
+
+def _scratch(t, name: str) -> str:
+    import uuid
+
+    from ladle.sources.scratch import shared_dir
+
+    return f"{shared_dir(t.spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("sink_csv_report", "SELECT c_custkey, c_name, c_mktsegment FROM customer")
+def _(t):
+    path = _scratch(t, "report")
+    S.write_csv_report(t.customer.select("c_custkey", "c_name", "c_mktsegment"), path)
+    return t.spark.read.option("header", True).schema("c_custkey long, c_name string, c_mktsegment string").csv(path)
+
+
+@query("sink_url_list", "SELECT DISTINCT url FROM pages")
+def _(t):
+    path = _scratch(t, "urls")
+    S.write_url_list(t.pages, path)
+    return S.read_url_list(t.spark, path)
+
+
+@query("append_scrape_error", "SELECT event_id, 'HTTP' AS error_type, concat('error ', props) AS message FROM events WHERE event_type = 'error'")
+def _(t):
+    path = _scratch(t, "errors")
+    S.append_fact(t.events.where("event_type = 'error'").select("event_id", F.lit("HTTP").alias("error_type"), F.concat(F.lit("error "), "props").alias("message"), F.to_date("ts").alias("day")), path, "day")
+    return t.spark.read.parquet(path).select("event_id", "error_type", "message")

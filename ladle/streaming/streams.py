@@ -90,3 +90,25 @@ def affinity_state(events: DataFrame) -> DataFrame:
         yield pd.DataFrame([(key[0], key[1], affinity, confidence, n)], columns=["user_id", "region", "affinity", "confidence", "n"])
 
     return events.withColumn("region", F.col("event_type")).groupBy("user_id", "region").applyInPandasWithState(step, AFFINITY, "affinity double, confidence double, n long", "update", "NoTimeout")
+
+
+def incremental_recipes(spark: SparkSession, folder: str) -> DataFrame:
+    """Recipes of the pages that haven't been read yet, each file once; a URL that a former batch had is skipped."""
+    import uuid
+
+    from ladle.operators.extract import build_recipes
+
+    base = f"{shared_dir(spark).rstrip('/')}/pages-{uuid.uuid4().hex}"
+    done_schema, out_schema = "url string", "recipe_id long, title string, tier string"
+    done_path, out_path = f"{base}/done", f"{base}/recipes"
+
+    def step(batch: DataFrame, number: int) -> None:
+        pages = batch.persist()
+        seen = spark.read.schema(done_schema).parquet(done_path) if number else spark.createDataFrame([], done_schema)
+        build_recipes(pages, seen)["recipes"].write.mode("append").parquet(out_path)
+        pages.select("url").distinct().write.mode("append").parquet(done_path)
+        pages.unpersist()
+
+    stream = spark.readStream.schema("page_id long, url string, html string").option("pathGlobFilter", "*.parquet").parquet(f"{folder}/pages.parque[t]")
+    stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{base}/state").foreachBatch(step).start().awaitTermination()
+    return spark.read.schema(out_schema).parquet(out_path)
