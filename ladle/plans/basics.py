@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from ladle.operators import filters as P
 from ladle.operators import ranking as R
-from ladle.plans.registry import AS_OF, query
+from ladle.plans.registry import AS_OF, as_of, query
 from ladle.sources import tables as S
 
-as_of = F.lit(AS_OF).cast("timestamp_ntz")
 
 
 # --- sources and sinks -----------------------------------------------------------------------
@@ -65,7 +64,7 @@ def _(t): return t.recommendations.select("rec_id", "user_id", "recipe_id", F.to
 
 
 @query("retention_delete", f"SELECT event_id, ts FROM events WHERE ts >= TIMESTAMP '{AS_OF}' - INTERVAL 14 DAY")
-def _(t): return S.retain(t.events.select("event_id", "ts"), "ts", as_of, 14)
+def _(t): return S.retain(t.events.select("event_id", "ts"), "ts", as_of(), 14)
 
 
 _DROPPED = "(SELECT recipe_id FROM (SELECT recipe_id, row_number() OVER (PARTITION BY source_url ORDER BY processed_at, recipe_id) r FROM recipes) WHERE r > 1)"
@@ -203,7 +202,7 @@ def _(t): return t.orders.where(F.col("o_orderdate").between(F.lit("1997-01-01")
 
 
 @query("filter_lookback", f"SELECT swipe_id FROM swipes WHERE swiped_at >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY")
-def _(t): return S.retain(t.swipes, "swiped_at", as_of, 7).select("swipe_id")
+def _(t): return S.retain(t.swipes, "swiped_at", as_of(), 7).select("swipe_id")
 
 
 @query("retryable_rows", "SELECT page_id FROM pages WHERE html <> '' AND page_id % 5 < 3 AND page_id NOT IN (SELECT recipe_id FROM recipes WHERE recipe_id % 2 = 0)")
@@ -308,7 +307,7 @@ def _(t): return R.ordered_list(t.conversations.withColumn("head", F.substring("
 
 
 @query("exclusion_union", f"SELECT user_id, recipe_id FROM swipes WHERE action = 'long_press_left' UNION SELECT user_id, recipe_id FROM recommendations WHERE recommended_at >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY")
-def _(t): return R.exclusions(t.swipes, t.recommendations, as_of, 7)
+def _(t): return R.exclusions(t.swipes, t.recommendations, as_of(), 7)
 
 
 @query("url_union", "SELECT url FROM pages UNION SELECT source_url FROM recipes")

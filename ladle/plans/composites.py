@@ -15,11 +15,10 @@ from ladle.operators import quality as Q
 from ladle.operators import ranking as R
 from ladle.operators import recommend as C
 from ladle.operators import similarity as M
-from ladle.plans.registry import AS_OF, query
+from ladle.plans.registry import AS_OF, as_of, query
 from ladle.sources import tables as S
 from ladle.streaming import streams as St
 
-as_of = F.lit(AS_OF).cast("timestamp_ntz")
 c = F.col
 
 # --- similarity ------------------------------------------------------------------------------
@@ -31,10 +30,12 @@ _NAMES = "n AS (SELECT p_partkey AS id, p_name AS t FROM part)"
 def _(t): return M.similar_titles(t.part.select(c("p_partkey").alias("recipe_id"), F.concat_ws(" ", "p_name", F.lower("p_type")).alias("title"))).select("a", "b", F.round("score", 6).alias("score"))
 
 
-_SETS = "s AS (SELECT recipe_id AS id, list_sort(list_distinct(list(ingredient_id % 40))) AS s FROM ingredients GROUP BY 1), z AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.s, b.s)) AS i, len(a.s) AS n, len(b.s) AS m FROM s a JOIN s b ON a.id < b.id AND len(a.s) * 10 >= 7 * len(b.s) AND len(b.s) * 10 >= 7 * len(a.s) WHERE list_has_any(a.s, b.s))"
+# Items are below 40, so a set is a bit mask on the other side.
+_SETS = """s AS (SELECT recipe_id AS id, bit_or(CAST(1 AS BIGINT) << CAST(ingredient_id % 40 AS INT)) AS m FROM ingredients GROUP BY 1), g AS (SELECT DISTINCT m FROM s),
+p AS (SELECT x.m AS a, y.m AS b, CAST(bit_count(x.m & y.m) AS DOUBLE) / bit_count(x.m | y.m) AS score FROM g x JOIN g y ON x.m <= y.m WHERE bit_count(x.m & y.m) * 10 >= 7 * CAST(bit_count(x.m | y.m) AS INT))"""
 
 
-@query("self_join_jaccard", f"WITH {_SETS} SELECT a, b, round(i / (n + m - i), 6) AS score FROM z WHERE i / (n + m - i) >= 0.7")
+@query("self_join_jaccard", f"WITH {_SETS} SELECT DISTINCT least(x.id, y.id) AS a, greatest(x.id, y.id) AS b, round(score, 6) AS score FROM p JOIN s x ON x.m = p.a JOIN s y ON y.m = p.b WHERE x.id <> y.id")
 def _(t): return M.similar_sets(t.ingredients.select(c("recipe_id").alias("id"), (c("ingredient_id") % 40).alias("item")), 0.7).select("a", "b", F.round("score", 6).alias("score"))
 
 
@@ -83,7 +84,7 @@ def _(t): return _best(t).select("id", F.round("score", 6).alias("score"))
 def _(t):
     title = M.similar_titles(t.part.where("p_partkey < 500").select(c("p_partkey").alias("recipe_id"), c("p_name").alias("title"))).withColumn("method", F.lit("title_fuzzy"))
     sets = M.similar_sets(t.ingredients.where("recipe_id < 500").select(c("recipe_id").alias("id"), (c("ingredient_id") % 40).alias("item")), 0.7).withColumn("method", F.lit("ingredients"))
-    return title.unionByName(sets).withColumn("computed_at", as_of).transform(J.symmetric_pairs)
+    return title.unionByName(sets).withColumn("computed_at", as_of()).transform(J.symmetric_pairs)
 
 
 _LINKS = "l AS (SELECT DISTINCT l_partkey AS a, l_partkey + 7 AS b FROM lineitem WHERE l_partkey % 5 = 0)"
@@ -164,7 +165,7 @@ p AS (SELECT *, list_distinct(list_filter(string_split(title, ' '), lambda w: le
 s AS (SELECT user_id, recipe_id, 0.4 * vector + 0.3 * 0.5 + 0.2 * diversity + 0.1 * 0.8 AS score FROM d) SELECT user_id, recipe_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, recipe_id) AS r FROM s) WHERE r <= 10""")
 def _(t):
     k = _candidates(t).select("user_id", "recipe_id", "title", "vector", F.lit(0.0).alias("feedback"), F.lit(0.8).alias("freshness"))
-    return C.hybrid_recommendations(k, R.exclusions(t.swipes, t.recommendations, as_of, 7)).select("user_id", "recipe_id", F.round("score", 6).alias("score"))
+    return C.hybrid_recommendations(k, R.exclusions(t.swipes, t.recommendations, as_of(), 7)).select("user_id", "recipe_id", F.round("score", 6).alias("score"))
 
 
 @query("rerank_merge", "SELECT user_id, recipe_id, CAST(rank AS INT) AS rank FROM (SELECT p.user_id, r.recipe_id, row_number() OVER (PARTITION BY p.user_id ORDER BY r.recipe_id DESC) AS rank FROM profiles p JOIN recipes r ON r.recipe_id IN (p.user_id, p.user_id + 1, p.user_id + 2)) WHERE rank <= 2")

@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ladle.sources.fixtures import ADAPTERS, Tables
 
@@ -15,6 +16,10 @@ _SQL: dict[str, str] = {}
 AS_OF = "2024-01-31 00:00:00"
 
 
+def as_of() -> Column:
+    return F.lit(AS_OF).cast("timestamp_ntz")
+
+
 def query(key: str, sql: str | None = None):
     def add(f: Callable[[Tables], DataFrame]):
         _QUERIES[key] = lambda spark, sf_dir: f(Tables(spark, sf_dir))

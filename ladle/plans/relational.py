@@ -10,9 +10,8 @@ from ladle.operators import joins as J
 from ladle.operators import learning as L
 from ladle.operators import nutrition as N
 from ladle.operators import ranking as R
-from ladle.plans.registry import AS_OF, query
+from ladle.plans.registry import AS_OF, as_of, query
 
-as_of = F.lit(AS_OF).cast("timestamp_ntz")
 
 
 def r6(*names: str):
@@ -173,7 +172,7 @@ def _(t):
 
 @query("processing_rate_eta", f"SELECT count(*) FILTER (WHERE ts >= TIMESTAMP '{AS_OF}' - INTERVAL 1 DAY) AS recent, round(count(*) FILTER (WHERE ts >= TIMESTAMP '{AS_OF}' - INTERVAL 1 DAY) / 24.0, 6) AS per_hour, round(count(*) / nullif(count(*) FILTER (WHERE ts >= TIMESTAMP '{AS_OF}' - INTERVAL 1 DAY) / 24.0, 0), 6) AS eta_hours, round(count(DISTINCT user_id) * 100.0 / count(*), 6) AS share FROM events")
 def _(t):
-    recent = F.count_if(F.col("ts") >= as_of - F.make_interval(days=F.lit(1)))
+    recent = F.count_if(F.col("ts") >= as_of() - F.make_interval(days=F.lit(1)))
     return t.events.agg(recent.alias("recent"), F.round(recent / 24.0, 6).alias("per_hour"), F.round(F.try_divide(F.count("*"), recent / 24.0), 6).alias("eta_hours"), F.round(F.count_distinct("user_id") * 100.0 / F.count("*"), 6).alias("share"))
 
 

@@ -6,9 +6,8 @@ from pyspark.sql import functions as F
 
 from ladle.functions import text as T
 from ladle.operators import joins as J
-from ladle.plans.registry import AS_OF, query
+from ladle.plans.registry import AS_OF, as_of, query
 
-as_of = F.lit(AS_OF).cast("timestamp_ntz")
 c = F.col
 
 _TITLE = "trim(regexp_replace(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}_\\s]', '', 'g'), '\\s+', ' ', 'g'))"
@@ -102,16 +101,16 @@ _DAYS = f"CAST(floor(epoch(TIMESTAMP '{AS_OF}' - ts) / 86400) AS BIGINT)"
 
 
 @query("freshness_linear", f"SELECT event_id, round(greatest(0.5, 1 - {_DAYS} / 30 * 0.5), 6) AS score FROM events")
-def _(t): return t.events.select("event_id", F.round(T.freshness_linear(T.whole_days(c("ts"), as_of)), 6).alias("score"))
+def _(t): return t.events.select("event_id", F.round(T.freshness_linear(T.whole_days(c("ts"), as_of())), 6).alias("score"))
 
 
 @query("freshness_bucket", f"SELECT event_id, CASE WHEN {_DAYS} < 7 THEN 1.0 WHEN {_DAYS} < 30 THEN 0.8 ELSE 0.6 END AS score FROM events")
-def _(t): return t.events.select("event_id", T.freshness_bucket(T.whole_days(c("ts"), as_of)).alias("score"))
+def _(t): return t.events.select("event_id", T.freshness_bucket(T.whole_days(c("ts"), as_of())).alias("score"))
 
 
 @query("diversity_decay", f"SELECT s.user_id, s.recipe_id, round(CASE WHEN d IS NULL OR d >= 14 THEN 1.0 WHEN k THEN greatest(0.7, d / 14) ELSE d / 14 END, 6) AS score FROM (SELECT DISTINCT user_id, recipe_id FROM swipes) s LEFT JOIN (SELECT user_id, recipe_id, min({_DAYS.replace('ts', 'recommended_at')}) AS d, bool_or(was_saved OR was_cooked) AS k FROM recommendations GROUP BY 1, 2) r ON r.user_id = s.user_id AND r.recipe_id = s.recipe_id")
 def _(t):
-    shown = t.recommendations.groupBy("user_id", "recipe_id").agg(F.min(T.whole_days(c("recommended_at"), as_of)).alias("d"), F.bool_or(c("was_saved") | c("was_cooked")).alias("k"))
+    shown = t.recommendations.groupBy("user_id", "recipe_id").agg(F.min(T.whole_days(c("recommended_at"), as_of())).alias("d"), F.bool_or(c("was_saved") | c("was_cooked")).alias("k"))
     return t.swipes.select("user_id", "recipe_id").distinct().join(shown, ["user_id", "recipe_id"], "left").select("user_id", "recipe_id", F.round(T.diversity_decay(c("d"), c("k")), 6).alias("score"))
 
 
