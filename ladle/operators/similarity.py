@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -85,46 +83,46 @@ def similar_sets(sets: DataFrame, least: float = 0.7) -> DataFrame:
     return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "score").distinct()
 
 
-def top_matches(queries: DataFrame, vectors: DataFrame, k: int, least: float = -1.0, block: int = 2000) -> DataFrame:
+def top_matches(queries: DataFrame, vectors: DataFrame, k: int, least: float = -1.0, query_block: int = 2000, block: int = 10_000) -> DataFrame:
     """(query_id, id, score): the k nearest vectors of each query by cosine, least at least, itself left out.
 
-    queries: query_id, vector; vectors: id, vector. Queries are put in blocks, and each block
-    meets the vectors partition by partition; a partition keeps k of each query.
+    queries: query_id, vector; vectors: id, vector. Both are dealt into blocks by a hash; every
+    block of queries meets every block of vectors in a task of its own, which keeps k of each
+    query. So each side is copied as often as the other has blocks, and no group outgrows a block.
     """
-    count = queries.count()
-    blocks = max(-(-count // block), 1)
-    packed = queries.groupBy((F.xxhash64("query_id") % blocks).alias("block")).agg(F.collect_list("query_id").alias("query_ids"), F.collect_list("vector").alias("query_vectors"))
-    out = None
-    schema = "query_id long, id long, score double"
-    for row in packed.toLocalIterator():  # one block of queries at a time
-        ids = np.array(row["query_ids"])
-        q = np.array(row["query_vectors"], dtype=np.float64)
-        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-        shared = queries.sparkSession.sparkContext.broadcast((ids, q))
-
-        def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, q = shared.value
-            for pdf in batches:
-                for a in range(0, len(pdf), 2000):
-                    part = pdf.iloc[a : a + 2000]
-                    v = np.array(part["vector"].tolist(), dtype=np.float64)
-                    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-                    score = q @ v.T
-                    own = part["id"].to_numpy()
-                    score[ids[:, None] == own[None, :]] = -2
-                    keep = min(k, score.shape[1])
-                    best = np.argpartition(-score, keep - 1, axis=1)[:, :keep]
-                    rows = np.repeat(np.arange(len(ids)), keep)
-                    found = score[rows, best.ravel()]
-                    good = (found >= least) & (found > -2)
-                    yield pd.DataFrame({"query_id": ids[rows[good]], "id": own[best.ravel()[good]], "score": found[good]})
-
-        hits = vectors.select("id", "vector").mapInPandas(search, schema)
-        out = hits if out is None else out.union(hits)
-    if out is None:
-        return queries.sparkSession.createDataFrame([], schema)
+    left, right = (max(-(-df.count() // n), 1) for df, n in ((queries, query_block), (vectors, block)))
+
+    def dealt(df: DataFrame, key: str, own: int, other: int, names: tuple[str, str]) -> DataFrame:
+        block_of = F.pmod(F.xxhash64(key), F.lit(own)).cast("int").alias(names[0])
+        return df.select(key, "vector", block_of, F.explode(F.sequence(F.lit(0), F.lit(other - 1))).alias(names[1]))
+
+    q = dealt(queries, "query_id", left, right, ("q", "v")).groupBy("q", "v")
+    v = dealt(vectors, "id", right, left, ("v", "q")).groupBy("q", "v")
+
+    def unit(column: pd.Series) -> np.ndarray:
+        m = np.array(column.tolist(), dtype=np.float64)
+        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+
+    def search(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        if len(a) and len(b):
+            ids, m = a["query_id"].to_numpy(), unit(a["vector"])
+            for i in range(0, len(b), 2000):
+                own = b["id"].to_numpy()[i : i + 2000]
+                score = m @ unit(b["vector"].iloc[i : i + 2000]).T
+                score[ids[:, None] == own[None, :]] = -2
+                keep = min(k, len(own))
+                best = np.argpartition(-score, keep - 1, axis=1)[:, :keep]
+                row = np.repeat(np.arange(len(ids)), keep)
+                found = score[row, best.ravel()]
+                good = (found >= least) & (found > -2)
+                parts.append(pd.DataFrame({"query_id": ids[row[good]], "id": own[best.ravel()[good]], "score": found[good]}))
+        out = pd.concat(parts) if parts else pd.DataFrame({"query_id": [], "id": [], "score": []})
+        return out.sort_values(["query_id", "score", "id"], ascending=[True, False, True]).groupby("query_id").head(k)
+
+    hits = q.cogroup(v).applyInPandas(search, "query_id long, id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
+    return hits.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
 
 
 def combined(edges: DataFrame, weights: dict[str, float], least: float = 0.85) -> DataFrame:
