@@ -36,9 +36,9 @@ from .shared import mix, prefix_sums, slice_hashes, steps, table, text_bytes, wr
 
 KMER = 12
 #: Entries that a task gathers before it sorts and sends them.
-GATHERED = 1_500_000
+GATHERED = 500_000
 #: A k-mer with more contexts than this in one task: all its contexts are asked for.
-CROWDED = 2000
+CROWDED = 1000
 COVERED, ASKED = 0, 1
 
 
@@ -79,7 +79,7 @@ def _bounded_min(values: np.ndarray, width: int) -> np.ndarray:
 def contexts(data: np.ndarray, offsets: np.ndarray, length: int) -> dict[str, np.ndarray]:
     """The contexts of texts of at least `length` bytes: row, first window (from the text's begin), windows, and hashes.
 
-    kmer: of the anchor; whole: of all bytes of the context; left, right: of the anchor with half
+    kmer: of the anchor (mixed anew, as anchors have small hashes); whole: of all bytes of the context; left, right: of the anchor with half
     of what a window needs besides it on one side (a shared window agrees on one of them).
     """
     side = -(-(length - KMER) // 2)
@@ -102,7 +102,7 @@ def contexts(data: np.ndarray, offsets: np.ndarray, length: int) -> dict[str, np
     row, start, anchor = owner[first], window[first], lowest[first]
     low = np.maximum(anchor - side, offsets[row])
     high = np.minimum(anchor + KMER + side, offsets[row + 1])
-    return {"row": row, "first": start - offsets[row], "number": number, "kmer": hashes[anchor], "whole": slice_hashes(sums, start, start + number + length - 1), "left": slice_hashes(sums, low, anchor + KMER), "right": slice_hashes(sums, anchor, high)}
+    return {"row": row, "first": start - offsets[row], "number": number, "kmer": mix(hashes[anchor]), "whole": slice_hashes(sums, start, start + number + length - 1), "left": slice_hashes(sums, low, anchor + KMER), "right": slice_hashes(sums, anchor, high)}
 
 
 def _parts(keys: np.ndarray, count: int) -> np.ndarray:
@@ -148,7 +148,7 @@ def _send_contexts(texts: DataFrame, length: int, parts: int) -> DataFrame:
         gathered: list[dict[str, np.ndarray]] = []
 
         def out() -> pa.RecordBatch:
-            e = {k: np.concatenate([g[k] for g in gathered]) for k in gathered[0]}
+            e = {k: np.concatenate([g.pop(k) for g in gathered]) for k in list(gathered[0])}
             gathered.clear()
             known = _above_first(e["whole"] ^ mix(e["kmer"]), e["doc"])
             kmers, at, count = np.unique(e["kmer"], return_inverse=True, return_counts=True)
@@ -176,7 +176,7 @@ def _send_contexts(texts: DataFrame, length: int, parts: int) -> DataFrame:
         for batch in batches:
             keys, docs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             offsets, data = text_bytes(batch.column(2))
-            for a, b in steps(offsets):
+            for a, b in steps(offsets, 1 << 19):
                 found = contexts(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], length)
                 row = found.pop("row") + a
                 gathered.append(found | {"key": keys[row], "doc": docs[row]})
@@ -205,7 +205,7 @@ def _judge_contexts(blobs: DataFrame) -> DataFrame:
                 found.append({"kmer": _from_planes(x["kmer"]), "whole": _from_planes(x["whole"]), "left": x["left"], "right": x["right"], "key": x["rows"][row[:n]], "doc": x["docs"][row[:n]], "first": first[:n], "number": number[:n]})
         if not found:
             return
-        e = {k: np.concatenate([f[k] for f in found]) for k in found[0]}
+        e = {k: np.concatenate([f.pop(k) for f in found]) for k in list(found[0])}
         found.clear()
         if not len(e["key"]):
             return
