@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ladle.llm import bpe, decontaminate, langid, neardup, repeats
-from ladle.llm.shared import table, written
+from ladle.llm.shared import bounded_batches, table, written
 
 #: A document whose language has a smaller share than this is rejected, as is one without letters.
 LEAST_LANGUAGE_SHARE = 0.5
@@ -19,6 +19,7 @@ LEAST_LANGUAGE_SHARE = 0.5
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is in one of the languages that docs declare (null and empty texts go)."""
+    bounded_batches(spark)
     model = langid.fit(docs.select("doc_id", "text", "lang"))
     found = langid.predict(docs, model, lang_col="_lang", score_col="_share")
     return found.where((F.col("_lang") != langid.UNDETERMINED) & (F.col("_share") >= LEAST_LANGUAGE_SHARE)).select(*docs.columns)
@@ -26,6 +27,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one of the smallest id, of each group of near-duplicates (five-word shingles, similarity 0.8)."""
+    bounded_batches(spark)
     gone = neardup.near_duplicates(docs, width=5, percent=80).where(~F.col("kept")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
@@ -35,6 +37,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     A code point cut in two leaves U+FFFD. A text of which nothing is left stays as an empty one.
     """
+    bounded_batches(spark)
     out = repeats.remove_repeats(docs)
     text = F.when(F.col("n_removed") > 0, F.make_valid_utf8(F.col("kept_bytes").cast("string"))).otherwise(F.col("text"))
     changed = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length(text).cast("long")).otherwise(F.col("n_chars")))
@@ -43,12 +46,14 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
+    bounded_batches(spark)
     found = decontaminate.with_matches(docs, table(spark, sf_dir, "benchmark"), out_col="_matches")
     return found.where(F.size("_matches") == 0).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with digests of them and of the bytes they decode to."""
+    bounded_batches(spark)
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")

@@ -239,7 +239,7 @@ class Encoder:
     Slices are told apart by a 64-bit hash of their bytes and their length.
     """
 
-    CACHE = 400_000
+    CACHE = 200_000
 
     def __init__(self, lines: bytes):
         self.ranks = _ranks(lines)

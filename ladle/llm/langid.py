@@ -116,7 +116,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 class Scorer:
     """Scores words by a model; keeps the rows of words met so far, at most CACHE of them."""
 
-    CACHE = 300_000
+    CACHE = 60_000
 
     def __init__(self, model: Model):
         self.model = model

@@ -14,7 +14,19 @@ from pyspark.sql import DataFrame, SparkSession
 STEP_BYTES = 1 << 20
 
 
+#: Rows of a batch between Spark and Python, when they hold whole texts.
+BATCH_ROWS = 1000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Texts go to Python in smaller batches than Spark's 10,000 rows, which bounds memory on both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

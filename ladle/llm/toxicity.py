@@ -85,7 +85,7 @@ def segments(values: list[tuple[int, float]], n: int, other: float) -> list[tupl
 
 
 class Scanner:
-    CACHE = 300_000
+    CACHE = 100_000
 
     def __init__(self, model: Model, most_expected: float = 0.05):
         self.model, self.most = model, most_expected
