@@ -222,7 +222,7 @@ def _judge_contexts(blobs: DataFrame) -> DataFrame:
 
 
 def _send_windows(rows: DataFrame, length: int, parts: int) -> DataFrame:
-    """rows: row_key, doc, text, asked: array<struct<first, number>>."""
+    """rows: row_key, doc, text, asked: array<struct<first, number>>; others are ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gathered: list[tuple[np.ndarray, ...]] = []
@@ -352,10 +352,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = keyed.where(F.col(id_col).isNotNull() & (F.octet_length(text_col) >= length)).select(F.col("_row").alias("row_key"), F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     codes = written(_judge_contexts(_send_contexts(texts, length, parts).repartitionById(parts, F.col("part"))))
     span = F.collect_list(F.struct("first", "number"))
+    dealt = keyed.repartition(parts, "_row")  # one shuffle of the texts, which both joins below read
     asked = codes.where(F.col("kind") == ASKED).groupBy("row_key").agg(span.alias("asked"))
-    windows = _judge_windows(_send_windows(texts.join(asked, "row_key"), length, parts).repartitionById(parts, F.col("part")))
+    spans = dealt.join(asked, F.col("_row") == F.col("row_key")).select(F.col("row_key"), F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), "asked", *(c for c in keep.columns if c not in (id_col, text_col)))
+    windows = _judge_windows(_send_windows(spans, length, parts).repartitionById(parts, F.col("part")))
     covered = codes.where(F.col("kind") == COVERED).select("row_key", "first", "number").union(windows.select("row_key", "first", "number")).groupBy("row_key").agg(span.alias("covered"))
-    rows = keyed.join(covered, F.col("_row") == F.col("row_key"), "left")
+    rows = dealt.join(covered, F.col("_row") == F.col("row_key"), "left")
     return _cut(rows, length, keep.columns, text_col)
 
 
