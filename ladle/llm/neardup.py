@@ -3,11 +3,12 @@
 One hash of each shingle fills the bins of a sketch; an empty bin borrows from the first
 non-empty bin in an order of its own (optimal densification). Bands of bins are bucket keys. A
 bucket with n sets gives n - 1 candidate pairs at most, one set with each other; they are
-confirmed on the full sets. A bucket that still holds several components gets further centres:
-all members outside its largest component where these are FEW, so that no pair of it stays
-unseen; else the member with the most links so far (the original of many copies has them), one
-a round, for as long as a round anywhere finds a link. So pairs grow with a bucket's members,
-not with their square.
+confirmed on the full sets. A bucket that still holds several components gets further centres,
+until no pair of it stays unseen: all members outside its largest component where these are
+few; else the member with the most links so far (the original of many copies has them) and,
+from the next round on, some of the others, GROWTH times as many each round. So pairs grow with
+a bucket's members where these are alike; where they are not, a bound that never drops a pair
+of enough similarity, from bitmaps of the sets, spares most confirmations.
 """
 
 from __future__ import annotations
@@ -25,7 +26,9 @@ from .shared import mix, shingle_sets, steps, table, text_bytes, written
 #: A band of ROWS bins agrees with probability J^ROWS; of BANDS bands none does with (1 - J^ROWS)^BANDS: at J = 0.8 0.000003.
 ROWS, BANDS = 6, 42
 BINS = 256
-FEW = 4
+FEW, GROWTH = 4, 8
+#: Longs of a set's bitmap, whose bits are the leading 10 bits of its hashes.
+LONGS = 16
 
 
 def _orders() -> np.ndarray:
@@ -62,8 +65,16 @@ def band_keys(sketch: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of LONGS longs for each set: bit k is set if a hash falls into the k-th part of the 64-bit range."""
+    out = np.zeros((len(sets), 64 * LONGS), bool)
+    for row, hashes in zip(out, sets):
+        row[hashes >> np.uint64(64 - (64 * LONGS - 1).bit_length())] = True
+    return np.packbits(out, axis=1, bitorder="little").view(np.int64)
+
+
 def _sketched(docs: DataFrame, width: int) -> DataFrame:
-    """id, n (size of the shingle set), same (128-bit hash of the set), bands of each row."""
+    """id, n (size of the shingle set), same (128-bit hash of the set), bands and bitmap of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -72,9 +83,9 @@ def _sketched(docs: DataFrame, width: int) -> DataFrame:
                 sets = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width)
                 keys = band_keys(sketches(sets))
                 ends = np.arange(len(sets) + 1, dtype=np.int32) * BANDS
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel()))], names=["id", "n", "same", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel())), pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * LONGS), pa.array(bitmaps(sets).ravel()))], names=["id", "n", "same", "bands", "bits"])
 
-    return docs.mapInArrow(run, "id long, n long, same binary, bands array<long>")
+    return docs.mapInArrow(run, "id long, n long, same binary, bands array<long>, bits array<long>")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -136,8 +147,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = written(_sketched(docs, width))
     linked = rows.where((F.col("n") > 0) & F.col("id").isNotNull())
     # Equal sets are one from here on: the smallest id stands for them.
-    first = linked.groupBy("same").agg(F.min(F.struct("id", "n", "bands")).alias("first"), F.count("*").alias("rows"))
-    distinct = written(first.select("same", "first.id", "first.n", "first.bands", "rows"))
+    first = linked.groupBy("same").agg(F.min(F.struct("id", "n", "bands", "bits")).alias("first"), F.count("*").alias("rows"))
+    distinct = written(first.select("same", "first.id", "first.n", "first.bands", "first.bits", "rows"))
     copies = linked.select("same", "id").join(distinct.where("rows > 1").select("same", F.col("id").alias("first")), "same").where(F.col("id") != F.col("first")).select(F.col("first").alias("a"), F.col("id").alias("b"))
 
     banded = distinct.select("id", "n", F.explode("bands").alias("bucket"))
@@ -151,38 +162,49 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hubs = members.groupBy("bucket").agg(F.max(F.struct("met", F.negative("id").alias("id"), "n")).alias("hub"))
     centres = hubs.select("bucket", F.negative("hub.id").alias("a"), F.col("hub.n").alias("n_a"), F.negative("hub.id").alias("component_a"))
     against = members.where("is_fullest").select("bucket", "id", "n", F.col("id").alias("component"))
-    used = None
-    links = tried = None
+    alike = (F.col("id") != F.col("a")) & (F.col("component") != F.col("component_a")) & (F.lit(100) * F.least("n", "n_a") >= F.lit(percent) * F.greatest("n", "n_a"))
+    # A part of the hash range that only one of two sets reaches has a shingle that only this one has.
+    apart = sum((F.bit_count(F.col("bits")[k].bitwiseXOR(F.col("bits_a")[k])) for k in range(LONGS)), F.lit(0))
+    near = F.lit(100 + percent) * (F.col("n") + F.col("n_a") - apart) >= F.lit(2 * percent) * (F.col("n") + F.col("n_a"))
+    used = links = tried = None
+    few, others = FEW, 0
     while True:
-        alike = (F.col("id") != F.col("a")) & (F.col("component") != F.col("component_a")) & (F.lit(100) * F.least("n", "n_a") >= F.lit(percent) * F.greatest("n", "n_a"))
         pairs = against.join(centres, "bucket").where(alike).select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = written(pairs)
         found = written(_confirmed(pairs, docs, width, percent).distinct())
-        if used is not None and not found.limit(1).count():
-            break
         tried = pairs if tried is None else tried.union(pairs)
-        links = found if links is None else links.union(found)
-        labels = components(links)
-        # The buckets that still hold several components, with each member's links so far.
-        marked = members.select("bucket", "id", "n", "met").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        if links is None or found.limit(1).count():
+            links = found if links is None else links.union(found)
+            labels = components(links)
+        # The buckets that still hold several components, with each member's links so far. Components only grow, so no other bucket comes back.
+        marked = members.select("bucket", "id", "n", "met") if used is None else against.select("bucket", "id", "n", "met", "bits")
+        marked = marked.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
         split = marked.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
+        if used is not None:  # nor does one that had no centres left
+            split = split.join(centres.select("bucket").distinct(), "bucket", "left_semi")
         degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
-        against = written(marked.join(split, "bucket").join(degree, "id", "left").select("bucket", "id", "n", "met", "component", F.coalesce("links", F.lit(0)).alias("links")))
+        marked = marked.join(split, "bucket").join(degree, "id", "left")
+        if used is None:
+            marked = marked.join(distinct.select("id", "n", "bits"), ["id", "n"])
+            alike = alike & near
+        against = written(marked.select("bucket", "id", "n", "met", "bits", "component", F.coalesce("links", F.lit(0)).alias("links")))
         unused = against if used is None else written(against.join(used, ["bucket", "id"], "left_anti"))
         parts = unused.groupBy("bucket", "component").agg(F.count("*").alias("size"))
         open_ = parts.groupBy("bucket").agg(F.max(F.struct("size", F.negative("component").alias("component"))).alias("top"), F.sum("size").alias("all"))
         open_ = open_.select("bucket", F.negative("top.component").alias("largest"), (F.col("all") - F.col("top.size")).alias("outside")).where("outside > 0")
-        few = F.col("outside") <= FEW
-        hubs = unused.groupBy("bucket").agg(F.max(F.struct("links", "met", F.negative("id").alias("id"), "n", "component")).alias("hub"))
-        best = hubs.join(open_.where(~few).select("bucket"), "bucket").select("bucket", F.negative("hub.id").alias("a"), F.col("hub.n").alias("n_a"), F.col("hub.component").alias("component_a"))
-        outer = unused.join(open_.where(few).select("bucket", "largest"), "bucket").where(F.col("component") != F.col("largest"))
-        centres = written(best.union(outer.select("bucket", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("component_a"))))
+        hubs = unused.groupBy("bucket").agg(F.max(F.struct("links", "met", F.negative("id").alias("id"))).alias("hub")).select("bucket", F.negative("hub.id").alias("hub"))
+        # Where not all members outside the largest component have their turn, the best linked one does, and others by their hash.
+        outer = (F.col("component") != F.col("largest")) & ((F.col("outside") <= few) | (F.pmod(F.xxhash64("id", "bucket"), F.col("outside")) < others))
+        turn = outer | ((F.col("outside") > few) & (F.col("id") == F.col("hub")))
+        centres = unused.join(open_.join(hubs, "bucket"), "bucket").where(turn)
+        centres = written(centres.select("bucket", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"), F.col("component").alias("component_a")))
         if not centres.limit(1).count():
             break
-        mine = centres.select("bucket", F.col("a").alias("id"))
+        mine = centres.select("bucket", F.col("a").alias("id")).distinct()
         used = mine if used is None else used.union(mine)
+        few = others = few * GROWTH
     # Copies of a set go where its smallest id goes.
     of_sets = sizes.join(labels, "id", "left").select(F.col("id").alias("first"), F.coalesce("component", "id").alias("component"))
     of_copies = copies.join(of_sets, copies["a"] == of_sets["first"]).select(F.col("b").alias("id"), "component")

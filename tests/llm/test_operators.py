@@ -63,6 +63,38 @@ def test_near_duplicates(docs, rows, width):
     assert got == {i: (len(s), label[i], label[i] == i) for i, s in sets.items()}
 
 
+def test_near_duplicates_hidden_among_pages_of_a_template(spark):
+    """Pages of a template are 0.78 alike and no duplicates; in each template two of 0.81 share nothing else."""
+    rng = random.Random(11)
+    rows, hidden = [], {}
+    for site in range(4):
+        shared = [f"t{site}x{k}" for k in range(200)]
+        for page in range(100):
+            i = 1000 * site + page
+            own = 23 if page in (40, 70) else 28
+            if own == 23:
+                hidden[i] = 1000 * site + 40
+            w = shared + [f"o{i}x{k}" for k in range(own)]
+            rng.shuffle(w)
+            rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(df, width=1).collect()}
+    assert got == {i: hidden.get(i, i) for i, _ in rows}
+
+
+def test_near_duplicates_bitmaps_drop_no_pair():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for size in (1, 5, 60, 3000):
+        x = np.unique(rng.integers(0, 2**64, size, dtype=np.uint64))
+        y = np.unique(np.concatenate([x[: size - size // 6], rng.integers(0, 2**64, size // 8, dtype=np.uint64)]))
+        bits = neardup.bitmaps([x, y])
+        assert bits.shape == (2, neardup.LONGS)
+        apart = int(np.bitwise_count((bits[0] ^ bits[1]).view(np.uint64)).sum())
+        assert apart <= len(np.setxor1d(x, y))
+
+
 def test_near_duplicates_null_and_repeated_ids(spark):
     t = words(random.Random(1), 30)
     df = spark.createDataFrame([(None, t), (7, t), (7, t), (9, t)], "doc_id long, text string")
