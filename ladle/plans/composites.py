@@ -82,8 +82,8 @@ def _(t): return _best(t).select("id", F.round("score", 6).alias("score"))
 
 @query("all_similarities")
 def _(t):
-    title = M.similar_titles(t.part.where("p_partkey < 500").select(c("p_partkey").alias("recipe_id"), c("p_name").alias("title"))).withColumn("method", F.lit("title_fuzzy"))
-    sets = M.similar_sets(t.ingredients.where("recipe_id < 500").select(c("recipe_id").alias("id"), (c("ingredient_id") % 40).alias("item")), 0.7).withColumn("method", F.lit("ingredients"))
+    title = M.similar_titles(t.part.select(c("p_partkey").alias("recipe_id"), c("p_name").alias("title"))).withColumn("method", F.lit("title_fuzzy"))
+    sets = M.similar_sets(t.ingredients.select(c("recipe_id").alias("id"), (c("ingredient_id") % 40).alias("item")), 0.7).withColumn("method", F.lit("ingredients"))
     return title.unionByName(sets).withColumn("computed_at", as_of()).transform(J.symmetric_pairs)
 
 
@@ -270,7 +270,7 @@ def _(t):
 
 @query("normalize_ingredients")
 def _(t):
-    lines = t.ingredients.where("recipe_id < 500").join(t.master, "ingredient_id").select("recipe_id", "line", T.parse_ingredient(F.concat(c("quantity").cast("int"), F.lit(" "), "unit", F.lit(" "), "standard_name")).alias("p")).select("recipe_id", "line", "p.*")
+    lines = t.ingredients.join(t.master, "ingredient_id").select("recipe_id", "line", T.parse_ingredient(F.concat(c("quantity").cast("int"), F.lit(" "), "unit", F.lit(" "), "standard_name")).alias("p")).select("recipe_id", "line", "p.*")
     known = M.fuzzy_lookup(lines.select("item").distinct(), t.master)
     return lines.join(known, "item", "left").select("recipe_id", "line", "item", "ingredient_id", F.when(c("ingredient_id").isNotNull(), 0.99).otherwise(0.75).alias("confidence"))
 

@@ -46,3 +46,12 @@ def test_query(spark, duck, name):
     assert sorted(named) == columns
     want = [tuple(plain(r[named.index(c)]) for c in columns) for r in found.fetchall()]
     assert sorted(map(repr, rows)) == sorted(map(repr, want))
+
+
+def test_whole_tables(spark, duck):
+    """Queries without SQL that once ran over small ids only."""
+    lines = REGISTRY.queries()["normalize_ingredients"](spark, SF)
+    assert lines.count() == duck.execute(REGISTRY.with_adapters("SELECT count(*) FROM ingredients JOIN master USING (ingredient_id)")).fetchone()[0]
+    sets = REGISTRY.queries()["all_similarities"](spark, SF).where("method = 'ingredients'")
+    want = duck.execute(REGISTRY.oracle_sql()["self_join_jaccard"]).fetchall()
+    assert {(r["a"], r["b"]) for r in sets.select("a", "b").collect()} == {(a, b) for a, b, _ in want}
