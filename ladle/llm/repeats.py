@@ -170,7 +170,7 @@ def _send_contexts(texts: DataFrame, length: int, parts: int) -> DataFrame:
                 docs = np.zeros(len(rows), np.int64)
                 docs[row] = np.concatenate([e["doc"][s], e["doc"][k], e["doc"][a]])
                 both = np.concatenate([s, k, a])
-                blobs.append((p, pack(n=np.array([len(s), len(k), len(a)]), kmer=_low_planes(e["kmer"][s], 8), whole=_low_planes(e["whole"][s], 5), left=e["left"][s].astype(np.uint16), right=e["right"][s].astype(np.uint16), rows=rows, docs=docs, row=row.astype(np.uint32 if len(rows) > 65535 else np.uint16), first=e["first"][both].astype(np.uint32), number=e["number"][both].astype(np.uint8), wild=w)))
+                blobs.append((p, pack(n=np.array([len(s), len(k), len(a)]), kmer=_low_planes(e["kmer"][s], 8), whole=_low_planes(e["whole"][s], 5), left=e["left"][s].astype(np.uint16), right=e["right"][s].astype(np.uint16), rows=rows, docs=docs, row=row.astype(np.uint32 if len(rows) > 65535 else np.uint16), first=e["first"][both].astype(np.uint32), number=e["number"][both].astype(np.uint8 if length < 267 else np.uint32), wild=w)))
             return pa.RecordBatch.from_arrays([pa.array([p for p, _ in blobs], pa.int32()), pa.array([b for _, b in blobs], pa.binary())], names=["part", "blob"])
 
         for batch in batches:

@@ -138,6 +138,17 @@ def test_repeats_crowded(spark, monkeypatch):
     assert got == cut(rows)
 
 
+def test_repeats_long(spark):
+    """A context of many windows: its count needs more than a byte."""
+    rng = random.Random(6)
+    common = words(rng, 400, 5000)
+    rows = [(i, f"{words(rng, 30, 5000)} {common} {words(rng, 30, 5000)}") for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for length in (300, 600):
+        got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept_bytes"])) for r in repeats.remove_repeats(df, length=length).collect()}
+        assert got == cut(rows, length)
+
+
 def test_bpe_round_trip(docs, rows):
     tiktoken = pytest.importorskip("tiktoken")
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
