@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ladle.functions import text as T
-from ladle.sources.scratch import written
+from ladle.sources.scratch import discard, written
 
 
 def similar_titles(titles: DataFrame, least: float = 0.85, measure: str = "levenshtein") -> DataFrame:
@@ -134,7 +134,10 @@ def combined(edges: DataFrame, weights: dict[str, float], least: float = 0.85) -
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, component): the smallest id that each id of links (a, b) is connected with."""
+    """(id, component): the smallest id that each id of links (a, b) is connected with.
+
+    Labels spread to neighbours and then jump to their own label's label, until none changes.
+    """
     both = written(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("a")).alias("component")))
     while True:
@@ -142,8 +145,11 @@ def components(links: DataFrame) -> DataFrame:
         lower = labels.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "near").alias("component"))
         jump = labels.select(F.col("id").alias("component"), F.col("component").alias("further"))
         new = written(lower.join(jump, "component", "left").select("id", "old", F.least("component", F.coalesce("further", "component")).alias("component")))
+        changed = new.where("old <> component").limit(1).count()
+        discard(labels)
         labels = new.select("id", "component")
-        if not new.where("old <> component").limit(1).count():
+        if not changed:
+            discard(both)
             return labels
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -9,17 +10,50 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a local folder only where it is unset, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """spark.checkpoint.dir, or the context's own checkpoint folder.
+
+    Where neither is set, a temporary folder serves, but only in local mode (tests), where the
+    driver is the only machine; a cluster must name its shared folder.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
-        return named
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ladle-"))
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ladle-"))
     return spark.sparkContext.getCheckpointDir()
 
 
+_cleaned: set[str] = set()
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, under one that is deleted when the driver ends."""
+    base = f"{shared_dir(spark)}/ladle-{spark.sparkContext.applicationId}"
+    if base not in _cleaned:
+        _cleaned.add(base)
+        atexit.register(_delete, spark, base)
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    if context._jsc is None:  # the session has ended before the driver; the folder stays
+        return
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table there: cuts lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/ladle-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that `written` gave; what was made of them must be written itself by now."""
+    for df in tables:
+        files = df.inputFiles()
+        if files:
+            _delete(df.sparkSession, files[0].rsplit("/", 1)[0])
