@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import prefix_sums, slice_hashes, steps, table, text_bytes
+from .shared import slice_hashes, steps, table, text_bytes
 
 # Classes of code points.
 LETTER, NUMBER, OTHER, SPACE = 0, 1, 2, 3
@@ -236,7 +236,8 @@ def merge_all(grid: np.ndarray, sizes: np.ndarray, keys: np.ndarray, made: np.nd
 class Encoder:
     """Encodes batches of texts; keeps the merged slices that it has seen, CACHE of them and a batch's at most.
 
-    Slices are told apart by a 64-bit hash of their bytes and their length.
+    Slices are looked up by a hash of their bytes and compared byte by byte with what is found;
+    one that only shares the hash is merged by itself.
     """
 
     CACHE = 200_000
@@ -253,6 +254,7 @@ class Encoder:
     def _clear(self) -> None:
         self.hashes, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.ids, self.firsts, self.lengths = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.store, self.begins, self.spans = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _merged(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all slices in a row, and each one's number of ids."""
@@ -277,6 +279,26 @@ class Encoder:
         back[order] = np.arange(len(order))
         return _gather(ids, firsts[back], numbers[back]).astype(np.int32), numbers[back]
 
+    def _add(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Merges slices and keeps them; their places."""
+        ids, numbers = self._merged(data, start, size)
+        place = len(self.firsts) + np.arange(len(start))
+        self.firsts = np.concatenate([self.firsts, len(self.ids) + np.cumsum(numbers) - numbers])
+        self.ids, self.lengths = np.concatenate([self.ids, ids]), np.concatenate([self.lengths, numbers])
+        self.begins = np.concatenate([self.begins, len(self.store) + np.cumsum(size) - size])
+        self.store, self.spans = np.concatenate([self.store, _gather(data, start, size)]), np.concatenate([self.spans, size])
+        return place
+
+    def _equal(self, data: np.ndarray, start: np.ndarray, size: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """Whether slices that lie side by side (all of data) have the bytes of the kept ones at code."""
+        good = self.spans[code] == size
+        same = np.ones(len(start), np.int64)
+        some = np.flatnonzero(good)
+        if len(some):
+            mine, kept = _gather(data, start[some], size[some]), _gather(self.store, self.begins[code[some]], size[some])
+            same[some] = np.add.reduceat((mine != kept).astype(np.int64), np.cumsum(size[some]) - size[some]) == 0
+        return good & (same > 0)
+
     def encode(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts, each id's end in its text's bytes, and where each text's ids begin (one more entry)."""
         if not len(data):
@@ -286,7 +308,8 @@ class Encoder:
         full = offsets[:-1][np.diff(offsets) > 0]
         start = heads[np.flatnonzero(boundaries(points, np.searchsorted(heads, full)))]
         end = np.append(start[1:], len(data))
-        hashes = slice_hashes(prefix_sums(data), start, end)
+        size = end - start
+        hashes = slice_hashes(data, start, end)
         distinct, sample, code = np.unique(hashes, return_index=True, return_inverse=True)
         at = np.searchsorted(self.hashes, distinct)
         known = np.zeros(len(distinct), bool)
@@ -297,15 +320,15 @@ class Encoder:
             known[:] = False
         if not known.all():
             new = sample[~known]
-            ids, numbers = self._merged(data, start[new], end[new] - start[new])
-            firsts = len(self.ids) + np.cumsum(numbers) - numbers
+            place = self._add(data, start[new], size[new])
             hashes = np.concatenate([self.hashes, distinct[~known]])
-            at = np.concatenate([self.at, len(self.firsts) + np.arange(len(new))])
+            at = np.concatenate([self.at, place])
             order = np.argsort(hashes, kind="stable")
             self.hashes, self.at = hashes[order], at[order]
-            self.ids = np.concatenate([self.ids, ids])
-            self.firsts, self.lengths = np.concatenate([self.firsts, firsts]), np.concatenate([self.lengths, numbers])
         code = self.at[np.searchsorted(self.hashes, distinct)][code]
+        other = np.flatnonzero(~self._equal(data, start, size, code))
+        if len(other):  # another slice has this one's hash
+            code[other] = self._add(data, start[other], size[other])
         lengths = self.lengths[code]
         ids = _gather(self.ids, self.firsts[code], lengths)
         begins = np.concatenate([[0], np.cumsum(lengths)])[np.searchsorted(start, offsets)]
@@ -333,7 +356,8 @@ def _ranks_file(spark: SparkSession, ranks_path: str):
 def encode(df: DataFrame, ranks_path: str, text_col: str = "text", ids_col: str = "token_ids", ends_col: str = "token_ends") -> DataFrame:
     """df with token ids and each token's end offset in the text's UTF-8 bytes.
 
-    Null and empty texts give empty arrays. Columns of df named like the new ones are replaced.
+    Null and empty texts give empty arrays; repeated rows stay. Columns of df named like the new
+    ones are replaced, all others stay as they are.
     """
     lines = _ranks_file(df.sparkSession, ranks_path)
     keep = df.drop(ids_col, ends_col)
@@ -392,6 +416,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def digests(docs: DataFrame, ranks_path: str) -> DataFrame:
+    """doc_id, n_tokens and the digests of ids and decoded bytes of each row of docs (doc_id, text), null ids and repeated rows too."""
     coded = encode(docs, ranks_path).drop("text", "token_ends")
     coded = coded.select("doc_id", "token_ids", F.sha2(F.array_join("token_ids", " ").cast("binary"), 256).alias("ids_sha256"))
     back = decode(coded, ranks_path)

@@ -13,32 +13,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import steps, table, text_bytes
+from .shared import bounded_sample, held_out, steps, table, text_bytes
 
 UNDETERMINED = "und"
 LONGEST = 5
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
-def bounded_sample(rows: DataFrame, group: str, id_col: str, most: int) -> Column:
-    """A condition that at most `most` rows of each group meet: those of the smallest id hashes.
-
-    rows needs the two columns only. One row a group comes to the driver. (Rows that repeat an
-    id count as one.)
-    """
-    hashed = F.xxhash64(F.col(id_col).cast("string"))
-    ids = rows.select(group, hashed.alias("_hash")).where(F.col(group).isNotNull()).distinct()
-    rank = F.row_number().over(Window.partitionBy(group).orderBy("_hash"))
-    limits = ids.withColumn("_rank", rank).where(F.col("_rank") <= most).groupBy(group).agg(F.max("_hash").alias("_most")).collect()
-    chosen = F.lit(False)
-    for row in limits:
-        chosen = chosen | ((F.col(group) == F.lit(row[group])) & (hashed <= F.lit(row["_most"])))
-    return chosen
-
-
 @dataclass
 class Model:
     """Log frequencies: one row of `scores` for each known word or n-gram, one column a language."""
@@ -188,10 +172,6 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str
     return keep.mapInArrow(run, out)
 
 
-def held_out(id_col: str, folds: int, fold: int) -> Column:
-    return F.crc32(F.col(id_col).cast("string")) % folds == fold
-
-
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's language, by a model of the two folds that aren't held out."""
     docs = table(spark, sf_dir, "documents")

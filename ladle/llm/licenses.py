@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import LOWER_VALUES, mix, prefix_sums, slice_hashes, steps, table, text_bytes
+from .shared import lower, mix, slice_hashes, steps, table, text_bytes
 
 #: Fixed values: (identifier, license notice or reference in a document).
 TEMPLATES = [
@@ -89,7 +89,7 @@ def index(templates: list[tuple[str, str]]) -> Index:
         start, end, _ = word_bounds(data, np.array([0, len(data)]))
         if not 2 <= len(start) <= CLASSES[-1]:
             raise ValueError(f"a template has {len(start)} words: {text[:40]}")
-        sets.append(np.unique(_pairs(slice_hashes(prefix_sums(data, LOWER_VALUES), start, end))))
+        sets.append(np.unique(_pairs(slice_hashes(lower(data), start, end))))
         sizes.append(len(start))
     bands = {}
     for low, size in zip([0, *CLASSES], CLASSES):
@@ -107,7 +107,7 @@ def scan_batch(offsets: np.ndarray, data: np.ndarray, templates: Index, least: f
     start, end, first = word_bounds(data, offsets)
     if len(start) < 2:
         return out
-    pairs = np.append(_pairs(slice_hashes(prefix_sums(data, LOWER_VALUES), start, end)), np.uint64(0))
+    pairs = np.append(_pairs(slice_hashes(lower(data), start, end)), np.uint64(0))
     lasts = first[1:][np.diff(first) > 0] - 1  # a text's last word has no next one
     candidates: set[tuple[int, int, int, int]] = set()
     blocks = {}

@@ -1,14 +1,15 @@
 """Near-duplicates (operator 3): one-permutation MinHash with star-shaped candidates.
 
 One hash of each shingle fills the bins of a sketch; an empty bin borrows from the first
-non-empty bin in an order of its own (optimal densification). Bands of bins are bucket keys. A
-bucket with n sets gives n - 1 candidate pairs at most, one set with each other; they are
-confirmed on the full sets. A bucket that still holds several components gets further centres,
-until no pair of it stays unseen: all members outside its largest component where these are
-few; else the member with the most links so far (the original of many copies has them) and,
-from the next round on, some of the others, GROWTH times as many each round. So pairs grow with
-a bucket's members where these are alike; where they are not, a bound that never drops a pair
-of enough similarity, from bitmaps of the sets, spares most confirmations.
+non-empty bin in an order of its own (optimal densification). Bands of bins are bucket keys.
+Every two sets of a bucket end up linked through others, or compared:
+
+1. Stars: every set is compared with the hub of its fullest bucket, then, in the buckets that
+   hold several components still, with the hub of each. A bucket with n sets gives n - 1 pairs.
+2. In a bucket that still holds several components, the sets outside its largest one are
+   compared with all others: as pairs where they are few, else block by block in tasks, which
+   emit the links only. Nothing ends this early, and no pair is left out but by bounds that no
+   pair of enough similarity misses (sizes, and bitmaps of the sets).
 """
 
 from __future__ import annotations
@@ -18,15 +19,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import mix, shingle_sets, steps, table, text_bytes, written
+from ladle.operators.similarity import components
+
+from .shared import discard, mix, shingle_sets, steps, table, text_bytes, written
 
 #: A band of ROWS bins agrees with probability J^ROWS; of BANDS bands none does with (1 - J^ROWS)^BANDS: at J = 0.8 0.000003.
 ROWS, BANDS = 6, 42
 BINS = 256
-FEW, GROWTH = 4, 8
+#: Sets outside a bucket's largest component that are few enough for a pair with each other member.
+FEW = 4
+#: Sets, and shingles of them, that one side of a block comparison holds, about.
+BLOCK_SETS, BLOCK_SHINGLES = 512, 4_000_000
+#: Ids that are broadcast to fetch their texts; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
 #: Longs of a set's bitmap, whose bits are the leading 10 bits of its hashes.
 LONGS = 16
 
@@ -88,9 +96,15 @@ def _sketched(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, n long, same binary, bands array<long>, bits array<long>")
 
 
+def _texts_of(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """id and text of the documents that pairs (a, b) name, without a shuffle of the others where these are few."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    texts = docs.select("id", "text")
+    texts = _texts_of(pairs, docs)
     both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,22 +130,79 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> D
     return both.mapInArrow(run, "a long, b long")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(id, component): for every id in links (a, b) the smallest id that it is connected with.
+def _sets(docs: DataFrame, width: int) -> DataFrame:
+    """id and the sorted shingle hashes (as bytes) of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            offsets, data = text_bytes(batch.column(1))
+            for s, e in steps(offsets):
+                sets = shingle_sets(data[offsets[s] : offsets[e]], offsets[s : e + 1] - offsets[s], width)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s, e - s), pa.array([x.tobytes() for x in sets], pa.binary())], names=["id", "hashes"])
+
+    return docs.select("id", "text").mapInArrow(run, "id long, hashes binary")
+
+
+def common_counts(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of all left and right sets, as products of 0/1 matrices over `columns` shingles at a time."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    if not left or not right:
+        return out
+    x, y = np.concatenate(left), np.concatenate(right)
+    shared = np.intersect1d(x, y)
+    rows = []
+    for values, sets in ((x, left), (y, right)):
+        of = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.minimum(np.searchsorted(shared, values), max(len(shared) - 1, 0))
+        some = shared[at] == values if len(shared) else np.zeros(len(values), bool)
+        order = np.argsort(at[some], kind="stable")
+        rows.append((of[some][order], at[some][order]))
+    for low in range(0, len(shared), columns):
+        width = min(columns, len(shared) - low)
+        parts = []
+        for (of, at), n in zip(rows, (len(left), len(right))):
+            a, b = np.searchsorted(at, [low, low + width])
+            part = np.zeros((n, width), np.float32)
+            part[of[a:b], at[a:b] - low] = 1
+            parts.append(part)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def _block_links(rest: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links of rest (bucket, id, n, component, outer, members, shingles): each outer member with all members of other components.
 
-    Labels spread to neighbours and then jump to their own label's label, until none changes.
+    A bucket's members are dealt into blocks by a hash; every block of outer ones meets every
+    block of members in a group of its own.
     """
-    both = written(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("a")).alias("component")))
-    while True:
-        near = both.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
-        lower = labels.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "near").alias("component"))
-        jump = labels.select(F.col("id").alias("component"), F.col("component").alias("further"))
-        new = written(lower.join(jump, "component", "left").select("id", "old", F.least("component", F.coalesce("further", "component")).alias("component")))
-        changed = new.where(F.col("old") != F.col("component")).limit(1).count()
-        labels = new.select("id", "component")
-        if not changed:
-            return labels
+    ids = rest.select(F.col("id").alias("a"), F.col("id").alias("b"))
+    full = written(rest.join(_sets(_texts_of(ids, docs), width), "id"))
+    blocks = F.ceil(F.greatest(F.col("members") / BLOCK_SETS, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    dealt = full.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    key = ["bucket", "l", "r"]
+    left = dealt.where("outer").select("bucket", F.col("own").alias("l"), other.alias("r"), "id", "component", "hashes").groupBy(*key)
+    right = dealt.select("bucket", F.col("own").alias("r"), other.alias("l"), "id", "component", "hashes").groupBy(*key)
+
+    def compare(a: pa.Table, b: pa.Table) -> pa.Table:
+        (ids_a, part_a, sets_a), (ids_b, part_b, sets_b) = (
+            (t["id"].to_numpy(), t["component"].to_numpy(), [np.frombuffer(x, np.uint64) for x in t["hashes"].to_pylist()]) for t in (a, b)
+        )
+        common = common_counts(sets_a, sets_b)
+        total = np.array([len(s) for s in sets_a])[:, None] + np.array([len(s) for s in sets_b])[None, :]
+        i, j = np.nonzero((100 * common >= percent * (total - common)) & (part_a[:, None] != part_b[None, :]))
+        return pa.table({"a": pa.array(np.minimum(ids_a[i], ids_b[j]), pa.int64()), "b": pa.array(np.maximum(ids_a[i], ids_b[j]), pa.int64())})
+
+    return left.cogroup(right).applyInArrow(compare, "a long, b long").distinct()
+
+
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (id, component) after further links (a, b): only the components that these join are worked on."""
+    of = labels.select(F.col("id").alias("a"), F.col("component").alias("x"))
+    ends = links.join(of, "a", "left").select("b", F.coalesce("x", "a").alias("x")).join(of.select(F.col("a").alias("b"), F.col("x").alias("y")), "b", "left").select(F.col("x").alias("a"), F.coalesce("y", "b").alias("b"))
+    lower = components(ends.where("a <> b"))
+    moved = labels.join(lower.select(F.col("id").alias("component"), F.col("component").alias("lowest")), "component", "left").select("id", F.coalesce("lowest", "component").alias("component"))
+    return written(moved.union(lower.join(labels, "id", "left_anti").select("id", "component")))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -139,9 +210,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Rows are linked when their sets of `width`-word shingles (A-Z as a-z; with fewer words the
     whole sequence as one) have a Jaccard similarity of percent / 100 or more. component_id is
-    the smallest id reachable, kept says that it is the row's own. Null and empty texts have no
-    shingles and no links; a row with a null id has no links, a null component and is kept; the
-    texts of rows that repeat an id count as one document's.
+    the smallest id reachable, kept says that it is the row's own. Sets are compared whole, by
+    64-bit hashes of their shingles.
+
+    Null and empty texts have no shingles and no links; a row with a null id has no links, a
+    null component and is kept; the texts of rows that repeat an id count as one document's.
+    Other columns of docs are not looked at, whatever their names.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = written(_sketched(docs, width))
@@ -152,61 +226,61 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     copies = linked.select("same", "id").join(distinct.where("rows > 1").select("same", F.col("id").alias("first")), "same").where(F.col("id") != F.col("first")).select(F.col("first").alias("a"), F.col("id").alias("b"))
 
     banded = distinct.select("id", "n", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.count("*").alias("sets")).where("sets > 1")
-    members = written(banded.join(shared, "bucket"))  # buckets of one set are gone
-    # How many sets a set meets in its buckets: the original of many copies meets the most. First each set meets
-    # the most met one of its fullest bucket only; that links most copies and leaves few pairs to the other buckets.
-    own = members.groupBy("id").agg(F.sum("sets").alias("met"), F.max(F.struct("sets", "bucket")).alias("fullest"))
-    members = written(members.join(own, "id").select("bucket", "id", "n", "met", (F.col("fullest.bucket") == F.col("bucket")).alias("is_fullest")))
-    sizes = distinct.select("id", "n")
-    hubs = members.groupBy("bucket").agg(F.max(F.struct("met", F.negative("id").alias("id"), "n")).alias("hub"))
-    centres = hubs.select("bucket", F.negative("hub.id").alias("a"), F.col("hub.n").alias("n_a"), F.negative("hub.id").alias("component_a"))
-    against = members.where("is_fullest").select("bucket", "id", "n", F.col("id").alias("component"))
-    alike = (F.col("id") != F.col("a")) & (F.col("component") != F.col("component_a")) & (F.lit(100) * F.least("n", "n_a") >= F.lit(percent) * F.greatest("n", "n_a"))
+    several = banded.groupBy("bucket").agg(F.count("*").alias("sets")).where("sets > 1")
+    crowded = written(banded.join(several, "bucket"))  # buckets of one set are gone
+    # How many sets a set meets in its buckets: the original of many copies meets the most, which makes it the hub.
+    own = crowded.groupBy("id").agg(F.sum("sets").alias("met"), F.max(F.struct("sets", "bucket")).alias("fullest"))
+    members = written(crowded.join(own, "id").select("bucket", "id", "n", "met", (F.col("fullest.bucket") == F.col("bucket")).alias("is_fullest")))
+    discard(crowded)
+
+    def alike(n: Column, m: Column) -> Column:
+        return F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m)
+
     # A part of the hash range that only one of two sets reaches has a shingle that only this one has.
     apart = sum((F.bit_count(F.col("bits")[k].bitwiseXOR(F.col("bits_a")[k])) for k in range(LONGS)), F.lit(0))
-    near = F.lit(100 + percent) * (F.col("n") + F.col("n_a") - apart) >= F.lit(2 * percent) * (F.col("n") + F.col("n_a"))
-    used = links = tried = None
-    few, others = FEW, 0
-    while True:
-        pairs = against.join(centres, "bucket").where(alike).select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = written(pairs)
-        found = written(_confirmed(pairs, docs, width, percent).distinct())
-        tried = pairs if tried is None else tried.union(pairs)
-        if links is None or found.limit(1).count():
-            links = found if links is None else links.union(found)
-            labels = components(links)
-        # The buckets that still hold several components, with each member's links so far. Components only grow, so no other bucket comes back.
-        marked = members.select("bucket", "id", "n", "met") if used is None else against.select("bucket", "id", "n", "met", "bits")
-        marked = marked.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    near = alike(F.col("n"), F.col("n_a")) & (F.lit(100 + percent) * (F.col("n") + F.col("n_a") - apart) >= F.lit(2 * percent) * (F.col("n") + F.col("n_a")))
+    as_pair = (F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
+
+    # Stars, by the fullest bucket of each set.
+    hubs = members.groupBy("bucket").agg(F.max(F.struct("met", F.negative("id").alias("id"), "n")).alias("hub")).select("bucket", F.negative("hub.id").alias("a"), F.col("hub.n").alias("n_a"))
+    star = members.where("is_fullest").join(hubs, "bucket").where((F.col("id") != F.col("a")) & alike(F.col("n"), F.col("n_a")))
+    tried = written(star.select(*as_pair).distinct())
+    labels = components(_confirmed(tried, docs, width, percent))
+
+    def still_open(of: DataFrame, columns: list[str]) -> DataFrame:
+        """Members of the buckets that hold several components, with these."""
+        marked = of.select("bucket", "id", *columns).join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
         split = marked.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-        if used is not None:  # nor does one that had no centres left
-            split = split.join(centres.select("bucket").distinct(), "bucket", "left_semi")
-        degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
-        marked = marked.join(split, "bucket").join(degree, "id", "left")
-        if used is None:
-            marked = marked.join(distinct.select("id", "n", "bits"), ["id", "n"])
-            alike = alike & near
-        against = written(marked.select("bucket", "id", "n", "met", "bits", "component", F.coalesce("links", F.lit(0)).alias("links")))
-        unused = against if used is None else written(against.join(used, ["bucket", "id"], "left_anti"))
-        parts = unused.groupBy("bucket", "component").agg(F.count("*").alias("size"))
-        open_ = parts.groupBy("bucket").agg(F.max(F.struct("size", F.negative("component").alias("component"))).alias("top"), F.sum("size").alias("all"))
-        open_ = open_.select("bucket", F.negative("top.component").alias("largest"), (F.col("all") - F.col("top.size")).alias("outside")).where("outside > 0")
-        hubs = unused.groupBy("bucket").agg(F.max(F.struct("links", "met", F.negative("id").alias("id"))).alias("hub")).select("bucket", F.negative("hub.id").alias("hub"))
-        # Where not all members outside the largest component have their turn, the best linked one does, and others by their hash.
-        outer = (F.col("component") != F.col("largest")) & ((F.col("outside") <= few) | (F.pmod(F.xxhash64("id", "bucket"), F.col("outside")) < others))
-        turn = outer | ((F.col("outside") > few) & (F.col("id") == F.col("hub")))
-        centres = unused.join(open_.join(hubs, "bucket"), "bucket").where(turn)
-        centres = written(centres.select("bucket", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"), F.col("component").alias("component_a")))
-        if not centres.limit(1).count():
-            break
-        mine = centres.select("bucket", F.col("a").alias("id")).distinct()
-        used = mine if used is None else used.union(mine)
-        few = others = few * GROWTH
+        return marked.join(split, "bucket", "left_semi")
+
+    # Stars in all buckets that are open.
+    left = written(still_open(members, ["n", "met"]).join(distinct.select("id", "bits"), "id"))
+    discard(members)
+    hubs = left.groupBy("bucket").agg(F.max(F.struct("met", F.negative("id").alias("id"), "n", "component", "bits")).alias("hub")).select("bucket", F.negative("hub.id").alias("a"), F.col("hub.n").alias("n_a"), F.col("hub.component").alias("part"), F.col("hub.bits").alias("bits_a"))
+    star = left.join(hubs, "bucket").where((F.col("component") != F.col("part")) & near)
+    pairs = written(star.select(*as_pair).distinct().join(tried, ["a", "b"], "left_anti"))
+    labels = _joined(labels, _confirmed(pairs, docs, width, percent))
+    tried = tried.union(pairs)
+
+    # What is left in open buckets: all that are outside the largest component against all.
+    marked = written(still_open(left, ["n", "bits"]))
+    discard(left)
+    parts = marked.groupBy("bucket", "component").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"))
+    counts = parts.groupBy("bucket").agg(F.max(F.struct("size", F.negative("component").alias("component"))).alias("top"), F.sum("size").alias("members"), F.sum("shingles").alias("shingles"))
+    counts = counts.select("bucket", F.negative("top.component").alias("largest"), "members", "shingles", (F.col("members") - F.col("top.size")).alias("outside"))
+    rest = written(marked.join(counts, "bucket").withColumn("outer", F.col("component") != F.col("largest")).drop("largest"))
+    few = rest.where(F.col("outside") <= FEW)
+    centres = few.where("outer").select("bucket", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("part"), F.col("bits").alias("bits_a"))
+    pairs = few.join(centres, "bucket").where((F.col("component") != F.col("part")) & near)
+    pairs = written(pairs.select(*as_pair).distinct().join(tried, ["a", "b"], "left_anti"))
+    found = _confirmed(pairs, docs, width, percent)
+    many = rest.where(F.col("outside") > FEW).select("bucket", "id", "n", "component", "outer", "members", "shingles")
+    if many.limit(1).count():
+        found = found.union(_block_links(many, docs, width, percent))
+    labels = _joined(labels, found)
+
     # Copies of a set go where its smallest id goes.
-    of_sets = sizes.join(labels, "id", "left").select(F.col("id").alias("first"), F.coalesce("component", "id").alias("component"))
+    of_sets = distinct.select("id").join(labels, "id", "left").select(F.col("id").alias("first"), F.coalesce("component", "id").alias("component"))
     of_copies = copies.join(of_sets, copies["a"] == of_sets["first"]).select(F.col("b").alias("id"), "component")
     every = labels.union(of_copies).groupBy("id").agg(F.min("component").alias("component"))
     out = rows.select("id", "n").join(every, "id", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))

@@ -16,8 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .langid import held_out
-from .shared import slice_hashes, prefix_sums, steps, table, text_bytes, words_of, written
+from .shared import discard, held_out, slice_hashes, steps, table, text_bytes, words_of, written
 
 STATS = ["log_bytes", "log_words", "word_length", "word_length_spread", "letters", "upper", "digits", "spaces", "stops", "exclamations", "symbols", "beyond_ascii", "words_distinct", "words_repeated", "lines_distinct", "line_words", "line_end_stops"]
 BINS = 2000
@@ -53,8 +52,7 @@ def statistics(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
 
     letters, upper, digits, spaces, stops, shouts, symbols, far = (per_text((kinds >> i) & 1).astype(float) for i in range(8))
     start, end, first = words_of(data, offsets)
-    sums = prefix_sums(data)
-    hashes = slice_hashes(sums, start, end)
+    hashes = slice_hashes(data, start, end)
     length = (end - start).astype(float)
     count = np.diff(first).astype(float)
 
@@ -77,7 +75,7 @@ def statistics(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
     line_start = np.flatnonzero(begins[:-1])
     line_end = np.append(line_start[1:], len(data))
     line_owner = np.searchsorted(offsets, line_start, "right") - 1
-    line_hash = slice_hashes(sums, line_start, line_end)
+    line_hash = slice_hashes(data, line_start, line_end)
     order = np.lexsort((line_hash, line_owner))
     same = np.concatenate([[False], (line_hash[order][1:] == line_hash[order][:-1]) & (line_owner[order][1:] == line_owner[order][:-1])])
     lines = np.bincount(line_owner, minlength=n).astype(float)

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ladle.sources.scratch import discard, written
+
+__all__ = ["bounded_batches", "bounded_sample", "discard", "held_out", "lower", "mix", "shingle_sets", "slice_hashes", "steps", "table", "text_bytes", "words_of", "written"]
 
 #: Bytes of text that one vectorised step works on; longer documents are a step of their own.
 STEP_BYTES = 1 << 20
@@ -19,7 +23,11 @@ BATCH_ROWS = 1000
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Texts go to Python in smaller batches than Spark's 10,000 rows, which bounds memory on both sides."""
+    """Texts go to Python in smaller batches than Spark's 10,000 rows, which bounds memory on both sides.
+
+    The session keeps the setting, as a query runs after its function has returned; only the
+    registered queries and the pipeline set it, the operators leave it alone.
+    """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
         spark.conf.set(name, BATCH_ROWS)
@@ -30,26 +38,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a local one only if unset, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    found = spark.sparkContext.getCheckpointDir()
-    if found is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ladle-"))
-        found = spark.sparkContext.getCheckpointDir()
-    return found
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/ladle-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Offsets (int64, from 0) and UTF-8 bytes of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -73,11 +61,44 @@ def steps(offsets: np.ndarray, limit: int = STEP_BYTES) -> Iterator[tuple[int, i
         a = b
 
 
+# --- samples and folds -----------------------------------------------------------------------
+
+
+def held_out(id_col: str, folds: int, fold: int) -> Column:
+    return F.crc32(F.col(id_col).cast("string")) % folds == fold
+
+
+def bounded_sample(rows: DataFrame, group: str, id_col: str, most: int) -> Column:
+    """A condition that at most `most` ids of each group meet: those of the smallest id hashes.
+
+    rows needs the two columns only. Hashes are spread evenly, so the smallest `most` lie in the
+    lowest share 2 * most / count of their range but for a negligible chance; only that share is
+    ranked, about 2 * most rows a group however large the groups are. Two rows a group come to
+    the driver.
+    """
+    hashed = F.xxhash64(F.col(id_col).cast("string"))
+    ids = rows.select(group, hashed.alias("hash")).where(F.col(group).isNotNull())
+    low = F.lit(False)
+    for row in ids.groupBy(group).agg(F.count("*").alias("n")).collect():
+        share = min(1.0, (2 * most + 200) / row["n"])
+        low = low | ((F.col(group) == F.lit(row[group])) & (F.col("hash") <= F.lit(int(-(2.0**63) + share * (2.0**64 - 2048)))))
+    rank = F.row_number().over(Window.partitionBy(group).orderBy("hash"))
+    limits = ids.where(low).distinct().withColumn("rank", rank).where(F.col("rank") <= most).groupBy(group).agg(F.max("hash").alias("most")).collect()
+    chosen = F.lit(False)
+    for row in limits:
+        chosen = chosen | ((F.col(group) == F.lit(row[group])) & (hashed <= F.lit(row["most"])))
+    return chosen
+
+
 # --- 64-bit hashes ---------------------------------------------------------------------------
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
-_BASE = 0xD1342543DE82EF95
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Longer slices are hashed by BLAKE2.
+LONG_SLICE = 256
+#: Masks that keep the first k bytes of a lane of 8.
+_FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -87,38 +108,40 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * _GOLD)
-#: The same with A-Z as a-z.
-LOWER_VALUES = BYTE_VALUES.copy()
-LOWER_VALUES[65:91] = BYTE_VALUES[97:123]
+def lower(data: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z as a-z."""
+    return _LOWER[data]
 
-_powers: dict[str, np.ndarray] = {}
 
+def lanes(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on as one number (zeros behind the end); one more entry than data."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), np.dtype("<u8"), padded, 0, (1,))
 
-def _power(kind: str, n: int) -> np.ndarray:
-    have = _powers.get(kind)
-    if have is None or len(have) < n:
-        size = max(n, 2 * STEP_BYTES + 1)
-        have = np.full(size, _BASE if kind == "up" else _INVERSE, np.uint64)
-        have[0] = 1
-        have = np.cumprod(have, dtype=np.uint64)
-        if size <= 8 * STEP_BYTES:  # kept, but not those of a very long text
-            _powers[kind] = have
-    return have[:n]
 
+def slice_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of data[start:end], equal for equal slices wherever they stand.
 
-def prefix_sums(data: np.ndarray, values: np.ndarray = BYTE_VALUES) -> np.ndarray:
-    """Sums by which slice_hashes gives the hash of any slice of data."""
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(values[data] * _power("up", len(data)), out=out[1:], dtype=np.uint64)
+    Lanes of 8 bytes are taken in one after the other, each followed by a bijection that no
+    product or sum of lanes passes through, so that no structure of a text makes hashes meet;
+    two different slices do with a chance of 2^-64. Slices over LONG_SLICE bytes take BLAKE2.
+    """
+    size = end - start
+    at = lanes(data)
+    out = mix((size.astype(np.uint64) + np.uint64(1)) * _GOLD)
+    here = np.flatnonzero((size > 0) & (size <= LONG_SLICE))
+    done = 0
+    while len(here):
+        left = size[here] - done
+        lane = at[start[here] + done] & _FIRST_BYTES[np.minimum(left, 8)]
+        out[here] = mix(out[here] ^ (lane * np.uint64(0xD1342543DE82EF95))) + _GOLD
+        done += 8
+        here = here[left > 8]
+    for i in np.flatnonzero(size > LONG_SLICE).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
     return out
 
 
-def slice_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of data[start:end], equal for equal slices wherever they stand."""
-    return mix((sums[end] - sums[start]) * _power("down", len(sums))[start] + (end - start).astype(np.uint64))
-
-
 def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends, and for each row the first word's index (one more entry at the end).
 
@@ -145,7 +168,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.n
     start, end, first = words_of(data, offsets)
     if not len(start):
         return [np.zeros(0, np.uint64)] * (len(offsets) - 1)
-    words = slice_hashes(prefix_sums(data, LOWER_VALUES), start, end)
+    words = slice_hashes(lower(data), start, end)
     n = max(len(words) - width + 1, 0)
     rolled = words[:n].copy()
     for j in range(1, width):

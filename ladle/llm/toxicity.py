@@ -21,8 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .langid import bounded_sample, held_out
-from .shared import steps, table, text_bytes
+from .shared import bounded_sample, held_out, steps, table, text_bytes, written
 
 _WORDS = re.compile(r"\w+")
 SHORTEST_STEM, LONGEST_STEM = 3, 7
