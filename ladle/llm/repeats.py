@@ -9,6 +9,8 @@ a repeat is possible:
    a context that a smaller document has too is covered whole. Contexts that share an anchor and
    the bytes of one side of it may share windows; they are asked for.
 2. The windows of the contexts asked for are dealt by their own hash and sorted likewise.
+   Both kinds are dealt by ranges of hashes, as many as the input asks for; Spark sorts the
+   ranges of a partition, and a task judges one range after the other.
 3. Covered windows go back to their documents, which drop the covered bytes.
 
 Equal strings have equal anchors, so no repeat is missed. Within a task, a context or window
@@ -32,13 +34,16 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import mix, prefix_sums, slice_hashes, steps, table, text_bytes, written
+from .shared import lanes, mix, slice_hashes, steps, table, text_bytes, written
 
 KMER = 12
 #: Entries that a task gathers before it sorts and sends them.
 GATHERED = 500_000
 #: A k-mer with more contexts than this in one task: all its contexts are asked for.
 CROWDED = 1000
+#: Entries that one range of hashes holds, about; a task judges one range after the other. HELD: entries at which it sheds those
+#: that are settled already.
+RANGE, HELD = 500_000, 2_000_000
 COVERED, ASKED = 0, 1
 
 
@@ -76,6 +81,15 @@ def _bounded_min(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def _kmers(data: np.ndarray) -> np.ndarray:
+    """A hash of the KMER bytes from each place on; it deals and groups, equality is judged by others."""
+    at = lanes(data)
+    n = len(data) - KMER + 1
+    x = at[:n] * np.uint64(0xD1342543DE82EF95) + (at[8 : 8 + n] & np.uint64(0xFFFFFFFF)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
 def contexts(data: np.ndarray, offsets: np.ndarray, length: int) -> dict[str, np.ndarray]:
     """The contexts of texts of at least `length` bytes: row, first window (from the text's begin), windows, and hashes.
 
@@ -83,17 +97,16 @@ def contexts(data: np.ndarray, offsets: np.ndarray, length: int) -> dict[str, np
     of what a window needs besides it on one side (a shared window agrees on one of them).
     """
     side = -(-(length - KMER) // 2)
-    sums = prefix_sums(data)
-    at = np.arange(max(len(data) - KMER + 1, 0))
-    hashes = slice_hashes(sums, at, at + KMER)
-    values = (hashes & np.uint64((1 << 64) - (1 << 32))) | at.astype(np.uint64)
     size = np.diff(offsets)
-    if len(values) < length - KMER + 1:
-        lowest = np.zeros(0, np.int64)
-    else:
-        lowest = (_bounded_min(values, length - KMER + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    owner = np.repeat(np.arange(len(size)), np.maximum(size - length + 1, 0))
-    window = np.arange(len(owner)) - np.repeat(np.cumsum(np.maximum(size - length + 1, 0)) - np.maximum(size - length + 1, 0), np.maximum(size - length + 1, 0)) + offsets[owner]
+    windows = np.maximum(size - length + 1, 0)
+    if not windows.any():
+        none = np.zeros(0, np.int64)
+        return {"row": none, "first": none, "number": none} | dict.fromkeys(["kmer", "whole", "left", "right"], np.zeros(0, np.uint64))
+    hashes = _kmers(data)
+    values = (hashes & np.uint64((1 << 64) - (1 << 32))) | np.arange(len(hashes), dtype=np.uint64)
+    lowest = (_bounded_min(values, length - KMER + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    owner = np.repeat(np.arange(len(size)), windows)
+    window = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows) + offsets[owner]
     lowest = lowest[window]
     new = np.ones(len(owner), bool)
     new[1:] = (owner[1:] != owner[:-1]) | (lowest[1:] != lowest[:-1])
@@ -102,20 +115,28 @@ def contexts(data: np.ndarray, offsets: np.ndarray, length: int) -> dict[str, np
     row, start, anchor = owner[first], window[first], lowest[first]
     low = np.maximum(anchor - side, offsets[row])
     high = np.minimum(anchor + KMER + side, offsets[row + 1])
-    return {"row": row, "first": start - offsets[row], "number": number, "kmer": mix(hashes[anchor]), "whole": slice_hashes(sums, start, start + number + length - 1), "left": slice_hashes(sums, low, anchor + KMER), "right": slice_hashes(sums, anchor, high)}
+    return {"row": row, "first": start - offsets[row], "number": number, "kmer": mix(hashes[anchor]), "whole": slice_hashes(data, start, start + number + length - 1) >> np.uint64(24), "left": slice_hashes(data, low, anchor + KMER), "right": slice_hashes(data, anchor, high)}
+
+
+def window_hashes(data: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """64 and 32 bits more of a hash of data[start : start + length]."""
+    a = slice_hashes(data, start, start + length // 2)
+    b = slice_hashes(data, start + length // 2, start + length)
+    return mix(a + b * np.uint64(0x9E3779B97F4A7C15)), ((a * np.uint64(0xD1342543DE82EF95) ^ b) >> np.uint64(32)).astype(np.uint32)
 
 
-def _parts(keys: np.ndarray, count: int) -> np.ndarray:
-    """Partition of each key: by its high bits, so that sorted keys lie in order of partition."""
-    return ((keys >> np.uint64(40)) * np.uint64(count) >> np.uint64(24)).astype(np.int64)
+def _ranges(keys: np.ndarray, count: int) -> np.ndarray:
+    """Range of each key: by its high bits, so that sorted keys lie in order of range."""
+    return ((keys >> np.uint64(32)) * np.uint64(count) >> np.uint64(32)).astype(np.int64)
 
 
-_BLOBS = "part int, blob binary"
-_CODES = "row_key long, first int, number int, kind int"
+_BLOBS = "range int, blob binary"
+#: doc and copy (a hash of the text, which tells rows apart that repeat an id) name a row.
+_CODES = "doc long, copy int, first int, number int, kind int"
 
 
-def _codes(rows: np.ndarray, first: np.ndarray, number: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(first, pa.int32()), pa.array(number, pa.int32()), pa.array(kind, pa.int32())], names=["row_key", "first", "number", "kind"])
+def _codes(doc: np.ndarray, copy: np.ndarray, first: np.ndarray, number: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), *(pa.array(x.astype(np.int32), pa.int32()) for x in (copy, first, number, kind))], names=["doc", "copy", "first", "number", "kind"])
 
 
 def _shared_elsewhere(key: np.ndarray, doc: np.ndarray, whole: np.ndarray) -> np.ndarray:
@@ -132,125 +153,146 @@ def _shared_elsewhere(key: np.ndarray, doc: np.ndarray, whole: np.ndarray) -> np
     return out
 
 
-def _above_first(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Entries whose key also belongs to a smaller document."""
-    order = np.lexsort((doc, key))
-    k, d = key[order], doc[order]
-    begin = np.append(True, k[1:] != k[:-1])
-    lowest = d[begin][np.cumsum(begin) - 1]
+def _above_first(high: np.ndarray, low: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Entries whose key (high, low) also belongs to a smaller document."""
+    order = np.lexsort((doc, low, high))
+    h, k, d = high[order], low[order], doc[order]
+    begin = np.append(True, (h[1:] != h[:-1]) | (k[1:] != k[:-1]))[: len(h)]
+    lowest = d[begin][np.cumsum(begin) - 1] if len(d) else d
     out = np.zeros(len(k), bool)
     out[order] = d > lowest
     return out
 
 
-def _send_contexts(texts: DataFrame, length: int, parts: int) -> DataFrame:
+def _joined(parts: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+    """Arrays by name, one after the other; parts is left empty."""
+    out = {k: np.concatenate([p.pop(k) for p in parts]) for k in list(parts[0])} if parts else {}
+    parts.clear()
+    return out
+
+
+def _blobs(ranges: list[int], blobs: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(ranges, pa.int32()), pa.array(blobs, pa.binary())], names=["range", "blob"])
+
+
+def _send_contexts(texts: DataFrame, length: int, count: int) -> DataFrame:
+    """texts: doc, copy, text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gathered: list[dict[str, np.ndarray]] = []
 
-        def out() -> pa.RecordBatch:
-            e = {k: np.concatenate([g.pop(k) for g in gathered]) for k in list(gathered[0])}
-            gathered.clear()
-            known = _above_first(e["whole"] ^ mix(e["kmer"]), e["doc"])
-            kmers, at, count = np.unique(e["kmer"], return_inverse=True, return_counts=True)
-            crowded = count > CROWDED
+        def out() -> Iterator[pa.RecordBatch]:
+            e = _joined(gathered)
+            known = _above_first(e["kmer"], e["whole"], e["doc"])
+            kmers, at, number = np.unique(e["kmer"], return_inverse=True, return_counts=True)
+            crowded = number > CROWDED
             asked = crowded[at] & ~known
-            sent = ~known & ~asked
-            blobs = []
             order = np.argsort(e["kmer"], kind="stable")
-            bounds = np.searchsorted(_parts(e["kmer"][order], parts), np.arange(parts + 1))
             wild = kmers[crowded]
-            wild_bounds = np.searchsorted(_parts(wild, parts), np.arange(parts + 1))
-            for p in range(parts):
-                i = order[bounds[p] : bounds[p + 1]]
-                w = wild[wild_bounds[p] : wild_bounds[p + 1]]
-                if not len(i) and not len(w):
-                    continue
-                s, k, a = i[sent[i]], i[known[i]], i[asked[i]]
-                rows, row = np.unique(np.concatenate([e["key"][s], e["key"][k], e["key"][a]]), return_inverse=True)
-                docs = np.zeros(len(rows), np.int64)
-                docs[row] = np.concatenate([e["doc"][s], e["doc"][k], e["doc"][a]])
+            bounds, wild_bounds = (np.searchsorted(_ranges(keys, count), np.arange(count + 1)) for keys in (e["kmer"][order], wild))
+            for r in np.flatnonzero((np.diff(bounds) > 0) | (np.diff(wild_bounds) > 0)).tolist():
+                i = order[bounds[r] : bounds[r + 1]]
+                s, k, a = i[~known[i] & ~asked[i]], i[known[i]], i[asked[i]]
                 both = np.concatenate([s, k, a])
-                blobs.append((p, pack(n=np.array([len(s), len(k), len(a)]), kmer=_low_planes(e["kmer"][s], 8), whole=_low_planes(e["whole"][s], 5), left=e["left"][s].astype(np.uint16), right=e["right"][s].astype(np.uint16), rows=rows, docs=docs, row=row.astype(np.uint32 if len(rows) > 65535 else np.uint16), first=e["first"][both].astype(np.uint32), number=e["number"][both].astype(np.uint8 if length < 267 else np.uint32), wild=w)))
-            return pa.RecordBatch.from_arrays([pa.array([p for p, _ in blobs], pa.int32()), pa.array([b for _, b in blobs], pa.binary())], names=["part", "blob"])
+                _, some, row = np.unique(e["text"][both], return_index=True, return_inverse=True)
+                some = both[some]
+                yield _blobs([r], [pack(n=np.array([len(s), len(k), len(a)]), kmer=_low_planes(e["kmer"][s], 8), whole=_low_planes(e["whole"][s], 5), left=e["left"][s].astype(np.uint16), right=e["right"][s].astype(np.uint16), docs=e["doc"][some], copies=e["copy"][some], row=row.astype(np.uint32 if len(some) > 65535 else np.uint16), first=e["first"][both].astype(np.uint32), number=e["number"][both].astype(np.uint8 if length < 267 else np.uint32), wild=wild[wild_bounds[r] : wild_bounds[r + 1]])])
 
+        texts_seen = 0
         for batch in batches:
-            keys, docs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            docs, copies = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             offsets, data = text_bytes(batch.column(2))
             for a, b in steps(offsets, 1 << 19):
                 found = contexts(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], length)
                 row = found.pop("row") + a
-                gathered.append(found | {"key": keys[row], "doc": docs[row]})
-                if sum(len(g["key"]) for g in gathered) > GATHERED:
-                    yield out()
+                gathered.append(found | {"doc": docs[row], "copy": copies[row], "text": row + texts_seen})
+                if sum(len(g["doc"]) for g in gathered) > GATHERED:
+                    yield from out()
+            texts_seen += batch.num_rows
         if gathered:
-            yield out()
+            yield from out()
 
     return texts.mapInArrow(run, _BLOBS)
 
 
 def _judge_contexts(blobs: DataFrame) -> DataFrame:
+    """Codes of the contexts that are covered or asked for. blobs come range by range."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[dict[str, np.ndarray]] = []
-        wild: list[np.ndarray] = []
+        wild = np.zeros(0, np.uint64)
+        here = -1
+
+        def coded(e: dict[str, np.ndarray], some: np.ndarray, kind: int) -> pa.RecordBatch:
+            return _codes(e["doc"][some], e["copy"][some], e["first"][some], e["number"][some], np.full(int(some.sum()), kind))
+
+        def shed() -> Iterator[pa.RecordBatch]:
+            """Settles what can't change any more: covered contexts, and those of k-mers with very many contexts."""
+            nonlocal wild
+            e = _joined(found)
+            covered = _above_first(e["kmer"], e["whole"], e["doc"])
+            kmers, number = np.unique(e["kmer"][~covered], return_counts=True)
+            wild = np.union1d(wild, kmers[number > 100 * CROWDED])
+            asked = np.isin(e["kmer"], wild) & ~covered
+            yield coded(e, covered, COVERED)
+            yield coded(e, asked, ASKED)
+            found.append({k: x[~covered & ~asked] for k, x in e.items()})
+
+        def finish() -> Iterator[pa.RecordBatch]:
+            e = _joined(found)
+            if e and len(e["doc"]):
+                covered = _above_first(e["kmer"], e["whole"], e["doc"])
+                base = mix(e["kmer"])
+                asked = np.isin(e["kmer"], wild)
+                for side, salt in (("left", 1), ("right", 2)):
+                    asked |= _shared_elsewhere(base ^ mix(e[side].astype(np.uint64) + np.uint64(salt << 20)), e["doc"], e["whole"])
+                yield coded(e, covered, COVERED)
+                yield coded(e, asked & ~covered, ASKED)
+
         for batch in batches:
-            for blob in batch.column(0).to_pylist():
-                x = unpack(blob)
+            for r, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if r != here:
+                    yield from finish()
+                    here, wild = r, np.zeros(0, np.uint64)
+                x = unpack(blob.as_py())
                 n, k, a = x["n"].tolist()
-                row = x["row"]
-                first, number = x["first"], x["number"]
+                doc, copy, first, number = x["docs"][x["row"]], x["copies"][x["row"]], x["first"], x["number"]
                 if k + a:
-                    kind = np.repeat([COVERED, ASKED], [k, a])
-                    yield _codes(x["rows"][row[n:]], first[n:].astype(np.int64), number[n:], kind)
-                wild.append(x["wild"])
-                found.append({"kmer": _from_planes(x["kmer"]), "whole": _from_planes(x["whole"]), "left": x["left"], "right": x["right"], "key": x["rows"][row[:n]], "doc": x["docs"][row[:n]], "first": first[:n], "number": number[:n]})
-        if not found:
-            return
-        e = {k: np.concatenate([f.pop(k) for f in found]) for k in list(found[0])}
-        found.clear()
-        if not len(e["key"]):
-            return
-        base = mix(e["kmer"])
-        covered = _above_first(base ^ mix(e["whole"]), e["doc"])
-        asked = np.isin(e["kmer"], np.concatenate(wild))
-        for side, salt in (("left", 1), ("right", 2)):
-            asked |= _shared_elsewhere(base ^ mix(e[side].astype(np.uint64) + np.uint64(salt << 20)), e["doc"], e["whole"])
-        asked &= ~covered
-        some = covered | asked
-        yield _codes(e["key"][some], e["first"][some].astype(np.int64), e["number"][some], np.where(covered[some], COVERED, ASKED))
-
-    return blobs.select("blob").mapInArrow(run, _CODES)
-
-
-def _send_windows(rows: DataFrame, length: int, parts: int) -> DataFrame:
-    """rows: row_key, doc, text, asked: array<struct<first, number>>; others are ignored."""
+                    yield _codes(doc[n:], copy[n:], first[n:], number[n:], np.repeat([COVERED, ASKED], [k, a]))
+                wild = np.union1d(wild, x["wild"])
+                found.append({"kmer": _from_planes(x["kmer"]), "whole": _from_planes(x["whole"]), "left": x["left"], "right": x["right"], "doc": doc[:n], "copy": copy[:n], "first": first[:n], "number": number[:n]})
+                if sum(len(f["doc"]) for f in found) > HELD:
+                    yield from shed()
+        yield from finish()
+
+    return blobs.mapInArrow(run, _CODES)
+
+
+def _send_windows(rows: DataFrame, length: int, count: int) -> DataFrame:
+    """rows: doc, copy, text, asked: array<struct<first, number>>."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gathered: list[tuple[np.ndarray, ...]] = []
-
-        def out() -> pa.RecordBatch:
-            window, key, doc, first = (np.concatenate([g[i] for g in gathered]) for i in range(4))
-            gathered.clear()
-            known = _above_first(window, doc)
-            order = np.argsort(window, kind="stable")
-            bounds = np.searchsorted(_parts(window[order], parts), np.arange(parts + 1))
-            blobs = []
-            for p in range(parts):
-                i = order[bounds[p] : bounds[p + 1]]
-                if len(i):
-                    s, k = i[~known[i]], i[known[i]]
-                    both = np.concatenate([s, k])
-                    rows, row = np.unique(key[both], return_inverse=True)
-                    docs = np.zeros(len(rows), np.int64)
-                    docs[row] = doc[both]
-                    blobs.append((p, pack(n=np.array([len(s), len(k)]), window=_low_planes(window[s], 8), rows=rows, docs=docs, row=row.astype(np.uint32 if len(rows) > 65535 else np.uint16), first=first[both].astype(np.uint32))))
-            return pa.RecordBatch.from_arrays([pa.array([p for p, _ in blobs], pa.int32()), pa.array([b for _, b in blobs], pa.binary())], names=["part", "blob"])
+        gathered: list[dict[str, np.ndarray]] = []
 
+        def out() -> Iterator[pa.RecordBatch]:
+            e = _joined(gathered)
+            known = _above_first(e["high"], e["low"], e["doc"])
+            order = np.argsort(e["high"], kind="stable")
+            bounds = np.searchsorted(_ranges(e["high"][order], count), np.arange(count + 1))
+            for r in np.flatnonzero(np.diff(bounds)).tolist():
+                i = order[bounds[r] : bounds[r + 1]]
+                s, k = i[~known[i]], i[known[i]]
+                both = np.concatenate([s, k])
+                _, some, row = np.unique(e["text"][both], return_index=True, return_inverse=True)
+                some = both[some]
+                yield _blobs([r], [pack(n=np.array([len(s), len(k)]), high=_low_planes(e["high"][s], 8), low=e["low"][s], docs=e["doc"][some], copies=e["copy"][some], row=row.astype(np.uint32 if len(some) > 65535 else np.uint16), first=e["first"][both].astype(np.uint32))])
+
+        texts_seen = 0
         for batch in batches:
-            keys, docs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            docs, copies = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             offsets, data = text_bytes(batch.column(2))
             asked = batch.column(3)
             for a, b in steps(offsets):
-                sums = prefix_sums(data[offsets[a] : offsets[b]])
                 part = asked.slice(a, b - a)
                 lengths = pa.compute.list_value_length(part).to_numpy()
                 flat = part.flatten()
@@ -261,56 +303,76 @@ def _send_windows(rows: DataFrame, length: int, parts: int) -> DataFrame:
                 # A context can be asked for twice; its windows count once.
                 both = np.unique(row[each] << 40 | place)
                 row, place = both >> 40, both & ((1 << 40) - 1)
-                start = offsets[row] - offsets[a] + place
-                gathered.append((slice_hashes(sums, start, start + length), keys[row], docs[row], place))
-                if sum(len(g[0]) for g in gathered) > GATHERED:
-                    yield out()
+                high, low = window_hashes(data[offsets[a] : offsets[b]], offsets[row] - offsets[a] + place, length)
+                gathered.append({"high": high, "low": low, "doc": docs[row], "copy": copies[row], "text": row + texts_seen, "first": place})
+                if sum(len(g["doc"]) for g in gathered) > GATHERED:
+                    yield from out()
+            texts_seen += batch.num_rows
         if gathered:
-            yield out()
+            yield from out()
 
     return rows.mapInArrow(run, _BLOBS)
 
 
 def _judge_windows(blobs: DataFrame) -> DataFrame:
+    """Runs of covered windows. blobs come range by range."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[tuple[np.ndarray, ...]] = []
+        found: list[dict[str, np.ndarray]] = []
+        here = -1
+
+        def shed() -> Iterator[pa.RecordBatch]:
+            """Gives the covered windows and keeps the others."""
+            e = _joined(found)
+            if e and len(e["doc"]):
+                covered = _above_first(e["high"], e["low"], e["doc"])
+                yield _runs(e["doc"][covered], e["copy"][covered], e["first"][covered])
+                found.append({k: x[~covered] for k, x in e.items()})
+
         for batch in batches:
-            for blob in batch.column(0).to_pylist():
-                x = unpack(blob)
+            for r, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if r != here:
+                    yield from shed()
+                    found.clear()
+                    here = r
+                x = unpack(blob.as_py())
                 n, k = x["n"].tolist()
-                key = x["rows"][x["row"]]
+                doc, copy, first = x["docs"][x["row"]], x["copies"][x["row"]], x["first"].astype(np.int64)
                 if k:
-                    yield _runs(key[n:], x["first"][n:].astype(np.int64))
-                found.append((_from_planes(x["window"]), key[:n], x["docs"][x["row"][:n]], x["first"][:n].astype(np.int64)))
-        if found:
-            window, key, doc, first = (np.concatenate([f[i] for f in found]) for i in range(4))
-            covered = _above_first(window, doc)
-            yield _runs(key[covered], first[covered])
+                    yield _runs(doc[n:], copy[n:], first[n:])
+                found.append({"high": _from_planes(x["high"]), "low": x["low"], "doc": doc[:n], "copy": copy[:n], "first": first[:n]})
+                if sum(len(f["doc"]) for f in found) > HELD:
+                    yield from shed()
+        yield from shed()
+
+    return blobs.mapInArrow(run, _CODES)
+
 
-    return blobs.select("blob").mapInArrow(run, _CODES)
+def _by_range(blobs: DataFrame, count: int, parts: int) -> DataFrame:
+    """blobs dealt to partitions, each of which has its ranges in order. Spark sorts them, on disk where they are too many."""
+    place = F.floor(F.col("range") * F.lit(parts) / F.lit(count)).cast("int")
+    return blobs.repartitionById(parts, place).sortWithinPartitions("range")
 
 
-def _runs(key: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
+def _runs(doc: np.ndarray, copy: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
     """Covered windows, neighbours together."""
-    order = np.lexsort((first, key))
-    key, first = key[order], first[order]
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (first[1:] != first[:-1] + 1)
+    order = np.lexsort((first, copy, doc))
+    doc, copy, first = doc[order], copy[order], first[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (copy[1:] != copy[:-1]) | (first[1:] != first[:-1] + 1)
     at = np.flatnonzero(new)
-    number = np.diff(np.append(at, len(key)))
-    return _codes(key[at], first[at], number, np.zeros(len(at), np.int64))
+    number = np.diff(np.append(at, len(doc)))
+    return _codes(doc[at], copy[at], first[at], number, np.zeros(len(at)))
 
 
-def _cut(rows: DataFrame, length: int, keep: list[str], text_col: str) -> DataFrame:
-    """rows: keep columns (text_col among them) and covered: array<struct<first, number>>; null: none."""
-    names = [*keep, "covered"]
-    fields = [f for f in rows.schema if f.name in keep]
-    out = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["kept_bytes binary", "n_bytes long", "n_removed long", "n_spans long"])
+def _cut(rows: DataFrame, length: int, place: int) -> DataFrame:
+    """rows: row (the caller's columns, the text at `place`) and covered: array<struct<first, number>>; null: none."""
+    out = f"row {rows.schema['row'].dataType.simpleString()}, kept_bytes binary, n_bytes long, n_removed long, n_spans long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            offsets, data = text_bytes(batch.column(names.index(text_col)))
-            covered = batch.column(len(keep))
+            offsets, data = text_bytes(batch.column(0).field(place))
+            covered = batch.column(1)
             for a, b in steps(offsets):
                 part = covered.slice(a, b - a)
                 lengths = pa.compute.fill_null(pa.compute.list_value_length(part), 0).to_numpy()
@@ -330,35 +392,49 @@ def _cut(rows: DataFrame, length: int, keep: list[str], text_col: str) -> DataFr
                 rest = data[offsets[a] : offsets[b]][~gone]
                 ends = np.append(0, np.cumsum(size - removed)).astype(np.int32)
                 kept = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(rest))])
-                yield pa.RecordBatch.from_arrays([*(batch.column(names.index(f.name)).slice(a, b - a) for f in fields), kept, *(pa.array(x, pa.int64()) for x in (size, removed, spans))], names=[*(f.name for f in fields), "kept_bytes", "n_bytes", "n_removed", "n_spans"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), kept, *(pa.array(x, pa.int64()) for x in (size, removed, spans))], names=["row", "kept_bytes", "n_bytes", "n_removed", "n_spans"])
 
-    return rows.select(*names).mapInArrow(run, out)
+    return rows.select("row", "covered").mapInArrow(run, out)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
     """docs with kept_bytes, n_bytes, n_removed and n_spans (maximal removed runs) of each row.
 
-    Null texts count as empty and have nothing removed. A row with a null id neither removes nor
-    loses anything; rows that repeat an id don't count against each other. Texts are judged as
-    they came in, not by what is left of others. Columns of docs named like the new ones are
-    replaced.
+    Texts are judged as they came in, not by what is left of others. Null texts count as empty
+    and have nothing removed. A row with a null id neither removes nor loses anything; rows that
+    repeat an id don't count against each other. Columns of docs named like the new ones are
+    replaced, all others stay, whatever their names.
+
+    Equality is that of hashes: 104 bits for contexts (k-mer and whole), 96 for windows, so two
+    different strings among 10^12 are taken for one with a chance below 10^-4.
     """
     if length < 2 * KMER:
         raise ValueError(f"length must be {2 * KMER} at least")
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def ranges(entries: int | None) -> int:
+        return parts * max(-(-(entries or 0) // (parts * RANGE)), 1)
+
     keep = docs.drop("kept_bytes", "n_bytes", "n_removed", "n_spans")
-    keyed = keep.withColumn("_row", F.xxhash64(F.col(id_col), F.col(text_col)))
-    texts = keyed.where(F.col(id_col).isNotNull() & (F.octet_length(text_col) >= length)).select(F.col("_row").alias("row_key"), F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    codes = written(_judge_contexts(_send_contexts(texts, length, parts).repartitionById(parts, F.col("part"))))
+    keyed = keep.select(F.col(id_col).cast("long").alias("doc"), F.hash(text_col).alias("copy"), F.col(text_col).alias("text"), F.struct(*(F.col(_quoted(c)) for c in keep.columns)).alias("row"))
+    texts = keyed.where(F.col("doc").isNotNull() & (F.octet_length("text") >= length)).select("doc", "copy", "text")
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0]
+    count = ranges(2 * (size or 0) // (length - KMER + 2))  # an anchor serves half as many windows as it could, on average
+    codes = written(_judge_contexts(_by_range(_send_contexts(texts, length, count), count, parts)))
     span = F.collect_list(F.struct("first", "number"))
-    dealt = keyed.repartition(parts, "_row")  # one shuffle of the texts, which both joins below read
-    asked = codes.where(F.col("kind") == ASKED).groupBy("row_key").agg(span.alias("asked"))
-    spans = dealt.join(asked, F.col("_row") == F.col("row_key")).select(F.col("row_key"), F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), "asked", *(c for c in keep.columns if c not in (id_col, text_col)))
-    windows = _judge_windows(_send_windows(spans, length, parts).repartitionById(parts, F.col("part")))
-    covered = codes.where(F.col("kind") == COVERED).select("row_key", "first", "number").union(windows.select("row_key", "first", "number")).groupBy("row_key").agg(span.alias("covered"))
-    rows = dealt.join(covered, F.col("_row") == F.col("row_key"), "left")
-    return _cut(rows, length, keep.columns, text_col)
+    dealt = keyed.drop("text").repartition(parts, "doc", "copy")  # one shuffle of the texts, which both joins below read
+    asked = codes.where(F.col("kind") == ASKED)
+    count = ranges(asked.agg(F.sum("number")).first()[0])
+    spans = dealt.join(asked.groupBy("doc", "copy").agg(span.alias("asked")), ["doc", "copy"]).select("doc", "copy", F.col("row")[text_col].alias("text"), "asked")
+    windows = _judge_windows(_by_range(_send_windows(spans, length, count), count, parts))
+    covered = codes.where(F.col("kind") == COVERED).select("doc", "copy", "first", "number").union(windows.select("doc", "copy", "first", "number")).groupBy("doc", "copy").agg(span.alias("covered"))
+    rows = dealt.join(covered, ["doc", "copy"], "left")
+    return _cut(rows, length, keep.columns.index(text_col)).select("row.*", "kept_bytes", "n_bytes", "n_removed", "n_spans")
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
