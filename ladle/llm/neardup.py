@@ -96,15 +96,15 @@ def _sketched(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, n long, same binary, bands array<long>, bits array<long>")
 
 
-def _texts_of(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """id and text of the documents that pairs (a, b) name, without a shuffle of the others where these are few."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+def _texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """id and text of the documents of ids (id), without a shuffle of the others where these are few."""
+    ids = ids.distinct()
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    texts = _texts_of(pairs, docs)
+    texts = _texts_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), docs)
     both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,8 +175,7 @@ def _block_links(rest: DataFrame, docs: DataFrame, width: int, percent: int) ->
     A bucket's members are dealt into blocks by a hash; every block of outer ones meets every
     block of members in a group of its own.
     """
-    ids = rest.select(F.col("id").alias("a"), F.col("id").alias("b"))
-    full = written(rest.join(_sets(_texts_of(ids, docs), width), "id"))
+    full = written(rest.join(_sets(_texts_of(rest.select("id"), docs), width), "id"))
     blocks = F.ceil(F.greatest(F.col("members") / BLOCK_SETS, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     dealt = full.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -226,12 +225,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     copies = linked.select("same", "id").join(distinct.where("rows > 1").select("same", F.col("id").alias("first")), "same").where(F.col("id") != F.col("first")).select(F.col("first").alias("a"), F.col("id").alias("b"))
 
     banded = distinct.select("id", "n", F.explode("bands").alias("bucket"))
-    several = banded.groupBy("bucket").agg(F.count("*").alias("sets")).where("sets > 1")
+    # What is found for each bucket is written before it is joined by bucket: Spark then splits a hot one among tasks.
+    several = written(banded.groupBy("bucket").agg(F.count("*").alias("sets")).where("sets > 1"))
     crowded = written(banded.join(several, "bucket"))  # buckets of one set are gone
     # How many sets a set meets in its buckets: the original of many copies meets the most, which makes it the hub.
     own = crowded.groupBy("id").agg(F.sum("sets").alias("met"), F.max(F.struct("sets", "bucket")).alias("fullest"))
     members = written(crowded.join(own, "id").select("bucket", "id", "n", "met", (F.col("fullest.bucket") == F.col("bucket")).alias("is_fullest")))
-    discard(crowded)
+    discard(crowded, several)
 
     def alike(n: Column, m: Column) -> Column:
         return F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m)
@@ -242,21 +242,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     as_pair = (F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
 
     # Stars, by the fullest bucket of each set.
-    hubs = members.groupBy("bucket").agg(F.max(F.struct("met", F.negative("id").alias("id"), "n")).alias("hub")).select("bucket", F.negative("hub.id").alias("a"), F.col("hub.n").alias("n_a"))
+    hubs = written(members.groupBy("bucket").agg(F.max(F.struct("met", F.negative("id").alias("id"), "n")).alias("hub")).select("bucket", F.negative("hub.id").alias("a"), F.col("hub.n").alias("n_a")))
     star = members.where("is_fullest").join(hubs, "bucket").where((F.col("id") != F.col("a")) & alike(F.col("n"), F.col("n_a")))
     tried = written(star.select(*as_pair).distinct())
+    discard(hubs)
     labels = components(_confirmed(tried, docs, width, percent))
 
     def still_open(of: DataFrame, columns: list[str]) -> DataFrame:
         """Members of the buckets that hold several components, with these."""
         marked = of.select("bucket", "id", *columns).join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        split = marked.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
+        split = written(marked.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket"))
         return marked.join(split, "bucket", "left_semi")
 
     # Stars in all buckets that are open.
     left = written(still_open(members, ["n", "met"]).join(distinct.select("id", "bits"), "id"))
     discard(members)
-    hubs = left.groupBy("bucket").agg(F.max(F.struct("met", F.negative("id").alias("id"), "n", "component", "bits")).alias("hub")).select("bucket", F.negative("hub.id").alias("a"), F.col("hub.n").alias("n_a"), F.col("hub.component").alias("part"), F.col("hub.bits").alias("bits_a"))
+    hubs = left.groupBy("bucket").agg(F.max(F.struct("met", F.negative("id").alias("id"), "n", "component", "bits")).alias("hub"))
+    hubs = written(hubs.select("bucket", F.negative("hub.id").alias("a"), F.col("hub.n").alias("n_a"), F.col("hub.component").alias("part"), F.col("hub.bits").alias("bits_a")))
     star = left.join(hubs, "bucket").where((F.col("component") != F.col("part")) & near)
     pairs = written(star.select(*as_pair).distinct().join(tried, ["a", "b"], "left_anti"))
     labels = _joined(labels, _confirmed(pairs, docs, width, percent))
@@ -267,7 +269,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     discard(left)
     parts = marked.groupBy("bucket", "component").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"))
     counts = parts.groupBy("bucket").agg(F.max(F.struct("size", F.negative("component").alias("component"))).alias("top"), F.sum("size").alias("members"), F.sum("shingles").alias("shingles"))
-    counts = counts.select("bucket", F.negative("top.component").alias("largest"), "members", "shingles", (F.col("members") - F.col("top.size")).alias("outside"))
+    counts = written(counts.select("bucket", F.negative("top.component").alias("largest"), "members", "shingles", (F.col("members") - F.col("top.size")).alias("outside")))
     rest = written(marked.join(counts, "bucket").withColumn("outer", F.col("component") != F.col("largest")).drop("largest"))
     few = rest.where(F.col("outside") <= FEW)
     centres = few.where("outer").select("bucket", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("part"), F.col("bits").alias("bits_a"))
