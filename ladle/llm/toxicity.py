@@ -21,9 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import bounded_sample, held_out, steps, table, text_bytes, written
+from .shared import bounded_sample, discard, held_out, steps, table, text_bytes, written
 
 _WORDS = re.compile(r"\w+")
+#: Letters of the beginnings that are features beside the whole words, as n-grams of some lengths are elsewhere.
 SHORTEST_STEM, LONGEST_STEM = 3, 7
 PASSAGES = "array<struct<start:int,end:int,score:double,expected:double>>"
 
@@ -37,7 +38,7 @@ def _stems(word: str) -> list[str]:
 class Model:
     """weights: log-odds of words and, with a star, of beginnings. other: of all other words (below 0).
 
-    decay and size: the parameters of the extreme-value law of chance segments.
+    decay and size: the parameters of the extreme-value law of chance segments, both fitted to clean documents.
     slope, level: of the logistic curve from surprise to score.
     """
 
@@ -59,28 +60,37 @@ def segments(values: list[tuple[int, float]], n: int, other: float) -> list[tupl
     """All maximal scoring segments (first word, one past the last, score), in linear time.
 
     values: places and weights of the words that aren't worth `other`, in order; n: words.
-    Candidates are kept with the cumulative sums at their ends; a new one joins the latest
-    candidate that starts lower for as long as that raises its sum.
+    A candidate runs from one place to another; low and high are the cumulative sums at its
+    ends. Each keeps a link to the nearest one before it that starts lower. A new one joins
+    that one for as long as this raises its sum; links that were passed are never walked again.
     """
-    found: list[list] = []  # [start, end, sum before, sum after]
+    starts: list[int] = []
+    ends: list[int] = []
+    lows: list[float] = []
+    highs: list[float] = []
+    links: list[int] = []
     total, at = 0.0, 0
     for place, value in values:
         total += (place - at) * other
         at = place + 1
-        before, total = total, total + value
+        low, total = total, total + value
         if value <= 0:
             continue
-        new = [place, at, before, total]
+        start, j = place, len(lows) - 1
         while True:
-            j = len(found) - 1
-            while j >= 0 and found[j][2] >= new[2]:
-                j -= 1
-            if j < 0 or found[j][3] >= new[3]:
-                found.append(new)
+            while j >= 0 and lows[j] >= low:
+                j = links[j]
+            if j < 0 or highs[j] >= total:
                 break
-            new = [found[j][0], new[1], found[j][2], new[3]]
-            del found[j:]
-    return [(a, b, high - low) for a, b, low, high in found]
+            start, low, k = starts[j], lows[j], j
+            j = links[j]
+            del starts[k:], ends[k:], lows[k:], highs[k:], links[k:]
+        starts.append(start)
+        ends.append(at)
+        lows.append(low)
+        highs.append(total)
+        links.append(j)
+    return [(a, b, high - low) for a, b, low, high in zip(starts, ends, lows, highs)]
 
 
 class Scanner:
@@ -90,12 +100,11 @@ class Scanner:
         self.model, self.most = model, most_expected
         self.known: dict[str, float] = {}
 
-    def scan(self, text: str) -> tuple[float, list[dict]]:
-        """A text's surprise (-log of expected chance segments, summed) and its significant passages."""
+    def _values(self, words: list[str]) -> list[tuple[int, float]]:
+        """Places and weights of the words that have one of their own."""
         if len(self.known) > self.CACHE:
             self.known.clear()
         known, other = self.known, self.model.other
-        words = _WORDS.findall(text.lower())
         values = []
         for i, word in enumerate(words):
             w = known.get(word)
@@ -103,6 +112,18 @@ class Scanner:
                 w = known[word] = self.model.weight(word)
             if w != other:
                 values.append((i, w))
+        return values
+
+    def best(self, text: str) -> tuple[int, float]:
+        """The text's number of words, and the score of its best segment (0 without one)."""
+        words = _WORDS.findall(text.lower())
+        return len(words), max((s for *_, s in segments(self._values(words), len(words), self.model.other)), default=0.0)
+
+    def scan(self, text: str) -> tuple[float, list[dict]]:
+        """A text's surprise (-log of expected chance segments, summed) and its significant passages."""
+        other = self.model.other
+        words = _WORDS.findall(text.lower())
+        values = self._values(words)
         if not values:
             return 0.0, []
         good = []
@@ -145,17 +166,22 @@ def _word_counts(sample: DataFrame) -> DataFrame:
     return sample.select("label", "text").mapInArrow(count, "token string, toxic long, clean long").groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = 5000, max_tokens: int = 20_000, least_docs: int = 4, least_z: float = 3.0, prior: float = 500.0) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = 5000, least_docs: int = 4, least_z: float = 3.0, prior: float = 500.0) -> Model | None:
     """A model from labelled documents; None if a class is missing.
 
     At most max_docs documents of each class (those of the smallest id hashes) are learnt from,
-    and at most max_tokens words kept; these bound what reaches the driver. A document labelled
-    more than once counts as toxic if any label says so.
+    which bounds what reaches the driver; each class counts by its share of all labelled rows.
+    Of these documents' words and beginnings all are kept that at least least_docs toxic ones
+    have and whose log-odds lie least_z standard deviations above 0. prior: the weight of the
+    Dirichlet prior in documents. A document labelled more than once counts as toxic if any
+    label says so.
     """
     known = labels.where(F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(F.col(label_col).cast("int")).alias("label"))
     chosen = known.where(bounded_sample(known.select(id_col, "label"), "label", id_col, max_docs))
-    sample = docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(chosen), id_col)  # 2 * max_docs rows at most
-    counts = _word_counts(sample).cache()
+    sample = written(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen.select(F.col(id_col).alias("id"), "label")), "id"))  # 2 * max_docs rows at most
+    sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    taken = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    counts = written(_word_counts(sample))
     mass = counts.agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).first()
     if not mass["toxic"] or not mass["clean"]:
         return None
@@ -164,27 +190,31 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     odds = F.log((F.col("toxic") + a) / (n1 + prior - F.col("toxic") - a)) - F.log((F.col("clean") + a) / (n0 + prior - F.col("clean") - a))
     z = odds / F.sqrt(1 / (F.col("toxic") + a) + 1 / (F.col("clean") + a))
     kept = counts.where(F.col("toxic") >= least_docs).select("token", odds.alias("odds"), z.alias("z"), "toxic", "clean").where((F.col("z") >= least_z) & (F.col("toxic") > 2 * F.col("clean") * n1 / n0))
-    rows = kept.orderBy(F.desc("z"), "token").limit(max_tokens).collect()
-    counts.unpersist()
-    model = Model({r["token"]: r["odds"] for r in rows})
-    _set_chance(model, sample)
-    _set_curve(model, sample)
+    model = Model({r["token"]: r["odds"] for r in kept.select("token", "odds").collect()})
+    clean = sample.where("label = 0").select("text")
+    model.decay = _decay(model, clean)
+    model.size = _size(model, clean)
+    model.slope, model.level = _curve(model, sample, {k: sizes[k] / n for k, n in taken.items()})
+    discard(sample, counts)
     return model
 
 
-def _set_chance(model: Model, sample: DataFrame) -> None:
-    """decay: the root of E[exp(decay * weight)] = 1 over the words of clean documents."""
+def _decay(model: Model, clean: DataFrame) -> float:
+    """The root of E[exp(decay * weight)] = 1 over the words of clean documents."""
+    shared = clean.sparkSession.sparkContext.broadcast(model)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
+        weight = shared.value.weight
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 for word, c in Counter(_WORDS.findall((text or "").lower())).items():
-                    found[round(model.weight(word), 1) if model.weight(word) > 0 else None] += c
+                    w = weight(word)
+                    found[round(w, 1) if w > 0 else None] += c
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.float64()), pa.array(list(found.values()), pa.int64())], names=["weight", "c"])
 
-    rows = sample.where("label = 0").select("text").mapInArrow(weigh, "weight double, c long").groupBy("weight").agg(F.sum("c").alias("c")).collect()  # weights are rounded: some hundred rows
+    rows = clean.mapInArrow(weigh, "weight double, c long").groupBy("weight").agg(F.sum("c").alias("c")).collect()  # weights are rounded: some hundred rows
     total = sum(r["c"] for r in rows) + 1.0
     tops = [(r["weight"], r["c"] / total) for r in rows if r["weight"] is not None]
     if model.weights:  # as if one more word of the clean documents had the highest weight: the law has a root then
@@ -200,29 +230,54 @@ def _set_chance(model: Model, sample: DataFrame) -> None:
     for _ in range(60):
         middle = (low + high) / 2
         low, high = (middle, high) if excess(middle) < 0 else (low, middle)
-    model.decay = max(low, 0.05)
+    return max(low, 0.05)
+
 
+def _size(model: Model, clean: DataFrame) -> float:
+    """The likeliest size of the law P(best segment of n words < s) = exp(-size * n * exp(-decay * s)) of clean documents.
+
+    A document without a segment only says that its best one lies below any score. One more
+    document of one word, with the best score of all, keeps the size above 0.
+    """
+    shared = clean.sparkSession.sparkContext.broadcast(model)
 
-def _set_curve(model: Model, sample: DataFrame) -> None:
-    """A logistic curve of the surprise, fitted to the sample's labels in bins."""
-    scored = scan(sample, model).select("label", F.least(F.round(F.sqrt("surprise"), 1), F.lit(40.0)).alias("x"))
-    rows = scored.groupBy("x").agg(F.sum("label").alias("y"), F.count("*").alias("n")).collect()  # 401 rows at most
-    x, y, n = (np.array([r[c] for r in rows], float) for c in ("x", "y", "n"))
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner = Scanner(shared.value)
+        seen, mass = 0, 0.0
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                n, score = scanner.best(text or "")
+                seen += score > 0
+                mass += n * math.exp(-scanner.model.decay * score)
+        yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([mass], pa.float64())], names=["seen", "mass"])
+
+    row = clean.mapInArrow(best, "seen long, mass double").agg(F.sum("seen").alias("seen"), F.sum("mass").alias("mass")).first()
+    return ((row["seen"] or 0) + 1) / ((row["mass"] or 0.0) + 1)
+
+
+def _curve(model: Model, sample: DataFrame, weight: dict[int, float]) -> tuple[float, float]:
+    """Slope and level of a logistic curve of the surprise's root, fitted in bins to the sample's labels; weight: rows that one row of a class stands for."""
+    scored = scan(sample.select("label", "text"), model).select("label", F.round(F.sqrt("surprise"), 1).alias("x"))
+    rows = scored.groupBy("x", "label").agg(F.count("*").alias("n")).collect()  # no more than the sample's rows
+    x, y = (np.array([r[c] for r in rows], float) for c in ("x", "label"))
+    n = np.array([r["n"] * weight[r["label"]] for r in rows])
+    n *= sum(r["n"] for r in rows) / n.sum()
     beta = np.zeros(2)
     design = np.stack([x, np.ones_like(x)], 1)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
-        slope = design.T @ (y - n * p) - 1e-2 * beta
+        slope = design.T @ (n * (y - p)) - 1e-2 * beta
         curve = (design * (n * p * (1 - p))[:, None]).T @ design + 1e-2 * np.eye(2)
         beta = beta + np.linalg.solve(curve, slope)
-    model.slope, model.level = max(float(beta[0]), 0.0), float(beta[1])
+    return max(float(beta[0]), 0.0), float(beta[1])
 
 
 def scan(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """docs without its text but with surprise, score (0 to 1) and passages (offsets in characters).
 
-    Null and empty texts have no passage. Columns of docs named like the new ones are replaced.
-    The model's size is bounded (see fit), so it goes to every task.
+    Null and empty texts have no passage; repeated rows stay. Columns of docs named like the new
+    ones are replaced, all others stay. The model's size is bounded (see fit), so it goes to
+    every task.
     """
     keep = docs.drop("surprise", score_col, "passages")
     names = keep.columns
@@ -238,7 +293,7 @@ def scan(docs: DataFrame, model: Model, text_col: str = "text", score_col: str =
             for a, b in steps(text_bytes(column)[0]):
                 found = [scanner.scan(t or "") for t in column.slice(a, b - a).to_pylist()]
                 surprise = np.array([s for s, _ in found])
-                score = 1 / (1 + np.exp(-np.clip(model.slope * np.minimum(np.sqrt(surprise), 40) + model.level, -30, 30)))
+                score = 1 / (1 + np.exp(-np.clip(scanner.model.slope * np.sqrt(surprise) + scanner.model.level, -30, 30)))
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*(part.column(names.index(f.name)) for f in others), pa.array(surprise), pa.array(score), pa.array([p for _, p in found], kind)], names=[*(f.name for f in others), "surprise", score_col, "passages"])
 
