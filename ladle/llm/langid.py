@@ -13,7 +13,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.compute
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import bounded_sample, held_out, steps, table, text_bytes
@@ -25,12 +26,17 @@ _WORDS = re.compile(r"[^\W\d_]+")
 
 @dataclass
 class Model:
-    """Log frequencies: one row of `scores` for each known word or n-gram, one column a language."""
+    """Log frequencies: one row of `scores` for each known word or n-gram, one column a language.
+
+    evidence: a text's words aren't independent, so together they say as much as this many do at
+    most. This changes how sure a prediction is, not which one it is.
+    """
 
     languages: list[str]
     words: dict[str, int]
     grams: dict[str, int]
     scores: np.ndarray
+    evidence: float = 40.0
 
 
 def _grams(word: str, n: int) -> list[str]:
@@ -38,13 +44,12 @@ def _grams(word: str, n: int) -> list[str]:
     return [padded[i : i + n] for i in range(len(padded) - n + 1)]
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 2500, max_words: int = 20_000, max_grams: int = 20_000) -> Model:
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 2500) -> Model:
     """A model of the languages in labelled.
 
     At most max_docs documents of each language are learnt from (those of the smallest id
-    hashes), and of each language at most max_words words and max_grams n-grams of each length
-    are kept, the most frequent ones; these bound what reaches the driver. Rows with null text
-    or language are left out.
+    hashes), which bounds what reaches the driver; all their words and n-grams count. Rows with
+    null text or language are left out.
     """
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     chosen = bounded_sample(rows.select(id_col, lang_col), lang_col, id_col, max_docs)
@@ -71,30 +76,24 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         if found:
             yield out()
 
-    counts = sample.mapInArrow(count, "lang string, n int, token string, c long").groupBy("lang", "n", "token").agg(F.sum("c").alias("c"))
-    order = Window.partitionBy("lang", "n").orderBy(F.desc("c"), "token")
-    whole = F.sum("c").over(Window.partitionBy("lang", "n"))
-    kept = counts.withColumn("total", whole).where(F.col("c") > 1).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.when(F.col("n") == 0, max_words).otherwise(max_grams))
-    rows_ = kept.select("lang", "n", "token", "c", "total").toArrow()
-    lang, n, token, c, total = (rows_.column(i).to_pylist() for i in range(5))
-    totals = {(a, b): t for a, b, t in zip(lang, n, total)}
-    languages = sorted({a for a in lang})
-    column = {a: i for i, a in enumerate(languages)}
-    words: dict[str, int] = {}
-    grams: dict[str, int] = {}
-    for k, t in zip(n, token):
-        into = words if k == 0 else grams
-        if t not in into:
-            into[t] = len(words) + len(grams)
-    of = np.zeros(len(words) + len(grams), np.int64)
-    value = np.zeros((len(of), max(len(languages), 1)))
-    for a, k, t, x in zip(lang, n, token, c):
-        at = words[t] if k == 0 else grams[t]
-        of[at] = k
-        value[at, column[a]] = x
-    mass = np.array([[totals.get((a, k), 0) for a in languages] or [0] for k in range(LONGEST + 1)], float)
-    scores = np.log((value + 0.5) / (mass[of] + 100.0)) if len(of) else value
-    return Model(languages, words, grams, scores.astype(np.float32))
+    counts = sample.mapInArrow(count, "lang string, n int, token string, c long").groupBy("lang", "n", "token").agg(F.sum("c").alias("c")).toArrow()
+    languages = sorted(counts["lang"].unique().to_pylist())
+    column = pa.compute.index_in(counts["lang"], pa.array(languages, pa.string())).to_numpy()
+    n, c = counts["n"].to_numpy(), counts["c"].to_numpy()
+    mass = np.zeros((LONGEST + 1, max(len(languages), 1)))
+    np.add.at(mass, (n, column), c)
+    tables, scores = [], []
+    for some in (n == 0, n > 0):
+        token = counts["token"].filter(pa.array(some)).combine_chunks().dictionary_encode()
+        if isinstance(token, pa.ChunkedArray):
+            token = token.combine_chunks()
+        code = token.indices.to_numpy()
+        value, of = np.zeros((len(token.dictionary), mass.shape[1])), np.zeros(len(token.dictionary), int)
+        value[code, column[some]], of[code] = c[some], n[some]
+        first = sum(map(len, scores))
+        tables.append({t: i for i, t in enumerate(token.dictionary.to_pylist(), first)})
+        scores.append(np.log((value + 0.5) / (mass[of] + 100.0)))
+    return Model(languages, *tables, np.concatenate(scores).astype(np.float32))
 
 
 class Scorer:
@@ -139,8 +138,8 @@ class Scorer:
         flat = np.fromiter((r for f in found for r in f), np.int64, int(numbers.sum()))
         some = np.flatnonzero(numbers)
         starts = (np.cumsum(numbers) - numbers)[some]
-        total = np.stack([np.add.reduceat(matrix[:, j].astype(float)[flat], starts) for j in range(len(names))], 1)
-        total *= np.minimum(1, 40 / numbers[some])[:, None]  # words aren't independent: evidence counts as of 40 words at most
+        total = np.add.reduceat(matrix[flat].astype(float), starts, axis=0)
+        total *= np.minimum(1, self.model.evidence / numbers[some])[:, None]
         total -= total.max(1, keepdims=True)
         odds = np.exp(total)
         top = total.argmax(1)
@@ -153,8 +152,9 @@ class Scorer:
 def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
     """docs with the predicted language and its score from 0 to 1.
 
-    Text that is null or has no letter gives `und` and 0. Columns of docs named like the new
-    ones are replaced. The model's size is bounded (see fit), so it goes to every task.
+    Text that is null or has no letter gives `und` and 0; repeated rows stay. Columns of docs
+    named like the new ones are replaced, all others stay. The model's size is bounded (see
+    fit), so it goes to every task.
     """
     keep = docs.drop(lang_col, score_col)
     names = keep.columns
