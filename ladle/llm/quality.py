@@ -2,7 +2,8 @@
 
 Random Fourier features approximate a Gaussian kernel over standardised statistics of a text;
 every partition sums its part of the normal equations; the ridge scores are calibrated by
-isotonic regression (pooled adjacent violators over a fixed number of score bins).
+isotonic regression (pooled adjacent violators over a fixed number of score bins) of scores that
+each labelled row gets from the other folds.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from .shared import discard, held_out, slice_hashes, steps, table, text_bytes, w
 
 STATS = ["log_bytes", "log_words", "word_length", "word_length_spread", "letters", "upper", "digits", "spaces", "stops", "exclamations", "symbols", "beyond_ascii", "words_distinct", "words_repeated", "lines_distinct", "line_words", "line_end_stops"]
 BINS = 2000
+#: Parts of the labelled rows; each one is scored by a ridge of the others for the calibration. SUMMED: matrices that one task adds.
+FOLDS, SUMMED = 4, 16
 
 
 def _byte_kinds() -> np.ndarray:
@@ -87,7 +90,10 @@ def statistics(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
 
 
 def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs without its text but with STATS (whole texts; null counts as empty)."""
+    """docs without its text but with STATS (whole texts; null counts as empty; repeated rows stay).
+
+    Columns of docs named like one of STATS are replaced, all others stay.
+    """
     names = docs.columns
     others = [c for c in names if c != text_col and c not in STATS]
     out = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in others] + [f"`{s}` double" for s in STATS])
@@ -140,13 +146,20 @@ def _matrix(batch: pa.RecordBatch) -> np.ndarray:
     return np.stack([batch.column(batch.schema.get_field_index(s)).to_numpy(zero_copy_only=False) for s in STATS], 1)
 
 
+def solved(total: np.ndarray, n: float, ridge: float) -> np.ndarray:
+    """Ridge weights from the sums of products of features and label (the last row and column)."""
+    side = len(total) - 1
+    return np.linalg.solve(total[:-1, :-1] + ridge * max(n, 1) / (side - 1) * np.eye(side), total[:-1, -1])
+
+
 def fit(labelled: DataFrame, label_col: str, waves: int = 256, width: float = 3.0, ridge: float = 1e-3, seed: int = 7) -> Model | None:
     """A model of label_col (0 to 1) on rows that have STATS; None without labelled rows.
 
-    All labelled rows count. Each partition sends one matrix of (waves + 1)^2 numbers; they are
-    summed in two rounds, so that 8 reach the driver however many partitions there are.
+    All labelled rows count. Each partition sends a matrix of (waves + 2)^2 numbers for each
+    fold; tasks add SUMMED of them, round by round, until SUMMED a fold reach the driver at most.
+    labelled is read three times: write it first where it is dear.
     """
-    rows = labelled.where(F.col(label_col).isNotNull()).select(*STATS, F.col(label_col).cast("double").alias("label"))
+    rows = labelled.where(F.col(label_col).isNotNull()).select(*STATS, F.col(label_col).cast("double").alias("label"), F.pmod(F.xxhash64(*STATS), F.lit(FOLDS)).cast("int").alias("fold"))
     head = rows.agg(F.count("*").alias("n"), *(F.avg(s).alias(f"m_{s}") for s in STATS), *(F.stddev_pop(s).alias(f"d_{s}") for s in STATS)).first()
     if not head["n"]:
         return None
@@ -154,39 +167,60 @@ def fit(labelled: DataFrame, label_col: str, waves: int = 256, width: float = 3.
     mean, spread = np.array([head[f"m_{s}"] for s in STATS]), np.array([head[f"d_{s}"] for s in STATS])
     model = Model(mean, np.maximum(spread, 1e-6), random.normal(0, 1 / width, (len(STATS), waves)), random.uniform(0, 2 * np.pi, waves), np.zeros(waves + 1), np.zeros(1), np.zeros(1))
     side = waves + 2
+    schema = "part long, fold int, total binary"
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        total = np.zeros((side, side))
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         for batch in batches:
             for a in range(0, batch.num_rows, 4096):
                 part = batch.slice(a, 4096)
-                z = np.concatenate([model.features(_matrix(part)), part.column(len(STATS)).to_numpy()[:, None]], 1)
-                total += z.T @ z
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([total.tobytes()])], names=["part", "total"])
+                yield model.features(_matrix(part)), *(part.column(len(STATS) + i).to_numpy() for i in (0, 1))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        total = np.zeros((FOLDS, side, side))
+        for z, label, fold in chunks(batches):
+            z = np.concatenate([z, label[:, None]], 1)
+            for k in range(FOLDS):
+                own = z[fold == k]
+                total[k] += own.T @ own
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()] * FOLDS, pa.int64()), pa.array(range(FOLDS), pa.int32()), pa.array([t.tobytes() for t in total])], names=["part", "fold", "total"])
 
     def add(parts: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(side * side)
-        for x in parts["total"]:
-            total += np.frombuffer(x)
-        return pd.DataFrame({"part": parts["part"].iloc[:1] // 64, "total": [total.tobytes()]})
-
-    schema = "part long, total binary"
-    once = rows.mapInArrow(sums, schema).groupBy(F.col("part") % 64).applyInPandas(add, schema)
-    twice = once.groupBy(F.col("part") % 8).applyInPandas(add, schema)
-    total = sum(np.frombuffer(r["total"]) for r in twice.select("total").collect()).reshape(side, side)
-    model.weights = np.linalg.solve(total[:-1, :-1] + ridge * head["n"] / waves * np.eye(side - 1), total[:-1, -1])
-
-    scored = with_score(rows, model, "raw", raw=True)
+        total = sum(np.frombuffer(x) for x in parts["total"])
+        return pd.DataFrame({"part": parts["part"].iloc[:1] // SUMMED, "fold": parts["fold"].iloc[:1], "total": [total.tobytes()]})
+
+    parts = written(rows.mapInArrow(sums, schema))
+    while parts.agg(F.max("part")).first()[0] >= SUMMED:
+        fewer = written(parts.groupBy("fold", F.floor(F.col("part") / SUMMED)).applyInPandas(add, schema))
+        discard(parts)
+        parts = fewer
+    total = np.zeros((FOLDS, side, side))
+    for r in parts.select("fold", "total").collect():
+        total[r["fold"]] += np.frombuffer(r["total"]).reshape(side, side)
+    discard(parts)
+    whole = total.sum(0)
+    # The last feature is 1, so its square counts the rows.
+    others = np.stack([solved(whole - t, (whole - t)[-2, -2], ridge) for t in total], 1)
+    model.weights = solved(whole, head["n"], ridge)
+
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for z, label, fold in chunks(batches):
+            raw = (z @ others)[np.arange(len(z)), fold]
+            yield pa.RecordBatch.from_arrays([pa.array(raw), pa.array(label)], names=["raw", "label"])
+
     bins = F.round(F.greatest(F.lit(-0.5), F.least(F.lit(1.5), F.col("raw"))) * (BINS // 2)).cast("int")
-    at = scored.groupBy(bins.alias("bin")).agg(F.avg("label").alias("y"), F.count("*").alias("n"), F.avg("raw").alias("x")).orderBy("bin").collect()  # BINS rows at most
+    at = rows.mapInArrow(scores, "raw double, label double").groupBy(bins.alias("bin")).agg(F.avg("label").alias("y"), F.count("*").alias("n"), F.avg("raw").alias("x")).orderBy("bin").collect()  # BINS rows at most
     model.centres, model.levels = pooled(*(np.array([r[c] for r in at], float) for c in ("x", "y", "n")))
     return model
 
 
-def with_score(rows: DataFrame, model: Model | None, score_col: str = "score", raw: bool = False) -> DataFrame:
-    """rows (with STATS) without STATS but with a score; 0.5 without a model."""
+def with_score(rows: DataFrame, model: Model | None, score_col: str = "score") -> DataFrame:
+    """rows (with STATS) without STATS but with a score; 0.5 without a model.
+
+    Repeated rows stay. A column named score_col is replaced, all others stay.
+    """
     others = [f for f in rows.schema if f.name not in STATS and f.name != score_col]
     if model is None:
         return rows.select(*(f.name for f in others), F.lit(0.5).alias(score_col))
@@ -196,7 +230,7 @@ def with_score(rows: DataFrame, model: Model | None, score_col: str = "score", r
         for batch in batches:
             for a in range(0, max(batch.num_rows, 1), 4096):
                 part = batch.slice(a, 4096)
-                values = (model.raw if raw else model.score)(_matrix(part)) if part.num_rows else np.zeros(0)
+                values = model.score(_matrix(part)) if part.num_rows else np.zeros(0)
                 yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(f.name)) for f in others), pa.array(values)], names=[*(f.name for f in others), score_col])
 
     return rows.mapInArrow(run, out)
@@ -207,6 +241,8 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = F.coalesce(held_out("doc_id", 5, 0), F.lit(False))
     stats = written(with_statistics(table(spark, sf_dir, "documents").select("doc_id", "text")))
     labels = table(spark, sf_dir, "labels").where(F.col("quality").isNotNull() & ~out).groupBy("doc_id").agg(F.avg("quality").alias("quality"))
-    model = fit(stats.join(labels, "doc_id"), "quality")
+    labelled = written(stats.join(labels, "doc_id").select(*STATS, "quality"))
+    model = fit(labelled, "quality")
+    discard(labelled)
     scored = with_score(stats.withColumn("held_out", out), model)
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
