@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import discard, table, written
 
 _GAPS = re.compile(r"[\W_]+")
 #: Items are matched in blocks of about so many characters, so that a task's automaton stays small however many items there are.
@@ -70,6 +70,11 @@ class Myers:
         return best
 
 
+def _apart(text: str, start: int, end: int) -> bool:
+    """Whether text[start:end] stands between spaces or ends."""
+    return (start == 0 or text[start - 1] == " ") and (end == len(text) or text[end] == " ")
+
+
 class Matcher:
     def __init__(self, items: list[tuple[int, str]], percent: int):
         self.items = items
@@ -120,6 +125,8 @@ class Matcher:
         for end, (at, size) in self.automaton.iter(text):
             start = end + 1 - size
             for i, k in self.where[at]:
+                if not self.errors[i] and not _apart(text, start, end + 1):
+                    continue
                 begin = start - self.bounds[i][k]
                 if begin not in begins.get(i, ()) and self._near(text, start, end + 1, i, k) and self._climb(text, start, i, k):
                     begins.setdefault(i, set()).add(begin)
@@ -181,41 +188,44 @@ def _paths(n: int) -> list[list[tuple[int, int]]]:
     return out
 
 
-def _blocks(items: DataFrame, id_col: str, text_col: str) -> list[list[tuple[int, str]]]:
-    """The test items (a given, published set), normalised, in blocks; items without a letter or digit are left out."""
-    blocks: list[list[tuple[int, str]]] = [[]]
-    size = 0
-    for row in items.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("i IS NOT NULL AND t IS NOT NULL").distinct().orderBy("i", "t").toLocalIterator():
-        text = normalised(row["t"])
-        if text:
-            if size + len(text) > BLOCK_CHARS and blocks[-1]:
-                blocks.append([])
-                size = 0
-            blocks[-1].append((row["i"], text))
-            size += len(text)
-    return blocks
-
-
 def with_matches(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", percent: int = 10, out_col: str = "matches") -> DataFrame:
     """docs with the test items that each text holds within percent edits per 100 characters.
 
-    Texts and items are compared by letters and digits in lower case, single spaces between.
-    Of each item the closest passage is given (distance, start, end in the normalised text).
-    Null and empty texts hold none. A column of docs named like the new one is replaced.
+    Texts and items are compared by letters and digits in lower case, single spaces between; an
+    item too short for an edit must stand between spaces or ends. Of each item the closest
+    passage is given (distance, start, end in the normalised text). Null and empty texts hold
+    none, items that are null or without a letter or digit are in none; repeated rows stay, and
+    so do repeated items that differ in text. A column of docs named like the new one is
+    replaced, all others stay.
+
+    The items are a query set of any size: they are dealt into blocks of about BLOCK_CHARS
+    characters, and every block is matched against all rows in a pass of its own. So one block
+    is in the driver's and the tasks' memory at a time, whatever the number of items.
     """
-    for block in _blocks(items, item_id, item_text):
-        docs = _with_block(docs, block, text_col, percent, out_col)
-        if out_col + "_before" in docs.columns:
-            docs = docs.withColumn(out_col, F.concat(out_col + "_before", out_col)).drop(out_col + "_before")
-        docs = docs.withColumnRenamed(out_col, out_col + "_before")
-    return docs.withColumnRenamed(out_col + "_before", out_col)
+    given = items.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).where("i IS NOT NULL AND t IS NOT NULL").distinct()
+    chars = given.agg(F.sum(F.length("t"))).first()[0] or 0
+    blocks = chars // BLOCK_CHARS + 1
+    block_of = F.pmod(F.xxhash64("i", "t"), F.lit(blocks))
+    keep = docs.drop(out_col)
+    rows = keep.select(F.struct(*(F.col(_quoted(c)) for c in keep.columns)).alias("row"), F.array().cast(MATCHES).alias("found"))
+    for block in range(blocks):
+        wanted = [(r["i"], n) for r in given.where(block_of == block).orderBy("i", "t").collect() if (n := normalised(r["t"]))]
+        done = rows
+        rows = _with_block(rows, wanted, keep.columns.index(text_col), percent)
+        if block < blocks - 1:  # a pass ends before the next one's automaton is built
+            rows = written(rows)
+            if block:
+                discard(done)
+    return rows.select("row.*", F.col("found").alias(out_col))
 
 
-def _with_block(docs: DataFrame, block: list[tuple[int, str]], text_col: str, percent: int, out_col: str) -> DataFrame:
-    keep = docs.drop(out_col)
-    names = keep.columns
-    shared = docs.sparkSession.sparkContext.broadcast(block)  # BLOCK_CHARS and one item at most
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep.schema) + f", `{out_col}` {MATCHES}"
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _with_block(rows: DataFrame, block: list[tuple[int, str]], place: int, percent: int) -> DataFrame:
+    """rows (row, with the text at `place`, and found) with the block's matches added to found."""
+    shared = rows.sparkSession.sparkContext.broadcast(block)  # about BLOCK_CHARS characters
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,10 +233,10 @@ def _with_block(docs: DataFrame, block: list[tuple[int, str]], text_col: str, pe
         for batch in batches:
             for a in range(0, batch.num_rows, 1000):
                 part = batch.slice(a, 1000)
-                found = [[dict(zip(("item_id", "distance", "start", "end"), m)) for m in matcher.match(normalised(t))] if t else [] for t in part.column(names.index(text_col)).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, kind)], names=[*names, out_col])
+                found = [before + [dict(zip(("item_id", "distance", "start", "end"), m)) for m in matcher.match(normalised(t))] if t else before for t, before in zip(part.column(0).field(place).to_pylist(), part.column(1).to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, kind)], names=["row", "found"])
 
-    return keep.mapInArrow(run, out)
+    return rows.mapInArrow(run, rows.schema)
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
