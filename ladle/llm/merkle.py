@@ -14,18 +14,20 @@ from pyspark.sql import functions as F
 
 from .shared import table
 
-#: A sentence: as few code points as end in sentence marks or the paragraph's end, or else 64.
-SENTENCE = r"(?s).{1,24}?(?:[.!?]+\s*|\z)|.{24}"
-QUANTILES = 256
-#: Documents that follow one another and are sorted together, about.
-BUCKET_ROWS = 2000
+#: A sentence: as few code points as end in sentence marks or the paragraph's end, or else 24.
+SENTENCE = r"(?s).{1,24}?(?:[.!?]+[ \t\n\f\r]*|\z)|.{24}"
+#: Documents are sorted in buckets of consecutive ids, of about BUCKET_ROWS each: QUANTILES quantiles of the ids, each with as many quantiles of its own at most.
+QUANTILES, BUCKET_ROWS = 256, 2000
 
 
 def fingerprint(text: Column) -> Column:
-    """array<struct<hash, paragraphs: array<struct<hash, sentences: array<bigint>>>>>: the sections of a text. Null counts as empty."""
+    """array<struct<hash, paragraphs: array<struct<hash, sentences: array<string>>>>>: the sections of a text. Null counts as empty.
+
+    Hashes of sections and paragraphs are SHA-256; of a sentence's the first 8 digits of MD5 are kept.
+    """
 
     def paragraph(p: Column) -> Column:
-        sentences = F.transform(F.regexp_extract_all(p, F.lit(SENTENCE), F.lit(0)), lambda x: F.xxhash64(x))
+        sentences = F.transform(F.regexp_extract_all(p, F.lit(SENTENCE), F.lit(0)), lambda x: F.substring(F.md5(x.cast("binary")), 1, 8))
         return F.struct(F.sha2(p.cast("binary"), 256).alias("hash"), sentences.alias("sentences"))
 
     trees = F.transform(F.split(F.coalesce(text, F.lit("")), "\n\n", -1), lambda s: F.transform(F.split(s, "\n", -1), paragraph))
@@ -41,10 +43,13 @@ def root(sections: Column) -> Column:
 
 
 def encoded(sections: Column) -> Column:
-    """The fingerprint as a string: root=section{paragraph(sentences)...}..., hashes cut to 16 and 8 digits but the root's."""
+    """The fingerprint as a string: root=section{paragraph(sentences)...}..., the hashes of sections and paragraphs cut to 16 digits.
+
+    It holds all that two fingerprints are compared by.
+    """
 
     def paragraph(p: Column) -> Column:
-        return F.concat(F.substring(p["hash"], 1, 16), F.lit("("), F.array_join(F.transform(p["sentences"], lambda x: F.right(F.concat(F.lit("0000000"), F.lower(F.hex(x))), F.lit(8))), ""), F.lit(")"))
+        return F.concat(F.substring(p["hash"], 1, 16), F.lit("("), F.array_join(p["sentences"], ""), F.lit(")"))
 
     def section(s: Column) -> Column:
         return F.concat(F.substring(s["hash"], 1, 16), F.lit("{"), F.array_join(F.transform(s["paragraphs"], paragraph), ""), F.lit("}"))
@@ -76,33 +81,39 @@ def differing_paragraphs(a: Column, b: Column) -> Column:
 def with_next(docs: DataFrame, id_col: str, text_col: str, next_col: str = "next_text") -> DataFrame:
     """docs with the text of the next row by descending id; after the last row comes the first.
 
-    Null ids come last, rows of equal id by the hash of their texts. Rows are dealt into buckets
-    of consecutive ids (quantiles, each cut into equal widths), every bucket is sorted by itself,
-    and the first row of each bucket is copied to the end of the bucket before it. Only the
-    quantiles reach the driver.
+    Null ids come last, rows of equal id by the hash of their texts. A column named next_col is
+    replaced, all others stay, whatever their names. Rows are dealt into buckets of consecutive
+    ids (quantiles of the ids, and quantiles within each of these), every bucket is sorted by
+    itself, and the first row of each bucket is copied to the end of the one before it. The
+    bounds, QUANTILES * QUANTILES at most, are all that is broadcast, QUANTILES reach the driver.
     """
+    keep = docs.drop(next_col)
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
-    at = docs.select(key.alias("_key")).agg(F.percentile_approx("_key", [i / QUANTILES for i in range(QUANTILES + 1)], 10_000).alias("at"), F.count("*").alias("n")).first()
+    keyed = keep.select(F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in keep.columns)).alias("row"), key.alias("key"))
+    at = keyed.agg(F.percentile_approx("key", [i / QUANTILES for i in range(QUANTILES + 1)], 10_000).alias("at"), F.count("*").alias("n")).first()
     bounds = sorted(set(at["at"] or [0]))
-    cuts = -(-at["n"] // (QUANTILES * BUCKET_ROWS)) or 1
-    low = F.array(*(F.lit(b) for b in bounds))
-    high = F.array(*(F.lit(b) for b in [*bounds[1:], bounds[-1]]))
-    place = F.greatest(F.size(F.filter(low, lambda b: b <= F.col("_key"))), F.lit(1))
-    share = (F.col("_key").cast("double") - F.get(low, F.col("_place") - 1)) / (F.get(high, F.col("_place") - 1).cast("double") - F.get(low, F.col("_place") - 1) + 1)
-    cut = F.greatest(F.lit(0), F.least(F.lit(cuts - 1), F.floor(share * cuts)))
+    cuts = min(-(-at["n"] // (QUANTILES * BUCKET_ROWS)) or 1, QUANTILES)
+    # Quantiles reach into each other where their keys are equal; equal keys share a place and a bucket.
+    place = F.greatest(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("key"))), F.lit(1)).alias("place")
+    ids = keyed.select("key", place)
+    inner = F.broadcast(ids.groupBy("place").agg(F.array_distinct(F.percentile_approx("key", [i / cuts for i in range(cuts)], 2000)).alias("inner")))
 
     def dealt(df: DataFrame) -> DataFrame:
-        return df.withColumn("_key", key).withColumn("_place", place).withColumn("_bucket", F.col("_place").cast("long") * cuts + cut)
-
-    tops = dealt(docs.select(id_col)).groupBy("_bucket").agg(F.max("_key").alias("_top"))  # a row for each bucket
-    order = Window.orderBy(F.desc("_bucket"))
-    before = F.coalesce(F.lag("_bucket").over(order), F.min("_bucket").over(Window.partitionBy()))
-    tops = tops.withColumn("_before", before)
-    rows = dealt(docs).join(tops, "_bucket")
-    copies = F.array_compact(F.array(F.struct(F.col("_bucket").alias("b"), F.lit(0).alias("ghost")), F.when(F.col("_key") == F.col("_top"), F.struct(F.col("_before").alias("b"), F.lit(1).alias("ghost")))))
-    spread = rows.select(*docs.columns, "_key", F.explode(copies).alias("_copy"))
-    window = Window.partitionBy("_copy.b").orderBy("_copy.ghost", F.desc("_key"), F.xxhash64(text_col))
-    return spread.withColumn(next_col, F.lead(text_col).over(window)).where(F.col("_copy.ghost") == 0).select(*docs.columns, next_col)
+        cut = F.greatest(F.size(F.filter("inner", lambda b: b <= F.col("key"))), F.lit(1))
+        return df.join(inner, "place").withColumn("bucket", F.col("place").cast("long") * (QUANTILES + 1) + cut)
+
+    # Of each bucket its highest id, and the bucket above it: within its place, else the lowest one of the next place; above all is the lowest.
+    tops = dealt(ids).groupBy("place", "bucket").agg(F.max("key").alias("top"))
+    lowest = tops.groupBy("place").agg(F.min("bucket").alias("lowest"))  # QUANTILES rows at most
+    above = F.coalesce(F.lag("lowest").over(Window.orderBy(F.desc("place"))), F.min("lowest").over(Window.partitionBy()))
+    tops = tops.withColumn("next_up", F.lag("bucket").over(Window.partitionBy("place").orderBy(F.desc("bucket"))))
+    tops = tops.join(F.broadcast(lowest.select("place", above.alias("above"))), "place").select("bucket", "top", F.coalesce("next_up", "above").alias("before"))
+    rows = dealt(keyed.select("row", "key", place)).join(F.broadcast(tops), "bucket")  # a row for each bucket
+    copies = F.array_compact(F.array(F.struct(F.col("bucket").alias("b"), F.lit(0).alias("ghost")), F.when(F.col("key") == F.col("top"), F.struct(F.col("before").alias("b"), F.lit(1).alias("ghost")))))
+    spread = rows.select("row", "key", F.explode(copies).alias("copy"))
+    text = F.col("row")[text_col]
+    window = Window.partitionBy("copy.b").orderBy("copy.ghost", F.desc("key"), F.xxhash64(text))
+    return spread.withColumn("next", F.lead(text).over(window)).where(F.col("copy.ghost") == 0).select("row.*", F.col("next").alias(next_col))
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,9 +122,33 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edited_fingerprints(documents: DataFrame) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, both fingerprints and likenesses of each row of documents (doc_id, text).
+
+    The edited text is the text with its last third replaced by the beginning of the next one's,
+    by descending id. Null texts count as empty; a single row is followed by itself; rows with
+    null or repeated ids are rows like others (see with_next for their order). Other columns are
+    not looked at.
+    """
     docs = with_next(documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id", "text")
     n = F.length("text")
     docs = docs.select("doc_id", n.cast("long").alias("n_chars"), "text", "next_text", F.concat(F.expr("substring(text, 1, cast(length(text) - floor(length(text) / 3) AS int))"), F.expr("substring(next_text, 1, cast(floor(length(text) / 3) AS int))")).alias("edited"))
     trees = docs.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), fingerprint(F.col("text")).alias("own"), fingerprint(F.col("edited")).alias("new"), fingerprint(F.col("next_text")).alias("next"))
     out = trees.select("doc_id", "n_chars", "edited_sha256", encoded(F.col("own")).alias("fingerprint"), encoded(F.col("new")).alias("edited_fingerprint"), sentences(F.col("own")).alias("own"), sentences(F.col("new")).alias("new"), sentences(F.col("next")).alias("next"))
     return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("own"), F.col("new")).alias("near_edited"), likeness(F.col("own"), F.col("next")).alias("near_next"))
+
+
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+o AS (SELECT doc_id, t, length(t) AS n, coalesce(lead(t) OVER (ORDER BY doc_id DESC), first_value(t) OVER (ORDER BY doc_id DESC)) AS nx FROM d),
+e AS (SELECT *, substr(t, 1, n - n // 3) || substr(nx, 1, n // 3) AS ed FROM o),
+u AS (SELECT doc_id, 'own' AS k, t FROM e UNION ALL SELECT doc_id, 'new', ed FROM e UNION ALL SELECT doc_id, 'next', nx FROM e),
+p AS (SELECT doc_id, k, list_transform(string_split(t, chr(10) || chr(10)), lambda s: list_transform(string_split(s, chr(10)), lambda p: {'h': sha256(p), 's': list_transform(regexp_extract_all(p, '(?s).{1,24}?(?:[.!?]+[ \t\n\f\r]*|\z)|.{24}'), lambda x: substr(md5(x), 1, 8))})) AS ps FROM u),
+s AS (SELECT doc_id, k, list_transform(ps, lambda x: {'h': sha256(array_to_string(list_transform(x, lambda p: p.h), '')), 'p': x}) AS ss FROM p),
+f AS (SELECT doc_id, k, sha256(array_to_string(list_transform(ss, lambda x: x.h), '')) || '=' || array_to_string(list_transform(ss, lambda x: substr(x.h, 1, 16) || '{' || array_to_string(list_transform(x.p, lambda p: substr(p.h, 1, 16) || '(' || array_to_string(p.s, '') || ')'), '') || '}'), '') AS f,
+  list_distinct(flatten(list_transform(ss, lambda x: flatten(list_transform(x.p, lambda p: p.s))))) AS w FROM s),
+g AS (SELECT doc_id, any_value(f) FILTER (WHERE k = 'own') AS fingerprint, any_value(f) FILTER (WHERE k = 'new') AS edited_fingerprint, any_value(w) FILTER (WHERE k = 'own') AS own, any_value(w) FILTER (WHERE k = 'new') AS new, any_value(w) FILTER (WHERE k = 'next') AS nxt FROM f GROUP BY doc_id)
+SELECT e.doc_id, CAST(n AS BIGINT) AS n_chars, sha256(ed) AS edited_sha256, fingerprint, edited_fingerprint,
+CASE WHEN len(own) + len(new) = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect(own, new)) / (len(own) + len(new)) END AS near_edited,
+CASE WHEN len(own) + len(nxt) = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect(own, nxt)) / (len(own) + len(nxt)) END AS near_next
+FROM e JOIN g ON g.doc_id = e.doc_id
+"""

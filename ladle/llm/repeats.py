@@ -441,3 +441,17 @@ def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without passages of 50 bytes that smaller ids have."""
     out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
+OP5_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, unnest(range(0, len(h) // 2 - 49)) AS i, unnest(list_transform(range(0, len(h) // 2 - 49), lambda i: substr(h, 2 * i + 1, 100))) AS s FROM d WHERE len(h) >= 100),
+m AS (SELECT s, min(doc_id) AS first_id FROM w GROUP BY s),
+c AS (SELECT doc_id, i, i > lag(i, 1, -100) OVER (PARTITION BY doc_id ORDER BY i) + 50 AS new FROM w JOIN m ON m.s = w.s WHERE doc_id > first_id),
+k AS (SELECT doc_id, i, sum(CAST(new AS INT)) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM c),
+r AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM k GROUP BY doc_id, run),
+l AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, list(a ORDER BY a) AS starts, list(b ORDER BY a) AS ends FROM r GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+sha256(unhex(CASE WHEN l.doc_id IS NULL THEN h ELSE array_to_string(list_transform(range(1, CAST(n_spans AS BIGINT) + 2), lambda j: substr(h, 2 * coalesce(ends[j - 1], 0) + 1, 2 * (coalesce(starts[j], len(h) // 2) - coalesce(ends[j - 1], 0)))), '') END)) AS kept_sha256
+FROM d LEFT JOIN l ON l.doc_id = d.doc_id
+"""

@@ -118,8 +118,8 @@ def judge(pages: DataFrame, url_col: str = "url", rules: list[tuple[str, str]] =
     host: from behind the first `://` to `/`, `?`, `#` or the end, A-Z lower-cased; path: from
     there to `?`, `#` or the end; both empty for a null URL or one without `://`. The longest
     fitting rule gives the verdict (the first of equally long ones); without one, a glob that
-    matches host and path blocks and all else is allowed. Columns of pages named like the new
-    ones are replaced. Rules and globs are parameters, so their tables go to every task.
+    matches host and path blocks and all else is allowed. Repeated rows stay. Columns of pages
+    named like the new ones are replaced, all others stay. Rules and globs are parameters, so their tables go to every task.
     """
     new = ["host", "path", "rule", "verdict"]
     keep = pages.drop(*new)
@@ -127,7 +127,8 @@ def judge(pages: DataFrame, url_col: str = "url", rules: list[tuple[str, str]] =
     rest = F.when(F.instr(url, "://") > 0, F.substring_index(F.expr(f"substring({_sql(url_col)}, instr({_sql(url_col)}, '://') + 3)"), "#", 1)).otherwise(F.lit(""))
     rest = F.substring_index(rest, "?", 1)
     host = F.substring_index(rest, "/", 1)
-    ready = keep.withColumn("_rest", rest).select(*(c for c in keep.columns if c != url_col), F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("host"), F.expr("substring(_rest, length(substring_index(_rest, '/', 1)) + 1)").alias("path"))
+    path = F.substring(rest, F.length(host) + 1, F.length(rest))
+    ready = keep.select(*(F.col(_sql(c)) for c in keep.columns if c != url_col), F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("host"), path.alias("path"))
     machine = automaton([rule_pattern(r) for _, r in rules] + [glob_pattern(g) for g in globs])
     names = ready.columns
     out = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in ready.schema] + ["rule string", "verdict string"])
