@@ -17,16 +17,32 @@ from ladle.llm.shared import bounded_batches, table, written
 LEAST_LANGUAGE_SHARE = 0.5
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """name, lengthened until docs has no column of that name."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text is in one of the languages that docs declare (null and empty texts go)."""
+    """Documents whose text is in one of the languages that docs declare.
+
+    Null and empty texts and such without a letter go, as does every row where docs declare no
+    language; repeated rows stay.
+    """
     bounded_batches(spark)
     model = langid.fit(docs.select("doc_id", "text", "lang"))
-    found = langid.predict(docs, model, lang_col="_lang", score_col="_share")
-    return found.where((F.col("_lang") != langid.UNDETERMINED) & (F.col("_share") >= LEAST_LANGUAGE_SHARE)).select(*docs.columns)
+    lang, share = _free(docs, "predicted"), _free(docs, "share")
+    found = langid.predict(docs, model, lang_col=lang, score_col=share)
+    return found.where((F.col(lang) != langid.UNDETERMINED) & (F.col(share) >= LEAST_LANGUAGE_SHARE)).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one of the smallest id, of each group of near-duplicates (five-word shingles, similarity 0.8)."""
+    """One document, the one of the smallest id, of each group of near-duplicates (five-word shingles, similarity 0.8).
+
+    Null and empty texts and rows with a null id stay; rows that repeat an id stay or go together.
+    """
     bounded_batches(spark)
     gone = neardup.near_duplicates(docs, width=5, percent=80).where(~F.col("kept")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
@@ -36,6 +52,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Texts without passages of 50 bytes that documents of smaller ids have; n_chars follows.
 
     A code point cut in two leaves U+FFFD. A text of which nothing is left stays as an empty one.
+    Null texts and rows with a null id stay as they are; rows that repeat an id don't count
+    against each other.
     """
     bounded_batches(spark)
     out = repeats.remove_repeats(docs)
@@ -45,14 +63,15 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; null and empty texts and repeated rows stay."""
     bounded_batches(spark)
-    found = decontaminate.with_matches(docs, table(spark, sf_dir, "benchmark"), out_col="_matches")
-    return found.where(F.size("_matches") == 0).select(*docs.columns)
+    matches = _free(docs, "matches")
+    found = decontaminate.with_matches(docs, table(spark, sf_dir, "benchmark"), out_col=matches)
+    return found.where(F.size(matches) == 0).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with digests of them and of the bytes they decode to."""
+    """Token ids of every document, with digests of them and of the bytes they decode to (null and empty texts: no ids)."""
     bounded_batches(spark)
     import public_tokenizers
 
@@ -63,7 +82,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("language ID", language), ("MinHash near-dedup", near_dedup), ("suffix-array dedup", repeated_passages), ("benchmark decontamination", benchmark_free), ("byte-level BPE", tokens)]
-#: SQL can't express the language model, the edit distances or the tokens; tests/llm checks the stages by brute force.
+#: SQL can't express the language model, the edit distances or the tokens; tests/llm compares run() with a plain pipeline on a fixture.
 ORACLE_SQL = None
 
 
