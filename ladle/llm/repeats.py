@@ -268,8 +268,8 @@ def _judge_contexts(blobs: DataFrame) -> DataFrame:
     return blobs.mapInArrow(run, _CODES)
 
 
-def _send_windows(rows: DataFrame, length: int, count: int) -> DataFrame:
-    """rows: doc, copy, text, asked: array<struct<first, number>>."""
+def _send_windows(rows: DataFrame, length: int, text_at: int, count: int) -> DataFrame:
+    """rows: doc, copy, row (the caller's columns, the text at `text_at`), asked: array<struct<first, number>>."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gathered: list[dict[str, np.ndarray]] = []
@@ -290,7 +290,7 @@ def _send_windows(rows: DataFrame, length: int, count: int) -> DataFrame:
         texts_seen = 0
         for batch in batches:
             docs, copies = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            offsets, data = text_bytes(batch.column(2))
+            offsets, data = text_bytes(batch.column(2).field(text_at))
             asked = batch.column(3)
             for a, b in steps(offsets):
                 part = asked.slice(a, b - a)
@@ -426,11 +426,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     dealt = keyed.drop("text").repartition(parts, "doc", "copy")  # one shuffle of the texts, which both joins below read
     asked = codes.where(F.col("kind") == ASKED)
     count = ranges(asked.agg(F.sum("number")).first()[0])
-    spans = dealt.join(asked.groupBy("doc", "copy").agg(span.alias("asked")), ["doc", "copy"]).select("doc", "copy", F.col("row")[text_col].alias("text"), "asked")
-    windows = _judge_windows(_by_range(_send_windows(spans, length, count), count, parts))
+    spans = dealt.join(asked.groupBy("doc", "copy").agg(span.alias("asked")), ["doc", "copy"]).select("doc", "copy", "row", "asked")  # whole rows, so that the shuffle is the same
+    text_at = keep.columns.index(text_col)
+    windows = _judge_windows(_by_range(_send_windows(spans, length, text_at, count), count, parts))
     covered = codes.where(F.col("kind") == COVERED).select("doc", "copy", "first", "number").union(windows.select("doc", "copy", "first", "number")).groupBy("doc", "copy").agg(span.alias("covered"))
     rows = dealt.join(covered, ["doc", "copy"], "left")
-    return _cut(rows, length, keep.columns.index(text_col)).select("row.*", "kept_bytes", "n_bytes", "n_removed", "n_spans")
+    return _cut(rows, length, text_at).select("row.*", "kept_bytes", "n_bytes", "n_removed", "n_spans")
 
 
 def _quoted(name: str) -> str:
