@@ -417,8 +417,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return parts * max(-(-(entries or 0) // (parts * RANGE)), 1)
 
     keep = docs.drop("kept_bytes", "n_bytes", "n_removed", "n_spans")
-    keyed = keep.select(F.col(id_col).cast("long").alias("doc"), F.hash(text_col).alias("copy"), F.col(text_col).alias("text"), F.struct(*(F.col(_quoted(c)) for c in keep.columns)).alias("row"))
-    texts = keyed.where(F.col("doc").isNotNull() & (F.octet_length("text") >= length)).select("doc", "copy", "text")
+    # A null id becomes one that is never judged: a key that can be null would add a filter to one of the joins, and its shuffle.
+    nobody = F.lit(-(2**63))
+    keyed = keep.select(F.coalesce(F.col(id_col).cast("long"), nobody).alias("doc"), F.hash(text_col).alias("copy"), F.col(text_col).alias("text"), F.struct(*(F.col(_quoted(c)) for c in keep.columns)).alias("row"))
+    texts = keyed.where((F.col("doc") != nobody) & (F.octet_length("text") >= length)).select("doc", "copy", "text")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0]
     count = ranges(2 * (size or 0) // (length - KMER + 2))  # an anchor serves half as many windows as it could, on average
     codes = written(_judge_contexts(_by_range(_send_contexts(texts, length, count), count, parts)))
