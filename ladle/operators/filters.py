@@ -93,17 +93,12 @@ def title_flags(recipes: DataFrame, meat: list[str] = MEAT, allium: list[str] =
     return recipes.withColumns({"foreign": non_latin("title"), "has_meat": any_keyword("title", meat), "has_allium": any_keyword("title", allium), "has_dairy": any_keyword("title", dairy)})
 
 
-def passing_pairs(profiles: DataFrame, flagged: DataFrame) -> DataFrame:
-    """(profile, recipe) pairs that no hard constraint rejects.
-
-    The result is every user with every recipe that suits, so it is a product by nature; users
-    of equal constraints share one matching, and only then are they listed.
-    """
-    kinds = profiles.withColumns({"veg": F.col("diet").isin("pure_veg", "vegetarian"), "no_allium": F.col("allium_status") != "both", "dairy_free": F.col("is_dairy_free"), "prohibitions": F.array_sort(F.transform("prohibitions", F.lower))})
-    key = ["veg", "no_allium", "dairy_free", "prohibitions"]
-    suits = ~F.col("foreign") & ~(F.col("veg") & F.col("has_meat")) & ~(F.col("no_allium") & F.col("has_allium")) & ~(F.col("dairy_free") & F.col("has_dairy")) & ~F.exists("prohibitions", lambda p: F.contains(F.lower("title"), p))
-    matched = kinds.select(*key).distinct().join(flagged, suits)
-    return kinds.join(matched, key)
+def passing_pairs(pairs: DataFrame, profiles: DataFrame, flagged: DataFrame) -> DataFrame:
+    """The pairs (user_id, recipe_id) that no hard constraint rejects, with the columns of profiles and title_flags."""
+    veg, no_allium = F.col("diet").isin("pure_veg", "vegetarian"), F.col("allium_status") != "both"
+    breaks = F.col("foreign") | (veg & F.col("has_meat")) | (no_allium & F.col("has_allium")) | (F.col("is_dairy_free") & F.col("has_dairy"))
+    prohibited = F.exists("prohibitions", lambda p: F.contains(F.lower("title"), F.lower(p)))
+    return pairs.join(profiles, "user_id").join(flagged, "recipe_id").where(~(breaks | prohibited))
 
 
 def first_reason(**reasons: Column) -> Column:
@@ -117,7 +112,7 @@ def retryable(raw: DataFrame, processed: DataFrame, key: str, attempts: int = 3)
 
 def allowed_tags(tags: DataFrame, dimensions: DataFrame) -> DataFrame:
     """Tags of known dimensions whose values are all allowed (a dimension without a list allows any). tags: values array."""
-    joined = tags.join(F.broadcast(dimensions.select("dimension", "allowed_values")), "dimension")  # the taxonomy: a fixed, small table
+    joined = tags.join(dimensions.select("dimension", "allowed_values"), "dimension")
     return joined.where(F.col("allowed_values").isNull() | (F.size(F.array_except("values", "allowed_values")) == 0)).drop("allowed_values")
 
 

@@ -35,11 +35,16 @@ def symmetric_pairs(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "method").agg(F.max(F.struct("computed_at", "score")).alias("last")).select("a", "b", "method", "last.score")
 
 
-def complement(dishes: DataFrame, mapping: dict[str, list[str]], recipes: DataFrame, kind: str) -> DataFrame:
-    """(dish_id, recipe_id) of recipes whose kind goes with a dish's kind."""
-    pairs = [(k, v) for k, vs in mapping.items() for v in vs]
-    table = dishes.sparkSession.createDataFrame(pairs, "dish_kind string, other_kind string")
-    return dishes.join(F.broadcast(table), "dish_kind").join(recipes.withColumnRenamed(kind, "other_kind"), "other_kind").select("dish_id", "recipe_id").distinct()
+def complement(dishes: DataFrame, mapping: dict[str, list[str]], recipes: DataFrame, kind: str, order: list[Column], k: int) -> DataFrame:
+    """(dish_id, recipe_id) of the k first recipes of the kinds that go with a dish's kind.
+
+    The k first are found once for each kind of dish, and only then given to the dishes.
+    """
+    pairs = [(d, r) for d, rs in mapping.items() for r in rs]
+    table = dishes.sparkSession.createDataFrame(pairs, f"dish_kind string, `{kind}` string")
+    rank = F.row_number().over(Window.partitionBy("dish_kind").orderBy(*order))
+    best = recipes.join(table, kind).withColumn("rank", rank).where(F.col("rank") <= k).select("dish_kind", "recipe_id")
+    return dishes.join(best, "dish_kind").select("dish_id", "recipe_id")
 
 
 def pantry_match(ingredients: DataFrame, master: DataFrame, pantry: list[str]) -> DataFrame:
@@ -81,8 +86,12 @@ def array_totals(plans: DataFrame, key: str, ids: str, values: DataFrame, column
     return plans.select(key).join(sums, key, "left").na.fill(0, columns)
 
 
-def scored_pairs(users: DataFrame, recipes: DataFrame, match: Column, score: Column, k: int, least: float) -> DataFrame:
-    """The k best recipes of each user whose score is at least `least`; match prunes pairs before they are scored."""
-    pairs = users.join(recipes, match).withColumn("score", score).where(F.col("score") >= least)
-    rank = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("score"), "recipe_id"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
+def scored_pairs(users: DataFrame, recipes: DataFrame, match: Column, score: Column, k: int, least: float, kinds: list[str]) -> DataFrame:
+    """The k best recipes of each user whose score is at least `least`; match prunes pairs before they are scored.
+
+    kinds: the columns of users that match and score look at. Users that agree on them share
+    one ranking, so the pairs that are scored grow with the kinds, not with the users.
+    """
+    pairs = users.select(*kinds).distinct().join(recipes, match).withColumn("score", score).where(F.col("score") >= least)
+    rank = F.row_number().over(Window.partitionBy(*kinds).orderBy(F.desc("score"), "recipe_id"))
+    return users.join(pairs.withColumn("rank", rank).where(F.col("rank") <= k), kinds)

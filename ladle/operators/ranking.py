@@ -19,13 +19,17 @@ def page(df: DataFrame, order: list[str], offset: int, limit: int, total: bool =
     return out.join(F.broadcast(df.agg(F.count("*").alias("total")))) if total else out  # one row
 
 
+def _seeded(key: str, seed: int) -> Column:
+    return F.md5(F.concat_ws(":", key, F.lit(seed)).cast("binary"))
+
+
 def hash_pick(df: DataFrame, key: str, k: int, seed: int) -> DataFrame:
     """k rows in the order of a seeded hash: a random choice that can be repeated."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(k)
+    return df.orderBy(_seeded(key, seed), key).limit(k)
 
 
 def sample_per(df: DataFrame, group: list[str], key: str, seed: int, k: int = 1) -> DataFrame:
-    return top_per(df, group, [F.xxhash64(F.col(key), F.lit(seed)), F.col(key)], k)
+    return top_per(df, group, [_seeded(key, seed), F.col(key)], k)
 
 
 def duplicates_after_first(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -57,13 +61,14 @@ def quota_union(branches: list[DataFrame], group: list[str], key: str, limit: in
     return top_per(first, group, [F.col("branch"), F.col(key)], limit)
 
 
-def card_buckets(buckets: list[tuple[str, DataFrame, int]], user: str, order: Column, cap: int) -> DataFrame:
-    """Per user the first rows of each bucket, bucket after bucket up to cap; a card may stand in two buckets."""
+def card_buckets(buckets: list[tuple[str, DataFrame, list[Column], int]], user: str, cap: int) -> DataFrame:
+    """Per user the first rows of each bucket (name, rows, order, quota), bucket after bucket up to cap; a card may stand in two buckets."""
     every = None
-    for i, (name, df, k) in enumerate(buckets):
-        cards = top_per(df, [user], [order], k).withColumns({"card_type": F.lit(name), "_bucket": F.lit(i)})
+    for i, (name, df, order, k) in enumerate(buckets):
+        place = F.row_number().over(Window.partitionBy(user).orderBy(*order))
+        cards = df.withColumn("_place", place).where(F.col("_place") <= k).withColumns({"card_type": F.lit(name), "_bucket": F.lit(i)})
         every = cards if every is None else every.unionByName(cards)
-    return top_per(every, [user], [F.col("_bucket"), order], cap).drop("_bucket")
+    return top_per(every, [user], [F.col("_bucket"), F.col("_place")], cap).drop("_bucket", "_place")
 
 
 def reachable(links: DataFrame, start: DataFrame, depth: int) -> DataFrame:

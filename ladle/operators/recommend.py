@@ -30,34 +30,139 @@ def overall_score(parts: dict[str, Column], weights: dict[str, float] = OVERALL)
     return F.when(parts["dietary"] == 0, 0.0).otherwise(weighted(parts, weights))
 
 
-def preference_score(region: Column, spice: Column, time: Column) -> Column:
-    """Mean of matched terms; a miss (null) counts with half its weight and no score. Weights 0.4, 0.35, 0.25."""
-    terms = [(region, 0.4), (spice, 0.35), (time, 0.25)]
-    score = sum((F.coalesce(t, F.lit(0.0)) * w for t, w in terms), F.lit(0.0))
-    mass = sum((F.when(t.isNull(), w * 0.5).otherwise(w) for t, w in terms), F.lit(0.0))
-    return score / mass
+def preference_score(region: Column, spice: Column, flavour: Column, time: Column) -> Column:
+    """Terms (0 to 1; null: the user or recipe says nothing) over their weights; region and flavour that miss (0) weigh half. 0.5 without any term."""
+    miss = {0: region, 1: flavour}
+    score = sum((F.coalesce(t, F.lit(0.0)) for t in (region, spice, flavour, time)), F.lit(0.0))
+    mass = sum((F.when(t.isNull(), 0.0).when(t == 0, 0.5).otherwise(1.0) for t in miss.values()), F.lit(0.0))
+    mass = mass + sum((F.when(t.isNull(), 0.0).otherwise(1.0) for t in (spice, time)), F.lit(0.0))
+    return F.when(mass > 0, score / mass).otherwise(0.5)
+
+
+def time_score(budget: Column, minutes: Column) -> Column:
+    return F.when(minutes > 0, F.least(F.lit(1.0), budget / minutes))
+
+
+def dietary_score() -> Column:
+    """0 if a diet that the user (allium_status, is_vrat, is_diabetic, excluded) keeps is broken by the recipe (is_jain, suits_vrat, suits_diabetic, names), else 1."""
+    broken = (F.col("allium_status") == "no_both") & ~F.col("is_jain") | F.col("is_vrat") & ~F.col("suits_vrat") | F.col("is_diabetic") & ~F.col("suits_diabetic")
+    return F.when(broken | F.array_contains("names", F.col("excluded")), 0.0).otherwise(1.0)
+
+
+def dish_features(recipes: DataFrame, tags: DataFrame, ingredients: DataFrame, master: DataFrame, ratings: DataFrame, as_of: Column) -> DataFrame:
+    """Recipes that have tags, with all that scores look at: spice, regions, textures, names, diets they suit, rating, freshness."""
+    from ladle.functions.text import freshness_linear, whole_days
+    from ladle.operators.dietary import dietary_rules
+    from ladle.operators.learning import bayesian_rating, rating_aggregate
+
+    def values(dimension: str) -> Column:
+        return F.collect_set(F.when(F.col("dimension") == dimension, F.col("tag_value")))
+
+    spice = F.min(F.when(F.col("dimension") == "spice", F.substring("tag_value", 7, 2).cast("int")))
+    tagged = tags.groupBy("recipe_id").agg(spice.alias("spice"), values("region").alias("regions"), values("texture").alias("textures"))
+    names = ingredients.join(master, "ingredient_id").groupBy("recipe_id").agg(F.collect_set(F.lower("standard_name")).alias("names"))
+    rules = dietary_rules(recipes, ingredients, master).select("recipe_id", "is_jain", F.col("is_vrat").alias("suits_vrat"), F.col("is_diabetic_friendly").alias("suits_diabetic"))
+    rated = rating_aggregate(ratings).select("recipe_id", "total_ratings", "average_rating")
+    full = recipes.join(tagged, "recipe_id").join(names, "recipe_id").join(rules, "recipe_id").join(rated, "recipe_id", "left")
+    rating = bayesian_rating(F.col("total_ratings"), F.col("average_rating"))
+    return full.withColumns({"rating": rating, "freshness": freshness_linear(whole_days(F.col("processed_at"), as_of))}).drop("total_ratings", "average_rating")
+
+
+#: What a score looks at of a profile; users that agree on all of it share one ranking.
+KIND = ["region_1", "region_2", "heat", "flavour", "time_budget", "allium_status", "is_vrat", "is_diabetic", "excluded"]
+
+
+def candidates(profiles: DataFrame, dishes: DataFrame, k: int | None, slots: bool = False) -> DataFrame:
+    """For each kind of user the k best dishes of its regions, with preference, dietary and base (the overall score but for a loss of diversity).
+
+    Dishes meet kinds by region, so no kind is held against every dish; a dish of both regions
+    counts once. slots: k of each meal slot. k None: all of them, unranked.
+    """
+    kinds = profiles.select(*KIND).distinct()
+    wanted = F.array(F.struct(F.col("region_1").alias("region"), F.lit(None).cast("string").alias("but")), F.struct(F.col("region_2").alias("region"), F.col("region_1").alias("but")))
+    asked = kinds.select(*KIND, F.explode(wanted).alias("w")).select(*KIND, "w.*").where("but IS NULL OR region <> but")
+    of_region = dishes.withColumn("region", F.explode("regions"))
+    pairs = asked.join(of_region, "region").where("but IS NULL OR NOT array_contains(regions, but)").drop("region", "but")
+    terms = {"preference": preference_score(F.lit(1.0), F.greatest(F.lit(0.0), 1 - F.abs(F.col("spice") - F.col("heat")) / 4), F.array_contains("textures", F.col("flavour")).cast("double"), time_score(F.col("time_budget"), F.col("total_time_minutes"))), "dietary": dietary_score()}
+    scored = pairs.withColumns(terms)
+    base = overall_score({"rating": F.col("rating"), "preference": F.col("preference"), "dietary": F.col("dietary"), "diversity": F.lit(1.0), "freshness": F.col("freshness")})
+    group = [*KIND, "meal_slot"] if slots else KIND
+    rank = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("base"), "recipe_id"))
+    good = scored.withColumn("base", F.round(base, 9)).where("base > 0")
+    return good if k is None else good.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def with_diversity(pairs: DataFrame, shown: DataFrame, as_of: Column, days: int = 14) -> DataFrame:
+    """pairs (user_id, recipe_id, base) with the overall score: less where the user was shown the recipe in the last days."""
+    from ladle.functions.text import diversity_decay, whole_days
+
+    ago = whole_days(F.col("recommended_at"), as_of)
+    last = shown.groupBy("user_id", "recipe_id").agg(F.min(ago).alias("ago"), F.bool_or(F.col("was_saved") | F.col("was_cooked")).alias("liked"))
+    loss = OVERALL["diversity"] * (1 - diversity_decay(F.col("ago"), F.col("liked"), days))
+    return pairs.join(last, ["user_id", "recipe_id"], "left").withColumn("score", F.round(F.col("base") - loss, 9)).drop("ago", "liked")
+
+
+def personalized(profiles: DataFrame, dishes: DataFrame, shown: DataFrame, as_of: Column, k: int = 10, least: float = 0.3) -> DataFrame:
+    """The k best dishes of each user by the overall score.
+
+    What a user was shown only lowers scores, so the best k lie among the first k + n of the
+    user's kind, n being the number of recipes that the user was shown.
+    """
+    seen = shown.select("user_id", "recipe_id").distinct().groupBy("user_id").agg(F.count("*").alias("n"))
+    most = seen.agg(F.max("n")).first()[0] or 0
+    users = profiles.select("user_id", *KIND).join(seen, "user_id", "left")
+    pairs = users.join(candidates(profiles, dishes, k + most), KIND).where(F.col("rank") <= k + F.coalesce("n", F.lit(0))).select("user_id", "recipe_id", "base")
+    rank = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("score"), "recipe_id"))
+    return with_diversity(pairs, shown, as_of).where(F.col("score") >= least).withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def card_score(region: Column, style: Column, gravy: Column, spice: Column, time: Column, discovered: Column) -> Column:
     return F.least(F.lit(1.0), 0.30 * region + 0.25 * style + 0.15 * gravy + 0.10 * spice + 0.10 * time + 0.10 * discovered)
 
 
-def hybrid_recommendations(candidates: DataFrame, excluded: DataFrame, fallback_below: int = 5, k: int = 10, pool: int = 30) -> DataFrame:
+def card_scores(pairs: DataFrame, affinity: DataFrame, discovered: DataFrame) -> DataFrame:
+    """pairs of users and dishes with card_score. affinity: user_id, tag_value, affinity of regions; discovered: user_id, bonus."""
+    from ladle.functions.text import gravy_match, style_match
+
+    of_user = affinity.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("tag_value", "affinity"))).alias("affinities"))  # as many as regions
+    both = pairs.join(of_user, "user_id", "left").join(discovered, "user_id", "left")
+    known = F.coalesce("affinities", F.create_map().cast("map<string,double>"))
+    region = F.array_max(F.transform("regions", lambda r: F.coalesce(F.try_element_at(known, r), F.lit(0.3))))
+    wanted = F.when(F.col("style") == "rich", F.array(F.lit("LARGE"), F.lit("PROMO"))).otherwise(F.array(F.lit("SMALL"), F.lit("ECONOMY")))
+    served = F.transform("textures", lambda x: F.when(x == "STANDARD", "gravy").when(x == "MEDIUM", "dry").otherwise(x))
+    spice = F.greatest(F.lit(0.0), 1 - F.abs(F.col("spice") - F.col("heat")) / 4)
+    score = card_score(region, style_match(F.col("style"), F.col("textures"), wanted), gravy_match(F.col("gravy"), served), spice, time_score(F.col("time_budget"), F.col("total_time_minutes")), F.coalesce("bonus", F.lit(0.0)))
+    return both.withColumn("score", F.round(score, 9)).drop("affinities", "bonus")
+
+
+#: Weights where what is in the pantry counts most.
+PANTRY = {"pantry": 0.50, "vector": 0.25, "feedback": 0.15, "diversity": 0.05, "freshness": 0.05}
+
+
+def hybrid_recommendations(hits: DataFrame, suits: DataFrame, excluded: DataFrame, feedback: DataFrame, pantry: DataFrame | None = None, fallback_below: int = 5, pool: int = 100, k: int = 10) -> DataFrame:
     """The k best recipes of each user (user_id, recipe_id, score, rank).
 
-    candidates: user_id, recipe_id, title, vector (similarity), feedback (-1 to 1), freshness.
-    Excluded pairs go, unless that leaves a user fewer than fallback_below candidates. Diversity
-    is judged within each user's `pool` best by similarity.
+    hits: user_id, recipe_id, vector (similarity) of the nearest recipes. suits: those pairs that
+    break no hard constraint, with title and freshness. Excluded pairs go, unless that leaves a
+    user fewer than fallback_below; the pool first by similarity stay. feedback: user_id, tag,
+    score and recipe_id, tag are joined by the caller into user_id, recipe_id, feedback (-1 to 1).
+    Diversity is judged against the better ones by similarity. pantry (recipe_id, score, matched):
+    recipes without a match go, and the match counts most.
     """
     from ladle.operators.joins import diversity
 
-    flagged = candidates.join(excluded.withColumn("_out", F.lit(1)), ["user_id", "recipe_id"], "left")
-    left = F.count_if(F.col("_out").isNull()).over(Window.partitionBy("user_id"))
-    open_ = flagged.withColumn("_left", left).where(F.col("_out").isNull() | (F.col("_left") < fallback_below)).drop("_out", "_left")
-    ranked = open_.withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("vector"), "recipe_id"))).where(F.col("rank") <= pool)
-    parts = {"vector": F.col("vector"), "feedback": F.greatest(F.lit(0.0), (F.col("feedback") + 1) / 2), "diversity": F.col("diversity"), "freshness": F.col("freshness")}
-    scored = diversity(ranked).withColumn("score", weighted(parts, HYBRID)).drop("rank")
-    best = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc(F.round("score", 9)), "recipe_id"))
+    flagged = hits.join(suits, ["user_id", "recipe_id"]).join(excluded.withColumn("out", F.lit(True)), ["user_id", "recipe_id"], "left")
+    left = F.count_if(F.col("out").isNull()).over(Window.partitionBy("user_id"))
+    open_ = flagged.withColumn("left", left).where(F.col("out").isNull() | (F.col("left") < fallback_below)).drop("out", "left")
+    rank = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("vector"), "recipe_id"))
+    ranked = open_.withColumn("rank", rank).where(F.col("rank") <= pool)
+    parts = {"vector": F.col("vector"), "feedback": F.greatest(F.lit(0.0), (F.coalesce("feedback", F.lit(0.0)) + 1) / 2), "diversity": F.col("diversity"), "freshness": F.col("freshness")}
+    weights = HYBRID
+    if pantry is not None:
+        ranked = ranked.join(pantry.where("matched > 0").select("recipe_id", F.col("score").alias("pantry")), "recipe_id")
+        parts["pantry"], weights = F.col("pantry"), PANTRY
+    scored = diversity(ranked).join(feedback, ["user_id", "recipe_id"], "left").withColumn("score", F.round(weighted(parts, weights), 9)).drop("rank")
+    best = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("score"), "recipe_id"))
     return scored.withColumn("rank", best).where(F.col("rank") <= k).select("user_id", "recipe_id", "score", "rank")
 
 

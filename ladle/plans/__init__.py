@@ -4,7 +4,7 @@ import importlib
 
 from ladle.plans import registry
 
-MODULES = ["basics", "relational", "texts", "composites"]
+MODULES = ["basics", "relational", "texts", "composites", "recommending"]
 
 
 def load():

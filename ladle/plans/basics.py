@@ -9,6 +9,7 @@ from ladle.operators import filters as P
 from ladle.operators import ranking as R
 from ladle.plans.registry import AS_OF, as_of, query
 from ladle.sources import tables as S
+from ladle.sources.scratch import scratch_path
 
 
 
@@ -35,6 +36,14 @@ def _(t): return t.pages.select(F.trim("url").alias("url")).where(F.col("url") !
 def _(t): return t.pages.select("page_id", "url", F.length("html").cast("long").alias("n"))
 
 
+@query("read_sitemap_xml", "SELECT DISTINCT url AS loc FROM pages WHERE url NOT LIKE '%&%'")
+def _(t):
+    path = scratch_path(t.spark, "sitemap")
+    entry = F.concat(F.lit("<url><loc> "), "url", F.lit(" </loc><lastmod>2024-01-01</lastmod></url>"))
+    t.pages.where("url NOT LIKE '%&%'").select("url").distinct().select(entry).write.text(path)
+    return S.read_sitemap(t.spark, path)
+
+
 @query("read_json_docs", "SELECT event_id, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM events")
 def _(t): return t.events.select("event_id", F.from_json("props", "k int")["k"].alias("k"))
 
@@ -88,10 +97,10 @@ def _(t):
 def _(t): return t.cooks.select("cook_id", "would_make_again").na.fill(False)
 
 
-@query("get_or_create", "SELECT DISTINCT e.user_id, coalesce(p.diet, 'non_veg') AS diet, coalesce(p.heat, 3) AS heat FROM events e LEFT JOIN profiles p ON p.user_id = e.user_id AND p.user_id < 100 UNION SELECT user_id, diet, heat FROM profiles WHERE user_id < 100")
+@query("get_or_create", "SELECT DISTINCT e.user_id, coalesce(p.diet, 'non_veg') AS diet, coalesce(p.heat, 3) AS heat FROM events e LEFT JOIN profiles p ON p.user_id = e.user_id AND NOT p.is_dairy_free UNION SELECT user_id, diet, heat FROM profiles WHERE NOT is_dairy_free")
 def _(t):
     seen = t.events.select("user_id").distinct().withColumns({"diet": F.lit("non_veg"), "heat": F.lit(3)})
-    return S.insert_absent(t.profiles.where("user_id < 100").select("user_id", "diet", "heat"), seen, ["user_id"])
+    return S.insert_absent(t.profiles.where("NOT is_dairy_free").select("user_id", "diet", "heat"), seen, ["user_id"])
 
 
 @query("register_urls", "SELECT count(*) FILTER (WHERE page_id % 4 <> 0) AS saved, count(*) FILTER (WHERE page_id % 4 = 0) AS skipped FROM (SELECT url, min(page_id) FILTER (WHERE page_id % 4 = 0) IS NOT NULL AS old, CASE WHEN min(page_id) FILTER (WHERE page_id % 4 = 0) IS NOT NULL THEN 0 ELSE 1 END AS page_id FROM pages GROUP BY url)")
@@ -181,12 +190,16 @@ def _(t): return t.recipes.where(~P.non_latin("title")).select("recipe_id")
 _VEG = "chicken|mutton|lamb|fish|prawn|shrimp|egg|meat|beef|pork|keema|gosht|gear"
 
 
-@query("hard_constraints", f"""SELECT p.user_id, r.recipe_id FROM profiles p CROSS JOIN (SELECT recipe_id, title FROM recipes WHERE recipe_id < 300) r
+@query("hard_constraints", f"""
+SELECT DISTINCT p.user_id, r.recipe_id FROM recommendations s JOIN profiles p ON p.user_id = s.user_id JOIN recipes r ON r.recipe_id = s.recipe_id
 WHERE NOT (p.diet = 'pure_veg' AND regexp_matches(r.title, '{_VEG}')) AND NOT (p.allium_status <> 'both' AND regexp_matches(r.title, 'onion|garlic|pyaz|lehsun|lasun|blue'))
-AND NOT coalesce(contains(r.title, p.prohibition), false) AND NOT (p.is_dairy_free AND regexp_matches(r.title, 'paneer|cheese|milk|cream|butter|ghee|curd|yogurt|dahi|malai|makhani|large'))""")
+AND NOT coalesce(contains(r.title, p.prohibition), false) AND NOT (p.is_dairy_free AND regexp_matches(r.title, 'paneer|cheese|milk|cream|butter|ghee|curd|yogurt|dahi|malai|makhani|large'))
+""")
 def _(t):
-    titles = P.title_flags(t.recipes.where("recipe_id < 300").select("recipe_id", "title"), meat=[*P.MEAT, "gear"], allium=[*P.ALLIUM, "blue"], dairy=[*P.DAIRY, "large"])
-    return P.passing_pairs(t.profiles.withColumn("prohibitions", F.array_compact(F.array("prohibition"))), titles).select("user_id", "recipe_id")
+    titles = P.title_flags(t.recipes.select("recipe_id", "title"), meat=[*P.MEAT, "gear"], allium=[*P.ALLIUM, "blue"], dairy=[*P.DAIRY, "large"])
+    profiles = t.profiles.withColumn("prohibitions", F.array_compact(F.array("prohibition")))
+    shown = t.recommendations.select("user_id", "recipe_id").distinct()
+    return P.passing_pairs(shown, profiles, titles).select("user_id", "recipe_id")
 
 
 @query("validate_constraints", "SELECT recipe_id, CASE WHEN contains(title, 'red') THEN 'diet' WHEN contains(title, 'blue') OR contains(lower(description), 'small') THEN 'prohibited' WHEN servings < 2 THEN 'confidence' END AS rejection_reason FROM recipes")
@@ -279,15 +292,15 @@ def _(t): return R.top_per(t.swipes, ["user_id"], [F.desc("dwell"), F.col("swipe
 def _(t): return R.page(t.recipes.select("recipe_id", "title"), ["recipe_id"], 40, 20, total=True)
 
 
-@query("random_pick")
+@query("random_pick", "SELECT recipe_id FROM recipes ORDER BY md5(concat(recipe_id, ':42')), recipe_id LIMIT 10")
 def _(t): return R.hash_pick(t.recipes.select("recipe_id"), "recipe_id", 10, seed=42)
 
 
-@query("sample_k")
+@query("sample_k", "SELECT vec_id FROM embeddings ORDER BY md5(concat(vec_id, ':7')), vec_id LIMIT 25")
 def _(t): return R.hash_pick(t.embeddings.select("vec_id"), "vec_id", 25, seed=7)
 
 
-@query("sample_per_stratum")
+@query("sample_per_stratum", "SELECT platform, recipe_id FROM (SELECT platform, recipe_id, row_number() OVER (PARTITION BY platform ORDER BY md5(concat(recipe_id, ':1')), recipe_id) AS n FROM recipes) WHERE n = 1")
 def _(t): return R.sample_per(t.recipes.select("platform", "recipe_id"), ["platform"], "recipe_id", seed=1)
 
 
@@ -322,20 +335,29 @@ def _(t): return t.profiles.select("user_id", F.array_sort(F.array_except(F.arra
 def _(t): return t.recipes.select("recipe_id", F.size(F.array_intersect(F.split("title", " "), F.array(*map(F.lit, ["red", "widget", "small"])))).alias("shared"))
 
 
-@query("quota_union", """WITH a AS (SELECT p.user_id, r.recipe_id, 0 AS branch, r.recipe_id AS o, row_number() OVER (PARTITION BY p.user_id ORDER BY r.recipe_id) AS n FROM profiles p JOIN (SELECT DISTINCT recipe_id, tag_value FROM tags WHERE dimension = 'region' AND recipe_id < 500) r ON r.tag_value = p.region_1),
-b AS (SELECT user_id, recipe_id, 0 AS branch FROM a WHERE n <= 5 UNION ALL SELECT p.user_id, r.recipe_id, 1 FROM profiles p CROSS JOIN (SELECT recipe_id FROM recipes WHERE recipe_id < 60) r), c AS (SELECT user_id, recipe_id, min(branch) AS branch FROM b GROUP BY ALL)
-SELECT user_id, recipe_id, branch FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY branch, recipe_id) AS n FROM c) WHERE n <= 20""")
+@query("quota_union", """
+WITH a AS (
+  SELECT p.user_id, r.recipe_id, row_number() OVER (PARTITION BY p.user_id ORDER BY r.recipe_id) AS n
+  FROM profiles p JOIN (SELECT DISTINCT recipe_id, tag_value FROM tags WHERE dimension = 'region') r ON r.tag_value = p.region_1),
+k AS (SELECT recipe_id FROM feedback GROUP BY 1 ORDER BY count(*) DESC, recipe_id LIMIT 20),
+b AS (SELECT user_id, recipe_id, 0 AS branch FROM a WHERE n <= 5 UNION ALL SELECT user_id, recipe_id, 1 FROM profiles, k),
+c AS (SELECT user_id, recipe_id, min(branch) AS branch FROM b GROUP BY ALL)
+SELECT user_id, recipe_id, branch FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY branch, recipe_id) AS n FROM c) WHERE n <= 20
+""")
 def _(t):
-    regional = t.tags.where("dimension = 'region' AND recipe_id < 500").select("recipe_id", F.col("tag_value").alias("region_1")).distinct()
-    first = R.top_per(t.profiles.select("user_id", "region_1").join(regional, "region_1").select("user_id", "recipe_id"), ["user_id"], [F.col("recipe_id")], 5)
-    pool = t.profiles.select("user_id").join(t.recipes.where("recipe_id < 60").select("recipe_id"))
-    return R.quota_union([first, pool], ["user_id"], "recipe_id", 20)
+    """Five recipes of the user's region, then the most rated ones."""
+    regional = t.tags.where("dimension = 'region'").select("recipe_id", F.col("tag_value").alias("region_1")).distinct()
+    of_region = R.top_per(regional, ["region_1"], [F.col("recipe_id")], 5)
+    first = t.profiles.select("user_id", "region_1").join(of_region, "region_1").select("user_id", "recipe_id")
+    popular = t.feedback.groupBy("recipe_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "recipe_id").limit(20)
+    pool = t.profiles.select("user_id").join(F.broadcast(popular.agg(F.collect_list("recipe_id").alias("ids"))))  # one row
+    return R.quota_union([first, pool.select("user_id", F.explode("ids").alias("recipe_id"))], ["user_id"], "recipe_id", 20)
 
 
 @query("card_buckets_union", "WITH a AS (SELECT user_id, recipe_id, 'liked' AS card_type, 0 AS b FROM swipes WHERE action = 'right' UNION ALL SELECT user_id, recipe_id, 'saved', 1 FROM swipes WHERE action = 'save'), d AS (SELECT DISTINCT * FROM a), n AS (SELECT *, row_number() OVER (PARTITION BY user_id, card_type ORDER BY recipe_id) AS n FROM d), k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY b, recipe_id) AS m FROM n WHERE (b = 0 AND n <= 5) OR (b = 1 AND n <= 3)) SELECT user_id, recipe_id, card_type FROM k WHERE m <= 7")
 def _(t):
     liked, saved = (t.swipes.where(F.col("action") == a).select("user_id", "recipe_id").distinct() for a in ("right", "save"))
-    return R.card_buckets([("liked", liked, 5), ("saved", saved, 3)], "user_id", F.col("recipe_id"), 7)
+    return R.card_buckets([("liked", liked, [F.col("recipe_id")], 5), ("saved", saved, [F.col("recipe_id")], 3)], "user_id", 7)
 
 
 @query("bfs_link_closure", """WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS a, (l_suppkey * 7 + l_linenumber) % 97 AS b FROM lineitem WHERE l_linenumber < 3), r AS (SELECT CAST(1 AS BIGINT) AS id, 0 AS depth UNION SELECT e.b, r.depth + 1 FROM r JOIN e ON e.a = r.id WHERE r.depth < 3) SELECT id, min(depth) AS depth FROM r GROUP BY id""")

@@ -110,82 +110,7 @@ def _(t):
     return hits.select("query_id", c("id").alias("recipe_id"), F.round("score", 3).alias("score"))
 
 
-# --- recommendation --------------------------------------------------------------------------
-
-_CAND = f"""cand AS (SELECT p.user_id, r.recipe_id, r.title, r.spice, round(1 - abs(r.spice - p.heat) / 4, 6) AS vector, p.time_budget, r.total_time_minutes FROM profiles p JOIN (SELECT r.recipe_id, title, total_time_minutes, min(CAST(substr(tag_value, 7) AS INT)) AS spice FROM recipes r JOIN tags t ON t.recipe_id = r.recipe_id AND t.dimension = 'spice' WHERE r.recipe_id < 100 GROUP BY 1, 2, 3) r ON r.total_time_minutes <= p.time_budget)"""
-
-
-def _candidates(t):
-    spice = t.tags.where("dimension = 'spice' AND recipe_id < 100").groupBy("recipe_id").agg(F.min(F.substring("tag_value", 7, 2).cast("int")).alias("spice"))
-    r = t.recipes.where("recipe_id < 100").select("recipe_id", "title", "total_time_minutes").join(spice, "recipe_id")
-    p = t.profiles.select("user_id", "heat", "time_budget")
-    return p.join(F.broadcast(r), c("total_time_minutes") <= c("time_budget")).withColumn("vector", F.round(T.spice_match(c("spice"), c("heat")), 6))  # at most 100 recipes
-
-
-@query("preference_score", f"WITH {_CAND} SELECT user_id, recipe_id, round((0.35 * vector + 0.25 * 1.0) / (0.2 + 0.35 + 0.25), 6) AS score FROM cand")
-def _(t): return _candidates(t).select("user_id", "recipe_id", F.round(C.preference_score(F.lit(None).cast("double"), c("vector"), F.lit(1.0)), 6).alias("score"))
-
-
-@query("dietary_score", "SELECT r.recipe_id, CASE WHEN bool_or(is_allium OR is_root_vegetable) THEN 0.0 ELSE 1.0 END AS score FROM recipes r JOIN ingredients i ON i.recipe_id = r.recipe_id JOIN master m ON m.ingredient_id = i.ingredient_id GROUP BY 1")
-def _(t): return t.ingredients.join(t.master, "ingredient_id").groupBy("recipe_id").agg(F.when(F.bool_or(c("is_allium") | c("is_root_vegetable")), 0.0).otherwise(1.0).alias("score"))
-
-
-_OVERALL = "round(CASE WHEN recipe_id % 7 = 0 THEN 0 ELSE 0.25 * 0.5 + 0.25 * vector + 0.30 + 0.10 + 0.10 * 0.8 END, 6)"
-
-
-def _overall(t):
-    parts = {"rating": F.lit(0.5), "preference": c("vector"), "dietary": F.when(c("recipe_id") % 7 == 0, 0.0).otherwise(1.0), "diversity": F.lit(1.0), "freshness": F.lit(0.8)}
-    return _candidates(t).withColumn("score", F.round(C.overall_score(parts), 6))
-
-
-@query("overall_score", f"WITH {_CAND} SELECT user_id, recipe_id, {_OVERALL} AS score FROM cand")
-def _(t): return _overall(t).select("user_id", "recipe_id", "score")
-
-
-@query("personalized_recs", f"WITH {_CAND} SELECT user_id, recipe_id, score FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, recipe_id) AS r FROM (SELECT user_id, recipe_id, {_OVERALL} AS score FROM cand) WHERE score >= 0.3) WHERE r <= 10")
-def _(t): return R.top_per(_overall(t).where("score >= 0.3"), ["user_id"], [F.desc("score"), c("recipe_id")], 10).select("user_id", "recipe_id", "score")
-
-
-@query("match_score_cards", f"WITH {_CAND} SELECT user_id, recipe_id, round(least(1.0, 0.30 * 0.5 + 0.25 * 0.8 + 0.15 * 1.0 + 0.10 * vector + 0.10 * 1.0 + 0.10 * 0.5), 6) AS score FROM cand")
-def _(t): return _candidates(t).select("user_id", "recipe_id", F.round(C.card_score(F.lit(0.5), F.lit(0.8), F.lit(1.0), c("vector"), F.lit(1.0), F.lit(0.5)), 6).alias("score"))
-
-
-@query("first_cards", f"WITH {_CAND}, h AS (SELECT user_id, recipe_id, vector, row_number() OVER (PARTITION BY user_id ORDER BY vector DESC, recipe_id) AS r FROM cand WHERE vector >= 0.7), s AS (SELECT user_id, recipe_id, row_number() OVER (PARTITION BY user_id ORDER BY recipe_id) AS r FROM cand WHERE vector >= 0.4 AND vector < 0.7) SELECT user_id, recipe_id, 'high_confidence' AS card_type FROM h WHERE r <= 5 UNION ALL SELECT user_id, recipe_id, 'adjacent' FROM s WHERE r <= 3")
-def _(t):
-    k = _candidates(t)
-    best = R.top_per(k.where("vector >= 0.7"), ["user_id"], [F.desc("vector"), c("recipe_id")], 5).select("user_id", "recipe_id")
-    return R.card_buckets([("high_confidence", best, 5), ("adjacent", k.where("vector >= 0.4 AND vector < 0.7").select("user_id", "recipe_id"), 3)], "user_id", c("recipe_id"), 15)
-
-
-_EXCL = f"x AS (SELECT user_id, recipe_id FROM swipes WHERE action = 'long_press_left' UNION SELECT user_id, recipe_id FROM recommendations WHERE recommended_at >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY)"
-
-
-@query("rag_hybrid_recs", f"""WITH {_CAND}, {_EXCL}, f AS (SELECT cand.*, x.user_id IS NULL AS ok, count(*) FILTER (WHERE x.user_id IS NULL) OVER (PARTITION BY cand.user_id) AS n FROM cand LEFT JOIN x ON x.user_id = cand.user_id AND x.recipe_id = cand.recipe_id), o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY vector DESC, recipe_id) AS rank FROM f WHERE ok OR n < 5),
-p AS (SELECT *, list_distinct(list_filter(string_split(title, ' '), lambda w: length(w) > 3)) AS w FROM o WHERE rank <= 30), d AS (SELECT a.user_id, a.recipe_id, any_value(a.vector) AS vector, CASE count(*) FILTER (WHERE len(list_intersect(a.w, b.w)) >= 2) WHEN 0 THEN 1.0 WHEN 1 THEN 0.7 WHEN 2 THEN 0.4 ELSE 0.2 END AS diversity FROM p a LEFT JOIN p b ON b.user_id = a.user_id AND b.rank < a.rank GROUP BY 1, 2),
-s AS (SELECT user_id, recipe_id, 0.4 * vector + 0.3 * 0.5 + 0.2 * diversity + 0.1 * 0.8 AS score FROM d) SELECT user_id, recipe_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, recipe_id) AS r FROM s) WHERE r <= 10""")
-def _(t):
-    k = _candidates(t).select("user_id", "recipe_id", "title", "vector", F.lit(0.0).alias("feedback"), F.lit(0.8).alias("freshness"))
-    return C.hybrid_recommendations(k, R.exclusions(t.swipes, t.recommendations, as_of(), 7)).select("user_id", "recipe_id", F.round("score", 6).alias("score"))
-
-
-@query("rerank_merge", "SELECT user_id, recipe_id, CAST(rank AS INT) AS rank FROM (SELECT p.user_id, r.recipe_id, row_number() OVER (PARTITION BY p.user_id ORDER BY r.recipe_id DESC) AS rank FROM profiles p JOIN recipes r ON r.recipe_id IN (p.user_id, p.user_id + 1, p.user_id + 2)) WHERE rank <= 2")
-def _(t):
-    ranking = t.profiles.select("user_id", F.array(F.lit(-1).cast("long"), c("user_id") + 2, c("user_id") + 1, c("user_id")).alias("recipe_ids"))
-    known = ranking.select("user_id", F.explode("recipe_ids").alias("recipe_id")).join(t.recipes.select("recipe_id"), "recipe_id")
-    return C.rerank(known, ranking, 2).select("user_id", "recipe_id", "rank")
-
-
-@query("suggest_meal_plan", f"WITH {_CAND} SELECT user_id, slot, recipe_id FROM (SELECT user_id, recipe_id, CASE recipe_id % 3 WHEN 0 THEN 'breakfast' WHEN 1 THEN 'lunch' ELSE 'dinner' END AS slot, row_number() OVER (PARTITION BY user_id, recipe_id % 3 ORDER BY vector DESC, recipe_id) AS r FROM cand) WHERE r = 1")
-def _(t):
-    slot = F.when(c("recipe_id") % 3 == 0, "breakfast").when(c("recipe_id") % 3 == 1, "lunch").otherwise("dinner")
-    return R.latest_per(_candidates(t).withColumn("slot", slot), ["user_id", "slot"], [F.desc("vector"), c("recipe_id")]).select("user_id", "slot", "recipe_id")
-
-
-@query("validation_dishes", f"WITH {_CAND} SELECT user_id, min(recipe_id) FILTER (WHERE vector = 1) AS recipe_id, 'perfect' AS test_type FROM cand GROUP BY 1 HAVING min(recipe_id) FILTER (WHERE vector = 1) IS NOT NULL UNION ALL SELECT user_id, min(recipe_id), 'polarizing' FROM cand WHERE vector < 0.5 GROUP BY 1")
-def _(t):
-    k = _candidates(t)
-    return k.where("vector = 1").groupBy("user_id").agg(F.min("recipe_id").alias("recipe_id")).withColumn("test_type", F.lit("perfect")).union(k.where("vector < 0.5").groupBy("user_id").agg(F.min("recipe_id")).withColumn("test_type", F.lit("polarizing")))
-
+# --- learning and onboarding -----------------------------------------------------------------
 
 @query("discover_preferences", "SELECT user_id, max(action) FILTER (WHERE action IN ('right', 'save')) AS liked_by, max_by(action, struct_pack(a := swiped_at, b := swipe_id)) AS last_action FROM swipes GROUP BY 1")
 def _(t): return t.swipes.groupBy("user_id").agg(F.max(F.when(c("action").isin("right", "save"), c("action"))).alias("liked_by"), F.max_by("action", F.struct("swiped_at", "swipe_id")).alias("last_action"))

@@ -29,8 +29,8 @@ def _(t): return t.ingredients.join(t.master, "ingredient_id").select("recipe_id
 def _(t): return J.count_missing(t.ingredients, t.nutrition)
 
 
-@query("join_tags_dimension", "SELECT r.recipe_id, t.dimension, t.tag_value FROM recipes r JOIN tags t ON t.recipe_id = r.recipe_id WHERE r.recipe_id < 2000")
-def _(t): return t.recipes.where("recipe_id < 2000").select("recipe_id").join(t.tags, "recipe_id").select("recipe_id", "dimension", "tag_value")
+@query("join_tags_dimension", "SELECT r.recipe_id, t.dimension, t.tag_value FROM recipes r JOIN tags t ON t.recipe_id = r.recipe_id ")
+def _(t): return t.recipes.select("recipe_id").join(t.tags, "recipe_id").select("recipe_id", "dimension", "tag_value")
 
 
 @query("semi_join_tag", "SELECT recipe_id FROM recipes WHERE recipe_id IN (SELECT recipe_id FROM tags WHERE dimension = 'region' AND tag_value IN ('Brand#1', 'Brand#2'))")
@@ -45,10 +45,10 @@ def _(t): return t.pages.select("page_id").join(t.recipes.where("recipe_id % 3 =
 def _(t): return t.recipes.select("recipe_id").join(t.tags, "recipe_id", "left_anti")
 
 
-@query("anti_join_new_urls", "SELECT platform, source_url FROM (SELECT *, row_number() OVER (PARTITION BY platform ORDER BY source_url) r FROM (SELECT DISTINCT platform, source_url FROM recipes WHERE recipe_id % 2 = 1 AND source_url NOT IN (SELECT source_url FROM recipes WHERE recipe_id % 2 = 0 AND recipe_id < 5000))) WHERE r <= 100")
+@query("anti_join_new_urls", "SELECT platform, source_url FROM (SELECT *, row_number() OVER (PARTITION BY platform ORDER BY source_url) r FROM (SELECT DISTINCT platform, source_url FROM recipes WHERE platform <> 'F' AND source_url NOT IN (SELECT source_url FROM recipes WHERE platform = 'F'))) WHERE r <= 100")
 def _(t):
-    known = t.recipes.where("recipe_id % 2 = 0 AND recipe_id < 5000").select("source_url")
-    new = t.recipes.where("recipe_id % 2 = 1").select("platform", "source_url").distinct().join(known, "source_url", "left_anti")
+    known = t.recipes.where("platform = 'F'").select("source_url")
+    new = t.recipes.where("platform <> 'F'").select("platform", "source_url").distinct().join(known, "source_url", "left_anti")
     return R.top_per(new, ["platform"], [F.col("source_url")], 100).select("platform", "source_url")
 
 
@@ -57,15 +57,16 @@ def _vectors(t):
 
 
 def _valid(t):
-    return t.spark.range(50, 450).select(F.col("id").alias("recipe_id"))
+    """The recipes that vectors are checked against."""
+    return t.orders.where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("recipe_id"))
 
 
-@query("orphan_embeddings", "SELECT vec_id AS point_id, CASE WHEN vec_id % 50 = 7 THEN 'NO_RECIPE_ID' ELSE 'ORPHAN' END AS reason FROM embeddings WHERE vec_id % 50 = 7 OR vec_id NOT BETWEEN 50 AND 449")
+@query("orphan_embeddings", "SELECT vec_id AS point_id, CASE WHEN vec_id % 50 = 7 THEN 'NO_RECIPE_ID' ELSE 'ORPHAN' END AS reason FROM embeddings WHERE vec_id % 50 = 7 OR vec_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')")
 def _(t): return J.orphans(_vectors(t), _valid(t)).select("point_id", "reason")
 
 
-@query("missing_embeddings", "SELECT o_orderkey AS recipe_id FROM orders WHERE o_orderkey < 900 AND o_orderkey NOT IN (SELECT vec_id FROM embeddings)")
-def _(t): return t.orders.where("o_orderkey < 900").select(F.col("o_orderkey").alias("recipe_id")).join(t.embeddings.select(F.col("vec_id").alias("recipe_id")), "recipe_id", "left_anti")
+@query("missing_embeddings", "SELECT o_orderkey AS recipe_id FROM orders WHERE o_orderkey NOT IN (SELECT vec_id FROM embeddings)")
+def _(t): return t.orders.select(F.col("o_orderkey").alias("recipe_id")).join(t.embeddings.select(F.col("vec_id").alias("recipe_id")), "recipe_id", "left_anti")
 
 
 @query("join_left_or_tags", "SELECT user_id, recipe_id FROM (SELECT p.user_id, t.recipe_id, row_number() OVER (PARTITION BY p.user_id ORDER BY t.recipe_id) r FROM profiles p JOIN (SELECT DISTINCT recipe_id, tag_value FROM tags WHERE dimension = 'region') t ON t.tag_value = p.region_1) WHERE r <= 2")
@@ -74,7 +75,7 @@ def _(t):
     return R.top_per(t.profiles.join(regional, "region_1").select("user_id", "recipe_id"), ["user_id"], [F.col("recipe_id")], 2)
 
 
-@query("relational_division_tags", "SELECT recipe_id FROM recipes WHERE recipe_id IN (SELECT recipe_id FROM tags WHERE dimension = 'texture' AND tag_value IN ('SMALL', 'LARGE')) AND recipe_id IN (SELECT recipe_id FROM tags WHERE dimension = 'spice' AND tag_value = 'spice_2')")
+@query("relational_division_tags", "SELECT r.recipe_id FROM recipes r JOIN (SELECT recipe_id FROM tags GROUP BY 1 HAVING bool_or(dimension = 'texture' AND tag_value IN ('SMALL', 'LARGE')) AND bool_or(dimension = 'spice' AND tag_value = 'spice_2')) t ON t.recipe_id = r.recipe_id")
 def _(t): return J.all_tags(t.recipes.select("recipe_id"), t.tags, {"texture": ["SMALL", "LARGE"], "spice": ["spice_2"]})
 
 
@@ -82,17 +83,24 @@ def _(t): return J.all_tags(t.recipes.select("recipe_id"), t.tags, {"texture": [
 def _(t): return J.symmetric_pairs(t.lineitem.where("l_partkey <> l_suppkey").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"), F.lit("title").alias("method"), F.col("l_discount").alias("score"), F.col("l_shipdate").alias("computed_at")))
 
 
-@query("user_recipe_scoring_join", """WITH r AS (SELECT recipe_id, tag_value AS region, min(spice) AS spice FROM (SELECT t.recipe_id, t.tag_value, CAST(substr(s.tag_value, 7) AS INT) AS spice FROM tags t JOIN tags s ON s.recipe_id = t.recipe_id AND s.dimension = 'spice' WHERE t.dimension = 'region' AND t.recipe_id < 400) GROUP BY 1, 2)
+@query("user_recipe_scoring_join", """WITH r AS (SELECT recipe_id, tag_value AS region, min(spice) AS spice FROM (SELECT t.recipe_id, t.tag_value, CAST(substr(s.tag_value, 7) AS INT) AS spice FROM tags t JOIN tags s ON s.recipe_id = t.recipe_id AND s.dimension = 'spice' WHERE t.dimension = 'region') GROUP BY 1, 2)
 SELECT user_id, recipe_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, recipe_id) AS rank FROM (SELECT p.user_id, r.recipe_id, 1 - abs(r.spice - p.heat) / 4.0 AS score FROM profiles p JOIN r ON r.region = p.region_1) WHERE score >= 0.3) WHERE rank <= 5""")
 def _(t):
-    tags = t.tags.where("recipe_id < 400")
+    tags = t.tags
     spice = tags.where("dimension = 'spice'").groupBy("recipe_id").agg(F.min(F.substring("tag_value", 7, 9).cast("int")).alias("spice"))
     recipes = tags.where("dimension = 'region'").select("recipe_id", F.col("tag_value").alias("region")).distinct().join(spice, "recipe_id")
-    return J.scored_pairs(t.profiles.select("user_id", "region_1", "heat"), recipes, F.col("region") == F.col("region_1"), 1 - F.abs(F.col("spice") - F.col("heat")) / 4.0, 5, 0.3).select("user_id", "recipe_id", *r6("score"), "rank")
+    return J.scored_pairs(t.profiles.select("user_id", "region_1", "heat"), recipes, F.col("region") == F.col("region_1"), 1 - F.abs(F.col("spice") - F.col("heat")) / 4.0, 5, 0.3, kinds=["region_1", "heat"]).select("user_id", "recipe_id", *r6("score"), "rank")
 
 
-@query("complement_map_join", "WITH m AS (SELECT * FROM (VALUES ('STANDARD', 'SMALL'), ('STANDARD', 'PROMO'), ('LARGE', 'SMALL')) v(a, b)) SELECT DISTINCT d.p_partkey AS dish_id, r.p_partkey AS recipe_id FROM part d JOIN m ON m.a = d.p_type JOIN part r ON r.p_type = m.b WHERE d.p_partkey < 50 AND r.p_partkey < 100")
-def _(t): return J.complement(t.part.where("p_partkey < 50").select(F.col("p_partkey").alias("dish_id"), F.col("p_type").alias("dish_kind")), {"STANDARD": ["SMALL", "PROMO"], "LARGE": ["SMALL"]}, t.part.where("p_partkey < 100").select(F.col("p_partkey").alias("recipe_id"), "p_type"), "p_type")
+@query("complement_map_join", """
+WITH m AS (SELECT * FROM (VALUES ('STANDARD', 'SMALL'), ('STANDARD', 'PROMO'), ('LARGE', 'SMALL')) v(a, b)),
+k AS (SELECT a, p_partkey, row_number() OVER (PARTITION BY a ORDER BY p_retailprice DESC, p_partkey) AS n FROM m JOIN part ON p_type = b)
+SELECT d.p_partkey AS dish_id, k.p_partkey AS recipe_id FROM part d JOIN k ON k.a = d.p_type WHERE n <= 2
+""")
+def _(t):
+    dishes = t.part.select(F.col("p_partkey").alias("dish_id"), F.col("p_type").alias("dish_kind"))
+    recipes = t.part.select(F.col("p_partkey").alias("recipe_id"), "p_type", "p_retailprice")
+    return J.complement(dishes, {"STANDARD": ["SMALL", "PROMO"], "LARGE": ["SMALL"]}, recipes, "p_type", [F.desc("p_retailprice"), F.col("recipe_id")], 2)
 
 
 @query("pantry_match_join", """SELECT recipe_id, count(*) AS total, count(*) FILTER (WHERE h) AS matched, round(least(count(*) FILTER (WHERE h) / count(*) + least(count(*) FILTER (WHERE h) / 5, 0.3), 1.0), 6) AS score
@@ -100,10 +108,10 @@ FROM (SELECT recipe_id, contains(lower(standard_name), 'widget') OR contains(low
 def _(t): return J.pantry_match(t.ingredients, t.master, ["Widget", "red", "x"]).select("recipe_id", "total", "matched", *r6("score"))
 
 
-@query("rank_self_join", """WITH c AS (SELECT *, row_number() OVER (PARTITION BY creator_id ORDER BY recipe_id) AS rank FROM (SELECT creator_id, recipe_id, title FROM recipes)), k AS (SELECT creator_id, recipe_id, rank, list_distinct(list_filter(string_split(title, ' '), lambda w: length(w) > 3)) AS w FROM c WHERE rank <= 20)
+@query("rank_self_join", """WITH c AS (SELECT *, row_number() OVER (PARTITION BY creator_id ORDER BY recipe_id) AS rank FROM (SELECT creator_id, recipe_id, title FROM recipes)), k AS (SELECT creator_id, recipe_id, rank, list_distinct(list_filter(string_split(title, ' '), lambda w: length(w) > 3)) AS w FROM c WHERE rank <= 100)
 SELECT a.creator_id, a.recipe_id, CASE count(*) FILTER (WHERE len(list_intersect(a.w, b.w)) >= 2) WHEN 0 THEN 1.0 WHEN 1 THEN 0.7 WHEN 2 THEN 0.4 ELSE 0.2 END AS diversity FROM k a LEFT JOIN k b ON b.creator_id = a.creator_id AND b.rank < a.rank GROUP BY 1, 2""")
 def _(t):
-    ranked = t.recipes.select("creator_id", "recipe_id", "title").withColumn("rank", F.row_number().over(Window.partitionBy("creator_id").orderBy("recipe_id"))).where("rank <= 20")
+    ranked = t.recipes.select("creator_id", "recipe_id", "title").withColumn("rank", F.row_number().over(Window.partitionBy("creator_id").orderBy("recipe_id"))).where("rank <= 100")
     return J.diversity(ranked, user="creator_id").select("creator_id", "recipe_id", "diversity")
 
 
@@ -118,9 +126,9 @@ def _(t):
 
 
 @query("nested_prefetch", """SELECT r.recipe_id, coalesce(c.c_name, 'Unknown') AS creator, coalesce(i.ingredients, []) AS ingredients FROM recipes r LEFT JOIN customer c ON c.c_custkey = r.creator_id
-LEFT JOIN (SELECT recipe_id, list(concat(line, ':', ingredient_id, ':', CAST(quantity AS INT)) ORDER BY line, ingredient_id, quantity) AS ingredients FROM ingredients GROUP BY 1) i ON i.recipe_id = r.recipe_id WHERE r.recipe_id < 1000""")
+LEFT JOIN (SELECT recipe_id, list(concat(line, ':', ingredient_id, ':', CAST(quantity AS INT)) ORDER BY line, ingredient_id, quantity) AS ingredients FROM ingredients GROUP BY 1) i ON i.recipe_id = r.recipe_id""")
 def _(t):
-    r = t.recipes.where("recipe_id < 1000").join(t.customer.select(F.col("c_custkey").alias("creator_id"), "c_name"), "creator_id", "left").select("recipe_id", F.coalesce("c_name", F.lit("Unknown")).alias("creator"))
+    r = t.recipes.join(t.customer.select(F.col("c_custkey").alias("creator_id"), "c_name"), "creator_id", "left").select("recipe_id", F.coalesce("c_name", F.lit("Unknown")).alias("creator"))
     full = J.nested(r, {"ingredients": (t.ingredients, ["line", "ingredient_id", "quantity"])}, "recipe_id")
     return full.withColumn("ingredients", F.transform("ingredients", lambda i: F.concat_ws(":", i["line"], i["ingredient_id"], i["quantity"].cast("int"))))
 
@@ -238,12 +246,12 @@ def _(t): return N.batch_report(t.recipes.select("recipe_id"), _nutrition(t)).gr
 def _(t): return N.nutrition_label(_nutrition(t)).select("recipe_id", "label.*")
 
 
-@query("goal_comparison", f"""WITH {_NUTRITION}, g AS (SELECT c_custkey AS user_id, c_custkey % 2 = 0 AS hp, c_custkey % 3 = 0 AS lc FROM customer WHERE c_custkey < 100)
+@query("goal_comparison", f"""WITH {_NUTRITION}, g AS (SELECT c_custkey AS user_id, c_custkey % 2 = 0 AS hp, c_custkey % 3 = 0 AS lc FROM customer)
 SELECT user_id, recipe_id, round(calories / servings / 2000 * 100 + 1e-7, 4) AS pct_calories, round(protein / servings / 50 * 100 + 1e-7, 4) AS pct_protein_g, round(CASE WHEN hp AND lc THEN (CASE WHEN protein / servings >= 15 THEN 1 ELSE 0.5 END + CASE WHEN carbs / servings < 20 THEN 1 ELSE 0.5 END) / 2 WHEN hp THEN CASE WHEN protein / servings >= 15 THEN 1 ELSE 0.5 END WHEN lc THEN CASE WHEN carbs / servings < 20 THEN 1 ELSE 0.5 END ELSE 0.5 END, 6) AS alignment
-FROM g JOIN s ON s.recipe_id % 100 = g.user_id""")
+FROM g JOIN recipes r ON r.creator_id = g.user_id JOIN s ON s.recipe_id = r.recipe_id""")
 def _(t):
-    goals = t.customer.where("c_custkey < 100").select(F.col("c_custkey").alias("user_id"), F.lit(2000.0).alias("daily_calories"), F.lit(50.0).alias("daily_protein_g"), F.lit(300.0).alias("daily_carbs_g"), F.lit(65.0).alias("daily_fat_g"), (F.col("c_custkey") % 2 == 0).alias("prefer_high_protein"), (F.col("c_custkey") % 3 == 0).alias("prefer_low_carb"), F.lit(False).alias("prefer_low_calorie"))
-    pairs = t.recipes.select((F.col("recipe_id") % 100).alias("user_id"), "recipe_id")
+    goals = t.customer.select(F.col("c_custkey").alias("user_id"), F.lit(2000.0).alias("daily_calories"), F.lit(50.0).alias("daily_protein_g"), F.lit(300.0).alias("daily_carbs_g"), F.lit(65.0).alias("daily_fat_g"), (F.col("c_custkey") % 2 == 0).alias("prefer_high_protein"), (F.col("c_custkey") % 3 == 0).alias("prefer_low_carb"), F.lit(False).alias("prefer_low_calorie"))
+    pairs = t.recipes.select(F.col("creator_id").alias("user_id"), "recipe_id")
     return N.goal_comparison(_nutrition(t), goals, pairs).select("user_id", "recipe_id", "pct_calories", "pct_protein_g", "alignment")
 
 
@@ -308,15 +316,15 @@ def _(t): return L.texture_affinity(t.swipes, t.tags.where("dimension = 'texture
 def _(t): return L.spice_adjustment(t.cooks, 3)
 
 
-_FEEDBACK = """e AS (SELECT user_id, recipe_id, CASE action WHEN 'right' THEN 0.2 WHEN 'save' THEN 0.15 WHEN 'view' THEN 0.05 WHEN 'long_press_left' THEN -0.5 WHEN 'made_it' THEN 0.4 ELSE 0 END AS s FROM swipes UNION ALL SELECT user_id, recipe_id, 0.4 + CASE WHEN would_make_again THEN 0.3 WHEN NOT would_make_again THEN -0.2 ELSE 0 END FROM cooks),
+FEEDBACK_SQL = """e AS (SELECT user_id, recipe_id, CASE action WHEN 'right' THEN 0.2 WHEN 'save' THEN 0.15 WHEN 'view' THEN 0.05 WHEN 'long_press_left' THEN -0.5 WHEN 'made_it' THEN 0.4 ELSE 0 END AS s FROM swipes UNION ALL SELECT user_id, recipe_id, 0.4 + CASE WHEN would_make_again THEN 0.3 WHEN NOT would_make_again THEN -0.2 ELSE 0 END FROM cooks),
 k AS (SELECT DISTINCT recipe_id, concat(dimension, ':', tag_value) AS tag FROM tags), z AS (SELECT user_id, tag, sum(CAST(s AS DOUBLE)) AS s FROM e JOIN k ON k.recipe_id = e.recipe_id GROUP BY 1, 2), f AS (SELECT user_id, tag, coalesce(s / nullif(max(abs(s)) OVER (PARTITION BY user_id), 0), 0) AS score FROM z)"""
 
 
-@query("tag_feedback_scores", f"WITH {_FEEDBACK} SELECT user_id, tag, round(score, 6) AS score FROM f")
+@query("tag_feedback_scores", f"WITH {FEEDBACK_SQL} SELECT user_id, tag, round(score, 6) AS score FROM f")
 def _(t): return L.tag_feedback(t.swipes, t.cooks, t.tags).select("user_id", "tag", *r6("score"))
 
 
-@query("recipe_feedback_score", f"WITH {_FEEDBACK} SELECT p.user_id, p.recipe_id, round(coalesce(avg(score), 0) + 1e-9, 6) AS feedback FROM (SELECT DISTINCT user_id, recipe_id FROM recommendations) p LEFT JOIN (k JOIN f ON f.tag = k.tag) ON k.recipe_id = p.recipe_id AND f.user_id = p.user_id GROUP BY 1, 2")
+@query("recipe_feedback_score", f"WITH {FEEDBACK_SQL} SELECT p.user_id, p.recipe_id, round(coalesce(avg(score), 0) + 1e-9, 6) AS feedback FROM (SELECT DISTINCT user_id, recipe_id FROM recommendations) p LEFT JOIN (k JOIN f ON f.tag = k.tag) ON k.recipe_id = p.recipe_id AND f.user_id = p.user_id GROUP BY 1, 2")
 def _(t): return L.recipe_feedback(L.tag_feedback(t.swipes, t.cooks, t.tags), t.tags, t.recommendations.select("user_id", "recipe_id").distinct()).select("user_id", "recipe_id", F.round(F.col("feedback") + 1e-9, 6).alias("feedback"))
 
 

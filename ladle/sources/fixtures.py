@@ -16,7 +16,8 @@ ADAPTERS = {
     "recipes": """SELECT o.o_orderkey AS recipe_id, o.o_custkey AS creator_id, concat(p.p_name, ' ', lower(p.p_type)) AS title,
         concat(o.o_orderpriority, ' ', p.p_type, ' ', p.p_brand) AS description, CAST(5 + o.o_orderkey % 115 AS INT) AS total_time_minutes,
         CAST(1 + o.o_orderkey % 6 AS INT) AS servings, o.o_orderdate AS processed_at, o.o_orderstatus AS platform,
-        concat('https://x/', CAST(o.o_orderkey % 9000 AS STRING)) AS source_url
+        concat('https://x/', CAST(o.o_orderkey % 9000 AS STRING)) AS source_url,
+        CASE o.o_orderkey % 4 WHEN 0 THEN 'breakfast' WHEN 1 THEN 'lunch' WHEN 2 THEN 'snack' ELSE 'dinner' END AS meal_slot
         FROM orders o JOIN part p ON p.p_partkey = o.o_orderkey % 200""",
     "ingredients": """SELECT l_orderkey AS recipe_id, l_linenumber AS line, l_partkey AS ingredient_id, l_quantity AS quantity,
         CASE concat(l_returnflag, l_linestatus) WHEN 'RO' THEN 'g' WHEN 'RF' THEN 'kg' WHEN 'NO' THEN 'cup' WHEN 'NF' THEN 'tsp' WHEN 'AF' THEN 'piece' ELSE 'ml' END AS unit FROM lineitem""",
@@ -37,7 +38,9 @@ ADAPTERS = {
         CASE o_orderstatus WHEN 'O' THEN 'pending' WHEN 'F' THEN 'applied' ELSE 'reviewed' END AS status, CASE o_orderkey % 3 WHEN 0 THEN 'rating' WHEN 1 THEN 'correction' ELSE 'report' END AS type FROM orders""",
     "profiles": """SELECT c_custkey AS user_id, CASE c_mktsegment WHEN 'BUILDING' THEN 'pure_veg' WHEN 'MACHINERY' THEN 'veg_eggs' ELSE 'non_veg' END AS diet, CAST(1 + c_custkey % 5 AS INT) AS heat, CAST(20 + c_custkey % 60 AS INT) AS time_budget,
         concat('Brand#', CAST(1 + c_custkey % 25 AS STRING)) AS region_1, concat('Brand#', CAST(1 + c_custkey * 7 % 25 AS STRING)) AS region_2, CASE c_custkey % 4 WHEN 0 THEN 'both' WHEN 1 THEN 'no_onion' WHEN 2 THEN 'no_garlic' ELSE 'no_both' END AS allium_status,
-        CASE c_custkey % 3 WHEN 0 THEN 'joint_family' WHEN 1 THEN 'i_cook_myself' ELSE 'manage_help' END AS household, CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE 'ring' END AS prohibition, c_custkey % 5 = 0 AS is_dairy_free, CASE c_custkey % 3 WHEN 0 THEN 'gravy' WHEN 1 THEN 'dry' ELSE 'both' END AS gravy FROM customer WHERE c_custkey < 150""",
+        CASE c_custkey % 3 WHEN 0 THEN 'joint_family' WHEN 1 THEN 'i_cook_myself' ELSE 'manage_help' END AS household, CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE 'ring' END AS prohibition, c_custkey % 5 = 0 AS is_dairy_free, CASE c_custkey % 3 WHEN 0 THEN 'gravy' WHEN 1 THEN 'dry' ELSE 'both' END AS gravy,
+        CASE c_custkey % 6 WHEN 0 THEN 'STANDARD' WHEN 1 THEN 'SMALL' WHEN 2 THEN 'MEDIUM' WHEN 3 THEN 'LARGE' WHEN 4 THEN 'ECONOMY' ELSE 'PROMO' END AS flavour, CASE c_custkey % 4 WHEN 0 THEN 'balanced' WHEN 1 THEN 'rich' ELSE 'light' END AS style,
+        c_custkey % 10 = 0 AS is_vrat, c_custkey % 9 = 0 AS is_diabetic, CASE WHEN c_custkey % 7 = 0 THEN 'hot plate' ELSE '' END AS excluded FROM customer""",
 }
 
 
