@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 UNITS = ["gram", "grams", "g", "kg", "kilogram", "cup", "cups", "tablespoon", "tablespoons", "tbsp", "teaspoon", "teaspoons", "tsp", "ml", "liter", "liters", "piece", "pieces", "pinch", "whole", "medium", "large", "small"]
 FRACTIONS = {"½": 0.5, "¼": 0.25, "¾": 0.75, "⅓": 0.33, "⅔": 0.67}
 _UNIT = r"(?i)\b(" + "|".join(UNITS) + r")\b"
-_QUANTITY = r"^[\d½¼¾⅓⅔⅛⅜⅝⅞]+(?:\s*[-/]\s*\d+)?"
+#: A quantity: digits and fractions in a row, then maybe a second number behind - or / (a range, or a ratio).
+_AMOUNT = r"[\d" + "".join([*FRACTIONS, "⅛", "⅜", "⅝", "⅞"]) + "]+"
+_SECOND = r"(?:\s*[-/]\s*\d+)?"
+_QUANTITY = f"^{_AMOUNT}{_SECOND}"
 
 
 def normalize_title(t: Column) -> Column:
@@ -86,7 +89,7 @@ def parse_ingredient(s: Column, mode: str = "faithful") -> Column:
     behind the point, ranges and a/b have no quantity. correct: 1½ is 1.5, 1.5 is 1.5, 1/2 is 0.5.
     """
     line = F.trim(s)
-    raw = F.regexp_extract(line, _QUANTITY, 0) if mode == "faithful" else F.regexp_extract(line, r"^(?:\d+\.\d+|[\d½¼¾⅓⅔⅛⅜⅝⅞]+(?:\s*[-/]\s*\d+)?)", 0)
+    raw = F.regexp_extract(line, _QUANTITY, 0) if mode == "faithful" else F.regexp_extract(line, rf"^(?:\d+\.\d+|{_AMOUNT}{_SECOND})", 0)
     if mode == "faithful":
         quantity = F.coalesce(*(F.when(raw.contains(c), F.lit(v)) for c, v in FRACTIONS.items()), raw.try_cast("double"))
     else:
@@ -101,12 +104,13 @@ def parse_ingredient(s: Column, mode: str = "faithful") -> Column:
     return F.when(item.isNotNull(), F.struct(quantity.alias("quantity"), unit.alias("unit"), item.alias("item")))
 
 
-def html_to_text(html: Column, most: int = 8000) -> Column:
-    """Text without scripts, styles and tags; blank lines collapsed; the first characters."""
+def html_to_text(html: Column, most: int | None = None) -> Column:
+    """Text without scripts, styles and tags; blank lines collapsed; all of it, or the first `most` characters."""
     s = html
     for tag in ("script", "style"):
         s = F.regexp_replace(s, f"(?is)<{tag}[^>]*>.*?</{tag}>", " ")
-    return F.substring(F.trim(F.regexp_replace(F.regexp_replace(s, "(?s)<[^>]*>", " "), r"\s+", " ")), 1, most)
+    text = F.trim(F.regexp_replace(F.regexp_replace(s, "(?s)<[^>]*>", " "), r"\s+", " "))
+    return text if most is None else F.substring(text, 1, most)
 
 
 def strip_nul(s: Column) -> Column:

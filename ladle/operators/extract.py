@@ -27,12 +27,31 @@ def _is_recipe(item: Column) -> Column:
     return F.coalesce(F.get_json_object(item, "$['@type']"), F.lit("")).contains("Recipe")
 
 
+def _marked(tags: str, words: str) -> str:
+    """Elements of these tags whose class holds one of the words; group 2 is what is inside (up to the first end tag)."""
+    return rf"""(?is)<({tags})\b[^>]*class=["'][^"'>]*(?:{words})[^"'>]*["'][^>]*>(.*?)</\1>"""
+
+
+def _plain(x: Column) -> Column:
+    return F.trim(F.regexp_replace(x, "<[^>]*>", ""))
+
+
 def dom_title(html: Column) -> Column:
-    return F.nullif(F.trim(F.regexp_extract(html, r"(?is)<h1[^>]*>(.*?)</h1>", 1)), F.lit(""))
+    """The text of the first heading that is marked as a title; null without one."""
+    return F.nullif(_plain(F.regexp_extract(html, _marked("h1|h2", "title|recipe|heading"), 2)), F.lit(""))
+
+
+def _listed(html: Column, sections: str, entries: str) -> Column:
+    inside = F.flatten(F.transform(F.regexp_extract_all(html, F.lit(sections), F.lit(2)), lambda s: F.regexp_extract_all(s, F.lit(entries), F.lit(2))))
+    return F.filter(F.transform(inside, _plain), lambda x: x != "")
 
 
 def dom_items(html: Column) -> Column:
-    return F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<li[^>]*>(.*?)</li>"), F.lit(1)), lambda x: F.trim(F.regexp_replace(x, "<[^>]*>", "")))
+    return _listed(html, _marked("ul|ol|div", "ingredient"), r"(?is)<(li)\b[^>]*>(.*?)</\1>")
+
+
+def dom_steps(html: Column) -> Column:
+    return _listed(html, _marked("ol|div", "instruction|method|direction"), r"(?is)<(li|p)\b[^>]*>(.*?)</\1>")
 
 
 def links(pages: DataFrame, contains: list[str]) -> DataFrame:
@@ -41,14 +60,27 @@ def links(pages: DataFrame, contains: list[str]) -> DataFrame:
     return found.select("page_id", T.resolve_url(F.col("url"), F.col("l")).alias("link")).where(F.lower("link").rlike("|".join(contains))).distinct()
 
 
-def main_image(html: Column, schema: Column, url: Column) -> Column:
-    """struct<url, source>: the structured data's image, else og:image, else the first img that isn't an icon, logo or advertisement."""
-    of_schema = F.coalesce(F.get_json_object(schema, "$.image.url"), F.get_json_object(schema, "$.image[0]"), F.get_json_object(schema, "$.image"))
+#: Parts of an image's address that mark it as no dish, and words of a description that mark a dish.
+NO_DISH = "icon|logo|ad|banner|button|avatar"
+DISH = "recipe|dish|food|cook"
+
+
+def main_image(html: Column, schema: Column, url: Column, scraped: Column | None = None) -> Column:
+    """struct<url, source>: the structured data's image, else og:image, else the scraped document's, else one in the content that is described as a dish, else the first that isn't an icon or the like; null without one."""
+    of_schema = F.coalesce(F.get_json_object(schema, "$.image.url"), F.get_json_object(schema, "$.image[0].url"), F.get_json_object(schema, "$.image[0]"), F.get_json_object(schema, "$.image"))
     og = F.nullif(F.regexp_extract(html, r"""(?is)<meta[^>]*property="og:image"[^>]*content="([^"]*)\"""", 1), F.lit(""))
-    images = F.filter(F.regexp_extract_all(html, F.lit(r"""(?is)<img[^>]*src="([^"]*)\""""), F.lit(1)), lambda x: ~F.lower(x).rlike("icon|logo|avatar|banner|/ads?/"))
-    found = F.coalesce(of_schema, og, F.get(images, 0))
-    source = F.when(of_schema.isNotNull(), "schema").when(og.isNotNull(), "og").when(F.size(images) > 0, "img")
-    return F.when(found.isNotNull(), F.struct(T.resolve_url(url, found).alias("url"), source.alias("source")))
+    of_scraped = F.get_json_object(scraped, "$.image") if scraped is not None else F.lit(None).cast("string")
+
+    def pictures(x: Column) -> Column:
+        tags = F.regexp_extract_all(x, F.lit(r"""(?is)<img\b[^>]*\bsrc="[^"]*"[^>]*>"""), F.lit(0))
+        each = F.transform(tags, lambda t: F.struct(F.regexp_extract(t, r"""(?is)\bsrc="([^"]*)\"""", 1).alias("src"), F.regexp_extract(t, r"""(?is)\balt="([^"]*)\"""", 1).alias("alt")))
+        return F.filter(each, lambda i: ~F.lower(i["src"]).rlike(NO_DISH))
+
+    areas = F.regexp_extract_all(html, F.lit(_marked("article|div|section", "recipe|content|post|entry")), F.lit(2))
+    content = F.get(F.filter(F.flatten(F.transform(areas, pictures)), lambda i: F.lower(i["alt"]).rlike(DISH)), 0)["src"]
+    first = F.get(pictures(html), 0)["src"]
+    tiers = [("schema_org", of_schema), ("og_image", og), ("recipe_scrapers", of_scraped), ("content_image", content), ("first_image", first)]
+    return F.coalesce(*(F.when(found.isNotNull(), F.struct(T.resolve_url(url, found).alias("url"), F.lit(name).alias("source"))) for name, found in tiers))
 
 
 def instructions(schema: Column) -> Column:
@@ -64,17 +96,68 @@ def instructions(schema: Column) -> Column:
 
 
 def choose_extraction(pages: DataFrame) -> DataFrame:
-    """page_id, tier, title and items of each page by the best source it has; pages without a title have tier none."""
-    p = pages.withColumn("schema", jsonld_recipe(F.col("html"))).withColumns({"schema_title": F.get_json_object("schema", "$.name"), "schema_items": F.from_json(F.get_json_object("schema", "$.recipeIngredient"), "array<string>"), "dom_title": dom_title(F.col("html")), "dom_items": dom_items(F.col("html"))})
-    complete = F.col("schema_title").isNotNull() & (F.size("schema_items") > 0)
-    return p.select("page_id", F.when(complete, "schema").when(F.coalesce("schema_title", "dom_title").isNotNull(), "manual").otherwise("none").alias("tier"), F.coalesce("schema_title", "dom_title").alias("title"), F.coalesce(F.when(complete, F.col("schema_items")), "dom_items").alias("items"))
+    """page_id, url, tier, title, description, items, steps and minutes of each page by the best source that it has.
+
+    Structured data counts if it has ingredients and instructions; else the scraped document
+    (a JSON column `scraped`, which pages may lack); else the page's marks. Pages without a title
+    and such that are images have tier none.
+    """
+    p = pages if "scraped" in pages.columns else pages.withColumn("scraped", F.lit(None).cast("string"))
+    p = p.withColumn("schema", jsonld_recipe(F.col("html")))
+
+    def of(json: str, path: str) -> Column:
+        return F.get_json_object(json, path)
+
+    def listed(json: str, path: str) -> Column:
+        return F.from_json(of(json, path), "array<string>")
+
+    p = p.withColumns({"schema_items": listed("schema", "$.recipeIngredient"), "schema_steps": instructions(F.col("schema"))})
+    schema = F.struct(of("schema", "$.name").alias("title"), of("schema", "$.description").alias("description"), F.col("schema_items").alias("items"), F.col("schema_steps").alias("steps"), T.parse_iso_duration(of("schema", "$.totalTime")).alias("minutes"), F.lit("schema").alias("tier"))
+    told = F.coalesce(listed("scraped", "$.instructions"), F.split(of("scraped", "$.instructions"), "\n"))
+    scraped = F.struct(of("scraped", "$.title").alias("title"), of("scraped", "$.description").alias("description"), listed("scraped", "$.ingredients").alias("items"), told.alias("steps"), of("scraped", "$.total_time").try_cast("int").alias("minutes"), F.lit("scrapers").alias("tier"))
+    manual = F.struct(dom_title(F.col("html")).alias("title"), F.lit("").alias("description"), dom_items(F.col("html")).alias("items"), dom_steps(F.col("html")).alias("steps"), F.lit(None).cast("int").alias("minutes"), F.lit("manual").alias("tier"))
+    complete = (F.size("schema_items") > 0) & (F.size("schema_steps") > 0)
+    image = F.substring("html", 1, 20).rlike("JFIF|PNG|GIF8|\u00ff\u00d8\u00ff")
+    best = F.when(F.coalesce(image, F.lit(True)), None).when(complete, schema).when(F.col("scraped").isNotNull(), scraped).otherwise(manual)
+    found = p.select("page_id", "url", best.alias("b")).select("page_id", "url", "b.*")
+    return found.withColumn("tier", F.when(F.coalesce("title", F.lit("")) != "", F.col("tier")).otherwise("none"))
 
 
 def build_recipes(pages: DataFrame, done: DataFrame) -> dict[str, DataFrame]:
-    """recipes, ingredients and rejects of pages whose URL isn't done yet; of pages with equal URLs the smallest id counts."""
+    """recipes, ingredients, steps, issues and rejects of pages whose URL isn't done yet; of pages with equal URLs the smallest id counts.
+
+    Pages without a title are rejected, and those that fail validation with an error, unless
+    they have complete structured data. The total time is the page's, or else what the steps say.
+    """
+    from ladle.operators.quality import validation_issues
+
     new = pages.join(done.select("url"), "url", "left_anti")
     first = new.groupBy("url").agg(F.min("page_id").alias("page_id"))
-    found = choose_extraction(new.join(first, ["url", "page_id"]))
-    good = found.where(F.col("tier") != "none")
-    lines = good.select(F.col("page_id").alias("recipe_id"), F.posexplode("items").alias("line", "original_text")).where("original_text <> ''")
-    return {"recipes": good.select(F.col("page_id").alias("recipe_id"), "title", "tier"), "ingredients": lines.select("recipe_id", "line", "original_text", T.parse_ingredient(F.col("original_text")).alias("p")).select("recipe_id", "line", "original_text", "p.*"), "rejects": found.where(F.col("tier") == "none").select("page_id", F.lit("no title").alias("error"))}
+    found = choose_extraction(new.join(first, ["url", "page_id"])).withColumnRenamed("page_id", "recipe_id")
+    items = F.filter(F.transform("items", lambda x: F.trim(x)), lambda x: x != "")
+    found = found.withColumn("parsed", F.transform(items, lambda x: F.struct(x.alias("original_text"), T.parse_ingredient(x).alias("p"))))
+    titled = found.where("tier <> 'none'")
+    shape = titled.select("recipe_id", "title", F.col("url").alias("source_url"), F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1).alias("creator"), "description", F.transform("parsed", lambda x: F.struct(x["p"]["item"].alias("name"), x["p"]["quantity"].alias("quantity"))).alias("ingredients"), "steps", *(F.lit(None).cast("int").alias(c) for c in ("prep", "cook")), F.col("minutes").alias("total"))
+    issues = validation_issues(shape)
+    failed = titled.where("tier <> 'schema'").join(issues.where("severity = 'ERROR'").select("recipe_id").distinct(), "recipe_id", "left_semi")
+    good = titled.join(failed.select("recipe_id"), "recipe_id", "left_anti")
+    told = good.select("recipe_id", F.posexplode("steps").alias("place", "instruction"))
+    steps = told.select("recipe_id", (F.col("place") + 1).alias("step"), "instruction", F.nullif(F.regexp_extract("instruction", r"(?i)(\d+)\s*min", 1), F.lit("")).try_cast("int").alias("minutes"))
+    estimate = steps.groupBy("recipe_id").agg(F.sum("minutes").cast("int").alias("estimate"))
+    recipes = good.join(estimate, "recipe_id", "left").select("recipe_id", "title", "tier", F.coalesce("minutes", "estimate").alias("total_time"))
+    lines = good.select("recipe_id", F.posexplode("parsed").alias("line", "x")).select("recipe_id", "line", "x.original_text", "x.p.quantity", "x.p.unit", "x.p.item")
+    rejects = found.where("tier = 'none'").select(F.col("recipe_id").alias("page_id"), F.lit("no title").alias("error")).union(failed.select("recipe_id", F.lit("invalid")))
+    return {"recipes": recipes, "ingredients": lines, "steps": steps, "issues": issues, "rejects": rejects}
+
+
+def page_tags(ingredients: DataFrame) -> DataFrame:
+    """(recipe_id, dimension, tag_value): what the names of a page's ingredients say about diets."""
+    from ladle.operators.dietary import GLUTEN
+    from ladle.operators.filters import ALLIUM
+
+    def without(words: list[str]) -> Column:
+        return ~F.bool_or(F.coalesce(F.lower("item").rlike("|".join(words)), F.lit(False)))
+
+    flags = ingredients.groupBy("recipe_id").agg(without(ALLIUM).alias("allium_free"), without(GLUTEN).alias("gluten_free"))
+    rows = F.array(*(F.struct(F.lit(f"health_{n}").alias("dimension"), F.col(n).cast("string").alias("tag_value")) for n in ("allium_free", "gluten_free")))
+    return flags.select("recipe_id", F.explode(rows).alias("t")).select("recipe_id", "t.*")

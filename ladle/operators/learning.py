@@ -106,3 +106,21 @@ def interaction_stats(swipes: DataFrame, cooks: DataFrame) -> DataFrame:
 def refinement_triggers(swipes: DataFrame, every: int = 10) -> DataFrame:
     n = F.row_number().over(Window.partitionBy("user_id").orderBy("swiped_at", "swipe_id"))
     return swipes.withColumn("n", n).where(F.col("n") % every == 0).select("user_id", "swipe_id", "n")
+
+
+#: What an action on a validation dish says: (test, action) to a preference and its value.
+DISCOVERIES = {
+    ("perfect_match", "left"): ("perfect_match_rejection", 1.0),
+    ("polarizing_ingredient", "long_press_left"): ("polarizing_ingredient_rejected", 1.0),
+    ("polarizing_ingredient", "right"): ("polarizing_ingredient_affinity", 0.7),
+    ("texture_fermentation", "right"): ("texture_affinity", 0.7),
+    ("regional_boundary", "right"): ("regional_openness", 0.7),
+    ("wildcard_complexity", "right"): ("experimentation_factor", 0.6),
+}
+
+
+def discovered_preferences(swipes: DataFrame) -> DataFrame:
+    """(user_id, found): preferences that swipes (user_id, swiped_at, swipe_id, action, test_type) of validation dishes tell, as a map; the last one of each counts. Users without any are left out."""
+    told = F.coalesce(*(F.when((F.col("test_type") == test) & (F.col("action") == action), F.struct(F.lit(name).alias("name"), F.lit(value).alias("value"))) for (test, action), (name, value) in DISCOVERIES.items()))
+    last = swipes.select("user_id", "swiped_at", "swipe_id", told.alias("p")).where("p IS NOT NULL").groupBy("user_id", "p.name").agg(F.max_by("p.value", F.struct("swiped_at", "swipe_id")).alias("value"))
+    return last.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("found"))

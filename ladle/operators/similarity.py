@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,25 +13,29 @@ from ladle.functions import text as T
 from ladle.sources.scratch import discard, written
 
 
-def similar_titles(titles: DataFrame, least: float = 0.85, measure: str = "levenshtein") -> DataFrame:
-    """(a, b, score) of recipes (recipe_id, title) whose normalised titles are that alike; a < b.
+def title_classes(titles: DataFrame) -> DataFrame:
+    """(recipe_id, class_id, t): recipes (recipe_id, title) with the smallest id of those whose normalised title is equal; empty titles are left out."""
+    own = titles.select("recipe_id", T.normalize_title(F.col("title")).alias("t")).where("t <> ''")
+    return own.join(own.groupBy("t").agg(F.min("recipe_id").alias("class_id")), "t").select("recipe_id", "class_id", "t")
+
+
+def similar_titles(titles: DataFrame, least: float = 0.85, measure: str = "levenshtein", new: DataFrame | None = None) -> DataFrame:
+    """(a, b, score) of classes of titles that are that alike; a < b are the class ids of title_classes.
 
-    Distinct titles are compared once, and only such as share a pair of letters of their
-    prefix: with at most d edits between strings of n letters, at least one of the d + 1 rarest
-    of a title's letter pairs and places stays. Pairs of equal titles score 1. A group of many
-    equal titles gives all its pairs; use title_groups for the groups alone.
+    Recipes of equal titles form a class, and only classes are paired, so that a group of many
+    equal titles gives one row for each of its links. new (recipe_id of titles): only their
+    titles are held against all.
     """
-    own = titles.select("recipe_id", T.normalize_title(F.col("title")).alias("t")).where("t <> ''")
-    groups = own.groupBy("t").agg(F.min("recipe_id").alias("rep"))
-    close = similar_strings(groups.select("t"), least, measure)
-    keyed = own.select(F.col("recipe_id"), "t")
-    equal = groups.select("t", F.col("t").alias("u"), F.lit(1.0).alias("score"))
-    both = close.unionByName(equal).join(keyed.withColumnRenamed("recipe_id", "a"), "t").join(keyed.select(F.col("recipe_id").alias("b"), F.col("t").alias("u")), "u").where(F.col("a") != F.col("b"))
-    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score").distinct()
+    classes = title_classes(titles)
+    groups = classes.select("class_id", "t").distinct()
+    asked = groups if new is None else classes.join(new.select("recipe_id"), "recipe_id", "left_semi").select("t").distinct()
+    close = similar_strings(asked.select("t"), least, measure, groups.select("t"))
+    both = close.join(groups.withColumnRenamed("class_id", "x"), "t").join(groups.select(F.col("class_id").alias("y"), F.col("t").alias("u")), "u")
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "score")
 
 
-def similar_strings(strings: DataFrame, least: float, measure: str = "levenshtein") -> DataFrame:
-    """(t, u, score) of distinct strings t < u that alike.
+def similar_strings(strings: DataFrame, least: float, measure: str = "levenshtein", against: DataFrame | None = None) -> DataFrame:
+    """(t, u, score), t < u, of distinct strings that are that alike: of strings (t) with those of against (t; strings themselves if not given).
 
     Candidates share one of the strings' pieces: a string is cut into as many pieces as the edits
     allowed plus one, of which one at least must stand in the other near its place.
@@ -42,50 +48,82 @@ def similar_strings(strings: DataFrame, least: float, measure: str = "levenshtei
     pieces = F.transform(F.sequence(F.lit(0), F.col("k")), lambda i: F.struct(F.floor(F.col("n") * i / (F.col("k") + 1)).cast("int").alias("at"), F.floor(F.col("n") * (i + 1) / (F.col("k") + 1)).cast("int").alias("to")))
     left = s.select("t", "n", "k", F.explode(pieces).alias("p")).select("t", "n", "k", F.col("p.at").alias("at"), F.expr("substring(t, p.at + 1, p.to - p.at)").alias("piece")).where("piece <> ''")
     sizes = left.select(F.length("piece").alias("size")).distinct()
-    grams = s.select(F.col("t").alias("u"), F.col("n").alias("m")).join(F.broadcast(sizes), F.col("size") <= F.col("m"))  # a few piece sizes
+    other = s if against is None else against.withColumn("n", n)
+    grams = other.select(F.col("t").alias("u"), F.col("n").alias("m")).join(F.broadcast(sizes.where(F.col("size") <= 4096)), F.col("size") <= F.col("m"))  # so many at most
     right = grams.select("u", "m", F.explode(F.transform(F.sequence(F.lit(0), F.col("m") - F.col("size")), lambda i: F.struct(i.alias("place"), F.substring(F.col("u"), i + 1, F.col("size")).alias("piece")))).alias("g")).select("u", "m", "g.place", "g.piece")
     near = left.join(right, "piece").where((F.abs(F.col("place") - F.col("at")) <= F.col("k")) & (F.abs(F.col("n") - F.col("m")) <= F.col("k")) & (F.col("t") != F.col("u"))).select(F.least("t", "u").alias("t"), F.greatest("t", "u").alias("u")).distinct()
     score = T.levenshtein_ratio(F.col("t"), F.col("u")) if measure == "levenshtein" else T.fuzz_ratio(F.col("t"), F.col("u")) / 100
     return near.withColumn("score", score).where(F.col("score") >= least)
 
 
-def similar_sets(sets: DataFrame, least: float = 0.7) -> DataFrame:
-    """(a, b, score) of sets (id, item) with that Jaccard similarity (0.5 at least); a < b.
+def set_classes(sets: DataFrame) -> DataFrame:
+    """(id, class_id, items): sets (id, item) as sorted arrays, with the smallest id of those that are equal."""
+    whole = sets.select("id", "item").distinct().groupBy("id").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    return whole.join(whole.groupBy("items").agg(F.min("id").alias("class_id")), "items").select("id", "class_id", "items")
 
-    Prefix filter: with items in order of rarity, a set x and one y at most as large share two
-    of the first |x| - ceil(least * |x|) + 2 of x and the first |y| - ceil(2 * least / (1 + least) * |y|) + 2
-    of y, as they have two or more in common unless they are equal. So pairs of items are the
-    keys. Sizes are filtered too; what is left is counted exactly. Equal sets are one until the end.
+
+def similar_sets(sets: DataFrame, least: float = 0.7) -> DataFrame:
+    """(a, b, score) of classes of sets (id, item) with that Jaccard similarity (0.5 at least); a < b are the class ids of set_classes.
+
+    Prefix filter: two sets that aren't equal have k = ceil(least / (1 - least)) items in common,
+    or else they are too unlike. With items in order of rarity, a set x and one y at most as
+    large then share k items of the first |x| - ceil(least * |x|) + k of x and the first
+    |y| - ceil(2 * least / (1 + least) * |y|) + k of y. So groups of k items (3 at most) are the
+    keys. What meets is cut by sizes, and by signatures (a bit for each item), which never miss
+    a pair; what is left is counted exactly.
     """
-    if least < 0.5:
-        raise ValueError("least must be 0.5 at least")
-    rows = sets.select("id", "item").distinct()
-    whole = rows.groupBy("id").agg(F.array_sort(F.collect_list("item")).alias("items"))
-    groups = whole.groupBy("items").agg(F.min("id").alias("rep"), F.count("*").alias("members"))
-    groups = written(groups.withColumn("n", F.size("items")))
-    single = groups.select("rep", F.explode("items").alias("item"), "n")
+    if not 0.5 <= least < 1:
+        raise ValueError("least must be 0.5 at least and below 1")
+    k = min(3, math.ceil(round(least / (1 - least), 9)))
+    groups = set_classes(sets).where("id = class_id").select(F.col("class_id").alias("rep"), "items", F.size("items").alias("n"))
+    signature = F.aggregate("items", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(x), F.lit(64)).cast("int"))))
+    groups = written(groups.withColumn("signature", signature))
+    single = groups.select("rep", F.explode("items").alias("item"))
     order = single.groupBy("item").agg(F.count("*").alias("df"))
-    ranked = written(single.join(order, "item").groupBy("rep", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "item"))), lambda x: x["item"]).alias("ranked")))
-
-    def keyed(share: float, names: tuple[str, str]) -> DataFrame:
-        prefix = F.slice("ranked", 1, F.greatest(F.lit(0), F.col("n") - F.ceil(F.round(F.lit(share) * F.col("n"), 9)) + 2).cast("int"))
-        pairs = F.expr("flatten(transform(sequence(0, size(p) - 2), i -> transform(slice(p, i + 2, size(p)), y -> struct(p[i] AS k, y AS l))))")
-        return ranked.where("n > 1").select("rep", "n", prefix.alias("p")).where("size(p) > 1").select(F.col("rep").alias(names[0]), F.col("n").alias(names[1]), F.explode(pairs).alias("key"))
-
-    probe, index = keyed(least, ("rep", "n")), keyed(2 * least / (1 + least), ("rep_b", "n_b"))
+    ranks = single.join(order, "item").groupBy("rep").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "item"))), lambda x: x["item"]).alias("ranked"))
+    ranked = written(groups.select("rep", "n", "signature").join(ranks, "rep"))
+
+    def combined(rest: Column, size: int) -> Column:
+        """All groups of `size` items of an array, in its order, as arrays."""
+        if size == 1:
+            return F.transform(rest, lambda x: F.array(x))
+        later = lambda i: combined(F.slice(rest, i + F.lit(2), F.size(rest)), size - 1)
+        return F.flatten(F.transform(rest, lambda x, i: F.transform(later(i), lambda more: F.concat(F.array(x), more))))
+
+    def keyed(share: float, names: tuple[str, str, str]) -> DataFrame:
+        prefix = F.slice("ranked", 1, F.greatest(F.lit(0), F.col("n") - F.ceil(F.round(F.lit(share) * F.col("n"), 9)) + k).cast("int"))
+        some = ranked.select(*(F.col(x).alias(y) for x, y in zip(("rep", "n", "signature"), names)), prefix.alias("p")).where(F.size("p") >= k)
+        return some.select(*names, F.explode(combined(F.col("p"), k)).alias("key"))
+
+    probe, index = keyed(least, ("rep", "n", "s")), keyed(2 * least / (1 + least), ("rep_b", "n_b", "s_b"))
     smaller = (F.col("n_b") < F.col("n")) | ((F.col("n_b") == F.col("n")) & (F.col("rep_b") < F.col("rep")))
-    pairs = probe.join(index, "key").where(smaller & (F.col("n_b") >= F.lit(least) * F.col("n") - 1e-9)).select("rep", "rep_b").distinct()
+    # An item whose bit the other signature lacks isn't in the other set.
+    most = F.least(F.col("n") - F.bit_count(F.col("s").bitwiseAND(F.bitwise_not("s_b"))), F.col("n_b") - F.bit_count(F.col("s_b").bitwiseAND(F.bitwise_not("s"))))
+    near = (F.col("n_b") >= F.lit(least) * F.col("n") - 1e-9) & ((1 + least) * most >= least * (F.col("n") + F.col("n_b")) - 1e-9)
+    pairs = probe.join(index, "key").where(smaller & near).select("rep", "rep_b").distinct()
     left, right = groups.select("rep", "items"), groups.select(F.col("rep").alias("rep_b"), F.col("items").alias("items_b"))
-    close = pairs.join(left, "rep").join(right, "rep_b").withColumn("score", T.jaccard(F.col("items"), F.col("items_b"))).where(F.col("score") >= least).select("rep", "rep_b", "score")
-    members = whole.join(groups.select("items", "rep"), "items").select("id", "rep")
-    equal = groups.where("members > 1").select("rep", F.col("rep").alias("rep_b"), F.lit(1.0).alias("score"))
-    both = close.union(equal).join(members.select(F.col("id").alias("x"), "rep"), "rep").join(members.select(F.col("id").alias("y"), F.col("rep").alias("rep_b")), "rep_b").where(F.col("x") != F.col("y"))
-    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "score").distinct()
+    scored = pairs.join(left, "rep").join(right, "rep_b").withColumn("score", T.jaccard(F.col("items"), F.col("items_b"))).where(F.col("score") >= least)
+    return scored.select(F.least("rep", "rep_b").alias("a"), F.greatest("rep", "rep_b").alias("b"), "score")
+
+
+def _lcs(a: str, b: str) -> int:
+    """Length of the longest common subsequence, a letter of b at a time in one bit string."""
+    masks: dict[str, int] = {}
+    for i, ch in enumerate(a):
+        masks[ch] = masks.get(ch, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for ch in b:
+        hit = row & masks.get(ch, 0)
+        row = (row + hit | row - hit) & full
+    return len(a) - row.bit_count()
 
 
-def top_matches(queries: DataFrame, vectors: DataFrame, k: int, least: float = -1.0, query_block: int = 2000, block: int = 10_000) -> DataFrame:
+def top_matches(queries: DataFrame, vectors: DataFrame, k: int, least: float = -1.0, same: tuple[str, ...] = (), query_block: int = 2000, block: int = 10_000) -> DataFrame:
     """(query_id, id, score): the k nearest vectors of each query by cosine, least at least, itself left out.
 
+    same: columns of both that must be equal (filters on what a vector carries).
+
     queries: query_id, vector; vectors: id, vector. Both are dealt into blocks by a hash; every
     block of queries meets every block of vectors in a task of its own, which keeps k of each
     query. So each side is copied as often as the other has blocks, and no group outgrows a block.
@@ -94,10 +132,10 @@ def top_matches(queries: DataFrame, vectors: DataFrame, k: int, least: float = -
 
     def dealt(df: DataFrame, key: str, own: int, other: int, names: tuple[str, str]) -> DataFrame:
         block_of = F.pmod(F.xxhash64(key), F.lit(own)).cast("int").alias(names[0])
-        return df.select(key, "vector", block_of, F.explode(F.sequence(F.lit(0), F.lit(other - 1))).alias(names[1]))
+        return df.select(key, "vector", *same, block_of, F.explode(F.sequence(F.lit(0), F.lit(other - 1))).alias(names[1]))
 
-    q = dealt(queries, "query_id", left, right, ("q", "v")).groupBy("q", "v")
-    v = dealt(vectors, "id", right, left, ("v", "q")).groupBy("q", "v")
+    q = dealt(queries, "query_id", left, right, ("q", "v")).groupBy("q", "v", *same)
+    v = dealt(vectors, "id", right, left, ("v", "q")).groupBy("q", "v", *same)
 
     def unit(column: pd.Series) -> np.ndarray:
         m = np.array(column.tolist(), dtype=np.float64)
@@ -125,6 +163,14 @@ def top_matches(queries: DataFrame, vectors: DataFrame, k: int, least: float = -
     return hits.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
 
 
+def search_page(queries: DataFrame, vectors: DataFrame, offset: int, limit: int, least: float) -> DataFrame:
+    """One page of each query's nearest vectors: query_id, id, rank (from 1 over all pages), score and match_reason. A vector id that stands twice counts with its best score."""
+    hits = top_matches(queries, vectors, offset + limit, least).groupBy("query_id", "id").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    reason = F.format_string("similarity %d%%, meets all filters", F.floor(F.col("score") * 100).cast("int"))
+    return hits.withColumns({"rank": rank, "match_reason": reason}).where((F.col("rank") > offset) & (F.col("rank") <= offset + limit))
+
+
 def combined(edges: DataFrame, weights: dict[str, float], least: float = 0.85) -> DataFrame:
     """(id, other, score): of each id the best match by the weighted sum of its methods' scores, if good enough."""
     w = F.create_map(*(x for m, v in weights.items() for x in (F.lit(m), F.lit(v))))
@@ -153,6 +199,36 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def most_alike(items: DataFrame, names: DataFrame, least: int, block: int = 2000) -> DataFrame:
+    """(item_l, name_id, score): for each item_l of items the name of names (name_l, name_id) with the highest fuzz ratio, least at least.
+
+    Equally alike names: the smallest id. The items are a query set: they and the names are dealt
+    into blocks, and every block of items meets every block of names in a task of its own.
+    """
+    left, right = (max(-(-df.count() // block), 1) for df in (items, names))
+
+    def dealt(df: DataFrame, key: str, own: int, other: int, columns: tuple[str, str]) -> DataFrame:
+        return df.withColumn(columns[0], F.pmod(F.xxhash64(key), F.lit(own)).cast("int")).withColumn(columns[1], F.explode(F.sequence(F.lit(0), F.lit(other - 1)))).groupBy("i", "j")
+
+    def search(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        known = list(zip(b["name_l"], b["name_id"])) if len(b) else []
+        for item in a["item_l"] if len(a) else []:
+            best = None
+            for name, i in known:
+                total = len(item) + len(name)
+                if item and name and 200 * min(len(item), len(name)) >= (least - 0.5) * total:
+                    score = round(200 * _lcs(item, name) / total)  # half to even, as fuzz_ratio
+                    if score >= least and (best is None or (score, -i) > (best[1], -best[0])):
+                        best = (i, score)
+            if best:
+                out.append((item, *best))
+        return pd.DataFrame(out, columns=["item_l", "name_id", "score"])
+
+    found = dealt(items, "item_l", left, right, ("i", "j")).cogroup(dealt(names, "name_l", right, left, ("j", "i"))).applyInPandas(search, "item_l string, name_id long, score int")
+    return found.groupBy("item_l").agg(F.max(F.struct("score", F.negative("name_id").alias("id"))).alias("best")).select("item_l", F.negative("best.id").alias("name_id"), "best.score")
+
+
 def fuzzy_lookup(items: DataFrame, master: DataFrame, least: int = 70) -> DataFrame:
     """(item, ingredient_id, how, score): by name, else by synonym, else by the most alike name.
 
@@ -160,10 +236,9 @@ def fuzzy_lookup(items: DataFrame, master: DataFrame, least: int = 70) -> DataFr
     """
     names = master.groupBy(F.lower("standard_name").alias("item_l")).agg(F.min("ingredient_id").alias("by_name"))
     synonyms = master.groupBy(F.lower("synonym").alias("item_l")).agg(F.min("ingredient_id").alias("by_synonym"))
-    s = items.select("item", F.lower("item").alias("item_l")).join(names, "item_l", "left").join(synonyms, "item_l", "left")
-    rest = s.where("by_name IS NULL AND by_synonym IS NULL").select("item", "item_l")
-    # Length bound: 2 * shorter / (both) * 100 must reach least - 0.5.
-    n, m = F.length("item_l"), F.length("name_l")
-    close = rest.join(names.select(F.col("item_l").alias("name_l"), "by_name"), 200.0 * F.least(n, m) / (n + m) >= least - 0.5).withColumn("score", T.fuzz_ratio(F.col("item_l"), F.col("name_l"))).where(F.col("score") >= least)
-    best = close.groupBy("item").agg(F.max(F.struct("score", F.negative("by_name").alias("id"))).alias("best")).select("item", F.negative("best.id").alias("by_likeness"), "best.score")
-    return s.join(best, "item", "left").select("item", F.coalesce("by_name", "by_synonym", "by_likeness").alias("ingredient_id"), F.when(F.col("by_name").isNotNull(), "name").when(F.col("by_synonym").isNotNull(), "synonym").when(F.col("by_likeness").isNotNull(), "fuzzy").otherwise("none").alias("how"), F.coalesce(F.when(F.coalesce("by_name", "by_synonym").isNotNull(), 100), "score").alias("score"))
+    s = written(items.select("item", F.lower("item").alias("item_l")).join(names, "item_l", "left").join(synonyms, "item_l", "left"))
+    rest = s.where("by_name IS NULL AND by_synonym IS NULL").select("item_l").distinct()
+    close = most_alike(rest, names.select(F.col("item_l").alias("name_l"), F.col("by_name").alias("name_id")), least).select("item_l", F.col("name_id").alias("by_likeness"), "score")
+    how = F.when(F.col("by_name").isNotNull(), "name").when(F.col("by_synonym").isNotNull(), "synonym").when(F.col("by_likeness").isNotNull(), "fuzzy").otherwise("none")
+    score = F.coalesce(F.when(F.coalesce("by_name", "by_synonym").isNotNull(), 100), "score")
+    return s.join(close, "item_l", "left").select("item", F.coalesce("by_name", "by_synonym", "by_likeness").alias("ingredient_id"), how.alias("how"), score.alias("score"))

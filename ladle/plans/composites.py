@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ladle.functions import text as T
@@ -10,37 +10,64 @@ from ladle.operators import extract as X
 from ladle.operators import filters as P
 from ladle.operators import joins as J
 from ladle.operators import learning as L
-from ladle.operators import nutrition as N
 from ladle.operators import quality as Q
 from ladle.operators import ranking as R
-from ladle.operators import recommend as C
 from ladle.operators import similarity as M
-from ladle.plans.registry import AS_OF, as_of, query
+from ladle.plans.registry import as_of, query
 from ladle.sources import tables as S
+from ladle.sources.scratch import scratch_path
 from ladle.streaming import streams as St
 
 c = F.col
 
 # --- similarity ------------------------------------------------------------------------------
 
-_NAMES = "n AS (SELECT p_partkey AS id, p_name AS t FROM part)"
 
+def _titles(t) -> DataFrame:
+    return t.part.select(c("p_partkey").alias("recipe_id"), F.concat_ws(" ", "p_name", F.lower("p_type")).alias("title"))
 
-@query("self_join_title_sim", "WITH n AS (SELECT p_partkey AS id, concat(p_name, ' ', lower(p_type)) AS t FROM part), d AS (SELECT DISTINCT t FROM n), p AS (SELECT x.t, y.t AS u, 1 - levenshtein(x.t, y.t) / greatest(length(x.t), length(y.t)) AS s FROM d x JOIN d y ON x.t <= y.t) SELECT least(a.id, b.id) AS a, greatest(a.id, b.id) AS b, round(s, 6) AS score FROM p JOIN n a ON a.t = p.t JOIN n b ON b.t = p.u WHERE s >= 0.85 AND a.id <> b.id GROUP BY ALL")
-def _(t): return M.similar_titles(t.part.select(c("p_partkey").alias("recipe_id"), F.concat_ws(" ", "p_name", F.lower("p_type")).alias("title"))).select("a", "b", F.round("score", 6).alias("score"))
+
+_TITLES = "d AS (SELECT t, min(id) AS id FROM (SELECT p_partkey AS id, concat(p_name, ' ', lower(p_type)) AS t FROM part) GROUP BY 1), title AS (SELECT least(x.id, y.id) AS a, greatest(x.id, y.id) AS b, 1 - levenshtein(x.t, y.t) / greatest(length(x.t), length(y.t)) AS score FROM d x JOIN d y ON x.t < y.t WHERE 1 - levenshtein(x.t, y.t) / greatest(length(x.t), length(y.t)) >= 0.85)"
+
+
+@query("self_join_title_sim", f"WITH {_TITLES} SELECT a, b, round(score, 6) AS score FROM title")
+def self_join_title_sim(t):
+    """Pairs of classes of equal titles; title_classes tells the members."""
+    return M.similar_titles(_titles(t)).select("a", "b", F.round("score", 6).alias("score"))
+
+
+@query("title_classes", "SELECT p_partkey AS recipe_id, min(p_partkey) OVER (PARTITION BY concat(p_name, ' ', lower(p_type))) AS class_id FROM part")
+def title_classes(t):
+    return M.title_classes(_titles(t)).select("recipe_id", "class_id")
+
+
+def _item_sets(t) -> DataFrame:
+    return t.ingredients.select(c("recipe_id").alias("id"), (c("ingredient_id") % 40).alias("item"))
 
 
 # Items are below 40, so a set is a bit mask on the other side.
-_SETS = """s AS (SELECT recipe_id AS id, bit_or(CAST(1 AS BIGINT) << CAST(ingredient_id % 40 AS INT)) AS m FROM ingredients GROUP BY 1), g AS (SELECT DISTINCT m FROM s),
-p AS (SELECT x.m AS a, y.m AS b, CAST(bit_count(x.m & y.m) AS DOUBLE) / bit_count(x.m | y.m) AS score FROM g x JOIN g y ON x.m <= y.m WHERE bit_count(x.m & y.m) * 10 >= 7 * CAST(bit_count(x.m | y.m) AS INT))"""
+_SETS = """s AS (SELECT recipe_id AS id, bit_or(CAST(1 AS BIGINT) << CAST(ingredient_id % 40 AS INT)) AS m FROM ingredients GROUP BY 1), g AS (SELECT m, min(id) AS id FROM s GROUP BY 1),
+sets AS (SELECT least(x.id, y.id) AS a, greatest(x.id, y.id) AS b, CAST(bit_count(x.m & y.m) AS DOUBLE) / bit_count(x.m | y.m) AS score FROM g x JOIN g y ON x.m < y.m WHERE bit_count(x.m & y.m) * 10 >= 7 * CAST(bit_count(x.m | y.m) AS INT))"""
+
+
+@query("self_join_jaccard", f"WITH {_SETS} SELECT a, b, round(score, 6) AS score FROM sets")
+def self_join_jaccard(t):
+    """Pairs of classes of equal sets; ingredient_classes tells the members."""
+    return M.similar_sets(_item_sets(t), 0.7).select("a", "b", F.round("score", 6).alias("score"))
+
+
+@query("ingredient_classes", f"WITH {_SETS} SELECT s.id, g.id AS class_id FROM s JOIN g ON g.m = s.m")
+def ingredient_classes(t):
+    return M.set_classes(_item_sets(t)).select("id", "class_id")
 
 
-@query("self_join_jaccard", f"WITH {_SETS} SELECT DISTINCT least(x.id, y.id) AS a, greatest(x.id, y.id) AS b, round(score, 6) AS score FROM p JOIN s x ON x.m = p.a JOIN s y ON y.m = p.b WHERE x.id <> y.id")
-def _(t): return M.similar_sets(t.ingredients.select(c("recipe_id").alias("id"), (c("ingredient_id") % 40).alias("item")), 0.7).select("a", "b", F.round("score", 6).alias("score"))
+def _vec(t) -> DataFrame:
+    return t.embeddings.select(c("vec_id").alias("id"), c("embedding").alias("vector"), "label")
 
 
-def _vec(t):
-    return t.embeddings.select(c("vec_id").alias("id"), c("embedding").alias("vector"))
+def _asked(t) -> DataFrame:
+    """The query set of searches: every vector whose id is divisible by 20."""
+    return _vec(t).where("id % 20 = 0").withColumnRenamed("id", "query_id")
 
 
 _COS = "list_cosine_similarity(CAST({0}.embedding AS DOUBLE[]), CAST({1}.embedding AS DOUBLE[]))"
@@ -48,239 +75,374 @@ _TOP = f"SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id OR
 
 
 @query("vector_search", f"SELECT query_id, id, round(score, 6) AS score FROM ({_TOP}) WHERE r <= 10 AND score >= 0.1")
-def _(t): return M.top_matches(_vec(t).where("id % 20 = 0").select(c("id").alias("query_id"), "vector"), _vec(t), 10, 0.1).select("query_id", "id", F.round("score", 6).alias("score"))
+def vector_search(t):
+    return M.top_matches(_asked(t), _vec(t), 10, 0.1).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
-@query("self_join_cosine", f"SELECT least(query_id, id) AS a, greatest(query_id, id) AS b, round(score, 6) AS score FROM ({_TOP.replace(' WHERE q.vec_id % 20 = 0', '')}) WHERE r <= 100 AND score >= 0.3 GROUP BY ALL")
-def _(t): return M.top_matches(_vec(t).select(c("id").alias("query_id"), "vector"), _vec(t), 100, 0.3).select(F.least("query_id", "id").alias("a"), F.greatest("query_id", "id").alias("b"), F.round("score", 6).alias("score")).distinct()
+@query("vector_search_filtered", f"SELECT query_id, id, round(score, 6) AS score FROM ({_TOP.replace('v.vec_id <> q.vec_id', 'v.vec_id <> q.vec_id AND v.label = q.label')}) WHERE r <= 10 AND score >= 0.1")
+def vector_search_filtered(t):
+    """Only vectors with the query's label."""
+    return M.top_matches(_asked(t), _vec(t), 10, 0.1, same=("label",)).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
-@query("similarity_matrix", f"SELECT a.vec_id AS i, b.vec_id AS j, round({_COS.format('a', 'b')}, 6) AS cos FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE a.label = 0 AND b.label = 0")
-def _(t):
-    v = t.embeddings.where("label = 0").select(c("vec_id").alias("i"), "embedding")
-    return v.join(v.select(c("i").alias("j"), c("embedding").alias("o")), c("i") < c("j")).select("i", "j", F.round(T.cosine(c("embedding"), c("o")), 6).alias("cos"))
+_NEAR = f"cos AS (SELECT least(query_id, id) AS a, greatest(query_id, id) AS b, max(score) AS score FROM ({_TOP}) WHERE r <= 100 AND score >= 0.3 GROUP BY 1, 2)"
 
 
-def _edges(t):
-    base = t.lineitem.where("l_partkey <> l_suppkey").groupBy(c("l_partkey").alias("a"), c("l_suppkey").alias("b"))
-    e = base.agg(F.max("l_discount").alias("d"), F.max("l_tax").alias("x"))
-    return e.select("a", "b", F.lit("title_fuzzy").alias("method"), (1 - c("d")).alias("score")).union(e.select("a", "b", F.lit("ingredients"), 1 - c("x")))
+def _near(t) -> DataFrame:
+    hits = M.top_matches(_asked(t), _vec(t), 100, 0.3)
+    return hits.groupBy(F.least("query_id", "id").alias("a"), F.greatest("query_id", "id").alias("b")).agg(F.max("score").alias("score"))
 
 
-_EDGES = "d AS (SELECT l_partkey AS a, l_suppkey AS b, max(l_discount) AS d, max(l_tax) AS x FROM lineitem WHERE l_partkey <> l_suppkey GROUP BY 1, 2), e AS (SELECT a, b, 'title_fuzzy' AS method, 1 - d AS score FROM d UNION ALL SELECT a, b, 'ingredients', 1 - x FROM d)"
-_BEST = f"{_EDGES}, y AS (SELECT a AS id, b AS other, method, score FROM e UNION ALL SELECT b, a, method, score FROM e), w AS (SELECT id, other, sum(CASE method WHEN 'title_fuzzy' THEN 0.6 ELSE 0.4 END * score) AS score FROM y GROUP BY 1, 2), best AS (SELECT id, other, score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(score, 9) DESC, other) AS r FROM w WHERE round(score, 9) >= 1.9) WHERE r = 1)"
-_WEIGHTS = {"title_fuzzy": 0.6, "ingredients": 0.4}
+@query("self_join_cosine", f"WITH {_NEAR} SELECT a, b, round(score, 6) AS score FROM cos")
+def self_join_cosine(t):
+    return _near(t).select("a", "b", F.round("score", 6).alias("score"))
 
 
-def _best(t):
-    return M.combined(_edges(t).withColumn("score", F.round("score", 9)), _WEIGHTS, 1.9)
+@query("similarity_matrix", f"SELECT a.vec_id AS i, b.vec_id AS j, round({_COS.format('a', 'b')}, 6) AS cos FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE a.vec_id % 20 = 0 AND b.vec_id % 20 = 0")
+def similarity_matrix(t):
+    """All similarities within the query set, which is the matrix that was asked for."""
+    asked = _asked(t)
+    hits = M.top_matches(asked, asked.select(c("query_id").alias("id"), "vector"), asked.count())
+    return hits.where("query_id < id").select(c("query_id").alias("i"), c("id").alias("j"), F.round("score", 6).alias("cos"))
 
 
-@query("combined_similarity", f"WITH {_BEST} SELECT id, round(score, 6) AS score FROM best")
-def _(t): return _best(t).select("id", F.round("score", 6).alias("score"))
+_EDGES = f"{_TITLES}, {_SETS}, {_NEAR}, e AS (SELECT a, b, 'title_fuzzy' AS method, score FROM title UNION ALL SELECT a, b, 'ingredients', score FROM sets UNION ALL SELECT a, b, 'embedding', score FROM cos)"
+_BEST = f"{_EDGES}, y AS (SELECT a AS id, b AS other, method, score FROM e UNION ALL SELECT b, a, method, score FROM e), w AS (SELECT id, other, round(sum(CASE method WHEN 'title_fuzzy' THEN 0.4 ELSE 0.3 END * score), 9) AS score FROM y GROUP BY 1, 2)"
+#: How much each kind of similarity counts.
+WEIGHTS = {"title_fuzzy": 0.4, "ingredients": 0.3, "embedding": 0.3}
 
 
-@query("all_similarities")
-def _(t):
-    title = M.similar_titles(t.part.select(c("p_partkey").alias("recipe_id"), c("p_name").alias("title"))).withColumn("method", F.lit("title_fuzzy"))
-    sets = M.similar_sets(t.ingredients.select(c("recipe_id").alias("id"), (c("ingredient_id") % 40).alias("item")), 0.7).withColumn("method", F.lit("ingredients"))
-    return title.unionByName(sets).withColumn("computed_at", as_of()).transform(J.symmetric_pairs)
+def _edges(t) -> DataFrame:
+    kinds = {"title_fuzzy": M.similar_titles(_titles(t)), "ingredients": M.similar_sets(_item_sets(t), 0.7), "embedding": _near(t)}
+    every = None
+    for method, df in kinds.items():
+        df = df.select("a", "b", F.lit(method).alias("method"), "score")
+        every = df if every is None else every.union(df)
+    return every
+
+
+@query("all_similarities", f"WITH {_EDGES} SELECT a, b, method, round(score, 6) AS score FROM e")
+def all_similarities(t):
+    return J.symmetric_pairs(_edges(t).withColumn("computed_at", as_of())).select("a", "b", "method", F.round("score", 6).alias("score"))
+
+
+# The tables' likenesses have little in common, so that the bound is lower than where it decides on merging.
+@query("combined_similarity", f"WITH {_BEST} SELECT id, round(max(score), 6) AS score FROM w WHERE score >= 0.3 GROUP BY 1")
+def combined_similarity(t):
+    return M.combined(_edges(t), WEIGHTS, 0.3).select("id", F.round("score", 6).alias("score"))
 
 
 _LINKS = "l AS (SELECT DISTINCT l_partkey AS a, l_partkey + 7 AS b FROM lineitem WHERE l_partkey % 5 = 0)"
 
 
 @query("cluster_recipes", f"WITH RECURSIVE {_LINKS}, d AS (SELECT a, b FROM l UNION SELECT b, a FROM l), r AS (SELECT a AS id, a AS m FROM d UNION SELECT d.b, r.m FROM r JOIN d ON d.a = r.id) SELECT id, min(m) AS component FROM r GROUP BY 1")
-def _(t): return M.components(t.lineitem.where("l_partkey % 5 = 0").select(c("l_partkey").alias("a"), (c("l_partkey") + 7).alias("b")).distinct())
+def cluster_recipes(t):
+    return M.components(t.lineitem.where("l_partkey % 5 = 0").select(c("l_partkey").alias("a"), (c("l_partkey") + 7).alias("b")).distinct())
 
 
 @query("fuzzy_lookup_join")
-def _(t): return M.fuzzy_lookup(t.part.select(F.concat("p_name", F.when(c("p_partkey") % 3 == 0, "s").otherwise("")).alias("item")).distinct(), t.master)
+def fuzzy_lookup_join(t):
+    return M.fuzzy_lookup(t.part.select(F.concat("p_name", F.when(c("p_partkey") % 3 == 0, "s").otherwise("")).alias("item")).distinct(), t.master)
 
 
 # --- search ----------------------------------------------------------------------------------
 
 
-@query("hybrid_search", f"""WITH v AS (SELECT query_id, id AS recipe_id, score FROM ({_TOP}) WHERE score >= 0.05), k AS (SELECT query_id, recipe_id, max(score) AS score FROM v WHERE recipe_id IN (SELECT recipe_id FROM tags WHERE dimension = 'spice' AND tag_value IN ('spice_1', 'spice_2')) AND recipe_id IN (SELECT recipe_id FROM recipes WHERE total_time_minutes <= 90) GROUP BY 1, 2)
-SELECT query_id, recipe_id, round(score, 3) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, recipe_id) AS r FROM k) WHERE r <= 5""")
-def _(t):
-    suits = J.all_tags(t.recipes.where(P.in_range("total_time_minutes", most=90)).select("recipe_id"), t.tags, {"spice": ["spice_1", "spice_2"]})
-    pool = _vec(t).join(suits.select(c("recipe_id").alias("id")), "id", "left_semi")  # filters first, then the nearest
-    hits = M.top_matches(_vec(t).where("id % 20 = 0").select(c("id").alias("query_id"), "vector"), pool, 5, 0.05)
-    return hits.select("query_id", c("id").alias("recipe_id"), F.round("score", 3).alias("score"))
+@query("hybrid_search", f"""WITH v AS (SELECT query_id, id AS recipe_id, score FROM ({_TOP}) WHERE score >= 0.05), k AS (SELECT query_id, recipe_id, max(score) AS score FROM v WHERE recipe_id IN (SELECT recipe_id FROM tags WHERE dimension = 'spice' AND tag_value IN ('spice_1', 'spice_2')) AND recipe_id IN (SELECT recipe_id FROM recipes WHERE total_time_minutes <= 90 AND meal_slot <> 'snack') GROUP BY 1, 2),
+z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, recipe_id) AS r FROM k)
+SELECT query_id, recipe_id, CAST(r AS INT) AS rank, round(score, 3) AS score, concat('similarity ', CAST(CAST(floor(score * 100) AS INT) AS STRING), '%, meets all filters') AS match_reason FROM z WHERE r > 5 AND r <= 10""")
+def hybrid_search(t):
+    """The second page of five: filters first, then the nearest."""
+    suits = J.all_tags(t.recipes.where(P.in_range("total_time_minutes", most=90) & (c("meal_slot") != "snack")).select("recipe_id"), t.tags, {"spice": ["spice_1", "spice_2"]})
+    found = _vec(t).join(suits.select(c("recipe_id").alias("id")), "id", "left_semi")
+    return M.search_page(_asked(t), found, 5, 5, 0.05).select("query_id", c("id").alias("recipe_id"), "rank", F.round("score", 3).alias("score"), "match_reason")
 
 
 # --- learning and onboarding -----------------------------------------------------------------
 
-@query("discover_preferences", "SELECT user_id, max(action) FILTER (WHERE action IN ('right', 'save')) AS liked_by, max_by(action, struct_pack(a := swiped_at, b := swipe_id)) AS last_action FROM swipes GROUP BY 1")
-def _(t): return t.swipes.groupBy("user_id").agg(F.max(F.when(c("action").isin("right", "save"), c("action"))).alias("liked_by"), F.max_by("action", F.struct("swiped_at", "swipe_id")).alias("last_action"))
+_TESTS = ["perfect_match", "polarizing_ingredient", "texture_fermentation", "regional_boundary", "wildcard_complexity"]
+_FOUND = """CASE WHEN k = 0 AND action = 'long_press_left' THEN 'perfect_match_rejection=1.0' WHEN k = 1 AND action = 'long_press_left' THEN 'polarizing_ingredient_rejected=1.0' WHEN k = 1 AND action = 'right' THEN 'polarizing_ingredient_affinity=0.7'
+WHEN k = 2 AND action = 'right' THEN 'texture_affinity=0.7' WHEN k = 3 AND action = 'right' THEN 'regional_openness=0.7' WHEN k = 4 AND action = 'right' THEN 'experimentation_factor=0.6' END"""
 
 
-@query("refine_profiles", "SELECT p.user_id, CAST(greatest(1, least(5, heat + coalesce(adjustment, 0))) AS INT) AS heat FROM profiles p LEFT JOIN (SELECT user_id, CASE WHEN count(*) FILTER (WHERE spice_feedback = 'too_spicy') * 2 > count(*) THEN -1 WHEN count(*) FILTER (WHERE spice_feedback = 'too_mild') * 2 > count(*) THEN 1 ELSE 0 END AS adjustment FROM cooks GROUP BY 1 HAVING count(*) >= 3) a ON a.user_id = p.user_id")
-def _(t): return t.profiles.join(L.spice_adjustment(t.cooks, 3), "user_id", "left").select("user_id", F.greatest(F.lit(1), F.least(F.lit(5), c("heat") + F.coalesce("adjustment", F.lit(0)))).alias("heat"))
+@query("discover_preferences", f"SELECT user_id, list_sort(list(DISTINCT f)) AS found FROM (SELECT user_id, {_FOUND} AS f FROM (SELECT user_id, action, swipe_id % 5 AS k FROM swipes)) WHERE f IS NOT NULL GROUP BY 1")
+def discover_preferences(t):
+    """Swipes of validation dishes; the test is told by the swipe's number."""
+    kind = F.element_at(F.array(*map(F.lit, _TESTS)), (c("swipe_id") % 5 + 1).cast("int"))
+    action = F.when(c("action") == "long_press_left", F.when(kind == "perfect_match", "left").otherwise("long_press_left")).otherwise(c("action"))
+    found = L.discovered_preferences(t.swipes.select("user_id", "swiped_at", "swipe_id", action.alias("action"), kind.alias("test_type")))
+    return found.select("user_id", F.array_sort(F.transform(F.map_entries("found"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))).alias("found"))
 
 
-@query("profile_documents", "SELECT user_id, concat('{\"diet\":\"', diet, '\",\"heat\":', heat, ',\"regions\":[\"', region_1, '\",\"', region_2, '\"]}') AS doc FROM profiles")
-def _(t): return t.profiles.select("user_id", F.to_json(F.struct("diet", "heat", F.array("region_1", "region_2").alias("regions"))).alias("doc"))
+@query("refine_profiles", """WITH a AS (SELECT user_id, CASE WHEN count(*) FILTER (WHERE spice_feedback = 'too_spicy') * 2 > count(*) THEN -1 WHEN count(*) FILTER (WHERE spice_feedback = 'too_mild') * 2 > count(*) THEN 1 ELSE 0 END AS adjustment FROM cooks GROUP BY 1 HAVING count(*) >= 3),
+e AS (SELECT user_id, recipe_id, CASE action WHEN 'right' THEN 0.2 WHEN 'long_press_left' THEN -0.5 ELSE -0.05 END AS s FROM swipes UNION ALL SELECT user_id, recipe_id, CASE WHEN would_make_again THEN 0.7 ELSE 0.4 END FROM cooks),
+f AS (SELECT user_id, tag_value, round(greatest(0, least(1, 0.5 + sum(CAST(s AS DOUBLE)))), 6) AS affinity FROM e JOIN (SELECT DISTINCT recipe_id, tag_value FROM tags WHERE dimension = 'region') t ON t.recipe_id = e.recipe_id GROUP BY 1, 2 HAVING count(*) >= 2),
+g AS (SELECT user_id, tag_value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY affinity DESC, tag_value) AS r FROM f) WHERE r = 1),
+n AS (SELECT user_id, least(0.85 + least(0.001 * count(*) + 0.01 * count(*) FILTER (WHERE action = 'made_it'), 0.10), 0.95) AS learned FROM swipes GROUP BY 1)
+SELECT p.user_id, CAST(greatest(1, least(5, heat + coalesce(adjustment, 0))) AS INT) AS heat, g.tag_value AS best_region, round(coalesce(learned, 0.85), 6) AS confidence FROM profiles p LEFT JOIN a ON a.user_id = p.user_id LEFT JOIN g ON g.user_id = p.user_id LEFT JOIN n ON n.user_id = p.user_id""")
+def refine_profiles(t):
+    """Profiles after what the users did: heat, the region that they like best, and how sure the profile is."""
+    signals = L.affinity_by_signals(t.swipes, t.cooks, t.tags.where("dimension = 'region'")).withColumn("affinity", F.round("affinity", 6))
+    region = R.latest_per(signals, ["user_id"], [F.desc("affinity"), c("tag_value")]).select("user_id", c("tag_value").alias("best_region"))
+    n, cooked = F.count("*"), F.count_if(c("action") == "made_it")
+    learned = t.swipes.groupBy("user_id").agg(F.least(0.85 + F.least(0.001 * n + 0.01 * cooked, F.lit(0.10)), F.lit(0.95)).alias("learned"))
+    every = t.profiles.join(L.spice_adjustment(t.cooks, 3), "user_id", "left").join(region, "user_id", "left").join(learned, "user_id", "left")
+    heat = F.greatest(F.lit(1), F.least(F.lit(5), c("heat") + F.coalesce("adjustment", F.lit(0))))
+    return every.select("user_id", heat.alias("heat"), "best_region", F.round(F.coalesce("learned", F.lit(0.85)), 6).alias("confidence"))
 
 
-@query("feedback_review", "SELECT feedback_id, CASE feedback_id % 4 WHEN 0 THEN 'reviewed' WHEN 1 THEN 'applied' WHEN 2 THEN 'rejected' ELSE status END AS status FROM feedback WHERE status = 'pending'")
-def _(t):
-    decision = F.when(c("feedback_id") % 4 == 0, "reviewed").when(c("feedback_id") % 4 == 1, "applied").when(c("feedback_id") % 4 == 2, "rejected").otherwise("unknown")
-    return S.mark(t.feedback.where("status = 'pending'").withColumn("decision", decision), c("decision").isin("reviewed", "applied", "rejected"), status=c("decision")).select("feedback_id", "status")
+@query("profile_documents", "SELECT user_id, CAST(to_json({'constraints': {'diet': diet, 'allium': allium_status, 'dairy_free': is_dairy_free, 'prohibitions': CASE WHEN prohibition IS NULL THEN [] ELSE [prohibition] END}, 'preferences': {'heat': heat, 'regions': [region_1, region_2], 'gravy': gravy, 'flavour': flavour}, 'context': {'household': household, 'weekday_minutes': time_budget}}) AS VARCHAR) AS doc FROM profiles")
+def profile_documents(t):
+    constraints = F.struct("diet", c("allium_status").alias("allium"), c("is_dairy_free").alias("dairy_free"), F.array_compact(F.array("prohibition")).alias("prohibitions"))
+    preferences = F.struct("heat", F.array("region_1", "region_2").alias("regions"), "gravy", "flavour")
+    context = F.struct("household", c("time_budget").alias("weekday_minutes"))
+    return t.profiles.select("user_id", F.to_json(F.struct(constraints.alias("constraints"), preferences.alias("preferences"), context.alias("context"))).alias("doc"))
+
+
+_DECISION = "CASE feedback_id % 4 WHEN 0 THEN 'reviewed' WHEN 1 THEN 'applied' WHEN 2 THEN 'rejected' ELSE 'unknown' END"
+
+
+@query("feedback_review", f"SELECT feedback_id, CASE WHEN {_DECISION} = 'unknown' THEN status ELSE {_DECISION} END AS status, {_DECISION} <> 'unknown' AS accepted FROM feedback WHERE status = 'pending'")
+def feedback_review(t):
+    """Decisions on pending feedback; unknown ones are not accepted and change nothing."""
+    pending = t.feedback.where("status = 'pending'")
+    decisions = pending.select("feedback_id", F.expr(_DECISION).alias("decision"))
+    accepted = c("decision").isin("reviewed", "applied", "rejected")
+    both = pending.join(decisions, "feedback_id").withColumn("accepted", accepted)
+    return S.mark(both, c("accepted"), status=c("decision")).select("feedback_id", "status", "accepted")
 
 
 @query("onboarding_progress", "SELECT user_id, heat / 8 * 100 AS percent, CASE WHEN heat >= 5 THEN 'completed' ELSE 'in_progress' END AS status FROM profiles")
-def _(t): return t.profiles.select("user_id", (c("heat") / 8 * 100).alias("percent"), F.when(c("heat") >= 5, "completed").otherwise("in_progress").alias("status"))
+def onboarding_progress(t):
+    return t.profiles.select("user_id", (c("heat") / 8 * 100).alias("percent"), F.when(c("heat") >= 5, "completed").otherwise("in_progress").alias("status"))
 
 
-@query("explode_tag_proposals", "SELECT recipe_id, 'diet' AS dimension, lower(platform) AS tag_value, 0.9 AS confidence FROM recipes UNION ALL SELECT recipe_id, 'region', unnest(['a', 'b']), 0.85 FROM recipes")
-def _(t):
-    one = F.array(F.struct(F.lit("diet").alias("dimension"), F.array(F.lower("platform")).alias("v"), F.lit(0.9).alias("confidence")), F.struct(F.lit("region").alias("dimension"), F.array(F.lit("a"), F.lit("b")).alias("v"), F.lit(0.85).alias("confidence")))
-    return t.recipes.select("recipe_id", F.explode(one).alias("x")).select("recipe_id", "x.dimension", F.explode("x.v").alias("tag_value"), "x.confidence")
+@query("explode_tag_proposals", """WITH p AS (SELECT user_id * 20 AS recipe_id, diet, [region_1, region_2] AS region, allium_status = 'both' AS allium, ['lunch', 'dinner'] AS meal FROM profiles WHERE user_id * 20 IN (SELECT recipe_id FROM recipes))
+SELECT recipe_id, 'diet' AS dimension, diet AS tag_value, 0.9 AS confidence FROM p UNION ALL SELECT recipe_id, 'region', unnest(region), 0.85 FROM p UNION ALL SELECT recipe_id, 'allium', CAST(allium AS VARCHAR), 0.95 FROM p UNION ALL SELECT recipe_id, 'meal', unnest(meal), 0.8 FROM p""")
+def explode_tag_proposals(t):
+    """Proposals of a recipe as one struct; those of unknown recipes go."""
+    proposals = t.profiles.select((c("user_id") * 20).alias("recipe_id"), "diet", F.array("region_1", "region_2").alias("region"), (c("allium_status") == "both").alias("allium"), F.array(F.lit("lunch"), F.lit("dinner")).alias("meal"))
+    return Q.proposed_tags(proposals, t.recipes.select("recipe_id"))
 
 
-@query("ingest_feedback", "SELECT feedback_id, rating BETWEEN 2 AND 5 AND recipe_id % 3 <> 0 AS accepted FROM feedback")
-def _(t):
-    known = t.customer.where("c_custkey % 3 <> 0").select(c("c_custkey").alias("recipe_id"), F.lit(True).alias("known"))
-    return t.feedback.join(known, "recipe_id", "left").select("feedback_id", (c("rating").between(2, 5) & c("known").isNotNull()).alias("accepted"))
+@query("ingest_feedback", "SELECT feedback_id, type, CASE type WHEN 'rating' THEN CAST(rating AS VARCHAR) WHEN 'correction' THEN 'field title' ELSE 'report' END AS detail, f.recipe_id IN (SELECT recipe_id FROM recipes WHERE platform <> 'F') AND (type <> 'rating' OR rating BETWEEN 1 AND 5) AS accepted FROM feedback f")
+def ingest_feedback(t):
+    """Ratings, corrections and reports as one table; rows of unknown recipes and ratings out of range aren't accepted."""
+    ratings = t.feedback.where("type = 'rating'").select("feedback_id", "recipe_id", "type", "rating", c("rating").cast("string").alias("detail"))
+    corrections = t.feedback.where("type = 'correction'").select("feedback_id", "recipe_id", "type", F.lit("field title").alias("detail"))
+    reports = t.feedback.where("type = 'report'").select("feedback_id", "recipe_id", "type", F.lit("report").alias("detail"))
+    every = ratings.unionByName(corrections, allowMissingColumns=True).unionByName(reports, allowMissingColumns=True)
+    known = t.recipes.where("platform <> 'F'").select("recipe_id", F.lit(True).alias("known"))
+    accepted = c("known").isNotNull() & F.coalesce(c("rating").between(1, 5), F.lit(True))
+    return every.join(known, "recipe_id", "left").select("feedback_id", "type", "detail", accepted.alias("accepted"))
 
 
-@query("ingest_book_recipes", "SELECT concat('pdf://book#', p_name) AS url, count(*) AS n FROM part WHERE concat('pdf://book#', p_name) NOT IN (SELECT concat('pdf://book#', p_name) FROM part WHERE p_partkey < 10) GROUP BY 1")
-def _(t):
-    urls = t.part.select("p_partkey", F.concat(F.lit("pdf://book#"), "p_name").alias("url"))
-    return urls.join(urls.where("p_partkey < 10").select("url"), "url", "left_anti").groupBy("url").agg(F.count("*").alias("n"))
+@query("ingest_book_recipes", "WITH u AS (SELECT concat('pdf://book#', p_name, ' ', p_type) AS url, p_size FROM part), o AS (SELECT DISTINCT url FROM u WHERE p_size > 40) SELECT url, url NOT IN (SELECT url FROM o) AS saved, count(*) AS n FROM u GROUP BY 1, 2")
+def ingest_book_recipes(t):
+    """Recipes out of stored answers on chunks of a book; a URL that exists is skipped."""
+    answer = F.concat(F.lit('Here they are:\n```json\n[{"title":"'), "p_name", F.lit(" "), "p_type", F.lit('"}]\n```'))
+    told = t.part.select("p_size", F.explode(F.from_json(T.extract_json_block(answer), "array<struct<title:string>>")).alias("r"))
+    urls = told.select("p_size", F.concat(F.lit("pdf://book#"), "r.title").alias("url"))
+    found = P.register_urls(urls, urls.where("p_size > 40").select("url").distinct())
+    return found.groupBy("url", c("is_new").alias("saved")).agg(F.count("*").alias("n"))
+
+
+_HAVE = "(SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')"
 
 
-@query("embedding_audit", "SELECT count(*) FILTER (WHERE vec_id BETWEEN 50 AND 549) AS valid, count(*) FILTER (WHERE vec_id NOT BETWEEN 50 AND 549) AS orphaned, 500 - count(*) FILTER (WHERE vec_id BETWEEN 50 AND 549) AS missing, 0 AS surplus FROM embeddings")
-def _(t): return Q.embedding_audit(t.embeddings.select(c("vec_id").alias("point_id"), c("vec_id").alias("recipe_id")), t.spark.range(50, 550).select(c("id").alias("recipe_id")))
+@query("embedding_audit", f"SELECT count(*) FILTER (WHERE vec_id IN {_HAVE}) AS valid, count(*) FILTER (WHERE vec_id NOT IN {_HAVE}) AS orphaned, (SELECT count(*) FROM orders WHERE o_orderstatus <> 'P' AND o_orderkey NOT IN (SELECT vec_id FROM embeddings)) AS missing, 0 AS surplus FROM embeddings")
+def embedding_audit(t):
+    recipes = t.orders.where("o_orderstatus <> 'P'").select(c("o_orderkey").alias("recipe_id"))
+    return Q.embedding_audit(t.embeddings.select(c("vec_id").alias("point_id"), c("vec_id").alias("recipe_id")), recipes)
 
 
-def _checked(t):
-    n = t.ingredients.groupBy("recipe_id").agg(F.count("*").alias("n_ingredients"))
-    return t.recipes.join(n, "recipe_id", "left").withColumns({"n_steps": c("servings"), "minutes": c("total_time_minutes")})
+def _checked(t) -> DataFrame:
+    """Recipes in the shape that validation looks at; steps and times are made of the numbers that recipes have."""
+    amount = c("quantity") * F.when(c("unit") == "kg", 1000.0).otherwise(1.0)
+    lines = t.ingredients.join(t.master, "ingredient_id").select("recipe_id", F.struct("line", c("standard_name").alias("name"), amount.alias("quantity")).alias("i"))
+    items = lines.groupBy("recipe_id").agg(F.transform(F.array_sort(F.collect_list("i")), lambda x: F.struct(x["name"].alias("name"), x["quantity"].alias("quantity"))).alias("ingredients"))
+    steps = F.transform(F.sequence(F.lit(1), "servings"), lambda i: F.concat(F.lit("Step "), i.cast("string"), F.when(i % 2 == 0, " of the dish").otherwise("")))
+    return t.recipes.join(items, "recipe_id", "left").withColumns({"creator": c("creator_id").cast("string"), "steps": steps, "prep": c("total_time_minutes") % 50, "cook": c("total_time_minutes") % 70, "total": c("total_time_minutes")})
 
 
-_ISSUES = "SELECT r.recipe_id, u.* FROM (SELECT r.*, (SELECT count(*) FROM ingredients i WHERE i.recipe_id = r.recipe_id) AS k FROM recipes r) r, LATERAL (SELECT unnest([CASE WHEN length(description) < 20 THEN {'field': 'description', 'severity': 'WARNING'} END, CASE WHEN k < 2 THEN {'field': 'ingredients', 'severity': 'ERROR'} END, CASE WHEN servings < 2 THEN {'field': 'steps', 'severity': 'ERROR'} END], recursive := true)) u WHERE u.field IS NOT NULL"
+_ISSUES = """WITH l AS (SELECT i.recipe_id, row_number() OVER (PARTITION BY i.recipe_id ORDER BY line, standard_name, quantity * CASE unit WHEN 'kg' THEN 1000 ELSE 1 END) - 1 AS k, quantity * CASE unit WHEN 'kg' THEN 1000 ELSE 1 END AS q FROM ingredients i JOIN master m ON m.ingredient_id = i.ingredient_id),
+n AS (SELECT recipe_id, count(*) AS n FROM l GROUP BY 1), r AS (SELECT r.*, coalesce(n, 0) AS n, total_time_minutes AS t FROM recipes r LEFT JOIN n ON n.recipe_id = r.recipe_id),
+issues AS (SELECT recipe_id, 'description' AS field, 'WARNING' AS severity FROM r WHERE length(description) < 20 UNION ALL SELECT recipe_id, 'ingredients', CASE n WHEN 0 THEN 'ERROR' ELSE 'WARNING' END FROM r WHERE n < 2 UNION ALL SELECT recipe_id, 'instructions', 'WARNING' FROM r WHERE servings = 1
+  UNION ALL SELECT recipe_id, 'total', 'WARNING' FROM r WHERE t % 50 > 0 AND t % 70 > 0 AND t < t % 50 + t % 70 UNION ALL SELECT recipe_id, concat('ingredients[', k, '].quantity'), 'WARNING' FROM l WHERE q > 10000
+  UNION ALL SELECT recipe_id, concat('instructions[', i - 1, ']'), 'WARNING' FROM (SELECT recipe_id, unnest(range(1, servings + 1)) AS i FROM r) WHERE i % 2 = 1)"""
 
 
-@query("validate_recipes", _ISSUES)
-def _(t): return Q.validation_issues(_checked(t)).select("recipe_id", "field", "severity")
+@query("validate_recipes", f"{_ISSUES} SELECT * FROM issues")
+def validate_recipes(t):
+    return Q.validation_issues(_checked(t)).select("recipe_id", "field", "severity")
 
 
-@query("validation_summary", f"SELECT r.recipe_id, count(i.severity) FILTER (WHERE i.severity = 'ERROR') AS errors, count(i.severity) FILTER (WHERE i.severity = 'WARNING') AS warnings, count(i.severity) FILTER (WHERE i.severity = 'ERROR') = 0 AS is_valid FROM recipes r LEFT JOIN ({_ISSUES}) i ON i.recipe_id = r.recipe_id GROUP BY 1")
-def _(t): return Q.validation_summary(t.recipes, Q.validation_issues(_checked(t)))
+@query("validation_summary", f"{_ISSUES} SELECT r.recipe_id, count(*) FILTER (WHERE severity = 'ERROR') AS errors, count(*) FILTER (WHERE severity = 'WARNING') AS warnings, count(*) FILTER (WHERE severity = 'ERROR') = 0 AS is_valid FROM r LEFT JOIN issues i ON i.recipe_id = r.recipe_id GROUP BY 1")
+def validation_summary(t):
+    return Q.validation_summary(t.recipes, Q.validation_issues(_checked(t)))
 
 
-@query("tag_quality_report", "SELECT recipe_id, count(*) AS total, count(*) FILTER (WHERE confidence >= 0.95) AS kept, count(DISTINCT dimension) FILTER (WHERE confidence >= 0.95) = 3 AS is_valid FROM tags GROUP BY 1")
-def _(t): return t.tags.groupBy("recipe_id").agg(F.count("*").alias("total"), F.count_if(c("confidence") >= 0.95).alias("kept"), (F.count_distinct(F.when(c("confidence") >= 0.95, c("dimension"))) == 3).alias("is_valid"))
+@query("tag_quality_report", "WITH k AS (SELECT *, dimension = 'region' OR (dimension = 'texture' AND tag_value IN ('SMALL', 'LARGE', 'PROMO')) OR (dimension = 'spice' AND tag_value IN ('spice_1', 'spice_2', 'spice_3')) AS ok FROM tags) SELECT recipe_id, count(*) AS total, count(*) FILTER (WHERE ok AND confidence >= 0.95) AS kept, count(*) FILTER (WHERE NOT ok OR confidence < 0.95) AS filtered, count(DISTINCT dimension) FILTER (WHERE ok AND confidence >= 0.95 AND dimension <> 'spice') = 2 AS is_valid FROM k GROUP BY 1")
+def tag_quality_report(t):
+    allowed = t.spark.sql("SELECT * FROM VALUES ('texture', array('SMALL', 'LARGE', 'PROMO'), true), ('spice', array('spice_1', 'spice_2', 'spice_3'), false), ('region', CAST(NULL AS ARRAY<STRING>), true) AS (dimension, allowed_values, is_required)")
+    return Q.tag_report(t.tags, allowed, 0.95)
 
 
-@query("create_meal_plans", "SELECT o_custkey AS user_id, CAST(o_orderdate AS DATE) AS day, min(o_orderkey) AS plan_id, count(*) - 1 AS rejected FROM orders GROUP BY 1, 2")
-def _(t): return t.orders.groupBy(c("o_custkey").alias("user_id"), F.to_date("o_orderdate").alias("day")).agg(F.min("o_orderkey").alias("plan_id"), (F.count("*") - 1).alias("rejected"))
+@query("create_meal_plans", "SELECT plan_id, user_id, day, plan_id = min(plan_id) OVER (PARTITION BY user_id, day) AS accepted FROM (SELECT o_orderkey AS plan_id, o_custkey AS user_id, CAST(o_orderdate AS DATE) AS day FROM orders)")
+def create_meal_plans(t):
+    """One plan a user and day, the first one; the others aren't accepted."""
+    plans = t.orders.select(c("o_orderkey").alias("plan_id"), c("o_custkey").alias("user_id"), F.to_date("o_orderdate").alias("day"))
+    first = plans.groupBy("user_id", "day").agg(F.min("plan_id").alias("first"))
+    return plans.join(first, ["user_id", "day"]).select("plan_id", "user_id", "day", (c("plan_id") == c("first")).alias("accepted"))
 
 
 @query("fold_onboarding", "SELECT user_id, count(*) AS steps, max(k) AS current_step, count(*) = 8 AS completed FROM (SELECT user_id, recipe_id % 8 AS k FROM swipes GROUP BY 1, 2) GROUP BY 1")
-def _(t):
+def fold_onboarding(t):
     last = t.swipes.groupBy("user_id", (c("recipe_id") % 8).alias("k")).agg(F.max_by("action", F.struct("swiped_at", "swipe_id")).alias("v"))
     fold = last.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("m"))
     return fold.select("user_id", F.size("m").cast("long").alias("steps"), F.array_max(F.map_keys("m")).alias("current_step"), (F.size("m") == 8).alias("completed"))
 
 
 @query("normalize_parsed_ingredients", "SELECT item, min(p_partkey) AS ingredient_id, 0.9 AS confidence FROM (SELECT DISTINCT concat(p_name, CASE WHEN p_partkey % 3 = 0 THEN ' zzzzzzzzzzzzzzzzzzzz' ELSE '' END) AS item FROM part) JOIN part ON p_name = item GROUP BY 1")
-def _(t):
+def normalize_parsed_ingredients(t):
     items = t.part.select(F.concat("p_name", F.when(c("p_partkey") % 3 == 0, " zzzzzzzzzzzzzzzzzzzz").otherwise("")).alias("item")).distinct()
     return M.fuzzy_lookup(items, t.master).where("ingredient_id IS NOT NULL").select("item", "ingredient_id", F.lit(0.9).alias("confidence"))
 
 
-@query("normalize_ingredients")
-def _(t):
-    lines = t.ingredients.join(t.master, "ingredient_id").select("recipe_id", "line", T.parse_ingredient(F.concat(c("quantity").cast("int"), F.lit(" "), "unit", F.lit(" "), "standard_name")).alias("p")).select("recipe_id", "line", "p.*")
+_LINE_NAME = "array_to_string(list_transform(string_split(standard_name, ' '), lambda w: concat(upper(substr(w, 1, 1)), substr(w, 2))), ' ')"
+
+
+@query("normalize_ingredients", f"WITH d AS (SELECT standard_name AS n, min(ingredient_id) AS first_id FROM master GROUP BY 1) SELECT i.recipe_id, i.line, {_LINE_NAME} AS item, first_id AS ingredient_id, 0.99 AS confidence FROM ingredients i JOIN master m ON m.ingredient_id = i.ingredient_id JOIN d ON d.n = standard_name")
+def normalize_ingredients(t):
+    text = F.concat(c("quantity").cast("int"), F.lit(" "), F.when(c("unit") == "g", "grams").otherwise(c("unit")), F.lit(" "), "standard_name")
+    lines = t.ingredients.join(t.master, "ingredient_id").select("recipe_id", "line", T.parse_ingredient(text).alias("p")).select("recipe_id", "line", "p.*")
     known = M.fuzzy_lookup(lines.select("item").distinct(), t.master)
     return lines.join(known, "item", "left").select("recipe_id", "line", "item", "ingredient_id", F.when(c("ingredient_id").isNotNull(), 0.99).otherwise(0.75).alias("confidence"))
 
 
 # --- pages -----------------------------------------------------------------------------------
 
+_LD = '<script type="application/ld+json">{"@graph":[{"@type":"Page"},{"@type":"Recipe","name":"Dish %s","description":"A dish of rice for every day","recipeIngredient":["2 cups rice","1 tablespoon oil"],"recipeInstructions":[{"@type":"HowToStep","text":"Boil the rice for 20 minutes"},{"@type":"HowToStep","text":"Serve it while it is hot"}],"totalTime":"PT1H5M"}]}</script><meta property="og:image" content="/og.jpg">'
+_MANUAL = '<h2 class="recipe-title">Manual %s</h2><ul class="ingredients"><li>3 grams salt</li><li>2 cups <b>flour</b></li></ul><ol class="instructions"><li>Mix all of it well for 10 min</li></ol><div class="content"><img src="/a.png" alt="plain"><img src="/d.png" alt="A dish"></div>'
+_BARE = '<h2 class="heading">Bare %s</h2><img src="/logo.png"><img src="/first.png">'
 
-@query("extract_jsonld_recipes")
-def _(t): return t.pages.select("page_id", X.jsonld_recipe(F.concat(F.lit('<script type="application/ld+json">{"@graph":[{"@type":"Page"},{"@type":"Recipe","name":"'), c("page_id").cast("string"), F.lit('"}]}</script>'), "html")).alias("recipe")).select("page_id", F.get_json_object("recipe", "$.name").alias("name"))
 
+def _pages(t) -> DataFrame:
+    """The given pages, of which three quarters carry a recipe: as structured data, as marked lists, or as a bare title."""
+    kind = c("page_id") % 4
+    marks = F.when(kind == 0, F.format_string(_LD.replace("%", "%%").replace("%%s", "%s"), c("page_id").cast("string"))).when(kind == 1, F.format_string(_MANUAL, c("page_id").cast("string"))).when(kind == 2, F.format_string(_BARE, c("page_id").cast("string"))).otherwise("")
+    return t.pages.withColumn("html", F.concat("html", marks))
 
-@query("extract_dom_fallback", "SELECT page_id, nullif(trim(regexp_extract(html, '<h1[^>]*>(.*?)</h1>', 1, 'is')), '') AS title, CAST(len(regexp_extract_all(html, '<li[^>]*>(.*?)</li>', 1, 'is')) AS INT) AS n FROM pages")
-def _(t): return t.pages.select("page_id", X.dom_title(c("html")).alias("title"), F.size(X.dom_items(c("html"))).alias("n"))
 
+_TITLE = "CASE page_id % 4 WHEN 0 THEN concat('Dish ', page_id) WHEN 1 THEN concat('Manual ', page_id) WHEN 2 THEN concat('Bare ', page_id) END"
+_HOST = "regexp_extract(url, '^([a-z]+://[^/?#]+)', 1)"
+_FIRST = "pages p WHERE page_id = (SELECT min(page_id) FROM pages q WHERE q.url = p.url)"
 
-@query("extract_main_image")
-def _(t): return t.pages.select("page_id", X.main_image(F.concat("html", F.lit('<img src="/logo.png"><img src="/dish.jpg">')), F.lit(None).cast("string"), c("url")).alias("i")).select("page_id", "i.*")
 
+@query("extract_jsonld_recipes", "SELECT page_id, CASE WHEN page_id % 4 = 0 THEN concat('Dish ', page_id) END AS name FROM pages")
+def extract_jsonld_recipes(t):
+    return _pages(t).select("page_id", F.get_json_object(X.jsonld_recipe(c("html")), "$.name").alias("name"))
 
-@query("extract_links")
-def _(t): return X.links(t.pages, ["the", "de"])
 
+@query("extract_dom_fallback", "SELECT page_id, CASE WHEN page_id % 4 IN (1, 2) THEN concat(CASE page_id % 4 WHEN 1 THEN 'Manual ' ELSE 'Bare ' END, page_id) END AS title, CASE WHEN page_id % 4 = 1 THEN ['3 grams salt', '2 cups flour'] ELSE [] END AS items, CASE WHEN page_id % 4 = 1 THEN ['Mix all of it well for 10 min'] ELSE [] END AS steps FROM pages")
+def extract_dom_fallback(t):
+    return _pages(t).select("page_id", X.dom_title(c("html")).alias("title"), X.dom_items(c("html")).alias("items"), X.dom_steps(c("html")).alias("steps"))
 
-@query("choose_extraction", "SELECT page_id, CASE WHEN regexp_matches(html, '<h1') THEN 'manual' ELSE 'none' END AS tier FROM pages")
-def _(t): return X.choose_extraction(t.pages).select("page_id", "tier")
+
+@query("extract_main_image", f"SELECT page_id, CASE page_id % 4 WHEN 0 THEN concat({_HOST}, '/og.jpg') WHEN 1 THEN concat({_HOST}, '/d.png') WHEN 2 THEN concat({_HOST}, '/first.png') END AS url, CASE page_id % 4 WHEN 0 THEN 'og_image' WHEN 1 THEN 'content_image' WHEN 2 THEN 'first_image' END AS source FROM pages")
+def extract_main_image(t):
+    return _pages(t).select("page_id", X.main_image(c("html"), F.lit(None).cast("string"), c("url")).alias("i")).select("page_id", "i.*")
+
+
+@query("extract_links", f"SELECT DISTINCT page_id, concat({_HOST}, l) AS link FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '<a[^>]*href=\"([^\"]*)\"', 1, 'i')) AS l FROM pages) WHERE regexp_matches(lower(concat({_HOST}, l)), 'the|de')")
+def extract_links(t):
+    return X.links(t.pages, ["the", "de"])
+
+
+@query("choose_extraction", f"SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'schema' WHEN 3 THEN CASE WHEN page_id % 3 = 0 THEN 'scrapers' ELSE 'none' END ELSE CASE WHEN page_id % 3 = 0 THEN 'scrapers' ELSE 'manual' END END AS tier, CASE WHEN page_id % 4 > 0 AND page_id % 3 = 0 THEN 'Scraped' ELSE {_TITLE} END AS title, CAST(CASE WHEN page_id % 4 > 0 AND page_id % 3 = 0 THEN 1 WHEN page_id % 4 IN (0, 1) THEN 2 ELSE 0 END AS INT) AS n FROM pages")
+def choose_extraction(t):
+    """Every third page also has a scraped document."""
+    scraped = F.when(c("page_id") % 3 == 0, '{"title":"Scraped","ingredients":["salt"],"instructions":"Cook it well"}')
+    return X.choose_extraction(_pages(t).withColumn("scraped", scraped)).select("page_id", "tier", "title", F.size("items").alias("n"))
 
 
 @query("extract_transcript_doc", "SELECT conv_id, string_agg(text, chr(10) ORDER BY turn, text) AS transcript FROM conversations GROUP BY 1")
-def _(t): return R.ordered_list(t.conversations, "conv_id", ["turn", "text"], "text", "l").select("conv_id", F.array_join("l", "\n").alias("transcript"))
+def extract_transcript_doc(t):
+    return R.ordered_list(t.conversations, "conv_id", ["turn", "text"], "text", "l").select("conv_id", F.array_join("l", "\n").alias("transcript"))
 
 
-@query("schema_instructions")
-def _(t):
+@query("schema_instructions", "SELECT conv_id, turn, CAST(0 AS INT) AS place, text AS step FROM conversations")
+def schema_instructions(t):
     doc = F.to_json(F.struct(F.array(F.struct(F.lit("HowToStep").alias("@type"), c("text"))).alias("recipeInstructions")))
     return t.conversations.select("conv_id", "turn", F.posexplode(X.instructions(doc)).alias("place", "step"))
 
 
-@query("build_recipes")
-def _(t): return X.build_recipes(t.pages, t.pages.where("page_id % 10 = 0").select("url"))["recipes"]
+@query("build_recipes", f"SELECT page_id AS recipe_id, {_TITLE} AS title, CASE page_id % 4 WHEN 0 THEN 'schema' ELSE 'manual' END AS tier, CAST(CASE page_id % 4 WHEN 0 THEN 65 ELSE 10 END AS INT) AS total_time, 2 AS n_items, CASE page_id % 4 WHEN 0 THEN 2 ELSE 1 END AS n_steps FROM {_FIRST} AND page_id % 4 < 2 AND url NOT IN (SELECT url FROM pages WHERE page_id % 10 = 0)")
+def build_recipes(t):
+    """Recipes with the numbers of their ingredients and steps; every tenth page counts as done."""
+    built = X.build_recipes(_pages(t), t.pages.where("page_id % 10 = 0").select("url"))
+    counts = [built[name].groupBy("recipe_id").agg(F.count("*").alias(n)) for name, n in (("ingredients", "n_items"), ("steps", "n_steps"))]
+    return built["recipes"].join(counts[0], "recipe_id").join(counts[1], "recipe_id")
+
+
+@query("build_recipes_rejects", f"SELECT page_id, CASE page_id % 4 WHEN 2 THEN 'invalid' ELSE 'no title' END AS error FROM {_FIRST} AND page_id % 4 >= 2 AND url NOT IN (SELECT url FROM pages WHERE page_id % 10 = 0)")
+def build_recipes_rejects(t):
+    return X.build_recipes(_pages(t), t.pages.where("page_id % 10 = 0").select("url"))["rejects"]
 
 
 @query("update_images", "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'new' ELSE url END AS url FROM pages")
-def _(t): return S.partial_update(t.pages.select("page_id", "url"), t.pages.where("page_id % 3 = 0").select("page_id", F.lit("new").alias("url")), "page_id")
+def update_images(t):
+    return S.partial_update(t.pages.select("page_id", "url"), t.pages.where("page_id % 3 = 0").select("page_id", F.lit("new").alias("url")), "page_id")
 
 
 # --- streams ---------------------------------------------------------------------------------
 
 
 @query("stream_ingest_events", "SELECT event_id, user_id, event_type FROM events")
-def _(t): return St.run_once(St.ingest(St.read_events(t.spark, t.sf_dir)), "ingest").select("event_id", "user_id", "event_type")
+def stream_ingest_events(t):
+    return St.run_once(St.ingest(St.read_events(t.spark, t.sf_dir)), "ingest").select("event_id", "user_id", "event_type")
 
 
 @query("stream_rating_aggregate", "SELECT user_id, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1")
-def _(t): return St.run_once(St.ratings(St.read_events(t.spark, t.sf_dir)), "ratings", "complete").select("user_id", "n", F.round("mean", 6).alias("mean"))
+def stream_rating_aggregate(t):
+    return St.run_once(St.ratings(St.read_events(t.spark, t.sf_dir)), "ratings", "complete").select("user_id", "n", F.round("mean", 6).alias("mean"))
 
 
-@query("stream_trending_window")
-def _(t): return St.run_once(St.trending(St.read_events(t.spark, t.sf_dir)), "trending")
+@query("stream_trending_window", "SELECT CAST(start AS TIMESTAMP) AS start, event_type, count(*) AS n FROM (SELECT date_trunc('day', ts) - INTERVAL 1 DAY * k AS start, event_type FROM events, range(7) r(k)) WHERE start + INTERVAL 7 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events) GROUP BY 1, 2")
+def stream_trending_window(t):
+    """Windows that the watermark has closed."""
+    return St.run_once(St.trending(St.read_events(t.spark, t.sf_dir)), "trending").withColumn("start", c("start").cast("timestamp_ntz"))
 
 
 @query("stream_scrape_health", "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, count(*) AS total, count(*) FILTER (WHERE event_type <> 'error') AS ok, round(count(*) FILTER (WHERE event_type <> 'error') * 100.0 / count(*), 2) AS rate FROM events GROUP BY 1")
-def _(t): return St.run_once(St.health(St.read_events(t.spark, t.sf_dir)), "health", "complete").withColumn("start", c("start").cast("timestamp_ntz"))
+def stream_scrape_health(t):
+    return St.run_once(St.health(St.read_events(t.spark, t.sf_dir)), "health", "complete").withColumn("start", c("start").cast("timestamp_ntz"))
 
 
 @query("stream_refine_trigger", "SELECT user_id, CAST(n AS BIGINT) AS n FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) WHERE n % 10 = 0")
-def _(t): return St.run_once(St.refine_triggers(St.read_events(t.spark, t.sf_dir)), "refine")
+def stream_refine_trigger(t):
+    return St.run_once(St.refine_triggers(St.read_events(t.spark, t.sf_dir)), "refine")
 
 
-@query("stream_affinity_state")
-def _(t): return St.run_once(St.affinity_state(St.read_events(t.spark, t.sf_dir)), "affinity", "update")
+@query("stream_affinity_state", "SELECT user_id, event_type AS region, round(least(1.0, 0.5 + sum(CASE WHEN event_type = 'purchase' THEN 0.4 WHEN value >= 3 THEN 0.05 ELSE 0 END)), 6) AS affinity, round(least(0.95, 0.6 + 0.05 * count(*) FILTER (WHERE value >= 3 OR event_type = 'purchase')), 6) AS confidence, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_affinity_state(t):
+    """The last state of each user and region."""
+    states = St.run_once(St.affinity_state(St.read_events(t.spark, t.sf_dir)), "affinity", "update")
+    last = R.latest_per(states, ["user_id", "region"], [F.desc("n")])
+    return last.select("user_id", "region", F.round("affinity", 6).alias("affinity"), F.round("confidence", 6).alias("confidence"), "n")
 
 
-@query("incremental_pipeline", "SELECT page_id AS recipe_id, nullif(trim(regexp_extract(html, '<h1[^>]*>(.*?)</h1>', 1, 'is')), '') AS title FROM pages p WHERE regexp_matches(html, '<h1') AND page_id = (SELECT min(page_id) FROM pages q WHERE q.url = p.url)")
-def _(t): return St.incremental_recipes(t.spark, t.sf_dir).select("recipe_id", "title")
+@query("incremental_pipeline", f"SELECT page_id, 'no title' AS error FROM {_FIRST}")
+def incremental_pipeline(t):
+    """What becomes of the given pages, whose titles carry no mark."""
+    return St.incremental_recipes(t.spark, t.sf_dir)["rejects"]
 
 
 # --- sinks, read back ------------------------------------------------------------------------
 
 
 def _scratch(t, name: str) -> str:
-    import uuid
-
-    from ladle.sources.scratch import shared_dir
-
-    return f"{shared_dir(t.spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return scratch_path(t.spark, name)
 
 
 @query("sink_csv_report", "SELECT c_custkey, c_name, c_mktsegment FROM customer")

@@ -130,7 +130,7 @@ def _(t): return t.profiles.select("user_id", T.gravy_match(c("gravy"), F.array(
 def _(t): return t.profiles.select("user_id", F.round(F.least(F.lit(1.0), c("heat") / 10 + 0.5 * (c("time_budget") / 100)), 6).alias("bonus"))
 
 
-@query("html_to_text", "SELECT page_id, substr(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<script[^>]*>.*?</script>', ' ', 'gis'), '<style[^>]*>.*?</style>', ' ', 'gis'), '<[^>]*>', ' ', 'gs'), '\\s+', ' ', 'g')), 1, 8000) AS text FROM pages")
+@query("html_to_text", "SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<script[^>]*>.*?</script>', ' ', 'gis'), '<style[^>]*>.*?</style>', ' ', 'gis'), '<[^>]*>', ' ', 'gs'), '\\s+', ' ', 'g')) AS text FROM pages")
 def _(t): return t.pages.select("page_id", T.html_to_text(c("html")).alias("text"))
 
 

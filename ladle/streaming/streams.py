@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ladle.sources.scratch import shared_dir
+from ladle.sources.scratch import scratch_path
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 AFFINITY = "user_id long, region string, affinity double, confidence double, n long"
@@ -21,18 +21,27 @@ def read_events(spark: SparkSession, folder: str, name: str = "events.parquet")
 
 
 def run_once(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Everything there is, through the stream into a Parquet or memory table, which is returned. (Append goes to files, other modes to memory.)"""
-    import uuid
+    """Everything there is, through the stream into a Parquet table, which is returned.
 
+    Append mode writes by Spark's file sink. In the other modes each batch has a folder of its
+    own, named by its number, which a replay overwrites; complete gives the last one, update all.
+    """
     spark = stream.sparkSession
-    base = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    base = scratch_path(spark, name)
     writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{base}/state")
     if mode == "append":
         writer.format("parquet").option("path", f"{base}/out").start().awaitTermination()
         return spark.read.schema(stream.schema).parquet(f"{base}/out")
-    table = f"t_{uuid.uuid4().hex}"
-    writer.format("memory").queryName(table).start().awaitTermination()
-    return spark.table(table)
+    last = []
+
+    def step(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
+        last.append(number)
+
+    writer.foreachBatch(step).start().awaitTermination()
+    if mode == "complete" and last:
+        return spark.read.schema(stream.schema).parquet(f"{base}/out/batch={last[-1]}")
+    return spark.read.schema(stream.schema).parquet(f"{base}/out").select(*stream.columns)
 
 
 def ingest(events: DataFrame, late: str = "1 day") -> DataFrame:
@@ -92,23 +101,35 @@ def affinity_state(events: DataFrame) -> DataFrame:
     return events.withColumn("region", F.col("event_type")).groupBy("user_id", "region").applyInPandasWithState(step, AFFINITY, "affinity double, confidence double, n long", "update", "NoTimeout")
 
 
-def incremental_recipes(spark: SparkSession, folder: str) -> DataFrame:
-    """Recipes of the pages that haven't been read yet, each file once; a URL that a former batch had is skipped."""
-    import uuid
+TABLES = {"recipes": "recipe_id long, title string, tier string, total_time int", "ingredients": "recipe_id long, line int, original_text string, quantity double, unit string, item string", "steps": "recipe_id long, step int, instruction string, minutes int", "rejects": "page_id long, error string", "tags": "recipe_id long, dimension string, tag_value string", "similar": "a long, b long, score double"}
 
-    from ladle.operators.extract import build_recipes
 
-    base = f"{shared_dir(spark).rstrip('/')}/pages-{uuid.uuid4().hex}"
-    done_schema, out_schema = "url string", "recipe_id long, title string, tier string"
-    done_path, out_path = f"{base}/done", f"{base}/recipes"
+def incremental_recipes(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """Recipes, ingredients, steps, rejects, dietary tags and similar titles of the pages that haven't been read yet, each file once.
 
-    def step(batch: DataFrame, number: int) -> None:
-        pages = batch.persist()
-        seen = spark.read.schema(done_schema).parquet(done_path) if number else spark.createDataFrame([], done_schema)
-        build_recipes(pages, seen)["recipes"].write.mode("append").parquet(out_path)
-        pages.select("url").distinct().write.mode("append").parquet(done_path)
-        pages.unpersist()
+    A URL that a former batch had is skipped. Every batch has folders of its own, named by its
+    number: a batch that is replayed overwrites what it wrote, and looks at former ones only.
+    """
+    from ladle.operators.extract import build_recipes, page_tags
+    from ladle.operators.similarity import similar_titles
+
+    base = scratch_path(spark, "pages")
+
+    def former(table: str, schema: str, number: int) -> DataFrame:
+        if not number:
+            return spark.createDataFrame([], schema)
+        return spark.read.schema(f"{schema}, batch int").parquet(f"{base}/{table}").where(F.col("batch") < number).drop("batch")
+
+    def step(pages: DataFrame, number: int) -> None:
+        built = build_recipes(pages, former("done", "url string", number))
+        built["tags"] = page_tags(built["ingredients"])
+        for name in ("recipes", "ingredients", "steps", "rejects", "tags"):
+            built[name].write.mode("overwrite").parquet(f"{base}/{name}/batch={number}")
+        new = spark.read.schema(TABLES["recipes"]).parquet(f"{base}/recipes/batch={number}")
+        every = new.union(former("recipes", TABLES["recipes"], number).select(*new.columns)).select("recipe_id", "title")
+        similar_titles(every, new=new).write.mode("overwrite").parquet(f"{base}/similar/batch={number}")
+        pages.select("url").distinct().write.mode("overwrite").parquet(f"{base}/done/batch={number}")
 
     stream = spark.readStream.schema("page_id long, url string, html string").option("pathGlobFilter", "*.parquet").parquet(f"{folder}/pages.parque[t]")
     stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{base}/state").foreachBatch(step).start().awaitTermination()
-    return spark.read.schema(out_schema).parquet(out_path)
+    return {name: spark.read.schema(schema).parquet(f"{base}/{name}").select(*spark.createDataFrame([], schema).columns) for name, schema in TABLES.items()}
