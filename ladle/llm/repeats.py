@@ -448,7 +448,8 @@ def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP5_SQL = """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-w AS (SELECT doc_id, unnest(range(0, len(h) // 2 - 49)) AS i, unnest(list_transform(range(0, len(h) // 2 - 49), lambda i: substr(h, 2 * i + 1, 100))) AS s FROM d WHERE len(h) >= 100),
+p AS (SELECT doc_id, unnest(range(0, len(h) // 2 - 49, 200)) AS base, unnest(list_transform(range(0, len(h) // 2 - 49, 200), lambda b: substr(h, 2 * b + 1, 498))) AS part FROM d WHERE len(h) >= 100),
+w AS (SELECT doc_id, base + unnest(range(0, len(part) // 2 - 49)) AS i, unnest(list_transform(range(0, len(part) // 2 - 49), lambda j: substr(part, 2 * j + 1, 100))) AS s FROM p),
 m AS (SELECT s, min(doc_id) AS first_id FROM w GROUP BY s),
 c AS (SELECT doc_id, i, i > lag(i, 1, -100) OVER (PARTITION BY doc_id ORDER BY i) + 50 AS new FROM w JOIN m ON m.s = w.s WHERE doc_id > first_id),
 k AS (SELECT doc_id, i, sum(CAST(new AS INT)) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM c),
