@@ -104,8 +104,8 @@ def affinity_state(events: DataFrame) -> DataFrame:
 TABLES = {"recipes": "recipe_id long, title string, tier string, total_time int", "ingredients": "recipe_id long, line int, original_text string, quantity double, unit string, item string", "steps": "recipe_id long, step int, instruction string, minutes int", "rejects": "page_id long, error string", "tags": "recipe_id long, dimension string, tag_value string", "similar": "a long, b long, score double"}
 
 
-def incremental_recipes(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """Recipes, ingredients, steps, rejects, dietary tags and similar titles of the pages that haven't been read yet, each file once.
+def incremental_recipes(spark: SparkSession, folder: str, files: int = 1000) -> dict[str, DataFrame]:
+    """Recipes, ingredients, steps, rejects, dietary tags and similar titles of the pages that haven't been read yet, each file once; files: how many make a batch at most.
 
     A URL that a former batch had is skipped. Every batch has folders of its own, named by its
     number: a batch that is replayed overwrites what it wrote, and looks at former ones only.
@@ -130,6 +130,6 @@ def incremental_recipes(spark: SparkSession, folder: str) -> dict[str, DataFrame
         similar_titles(every, new=new).write.mode("overwrite").parquet(f"{base}/similar/batch={number}")
         pages.select("url").distinct().write.mode("overwrite").parquet(f"{base}/done/batch={number}")
 
-    stream = spark.readStream.schema("page_id long, url string, html string").option("pathGlobFilter", "*.parquet").parquet(f"{folder}/pages.parque[t]")
+    stream = spark.readStream.schema("page_id long, url string, html string").option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", files).parquet(f"{folder}/pages.parque[t]")
     stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{base}/state").foreachBatch(step).start().awaitTermination()
     return {name: spark.read.schema(schema).parquet(f"{base}/{name}").select(*spark.createDataFrame([], schema).columns) for name, schema in TABLES.items()}
