@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,27 +38,33 @@ def dietary_rules(recipes: DataFrame, ingredients: DataFrame, master: DataFrame,
     animal = [(F.col("category") == "dairy", "dairy"), (_has(["egg"]), "egg"), (_has(["honey", "shahad"]), "honey")]
     if strict_vegan:
         animal.append((F.col("is_non_veg"), "meat"))
+    broken = {
+        "jain": [(F.col("is_allium"), "allium"), (root, "root vegetable")],
+        "vrat": [(grain & ~F.col("is_vrat_allowed"), "not vrat grain"), (F.col("is_allium"), "allium")],
+        "gluten": [(_has(gluten), "")],
+        "vegan": animal,
+    }
+    # Verdicts have flags of their own: where only these are asked for, Spark leaves out the lists.
+    flags = [F.bool_or(functools.reduce(lambda x, y: x | y, (F.coalesce(test, F.lit(False)) for test, _ in cases))).alias(f"breaks_{rule}") for rule, cases in broken.items()]
+    lists = [_violations(*cases).alias(f"{rule}_violations") for rule, cases in broken.items()]
     found = used.groupBy("recipe_id").agg(
-        _violations((F.col("is_allium"), "allium"), (root, "root vegetable")).alias("jain_violations"),
-        _violations((grain & ~F.col("is_vrat_allowed"), "not vrat grain"), (F.col("is_allium"), "allium")).alias("vrat_violations"),
+        *flags, *lists,
         F.bool_or(grain & F.col("is_vrat_allowed")).alias("has_vrat_grain"),
         F.avg(F.nullif("glycemic_index", F.lit(0))).alias("average_gi"),
         F.bool_or(_has(beneficial)).alias("has_beneficial"),
         F.sum(F.coalesce(F.col("quantity") * kg / 100 * F.col("protein_per_100g"), F.lit(0.0))).alias("protein"),
-        _violations((_has(gluten), "")).alias("gluten_violations"),
-        _violations(*animal).alias("vegan_violations"),
-    )
+    )
     none = F.array().cast("array<string>")
     r = recipes.select("recipe_id", "servings").join(found, "recipe_id", "left")
-    r = r.withColumns({c: F.coalesce(c, none) for c in ("jain_violations", "vrat_violations", "gluten_violations", "vegan_violations")})
-    r = r.withColumns({"has_vrat_grain": F.coalesce("has_vrat_grain", F.lit(False)), "has_beneficial": F.coalesce("has_beneficial", F.lit(False))})
+    r = r.withColumns({f"{rule}_violations": F.coalesce(f"{rule}_violations", none) for rule in broken})
+    r = r.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("has_vrat_grain", "has_beneficial", *(f"breaks_{rule}" for rule in broken))})
     protein = F.coalesce("protein", F.lit(0.0)) / F.coalesce(F.nullif("servings", F.lit(0)), F.lit(1))
     return r.select(
-        "recipe_id", (F.size("jain_violations") == 0).alias("is_jain"), "jain_violations",
-        ((F.size("vrat_violations") == 0) & F.col("has_vrat_grain")).alias("is_vrat"), "vrat_violations", "has_vrat_grain",
+        "recipe_id", (~F.col("breaks_jain")).alias("is_jain"), "jain_violations",
+        (~F.col("breaks_vrat") & F.col("has_vrat_grain")).alias("is_vrat"), "vrat_violations", "has_vrat_grain",
         (F.coalesce(F.col("average_gi") < 55, F.lit(False)) | F.col("has_beneficial")).alias("is_diabetic_friendly"), "average_gi", F.when(F.col("average_gi").isNotNull(), 0.8).otherwise(0.6).alias("diabetic_confidence"),
         (protein >= 15).alias("is_high_protein"), protein.alias("protein_per_serving"),
-        (F.size("gluten_violations") == 0).alias("is_gluten_free"), "gluten_violations", (F.size("vegan_violations") == 0).alias("is_vegan"), "vegan_violations",
+        (~F.col("breaks_gluten")).alias("is_gluten_free"), "gluten_violations", (~F.col("breaks_vegan")).alias("is_vegan"), "vegan_violations",
     )
 
 

@@ -35,9 +35,14 @@ def recipe_nutrition(recipes: DataFrame, ingredients: DataFrame, master: DataFra
     An ingredient without nutrition counts as missing and adds nothing. Servings that are null
     or 0 count as 1.
     """
-    used = ingredients.join(master.select("ingredient_id", "standard_name"), "ingredient_id", "left").join(nutrition.withColumn("_known", F.lit(1)), "ingredient_id", "left")
-    grams = unit_to_grams(F.col("quantity"), F.col("unit"), F.coalesce("standard_name", F.lit("")))
-    sums = used.withColumn("_g", grams / 100).groupBy("recipe_id").agg(*(F.sum(F.coalesce(n, F.lit(0.0)) * F.col("_g")).alias(n) for n in NUTRIENTS), F.count("*").alias("total_ingredient_count"), F.count_if(F.col("_known").isNull()).alias("missing_ingredient_count"))
+    # Foods first: what a unit of each weighs is worked out once a food, and lines are joined once.
+    foods = master.select("ingredient_id", "standard_name").join(nutrition.withColumn("_known", F.lit(1)), "ingredient_id", "full")
+    units = ["g", "kg", "cup", "tsp", "piece", "ml"]
+    name = F.coalesce("standard_name", F.lit(""))
+    weights = F.create_map(*(x for u in units for x in (F.lit(u), unit_to_grams(F.lit(1.0), F.lit(u), name))))
+    used = ingredients.join(foods.withColumn("_weights", weights), "ingredient_id", "left")
+    one = F.coalesce(F.try_element_at("_weights", F.col("unit")), unit_to_grams(F.lit(1.0), F.col("unit"), name))
+    sums = used.withColumn("_g", F.col("quantity") * one / 100).groupBy("recipe_id").agg(*(F.sum(F.coalesce(n, F.lit(0.0)) * F.col("_g")).alias(n) for n in NUTRIENTS), F.count("*").alias("total_ingredient_count"), F.count_if(F.col("_known").isNull()).alias("missing_ingredient_count"))
     servings = F.coalesce(F.nullif("servings", F.lit(0)), F.lit(1))
     each = recipes.select("recipe_id", servings.alias("servings")).join(sums, "recipe_id")
     energy = F.col("protein_g") * 4 + F.col("carbs_g") * 4 + F.col("fat_g") * 9

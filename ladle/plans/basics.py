@@ -36,11 +36,11 @@ def _(t): return t.pages.select(F.trim("url").alias("url")).where(F.col("url") !
 def _(t): return t.pages.select("page_id", "url", F.length("html").cast("long").alias("n"))
 
 
-@query("read_sitemap_xml", "SELECT DISTINCT url AS loc FROM pages WHERE url NOT LIKE '%&%'")
+@query("read_sitemap_xml", "SELECT DISTINCT url AS loc FROM pages")
 def _(t):
+    """Sitemaps of all pages, written and read again."""
     path = scratch_path(t.spark, "sitemap")
-    entry = F.concat(F.lit("<url><loc> "), "url", F.lit(" </loc><lastmod>2024-01-01</lastmod></url>"))
-    t.pages.where("url NOT LIKE '%&%'").select("url").distinct().select(entry).write.text(path)
+    S.write_sitemap(t.pages, path, 500)
     return S.read_sitemap(t.spark, path)
 
 

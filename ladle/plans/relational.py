@@ -247,8 +247,8 @@ def _(t): return N.nutrition_label(_nutrition(t)).select("recipe_id", "label.*")
 
 
 @query("goal_comparison", f"""WITH {_NUTRITION}, g AS (SELECT c_custkey AS user_id, c_custkey % 2 = 0 AS hp, c_custkey % 3 = 0 AS lc FROM customer)
-SELECT user_id, recipe_id, round(calories / servings / 2000 * 100 + 1e-7, 4) AS pct_calories, round(protein / servings / 50 * 100 + 1e-7, 4) AS pct_protein_g, round(CASE WHEN hp AND lc THEN (CASE WHEN protein / servings >= 15 THEN 1 ELSE 0.5 END + CASE WHEN carbs / servings < 20 THEN 1 ELSE 0.5 END) / 2 WHEN hp THEN CASE WHEN protein / servings >= 15 THEN 1 ELSE 0.5 END WHEN lc THEN CASE WHEN carbs / servings < 20 THEN 1 ELSE 0.5 END ELSE 0.5 END, 6) AS alignment
-FROM g JOIN recipes r ON r.creator_id = g.user_id JOIN s ON s.recipe_id = r.recipe_id""")
+SELECT user_id, s.recipe_id, round(calories / s.servings / 2000 * 100 + 1e-7, 4) AS pct_calories, round(protein / s.servings / 50 * 100 + 1e-7, 4) AS pct_protein_g, round(CASE WHEN hp AND lc THEN (CASE WHEN protein / s.servings >= 15 THEN 1 ELSE 0.5 END + CASE WHEN carbs / s.servings < 20 THEN 1 ELSE 0.5 END) / 2 WHEN hp THEN CASE WHEN protein / s.servings >= 15 THEN 1 ELSE 0.5 END WHEN lc THEN CASE WHEN carbs / s.servings < 20 THEN 1 ELSE 0.5 END ELSE 0.5 END, 6) AS alignment
+FROM g JOIN (SELECT recipe_id, creator_id FROM recipes) r ON r.creator_id = g.user_id JOIN s ON s.recipe_id = r.recipe_id""")
 def _(t):
     goals = t.customer.select(F.col("c_custkey").alias("user_id"), F.lit(2000.0).alias("daily_calories"), F.lit(50.0).alias("daily_protein_g"), F.lit(300.0).alias("daily_carbs_g"), F.lit(65.0).alias("daily_fat_g"), (F.col("c_custkey") % 2 == 0).alias("prefer_high_protein"), (F.col("c_custkey") % 3 == 0).alias("prefer_low_carb"), F.lit(False).alias("prefer_low_calorie"))
     pairs = t.recipes.select(F.col("creator_id").alias("user_id"), "recipe_id")

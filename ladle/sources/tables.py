@@ -68,6 +68,14 @@ def write_url_list(urls: DataFrame, path: str) -> None:
     urls.select("url").distinct().orderBy("url").write.mode("overwrite").text(path)
 
 
+def write_sitemap(urls: DataFrame, path: str, size: int = 20_000) -> None:
+    """Distinct urls as sitemap files of about size entries (the format allows 50,000)."""
+    files = urls.select("url").distinct().count() // size + 1
+    entry = F.concat(F.lit("<url><loc>"), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</loc></url>"))
+    pages = urls.select("url").distinct().groupBy(F.pmod(F.xxhash64("url"), F.lit(files)).alias("part")).agg(F.array_join(F.collect_list(entry), "").alias("entries"))
+    pages.select("part", F.concat(F.lit("<urlset>"), "entries", F.lit("</urlset>")).alias("value")).write.mode("overwrite").partitionBy("part").text(path)
+
+
 def mark(df: DataFrame, condition: Column, **values: Column) -> DataFrame:
     """df with new values where the condition holds."""
     return df.withColumns({c: F.when(condition, v).otherwise(F.col(c) if c in df.columns else F.lit(None)) for c, v in values.items()})
