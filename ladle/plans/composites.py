@@ -79,7 +79,10 @@ def vector_search(t):
     return M.top_matches(_asked(t), _vec(t), 10, 0.1).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
-@query("vector_search_filtered", f"SELECT query_id, id, round(score, 6) AS score FROM ({_TOP.replace('v.vec_id <> q.vec_id', 'v.vec_id <> q.vec_id AND v.label = q.label')}) WHERE r <= 10 AND score >= 0.1")
+@query("vector_search_filtered", f"""
+SELECT query_id, id, round(score, 6) AS score FROM ({_TOP.replace('v.vec_id <> q.vec_id', 'v.vec_id <> q.vec_id AND v.label = q.label')})
+WHERE r <= 10 AND score >= 0.1
+""")
 def vector_search_filtered(t):
     """Only vectors with the query's label."""
     return M.top_matches(_asked(t), _vec(t), 10, 0.1, same=("label",)).select("query_id", "id", F.round("score", 6).alias("score"))
@@ -98,7 +101,10 @@ def self_join_cosine(t):
     return _near(t).select("a", "b", F.round("score", 6).alias("score"))
 
 
-@query("similarity_matrix", f"SELECT a.vec_id AS i, b.vec_id AS j, round({_COS.format('a', 'b')}, 6) AS cos FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE a.vec_id % 20 = 0 AND b.vec_id % 20 = 0")
+@query("similarity_matrix", f"""
+SELECT a.vec_id AS i, b.vec_id AS j, round({_COS.format('a', 'b')}, 6) AS cos FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id
+WHERE a.vec_id % 20 = 0 AND b.vec_id % 20 = 0
+""")
 def similarity_matrix(t):
     """All similarities within the query set, which is the matrix that was asked for."""
     asked = _asked(t)
@@ -135,7 +141,10 @@ def combined_similarity(t):
 _LINKS = "l AS (SELECT DISTINCT l_partkey AS a, l_partkey + 7 AS b FROM lineitem WHERE l_partkey % 5 = 0)"
 
 
-@query("cluster_recipes", f"WITH RECURSIVE {_LINKS}, d AS (SELECT a, b FROM l UNION SELECT b, a FROM l), r AS (SELECT a AS id, a AS m FROM d UNION SELECT d.b, r.m FROM r JOIN d ON d.a = r.id) SELECT id, min(m) AS component FROM r GROUP BY 1")
+@query("cluster_recipes", f"""
+WITH RECURSIVE {_LINKS}, d AS (SELECT a, b FROM l UNION SELECT b, a FROM l), r AS (SELECT a AS id, a AS m
+FROM d UNION SELECT d.b, r.m FROM r JOIN d ON d.a = r.id) SELECT id, min(m) AS component FROM r GROUP BY 1
+""")
 def cluster_recipes(t):
     return M.components(t.lineitem.where("l_partkey % 5 = 0").select(c("l_partkey").alias("a"), (c("l_partkey") + 7).alias("b")).distinct())
 
@@ -165,7 +174,10 @@ _FOUND = """CASE WHEN k = 0 AND action = 'long_press_left' THEN 'perfect_match_r
 WHEN k = 2 AND action = 'right' THEN 'texture_affinity=0.7' WHEN k = 3 AND action = 'right' THEN 'regional_openness=0.7' WHEN k = 4 AND action = 'right' THEN 'experimentation_factor=0.6' END"""
 
 
-@query("discover_preferences", f"SELECT user_id, list_sort(list(DISTINCT f)) AS found FROM (SELECT user_id, {_FOUND} AS f FROM (SELECT user_id, action, swipe_id % 5 AS k FROM swipes)) WHERE f IS NOT NULL GROUP BY 1")
+@query("discover_preferences", f"""
+SELECT user_id, list_sort(list(DISTINCT f)) AS found FROM (SELECT user_id, {_FOUND} AS f FROM (SELECT user_id, action, swipe_id % 5 AS k
+FROM swipes)) WHERE f IS NOT NULL GROUP BY 1
+""")
 def discover_preferences(t):
     """Swipes of validation dishes; the test is told by the swipe's number."""
     kind = F.element_at(F.array(*map(F.lit, _TESTS)), (c("swipe_id") % 5 + 1).cast("int"))
@@ -191,7 +203,11 @@ def refine_profiles(t):
     return every.select("user_id", heat.alias("heat"), "best_region", F.round(F.coalesce("learned", F.lit(0.85)), 6).alias("confidence"))
 
 
-@query("profile_documents", "SELECT user_id, CAST(to_json({'constraints': {'diet': diet, 'allium': allium_status, 'dairy_free': is_dairy_free, 'prohibitions': CASE WHEN prohibition IS NULL THEN [] ELSE [prohibition] END}, 'preferences': {'heat': heat, 'regions': [region_1, region_2], 'gravy': gravy, 'flavour': flavour}, 'context': {'household': household, 'weekday_minutes': time_budget}}) AS VARCHAR) AS doc FROM profiles")
+@query("profile_documents", """
+SELECT user_id, CAST(to_json({'constraints': {'diet': diet, 'allium': allium_status, 'dairy_free': is_dairy_free, 'prohibitions': CASE WHEN prohibition IS NULL THEN []
+ELSE [prohibition] END}, 'preferences': {'heat': heat, 'regions': [region_1, region_2], 'gravy': gravy, 'flavour': flavour}, 'context': {'household': household, 'weekday_minutes': time_budget}}) AS VARCHAR) AS doc
+FROM profiles
+""")
 def profile_documents(t):
     constraints = F.struct("diet", c("allium_status").alias("allium"), c("is_dairy_free").alias("dairy_free"), F.array_compact(F.array("prohibition")).alias("prohibitions"))
     preferences = F.struct("heat", F.array("region_1", "region_2").alias("regions"), "gravy", "flavour")
@@ -202,7 +218,10 @@ def profile_documents(t):
 _DECISION = "CASE feedback_id % 4 WHEN 0 THEN 'reviewed' WHEN 1 THEN 'applied' WHEN 2 THEN 'rejected' ELSE 'unknown' END"
 
 
-@query("feedback_review", f"SELECT feedback_id, CASE WHEN {_DECISION} = 'unknown' THEN status ELSE {_DECISION} END AS status, {_DECISION} <> 'unknown' AS accepted FROM feedback WHERE status = 'pending'")
+@query("feedback_review", f"""
+SELECT feedback_id, CASE WHEN {_DECISION} = 'unknown' THEN status ELSE {_DECISION} END AS status, {_DECISION} <> 'unknown' AS accepted
+FROM feedback WHERE status = 'pending'
+""")
 def feedback_review(t):
     """Decisions on pending feedback; unknown ones are not accepted and change nothing."""
     pending = t.feedback.where("status = 'pending'")
@@ -225,7 +244,11 @@ def explode_tag_proposals(t):
     return Q.proposed_tags(proposals, t.recipes.select("recipe_id"))
 
 
-@query("ingest_feedback", "SELECT feedback_id, type, CASE type WHEN 'rating' THEN CAST(rating AS VARCHAR) WHEN 'correction' THEN 'field title' ELSE 'report' END AS detail, f.recipe_id IN (SELECT recipe_id FROM recipes WHERE platform <> 'F') AND (type <> 'rating' OR rating BETWEEN 1 AND 5) AS accepted FROM feedback f")
+@query("ingest_feedback", """
+SELECT feedback_id, type, CASE type WHEN 'rating' THEN CAST(rating AS VARCHAR) WHEN 'correction' THEN 'field title' ELSE 'report' END AS detail, f.recipe_id IN
+(SELECT recipe_id FROM recipes WHERE platform <> 'F') AND (type <> 'rating' OR rating BETWEEN 1 AND 5) AS accepted
+FROM feedback f
+""")
 def ingest_feedback(t):
     """Ratings, corrections and reports as one table; rows of unknown recipes and ratings out of range aren't accepted."""
     ratings = t.feedback.where("type = 'rating'").select("feedback_id", "recipe_id", "type", "rating", c("rating").cast("string").alias("detail"))
@@ -237,7 +260,11 @@ def ingest_feedback(t):
     return every.join(known, "recipe_id", "left").select("feedback_id", "type", "detail", accepted.alias("accepted"))
 
 
-@query("ingest_book_recipes", "WITH u AS (SELECT concat('pdf://book#', p_name, ' ', p_type) AS url, p_size FROM part), o AS (SELECT DISTINCT url FROM u WHERE p_size > 40) SELECT url, url NOT IN (SELECT url FROM o) AS saved, count(*) AS n FROM u GROUP BY 1, 2")
+@query("ingest_book_recipes", """
+WITH u AS (SELECT concat('pdf://book#', p_name, ' ', p_type) AS url, p_size FROM part), o AS (SELECT DISTINCT url
+FROM u WHERE p_size > 40) SELECT url, url NOT IN (SELECT url FROM o) AS saved, count(*) AS n
+FROM u GROUP BY 1, 2
+""")
 def ingest_book_recipes(t):
     """Recipes out of stored answers on chunks of a book; a URL that exists is skipped."""
     answer = F.concat(F.lit('Here they are:\n```json\n[{"title":"'), "p_name", F.lit(" "), "p_type", F.lit('"}]\n```'))
@@ -250,7 +277,11 @@ def ingest_book_recipes(t):
 _HAVE = "(SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')"
 
 
-@query("embedding_audit", f"SELECT count(*) FILTER (WHERE vec_id IN {_HAVE}) AS valid, count(*) FILTER (WHERE vec_id NOT IN {_HAVE}) AS orphaned, (SELECT count(*) FROM orders WHERE o_orderstatus <> 'P' AND o_orderkey NOT IN (SELECT vec_id FROM embeddings)) AS missing, 0 AS surplus FROM embeddings")
+@query("embedding_audit", f"""
+SELECT count(*) FILTER (WHERE vec_id IN {_HAVE}) AS valid, count(*) FILTER (WHERE vec_id NOT IN {_HAVE}) AS orphaned, (SELECT count(*)
+FROM orders WHERE o_orderstatus <> 'P' AND o_orderkey NOT IN (SELECT vec_id FROM embeddings)) AS missing, 0 AS surplus
+FROM embeddings
+""")
 def embedding_audit(t):
     recipes = t.orders.where("o_orderstatus <> 'P'").select(c("o_orderkey").alias("recipe_id"))
     return Q.embedding_audit(t.embeddings.select(c("vec_id").alias("point_id"), c("vec_id").alias("recipe_id")), recipes)
@@ -277,18 +308,30 @@ def validate_recipes(t):
     return Q.validation_issues(_checked(t)).select("recipe_id", "field", "severity")
 
 
-@query("validation_summary", f"{_ISSUES} SELECT r.recipe_id, count(*) FILTER (WHERE severity = 'ERROR') AS errors, count(*) FILTER (WHERE severity = 'WARNING') AS warnings, count(*) FILTER (WHERE severity = 'ERROR') = 0 AS is_valid FROM r LEFT JOIN issues i ON i.recipe_id = r.recipe_id GROUP BY 1")
+@query("validation_summary", f"""
+{_ISSUES} SELECT r.recipe_id, count(*) FILTER (WHERE severity = 'ERROR') AS errors, count(*) FILTER (WHERE severity = 'WARNING') AS warnings, count(*) FILTER
+(WHERE severity = 'ERROR') = 0 AS is_valid FROM r LEFT JOIN issues i ON i.recipe_id = r.recipe_id GROUP BY 1
+""")
 def validation_summary(t):
     return Q.validation_summary(t.recipes, Q.validation_issues(_checked(t)))
 
 
-@query("tag_quality_report", "WITH k AS (SELECT *, dimension = 'region' OR (dimension = 'texture' AND tag_value IN ('SMALL', 'LARGE', 'PROMO')) OR (dimension = 'spice' AND tag_value IN ('spice_1', 'spice_2', 'spice_3')) AS ok FROM tags) SELECT recipe_id, count(*) AS total, count(*) FILTER (WHERE ok AND confidence >= 0.95) AS kept, count(*) FILTER (WHERE NOT ok OR confidence < 0.95) AS filtered, count(DISTINCT dimension) FILTER (WHERE ok AND confidence >= 0.95 AND dimension <> 'spice') = 2 AS is_valid FROM k GROUP BY 1")
+@query("tag_quality_report", """
+WITH k AS (SELECT *, dimension = 'region' OR (dimension = 'texture' AND tag_value IN ('SMALL', 'LARGE', 'PROMO')) OR (dimension = 'spice' AND tag_value IN
+('spice_1', 'spice_2', 'spice_3')) AS ok FROM tags) SELECT recipe_id, count(*) AS total, count(*) FILTER (WHERE ok AND confidence >= 0.95) AS kept, count(*) FILTER
+(WHERE NOT ok OR confidence < 0.95) AS filtered, count(DISTINCT dimension) FILTER (WHERE ok AND confidence >= 0.95 AND dimension <> 'spice') = 2 AS is_valid
+FROM k GROUP BY 1
+""")
 def tag_quality_report(t):
     allowed = t.spark.sql("SELECT * FROM VALUES ('texture', array('SMALL', 'LARGE', 'PROMO'), true), ('spice', array('spice_1', 'spice_2', 'spice_3'), false), ('region', CAST(NULL AS ARRAY<STRING>), true) AS (dimension, allowed_values, is_required)")
     return Q.tag_report(t.tags, allowed, 0.95)
 
 
-@query("create_meal_plans", "SELECT plan_id, user_id, day, plan_id = min(plan_id) OVER (PARTITION BY user_id, day) AS accepted FROM (SELECT o_orderkey AS plan_id, o_custkey AS user_id, CAST(o_orderdate AS DATE) AS day FROM orders)")
+@query("create_meal_plans", """
+SELECT plan_id, user_id, day, plan_id = min(plan_id) OVER (PARTITION BY user_id, day) AS accepted
+FROM (SELECT o_orderkey AS plan_id, o_custkey AS user_id, CAST(o_orderdate AS DATE) AS day
+FROM orders)
+""")
 def create_meal_plans(t):
     """One plan a user and day, the first one; the others aren't accepted."""
     plans = t.orders.select(c("o_orderkey").alias("plan_id"), c("o_custkey").alias("user_id"), F.to_date("o_orderdate").alias("day"))
@@ -296,14 +339,20 @@ def create_meal_plans(t):
     return plans.join(first, ["user_id", "day"]).select("plan_id", "user_id", "day", (c("plan_id") == c("first")).alias("accepted"))
 
 
-@query("fold_onboarding", "SELECT user_id, count(*) AS steps, max(k) AS current_step, count(*) = 8 AS completed FROM (SELECT user_id, recipe_id % 8 AS k FROM swipes GROUP BY 1, 2) GROUP BY 1")
+@query("fold_onboarding", """
+SELECT user_id, count(*) AS steps, max(k) AS current_step, count(*) = 8 AS completed FROM (SELECT user_id, recipe_id % 8 AS k
+FROM swipes GROUP BY 1, 2) GROUP BY 1
+""")
 def fold_onboarding(t):
     last = t.swipes.groupBy("user_id", (c("recipe_id") % 8).alias("k")).agg(F.max_by("action", F.struct("swiped_at", "swipe_id")).alias("v"))
     fold = last.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("m"))
     return fold.select("user_id", F.size("m").cast("long").alias("steps"), F.array_max(F.map_keys("m")).alias("current_step"), (F.size("m") == 8).alias("completed"))
 
 
-@query("normalize_parsed_ingredients", "SELECT item, min(p_partkey) AS ingredient_id, 0.9 AS confidence FROM (SELECT DISTINCT concat(p_name, CASE WHEN p_partkey % 3 = 0 THEN ' zzzzzzzzzzzzzzzzzzzz' ELSE '' END) AS item FROM part) JOIN part ON p_name = item GROUP BY 1")
+@query("normalize_parsed_ingredients", """
+SELECT item, min(p_partkey) AS ingredient_id, 0.9 AS confidence FROM (SELECT DISTINCT concat(p_name, CASE WHEN p_partkey % 3 = 0 THEN ' zzzzzzzzzzzzzzzzzzzz'
+ELSE '' END) AS item FROM part) JOIN part ON p_name = item GROUP BY 1
+""")
 def normalize_parsed_ingredients(t):
     items = t.part.select(F.concat("p_name", F.when(c("p_partkey") % 3 == 0, " zzzzzzzzzzzzzzzzzzzz").otherwise("")).alias("item")).distinct()
     return M.fuzzy_lookup(items, t.master).where("ingredient_id IS NOT NULL").select("item", "ingredient_id", F.lit(0.9).alias("confidence"))
@@ -312,7 +361,10 @@ def normalize_parsed_ingredients(t):
 _LINE_NAME = "array_to_string(list_transform(string_split(standard_name, ' '), lambda w: concat(upper(substr(w, 1, 1)), substr(w, 2))), ' ')"
 
 
-@query("normalize_ingredients", f"WITH d AS (SELECT standard_name AS n, min(ingredient_id) AS first_id FROM master GROUP BY 1) SELECT i.recipe_id, i.line, {_LINE_NAME} AS item, first_id AS ingredient_id, 0.99 AS confidence FROM ingredients i JOIN master m ON m.ingredient_id = i.ingredient_id JOIN d ON d.n = standard_name")
+@query("normalize_ingredients", f"""
+WITH d AS (SELECT standard_name AS n, min(ingredient_id) AS first_id FROM master GROUP BY 1) SELECT i.recipe_id, i.line, {_LINE_NAME} AS item, first_id AS ingredient_id, 0.99 AS confidence
+FROM ingredients i JOIN master m ON m.ingredient_id = i.ingredient_id JOIN d ON d.n = standard_name
+""")
 def normalize_ingredients(t):
     text = F.concat(c("quantity").cast("int"), F.lit(" "), F.when(c("unit") == "g", "grams").otherwise(c("unit")), F.lit(" "), "standard_name")
     lines = t.ingredients.join(t.master, "ingredient_id").select("recipe_id", "line", T.parse_ingredient(text).alias("p")).select("recipe_id", "line", "p.*")
@@ -344,22 +396,37 @@ def extract_jsonld_recipes(t):
     return _pages(t).select("page_id", F.get_json_object(X.jsonld_recipe(c("html")), "$.name").alias("name"))
 
 
-@query("extract_dom_fallback", "SELECT page_id, CASE WHEN page_id % 4 IN (1, 2) THEN concat(CASE page_id % 4 WHEN 1 THEN 'Manual ' ELSE 'Bare ' END, page_id) END AS title, CASE WHEN page_id % 4 = 1 THEN ['3 grams salt', '2 cups flour'] ELSE [] END AS items, CASE WHEN page_id % 4 = 1 THEN ['Mix all of it well for 10 min'] ELSE [] END AS steps FROM pages")
+@query("extract_dom_fallback", """
+SELECT page_id, CASE WHEN page_id % 4 IN (1, 2) THEN concat(CASE page_id % 4 WHEN 1 THEN 'Manual ' ELSE 'Bare ' END, page_id) END AS title, CASE
+WHEN page_id % 4 = 1 THEN ['3 grams salt', '2 cups flour'] ELSE [] END AS items, CASE WHEN page_id % 4 = 1 THEN ['Mix all of it well for 10 min']
+ELSE [] END AS steps FROM pages
+""")
 def extract_dom_fallback(t):
     return _pages(t).select("page_id", X.dom_title(c("html")).alias("title"), X.dom_items(c("html")).alias("items"), X.dom_steps(c("html")).alias("steps"))
 
 
-@query("extract_main_image", f"SELECT page_id, CASE page_id % 4 WHEN 0 THEN concat({_HOST}, '/og.jpg') WHEN 1 THEN concat({_HOST}, '/d.png') WHEN 2 THEN concat({_HOST}, '/first.png') END AS url, CASE page_id % 4 WHEN 0 THEN 'og_image' WHEN 1 THEN 'content_image' WHEN 2 THEN 'first_image' END AS source FROM pages")
+@query("extract_main_image", f"""
+SELECT page_id, CASE page_id % 4 WHEN 0 THEN concat({_HOST}, '/og.jpg') WHEN 1 THEN concat({_HOST}, '/d.png') WHEN 2 THEN concat({_HOST}, '/first.png') END AS url, CASE page_id % 4
+WHEN 0 THEN 'og_image' WHEN 1 THEN 'content_image' WHEN 2 THEN 'first_image' END AS source
+FROM pages
+""")
 def extract_main_image(t):
     return _pages(t).select("page_id", X.main_image(c("html"), F.lit(None).cast("string"), c("url")).alias("i")).select("page_id", "i.*")
 
 
-@query("extract_links", f"SELECT DISTINCT page_id, concat({_HOST}, l) AS link FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '<a[^>]*href=\"([^\"]*)\"', 1, 'i')) AS l FROM pages) WHERE regexp_matches(lower(concat({_HOST}, l)), 'the|de')")
+@query("extract_links", f"""
+SELECT DISTINCT page_id, concat({_HOST}, l) AS link FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '<a[^>]*href=\"([^\"]*)\"', 1, 'i')) AS l
+FROM pages) WHERE regexp_matches(lower(concat({_HOST}, l)), 'the|de')
+""")
 def extract_links(t):
     return X.links(t.pages, ["the", "de"])
 
 
-@query("choose_extraction", f"SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'schema' WHEN 3 THEN CASE WHEN page_id % 3 = 0 THEN 'scrapers' ELSE 'none' END ELSE CASE WHEN page_id % 3 = 0 THEN 'scrapers' ELSE 'manual' END END AS tier, CASE WHEN page_id % 4 > 0 AND page_id % 3 = 0 THEN 'Scraped' ELSE {_TITLE} END AS title, CAST(CASE WHEN page_id % 4 > 0 AND page_id % 3 = 0 THEN 1 WHEN page_id % 4 IN (0, 1) THEN 2 ELSE 0 END AS INT) AS n FROM pages")
+@query("choose_extraction", f"""
+SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'schema' WHEN 3 THEN CASE WHEN page_id % 3 = 0 THEN 'scrapers' ELSE 'none' END ELSE CASE WHEN page_id % 3 = 0 THEN 'scrapers'
+ELSE 'manual' END END AS tier, CASE WHEN page_id % 4 > 0 AND page_id % 3 = 0 THEN 'Scraped' ELSE {_TITLE} END AS title, CAST(CASE WHEN page_id % 4 > 0
+AND page_id % 3 = 0 THEN 1 WHEN page_id % 4 IN (0, 1) THEN 2 ELSE 0 END AS INT) AS n FROM pages
+""")
 def choose_extraction(t):
     """Every third page also has a scraped document."""
     scraped = F.when(c("page_id") % 3 == 0, '{"title":"Scraped","ingredients":["salt"],"instructions":"Cook it well"}')
@@ -377,7 +444,11 @@ def schema_instructions(t):
     return t.conversations.select("conv_id", "turn", F.posexplode(X.instructions(doc)).alias("place", "step"))
 
 
-@query("build_recipes", f"SELECT page_id AS recipe_id, {_TITLE} AS title, CASE page_id % 4 WHEN 0 THEN 'schema' ELSE 'manual' END AS tier, CAST(CASE page_id % 4 WHEN 0 THEN 65 ELSE 10 END AS INT) AS total_time, 2 AS n_items, CASE page_id % 4 WHEN 0 THEN 2 ELSE 1 END AS n_steps FROM {_FIRST} AND page_id % 4 < 2 AND url NOT IN (SELECT url FROM pages WHERE page_id % 10 = 0)")
+@query("build_recipes", f"""
+SELECT page_id AS recipe_id, {_TITLE} AS title, CASE page_id % 4 WHEN 0 THEN 'schema' ELSE 'manual' END AS tier, CAST(CASE page_id % 4 WHEN 0 THEN 65
+ELSE 10 END AS INT) AS total_time, 2 AS n_items, CASE page_id % 4 WHEN 0 THEN 2 ELSE 1 END AS n_steps
+FROM {_FIRST} AND page_id % 4 < 2 AND url NOT IN (SELECT url FROM pages WHERE page_id % 10 = 0)
+""")
 def build_recipes(t):
     """Recipes with the numbers of their ingredients and steps; every tenth page counts as done."""
     built = X.build_recipes(_pages(t), t.pages.where("page_id % 10 = 0").select("url"))
@@ -385,7 +456,10 @@ def build_recipes(t):
     return built["recipes"].join(counts[0], "recipe_id").join(counts[1], "recipe_id")
 
 
-@query("build_recipes_rejects", f"SELECT page_id, CASE page_id % 4 WHEN 2 THEN 'invalid' ELSE 'no title' END AS error FROM {_FIRST} AND page_id % 4 >= 2 AND url NOT IN (SELECT url FROM pages WHERE page_id % 10 = 0)")
+@query("build_recipes_rejects", f"""
+SELECT page_id, CASE page_id % 4 WHEN 2 THEN 'invalid' ELSE 'no title' END AS error FROM {_FIRST} AND page_id % 4 >= 2 AND url NOT IN (SELECT url
+FROM pages WHERE page_id % 10 = 0)
+""")
 def build_recipes_rejects(t):
     return X.build_recipes(_pages(t), t.pages.where("page_id % 10 = 0").select("url"))["rejects"]
 
@@ -408,23 +482,37 @@ def stream_rating_aggregate(t):
     return St.run_once(St.ratings(St.read_events(t.spark, t.sf_dir)), "ratings", "complete").select("user_id", "n", F.round("mean", 6).alias("mean"))
 
 
-@query("stream_trending_window", "SELECT CAST(start AS TIMESTAMP) AS start, event_type, count(*) AS n FROM (SELECT date_trunc('day', ts) - INTERVAL 1 DAY * k AS start, event_type FROM events, range(7) r(k)) WHERE start + INTERVAL 7 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events) GROUP BY 1, 2")
+@query("stream_trending_window", """
+SELECT CAST(start AS TIMESTAMP) AS start, event_type, count(*) AS n FROM (SELECT date_trunc('day', ts) - INTERVAL 1 DAY * k AS start, event_type
+FROM events, range(7) r(k)) WHERE start + INTERVAL 7 DAY <= (SELECT max(ts) - INTERVAL 1 DAY
+FROM events) GROUP BY 1, 2
+""")
 def stream_trending_window(t):
     """Windows that the watermark has closed."""
     return St.run_once(St.trending(St.read_events(t.spark, t.sf_dir)), "trending").withColumn("start", c("start").cast("timestamp_ntz"))
 
 
-@query("stream_scrape_health", "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, count(*) AS total, count(*) FILTER (WHERE event_type <> 'error') AS ok, round(count(*) FILTER (WHERE event_type <> 'error') * 100.0 / count(*), 2) AS rate FROM events GROUP BY 1")
+@query("stream_scrape_health", """
+SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, count(*) AS total, count(*) FILTER (WHERE event_type <> 'error') AS ok,
+round(count(*) FILTER (WHERE event_type <> 'error') * 100.0 / count(*), 2) AS rate FROM events GROUP BY 1
+""")
 def stream_scrape_health(t):
     return St.run_once(St.health(St.read_events(t.spark, t.sf_dir)), "health", "complete").withColumn("start", c("start").cast("timestamp_ntz"))
 
 
-@query("stream_refine_trigger", "SELECT user_id, CAST(n AS BIGINT) AS n FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) WHERE n % 10 = 0")
+@query("stream_refine_trigger", """
+SELECT user_id, CAST(n AS BIGINT) AS n FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n
+FROM events) WHERE n % 10 = 0
+""")
 def stream_refine_trigger(t):
     return St.run_once(St.refine_triggers(St.read_events(t.spark, t.sf_dir)), "refine")
 
 
-@query("stream_affinity_state", "SELECT user_id, event_type AS region, round(least(1.0, 0.5 + sum(CASE WHEN event_type = 'purchase' THEN 0.4 WHEN value >= 3 THEN 0.05 ELSE 0 END)), 6) AS affinity, round(least(0.95, 0.6 + 0.05 * count(*) FILTER (WHERE value >= 3 OR event_type = 'purchase')), 6) AS confidence, count(*) AS n FROM events GROUP BY 1, 2")
+@query("stream_affinity_state", """
+SELECT user_id, event_type AS region, round(least(1.0, 0.5 + sum(CASE WHEN event_type = 'purchase' THEN 0.4 WHEN value >= 3 THEN 0.05 ELSE 0 END)), 6) AS affinity,
+round(least(0.95, 0.6 + 0.05 * count(*) FILTER (WHERE value >= 3 OR event_type = 'purchase')), 6) AS confidence, count(*) AS n
+FROM events GROUP BY 1, 2
+""")
 def stream_affinity_state(t):
     """The last state of each user and region."""
     states = St.run_once(St.affinity_state(St.read_events(t.spark, t.sf_dir)), "affinity", "update")
@@ -446,21 +534,21 @@ def _scratch(t, name: str) -> str:
 
 
 @query("sink_csv_report", "SELECT c_custkey, c_name, c_mktsegment FROM customer")
-def _(t):
+def sink_csv_report(t):
     path = _scratch(t, "report")
     S.write_csv_report(t.customer.select("c_custkey", "c_name", "c_mktsegment"), path)
     return t.spark.read.option("header", True).schema("c_custkey long, c_name string, c_mktsegment string").csv(path)
 
 
 @query("sink_url_list", "SELECT DISTINCT url FROM pages")
-def _(t):
+def sink_url_list(t):
     path = _scratch(t, "urls")
     S.write_url_list(t.pages, path)
     return S.read_url_list(t.spark, path)
 
 
 @query("append_scrape_error", "SELECT event_id, 'HTTP' AS error_type, concat('error ', props) AS message FROM events WHERE event_type = 'error'")
-def _(t):
+def append_scrape_error(t):
     path = _scratch(t, "errors")
     S.append_fact(t.events.where("event_type = 'error'").select("event_id", F.lit("HTTP").alias("error_type"), F.concat(F.lit("error "), "props").alias("message"), F.to_date("ts").alias("day")), path, "day")
     return t.spark.read.parquet(path).select("event_id", "error_type", "message")

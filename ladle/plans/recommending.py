@@ -65,7 +65,11 @@ def preference_score(t):
     return pool(t).select("user_id", "recipe_id", F.round("preference", 6).alias("score"))
 
 
-@query("dietary_score", f"WITH {_DISH} SELECT DISTINCT s.user_id, s.recipe_id, CASE WHEN allium_status = 'no_both' AND NOT jain OR is_vrat AND NOT vrat OR is_diabetic AND NOT diabetic OR list_contains(names, excluded) THEN 0.0 ELSE 1.0 END AS score FROM recommendations s JOIN profiles p ON p.user_id = s.user_id JOIN dish d ON d.recipe_id = s.recipe_id")
+@query("dietary_score", f"""
+WITH {_DISH} SELECT DISTINCT s.user_id, s.recipe_id, CASE WHEN allium_status = 'no_both' AND NOT jain OR is_vrat AND NOT vrat OR is_diabetic
+AND NOT diabetic OR list_contains(names, excluded) THEN 0.0 ELSE 1.0 END AS score FROM recommendations s JOIN profiles p ON p.user_id = s.user_id
+JOIN dish d ON d.recipe_id = s.recipe_id
+""")
 def dietary_score(t):
     shown = t.recommendations.select("user_id", "recipe_id").distinct()
     return shown.join(t.profiles, "user_id").join(dishes(t), "recipe_id").select("user_id", "recipe_id", C.dietary_score().alias("score"))
@@ -76,7 +80,11 @@ def overall_score(t):
     return C.with_diversity(pool(t).select("user_id", "recipe_id", "base"), t.recommendations, as_of()).select("user_id", "recipe_id", F.round("score", 6).alias("score"))
 
 
-@query("personalized_recs", f"WITH {_DISH}, {_SHOWN}, z AS ({_with_loss('scored')}) SELECT user_id, recipe_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, recipe_id) AS r FROM z WHERE meal_slot = 'dinner' AND score >= 0.3) WHERE r <= 10")
+@query("personalized_recs", f"""
+WITH {_DISH}, {_SHOWN}, z AS ({_with_loss('scored')}) SELECT user_id, recipe_id, round(score, 6) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, recipe_id) AS r
+FROM z WHERE meal_slot = 'dinner' AND score >= 0.3) WHERE r <= 10
+""")
 def personalized_recs(t):
     dinner = dishes(t).where("meal_slot = 'dinner'")
     return C.personalized(t.profiles, dinner, t.recommendations, as_of(), 10, 0.3).select("user_id", "recipe_id", F.round("score", 6).alias("score"))
@@ -116,7 +124,10 @@ b AS (
   UNION ALL SELECT user_id, recipe_id, 'pantry_seasonal', 4, row_number() OVER (PARTITION BY user_id ORDER BY list_contains(names, 'red plate') DESC, score DESC, recipe_id) AS n, 2, n FROM cards)"""
 
 
-@query("first_cards", f"WITH {_BUCKETS} SELECT user_id, recipe_id, card_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY bucket, o) AS m FROM b WHERE n <= quota) WHERE m <= 15")
+@query("first_cards", f"""
+WITH {_BUCKETS} SELECT user_id, recipe_id, card_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY bucket, o) AS m
+FROM b WHERE n <= quota) WHERE m <= 15
+""")
 def first_cards(t):
     """Five sure matches of different kinds, three of the liked flavour, three that reach into other regions, two well rated ones, two from the pantry."""
     k = cards(t).select("user_id", "recipe_id", "score", "rating", "total_time_minutes", "time_budget", "meal_slot", "textures", "flavour", "regions", "region_1", "region_2", "names")
@@ -228,7 +239,10 @@ def rag_pantry_recs(t):
     return _hybrid(t, J.pantry_match(t.ingredients, t.master, ["widget", "rod"]))
 
 
-@query("rerank_merge", "SELECT user_id, recipe_id, CAST(rank AS INT) AS rank FROM (SELECT p.user_id, r.recipe_id, row_number() OVER (PARTITION BY p.user_id ORDER BY r.recipe_id DESC) AS rank FROM profiles p JOIN recipes r ON r.recipe_id IN (p.user_id, p.user_id + 1, p.user_id + 2)) WHERE rank <= 2")
+@query("rerank_merge", """
+SELECT user_id, recipe_id, CAST(rank AS INT) AS rank FROM (SELECT p.user_id, r.recipe_id, row_number() OVER (PARTITION BY p.user_id ORDER BY r.recipe_id DESC) AS rank
+FROM profiles p JOIN recipes r ON r.recipe_id IN (p.user_id, p.user_id + 1, p.user_id + 2)) WHERE rank <= 2
+""")
 def rerank_merge(t):
     ranking = t.profiles.select("user_id", F.array(F.lit(-1).cast("long"), c("user_id") + 2, c("user_id") + 1, c("user_id")).alias("recipe_ids"))
     known = ranking.select("user_id", F.explode("recipe_ids").alias("recipe_id")).join(t.recipes.select("recipe_id"), "recipe_id")

@@ -40,7 +40,7 @@ ADAPTERS = {
         concat('Brand#', CAST(1 + c_custkey % 25 AS STRING)) AS region_1, concat('Brand#', CAST(1 + c_custkey * 7 % 25 AS STRING)) AS region_2, CASE c_custkey % 4 WHEN 0 THEN 'both' WHEN 1 THEN 'no_onion' WHEN 2 THEN 'no_garlic' ELSE 'no_both' END AS allium_status,
         CASE c_custkey % 3 WHEN 0 THEN 'joint_family' WHEN 1 THEN 'i_cook_myself' ELSE 'manage_help' END AS household, CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE 'ring' END AS prohibition, c_custkey % 5 = 0 AS is_dairy_free, CASE c_custkey % 3 WHEN 0 THEN 'gravy' WHEN 1 THEN 'dry' ELSE 'both' END AS gravy,
         CASE c_custkey % 6 WHEN 0 THEN 'STANDARD' WHEN 1 THEN 'SMALL' WHEN 2 THEN 'MEDIUM' WHEN 3 THEN 'LARGE' WHEN 4 THEN 'ECONOMY' ELSE 'PROMO' END AS flavour, CASE c_custkey % 4 WHEN 0 THEN 'balanced' WHEN 1 THEN 'rich' ELSE 'light' END AS style,
-        c_custkey % 10 = 0 AS is_vrat, c_custkey % 9 = 0 AS is_diabetic, CASE WHEN c_custkey % 7 = 0 THEN 'hot plate' ELSE '' END AS excluded FROM customer""",
+        c_custkey % 10 = 0 AS is_vrat, c_custkey % 12 = 0 AS is_diabetic, CASE WHEN c_custkey % 6 = 1 THEN 'hot plate' ELSE '' END AS excluded FROM customer""",
 }
 
 
