@@ -26,7 +26,7 @@ _WORDS = re.compile(r"[^\W\d_]+")
 
 @dataclass
 class Model:
-    """Log frequencies: one row of `scores` for each known word or n-gram, one column a language.
+    """Log frequencies: one row of `scores` for each known word, then one for each of grams (sorted), one column a language.
 
     evidence: a text's words aren't independent, so together they say as much as this many do at
     most. This changes how sure a prediction is, not which one it is.
@@ -34,7 +34,7 @@ class Model:
 
     languages: list[str]
     words: dict[str, int]
-    grams: dict[str, int]
+    grams: np.ndarray
     scores: np.ndarray
     evidence: float = 40.0
 
@@ -82,18 +82,22 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     n, c = counts["n"].to_numpy(), counts["c"].to_numpy()
     mass = np.zeros((LONGEST + 1, max(len(languages), 1)))
     np.add.at(mass, (n, column), c)
-    tables, scores = [], []
-    for some in (n == 0, n > 0):
+
+    def part(some: np.ndarray) -> tuple[list[str], np.ndarray]:
+        """Tokens, and a row of log frequencies for each."""
         token = counts["token"].filter(pa.array(some)).combine_chunks().dictionary_encode()
         if isinstance(token, pa.ChunkedArray):
             token = token.combine_chunks()
         code = token.indices.to_numpy()
         value, of = np.zeros((len(token.dictionary), mass.shape[1])), np.zeros(len(token.dictionary), int)
         value[code, column[some]], of[code] = c[some], n[some]
-        first = sum(map(len, scores))
-        tables.append({t: i for i, t in enumerate(token.dictionary.to_pylist(), first)})
-        scores.append(np.log((value + 0.5) / (mass[of] + 100.0)))
-    return Model(languages, *tables, np.concatenate(scores).astype(np.float32))
+        return token.dictionary.to_pylist(), np.log((value + 0.5) / (mass[of] + 100.0))
+
+    words, of_words = part(n == 0)
+    grams, of_grams = part(n > 0)
+    grams = np.array(grams, f"<U{LONGEST}")
+    order = np.argsort(grams, kind="stable")
+    return Model(languages, {t: i for i, t in enumerate(words)}, grams[order], np.concatenate([of_words, of_grams[order]]).astype(np.float32))
 
 
 class Scorer:
@@ -115,9 +119,11 @@ class Scorer:
             self.rows[word] = -1
             return -1
         for n in range(min(LONGEST, len(word) + 2), 0, -1):
-            at = [i for g in _grams(word, n) if (i := self.model.grams.get(g)) is not None]
-            if at:
-                row = self.model.scores[at].sum(0) / n
+            grams = np.array(_grams(word, n))
+            at = np.minimum(np.searchsorted(self.model.grams, grams), max(len(self.model.grams) - 1, 0))
+            at = at[self.model.grams[at] == grams] if len(self.model.grams) else at[:0]
+            if len(at):
+                row = self.model.scores[len(self.model.words) + at].sum(0) / n
                 break
         self.rows[word] = at = len(self.model.scores) + len(self.more)
         self.more.append(row)

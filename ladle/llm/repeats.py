@@ -38,7 +38,7 @@ from .shared import lanes, mix, slice_hashes, steps, table, text_bytes, written
 
 KMER = 12
 #: Entries that a task gathers before it sorts and sends them.
-GATHERED = 500_000
+GATHERED = 300_000
 #: A k-mer with more contexts than this in one task: all its contexts are asked for.
 CROWDED = 1000
 #: Entries that one range of hashes holds, about; a task judges one range after the other. HELD: entries at which it sheds those
