@@ -47,8 +47,8 @@ def _delete(spark: SparkSession, path: str) -> None:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table there: cuts lineage and survives lost executors.
+def written(df: DataFrame, codec: str | None = None) -> DataFrame:
+    """df as a Parquet table there: cuts lineage and survives lost executors. codec: of Parquet, the session's if not given.
 
     Spark removes the shuffle files of the write at its end, as nothing reads them any more.
     """
@@ -57,7 +57,7 @@ def written(df: DataFrame) -> DataFrame:
     before = spark.conf.get(_CLEANUP)
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, compression=codec)
     finally:
         spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
