@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from .shared import _GOLD, discard, lower, mix, slice_hashes, steps, table, text_bytes, written
 
-#: Words of a shard, about; a shard holds one text at least. The index of so many takes some 150 MB while it is built.
-SHARD_WORDS = 2_000_000
+#: Words of a shard, about; a shard holds one text at least. The index of so many takes some 100 MB while it is built.
+SHARD_WORDS = 1_200_000
 #: A shard's number and a place in it share 64 bits.
 PLACE_BITS = 32
 NO_LANG = "und"
@@ -28,7 +28,7 @@ _BREAK = np.zeros(256, bool)
 _BREAK[[ord(c) for c in ".,;:!?\n\v\f\r"]] = True
 _OUTSIDE = _BREAK.copy()
 _OUTSIDE[[32, 9]] = True
-_SHARDS = "shard long, forward binary, backward binary, lang string, word string, place long, span long"
+_SHARDS = "shard long, forward binary, backward binary, lang string, word string, place long, n long"
 _FOUND = "prefix long, suffix long, place long, span long"
 
 
@@ -61,9 +61,9 @@ def suffixes(symbols: np.ndarray, depth: int) -> np.ndarray:
         key = rank * (int(rank.max()) + 1)
         key[:-step] += rank[step:]
         order = np.argsort(key)
-        ordered = key[order]
-        rank = np.empty(len(key), np.int64)
-        rank[order] = np.append(0, np.cumsum(ordered[1:] != ordered[:-1]))
+        key = key[order]
+        rank[order[0]] = 0
+        rank[order[1:]] = np.cumsum(key[1:] != key[:-1])
         reach += step
     return order
 
@@ -125,50 +125,46 @@ class Shard:
 
     def __init__(self, depth: int):
         self.depth, self.parts, self.words, self.size = depth, [], 0, 0
+        self.langs: dict[str, int] = {}
 
     def add(self, data: np.ndarray, offsets: np.ndarray, langs: list[str]) -> None:
         data = lower(data)
         start, end, piece = word_bounds(data, offsets)
-        names = {name: k for k, name in enumerate(dict.fromkeys(langs))}
-        seeds = np.array([names[x] for x in langs])
-        lang = seeds[np.searchsorted(offsets, start, "right") - 1] if len(start) else np.zeros(0, int)
-        marks = np.array([b"\x00" + x.encode() for x in names], object)
-        blob = np.frombuffer(b"".join(marks), np.uint8)
-        ends = np.cumsum([len(m) for m in marks])
-        salt = slice_hashes(blob, np.append(0, ends[:-1]), ends)
-        keys = mix(slice_hashes(data, start, end) + salt[lang] * _GOLD)
-        self.parts.append((data, start + self.size, end + self.size, piece, keys, np.array(list(names), object)[lang]))
+        of = np.array([self.langs.setdefault(x, len(self.langs)) for x in langs], np.int32)
+        lang = of[np.searchsorted(offsets, start, "right") - 1] if len(start) else np.zeros(0, np.int32)
+        keys = mix(slice_hashes(data, start, end) + (lang + 1).astype(np.uint64) * _GOLD)
+        self.parts.append((data, (start + self.size).astype(np.int32), (end - start).astype(np.int32), piece, keys, lang))
         self.words += len(start)
         self.size += len(data)
 
     def rows(self, number: int) -> Iterator[pa.RecordBatch]:
         """The index, then each distinct word with its interval and count."""
-        data, start, end, piece, keys, lang = (np.concatenate(x) for x in zip(*self.parts))
+        data, start, length, piece, keys, lang = (np.concatenate(x) for x in zip(*self.parts))
         self.parts, self.words, self.size = [], 0, 0
         _, first, inverse, count = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
         frequent = np.argsort(-count, kind="stable")  # small ids for frequent words
         ids = np.empty(len(count), np.int64)
         ids[frequent] = np.arange(1, len(count) + 1)
-        text = np.zeros(len(keys) + int(piece.sum()) + 1, np.int64)
+        text = np.zeros(len(keys) + int(piece.sum()) + 1, np.int32)
         text[np.arange(len(keys)) + np.cumsum(piece)] = ids[inverse]
         first, count = first[frequent], count[frequent]
         lo = len(text) - len(keys) + np.cumsum(count) - count
-        schema = pa.schema([("shard", pa.int64()), ("forward", pa.binary()), ("backward", pa.binary()), ("lang", pa.string()), ("word", pa.string()), ("place", pa.int64()), ("span", pa.int64())])
+        start, length, lang = start[first].astype(np.int64), length[first], np.array(list(self.langs), object)[lang[first]]
+        del keys, inverse, piece, ids
+        schema = pa.schema([("shard", pa.int64()), ("forward", pa.binary()), ("backward", pa.binary()), ("lang", pa.string()), ("word", pa.string()), ("place", pa.int64()), ("n", pa.int64())])
         both = [packed(transform(text, self.depth)), packed(transform(text[::-1], self.depth))]
         yield pa.RecordBatch.from_arrays([pa.array([number]), *(pa.array([b], pa.binary()) for b in both), *(pa.nulls(1, t) for t in schema.types[3:])], schema=schema)
         for a in range(0, len(first), 50_000):
-            some = first[a : a + 50_000]
-            n = len(some)
-            word = pa.array([data[i:j].tobytes() for i, j in zip(start[some].tolist(), end[some].tolist())], pa.binary()).cast(pa.string())
-            place, span = (number << PLACE_BITS) | lo[a : a + n], (lo[a : a + n] << 32) | count[a : a + n]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, number)), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(lang[some], pa.string()), word, pa.array(place), pa.array(span)], schema=schema)
+            n, at = len(first[a : a + 50_000]), slice(a, a + 50_000)
+            word = pa.array([data[i : i + k].tobytes() for i, k in zip(start[at].tolist(), length[at].tolist())], pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(lang[at], pa.string()), word, pa.array((number << PLACE_BITS) | lo[at]), pa.array(count[at])], schema=schema)
 
 
 # --- all shards --------------------------------------------------------------------------------
 
 
 def shards(docs: DataFrame, text_col: str, lang_col: str, depth: int, words: int) -> DataFrame:
-    """Indexes (forward, backward) and words (lang, word, place, span) of each shard."""
+    """Indexes (shard, forward, backward) and words (lang, word, place, n) of each shard."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, made = Shard(depth), 0
@@ -241,10 +237,12 @@ def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", mos
     repeated rows count each; all other columns are left alone. A text is read whole and is
     held by one task.
     """
-    every = written(shards(docs, text_col, lang_col, most_words, shard_words))
+    every = written(shards(docs, text_col, lang_col, most_words, shard_words), "zstd")
     words, indexes = every.where("word IS NOT NULL"), every.where("forward IS NOT NULL").select("shard", "forward", "backward")
-    total = words.groupBy("lang").agg(F.sum(_count()).alias("n"))
-    keys, found, levels, used = ["lang", "word"], words.select("lang", "word", "place", "span"), [], [every]
+    total = words.groupBy("lang").agg(F.sum("n").alias("n"))
+    # A word's interval begins at the same place in both orders.
+    span = F.shiftleft(F.col("place").bitwiseAND(0xFFFFFFFF), 32).bitwiseOR(F.col("n"))
+    keys, found, levels, used = ["lang", "word"], words.select("lang", "word", "place", span.alias("span")), [], [every]
     for size in range(1, most_words + 1):
         level = written(frequent(found, keys, least))
         used.append(level)
