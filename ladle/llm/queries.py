@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES = ["bpe", "langid", "quality", "toxicity", "urlfilter", "merkle", "neardup", "repeats", "decontaminate", "licenses", "phrases"]
+_MODULES = ["bpe", "langid", "quality", "toxicity", "urlfilter", "merkle", "neardup", "repeats", "decontaminate", "licenses", "phrases", "secretscan", "whitening"]
 
 
 def _modules() -> list:

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ladle.sources.scratch import discard, written
 
-__all__ = ["bounded_batches", "bounded_sample", "discard", "held_out", "lower", "mix", "shingle_sets", "slice_hashes", "steps", "table", "text_bytes", "words_of", "written"]
+__all__ = ["bounded_batches", "bounded_sample", "discard", "held_out", "lower", "map_batches", "mix", "quoted", "shingle_sets", "slice_hashes", "steps", "table", "text_bytes", "words_of", "written"]
 
 #: Bytes of text that one vectorised step works on; longer documents are a step of their own.
 STEP_BYTES = 1 << 20
@@ -38,6 +39,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(name: str) -> str:
+    """A column's name for F.col, whatever it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], kept: list[str], new: str) -> DataFrame:
+    """df.mapInArrow for columns of any names: run gives the columns `kept` of df, then those of `new` (a schema as a string).
+
+    Columns are named by their places while Python has them, so run must go by places.
+    """
+    own = {f.name: f for f in df.schema}
+    added = df.sparkSession.createDataFrame([], new).schema.fields
+    schema = T.StructType([T.StructField(f"_{k}", f.dataType) for k, f in enumerate([*(own[c] for c in kept), *added])])
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in run(batches):
+            yield batch.rename_columns(schema.names)
+
+    placed = df.select(*(F.col(quoted(c)).alias(f"_{k}") for k, c in enumerate(df.columns)))
+    out = placed.mapInArrow(named, schema)
+    return out.select(*(F.col(f"_{k}").alias(c) for k, c in enumerate([*kept, *(f.name for f in added)])))
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Offsets (int64, from 0) and UTF-8 bytes of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
