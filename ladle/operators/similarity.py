@@ -49,7 +49,7 @@ def similar_strings(strings: DataFrame, least: float, measure: str = "levenshtei
     left = s.select("t", "n", "k", F.explode(pieces).alias("p")).select("t", "n", "k", F.col("p.at").alias("at"), F.expr("substring(t, p.at + 1, p.to - p.at)").alias("piece")).where("piece <> ''")
     sizes = left.select(F.length("piece").alias("size")).distinct()
     other = s if against is None else against.withColumn("n", n)
-    grams = other.select(F.col("t").alias("u"), F.col("n").alias("m")).join(F.broadcast(sizes.where(F.col("size") <= 4096)), F.col("size") <= F.col("m"))  # so many at most
+    grams = other.select(F.col("t").alias("u"), F.col("n").alias("m")).join(F.broadcast(sizes), F.col("size") <= F.col("m"))  # a number for each length of a piece
     right = grams.select("u", "m", F.explode(F.transform(F.sequence(F.lit(0), F.col("m") - F.col("size")), lambda i: F.struct(i.alias("place"), F.substring(F.col("u"), i + 1, F.col("size")).alias("piece")))).alias("g")).select("u", "m", "g.place", "g.piece")
     near = left.join(right, "piece").where((F.abs(F.col("place") - F.col("at")) <= F.col("k")) & (F.abs(F.col("n") - F.col("m")) <= F.col("k")) & (F.col("t") != F.col("u"))).select(F.least("t", "u").alias("t"), F.greatest("t", "u").alias("u")).distinct()
     score = T.levenshtein_ratio(F.col("t"), F.col("u")) if measure == "levenshtein" else T.fuzz_ratio(F.col("t"), F.col("u")) / 100
@@ -171,12 +171,64 @@ def search_page(queries: DataFrame, vectors: DataFrame, offset: int, limit: int,
     return hits.withColumns({"rank": rank, "match_reason": reason}).where((F.col("rank") > offset) & (F.col("rank") <= offset + limit))
 
 
-def combined(edges: DataFrame, weights: dict[str, float], least: float = 0.85) -> DataFrame:
-    """(id, other, score): of each id the best match by the weighted sum of its methods' scores, if good enough."""
-    w = F.create_map(*(x for m, v in weights.items() for x in (F.lit(m), F.lit(v))))
-    both = edges.select(F.col("a").alias("id"), F.col("b").alias("other"), "method", "score").union(edges.select("b", "a", "method", "score"))
-    sums = both.groupBy("id", "other").agg(F.sum(F.coalesce(F.try_element_at(w, F.col("method")), F.lit(0.0)) * F.col("score")).alias("score")).where(F.round("score", 9) >= least)
-    return sums.groupBy("id").agg(F.max(F.struct("score", F.negative("other").alias("other"))).alias("best")).select("id", F.negative("best.other").alias("other"), "best.score")
+def star(classes: DataFrame, id_col: str) -> DataFrame:
+    """(a, b, score 1) of each class's smallest id and every other member, so that equal items are linked without writing all pairs."""
+    return classes.where(F.col(id_col) != F.col("class_id")).select(F.col("class_id").alias("a"), F.col(id_col).alias("b"), F.lit(1.0).alias("score"))
+
+
+def _both_ways(edges: DataFrame, classes: DataFrame) -> DataFrame:
+    """(x, y, s): class links in both directions, and each class with itself at 1."""
+    return edges.select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("score").alias("s")).union(edges.select("b", "a", "score")).union(classes.select("class_id", "class_id", F.lit(1.0)).distinct())
+
+
+def best_matches(titles: DataFrame, title_edges: DataFrame, sets: DataFrame, set_edges: DataFrame, near: DataFrame, weights: dict[str, float], least: float = 0.85) -> DataFrame:
+    """(id, other, score): of each id its best match by the weighted sum of its methods' scores, if good enough; of equally good ones the smallest id.
+
+    titles and sets: (id, class_id) of equal titles and equal sets; title_edges and set_edges:
+    (a, b, score) of those classes; near: (a, b, score) of ids. An id may be missing anywhere; a
+    method that doesn't link two ids counts 0.
+
+    Pairs of members are never written out. Ids of one title class and one set class are of a
+    kind. What is linked by both title and set is found from an id's kind, by all classes linked
+    with its title and with its set: so many keys as the two have links, looked up among the
+    kinds, however many members any class has. What is linked by one alone is the class's own
+    best link. Vector links are between ids, and take in the other scores by their classes.
+    """
+    wt, ws, wn = (F.lit(weights[m]) for m in ("title_fuzzy", "ingredients", "embedding"))
+    t, s = (written(c.select("id", F.col("class_id").alias(n))) for c, n in ((titles, "t"), (sets, "s")))
+    te, se = written(_both_ways(title_edges, titles)), written(_both_ways(set_edges, sets))
+    both = written(t.join(s, "id"))
+
+    def first_two(df: DataFrame, *keys: str) -> DataFrame:
+        """The two smallest ids of each group: of every member one at least is another one."""
+        low = df.groupBy(*keys).agg(F.min("id").alias("first"))
+        rest = df.join(low, list(keys)).where("id <> first").groupBy(*keys).agg(F.min("id").alias("second"))
+        return low.join(rest, list(keys), "left")
+
+    def chosen(df: DataFrame, *keys: str) -> DataFrame:
+        return df.groupBy(*keys).agg(F.max(F.struct("score", F.negative("other").alias("other"))).alias("best")).select(*keys, F.negative("best.other").alias("other"), "best.score")
+
+    def by_class(members: DataFrame, edges: DataFrame, key: str, weight) -> DataFrame:
+        """Best match of every member by one method alone."""
+        two = first_two(members, key)
+        away = edges.where("x <> y").join(two.select(F.col(key).alias("y"), F.col("first").alias("other")), "y").select(F.col("x").alias(key), (weight * F.col("s")).alias("score"), "other")
+        far = members.join(chosen(away, key), key).select("id", "other", "score")
+        own = F.when(F.col("first") != F.col("id"), F.col("first")).otherwise(F.col("second"))
+        return far.union(members.join(two, key).select("id", own.alias("other"), weight.alias("score")).where("other IS NOT NULL"))
+
+    kinds = written(first_two(both, "t", "s"))
+    wide = kinds.select("t", "s").join(te.select(F.col("x").alias("t"), F.col("y").alias("t2"), F.col("s").alias("by_t")), "t").join(se.select(F.col("x").alias("s"), F.col("y").alias("s2"), F.col("s").alias("by_s")), "s")
+    there = kinds.select(F.col("t").alias("t2"), F.col("s").alias("s2"), F.col("first").alias("other"))
+    linked = wide.where("t <> t2 OR s <> s2").join(there, ["t2", "s2"]).select("t", "s", (wt * F.col("by_t") + ws * F.col("by_s")).alias("score"), "other")
+    by_kind = both.join(chosen(linked, "t", "s"), ["t", "s"]).select("id", "other", "score")
+    alike = both.join(kinds.where("second IS NOT NULL"), ["t", "s"]).select("id", F.when(F.col("first") != F.col("id"), F.col("first")).otherwise(F.col("second")).alias("other"), (wt + ws).alias("score"))
+    pairs = near.select(F.col("a").alias("id"), F.col("b").alias("other"), F.col("score").alias("n")).union(near.select("b", "a", "score"))
+    for classes, edges, name in ((t, te, "t"), (s, se, "s")):
+        pairs = pairs.join(classes.withColumnRenamed(name, "x"), "id", "left").join(classes.select(F.col("id").alias("other"), F.col(name).alias("y")), "other", "left")
+        pairs = pairs.join(edges.withColumnRenamed("s", f"by_{name}"), ["x", "y"], "left").drop("x", "y")
+    scored = pairs.select("id", "other", (wt * F.coalesce("by_t", F.lit(0.0)) + ws * F.coalesce("by_s", F.lit(0.0)) + wn * F.col("n")).alias("score"))
+    every = by_class(t, te, "t", wt).union(by_class(s, se, "s", ws)).union(by_kind).union(alike).union(scored)
+    return chosen(every.withColumn("score", F.round("score", 9)), "id").where(F.col("score") >= least)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -199,6 +251,21 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def merge_components(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels (id, component) of all links so far: stored labels and new links (a, b), without the old links.
+
+    A stored component is one node, named by its smallest id; only what the new links touch is
+    worked on, and the result is what components() gives for old and new links together.
+    """
+    at = labels.select(F.col("id").alias("a"), F.col("component").alias("x"))
+    ends = links.select("a", "b").join(at, "a", "left").withColumn("x", F.coalesce("x", "a"))
+    ends = ends.join(labels.select(F.col("id").alias("b"), F.col("component").alias("y")), "b", "left").withColumn("y", F.coalesce("y", "b"))
+    ends = written(ends.select("a", "b", "x", "y"))
+    moved = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("id").alias("component"), F.col("component").alias("to"))
+    new = ends.select(F.col("a").alias("id"), F.col("x").alias("component")).union(ends.select("b", "y")).join(labels, "id", "left_anti").distinct()
+    return labels.select("id", "component").union(new).join(moved, "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+
+
 def most_alike(items: DataFrame, names: DataFrame, least: int, block: int = 2000) -> DataFrame:
     """(item_l, name_id, score): for each item_l of items the name of names (name_l, name_id) with the highest fuzz ratio, least at least.
 

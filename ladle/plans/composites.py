@@ -15,7 +15,7 @@ from ladle.operators import ranking as R
 from ladle.operators import similarity as M
 from ladle.plans.registry import as_of, query
 from ladle.sources import tables as S
-from ladle.sources.scratch import scratch_path
+from ladle.sources.scratch import scratch_path, written
 from ladle.streaming import streams as St
 
 c = F.col
@@ -112,41 +112,52 @@ def similarity_matrix(t):
     return hits.where("query_id < id").select(c("query_id").alias("i"), c("id").alias("j"), F.round("score", 6).alias("cos"))
 
 
-_EDGES = f"{_TITLES}, {_SETS}, {_NEAR}, e AS (SELECT a, b, 'title_fuzzy' AS method, score FROM title UNION ALL SELECT a, b, 'ingredients', score FROM sets UNION ALL SELECT a, b, 'embedding', score FROM cos)"
-_BEST = f"{_EDGES}, y AS (SELECT a AS id, b AS other, method, score FROM e UNION ALL SELECT b, a, method, score FROM e), w AS (SELECT id, other, round(sum(CASE method WHEN 'title_fuzzy' THEN 0.4 ELSE 0.3 END * score), 9) AS score FROM y GROUP BY 1, 2)"
+_MEMBERS = """mt AS (SELECT x.p_partkey AS id, d.id AS c FROM part x JOIN d ON d.t = concat(x.p_name, ' ', lower(x.p_type))), ms AS (SELECT s.id, g.id AS c FROM s JOIN g ON g.m = s.m)"""
+_EDGES = f"""{_TITLES}, {_SETS}, {_NEAR}, {_MEMBERS}, e AS (SELECT a, b, 'title_fuzzy' AS method, score FROM title UNION ALL SELECT c, id, 'title_fuzzy', 1 FROM mt WHERE id <> c
+UNION ALL SELECT a, b, 'ingredients', score FROM sets UNION ALL SELECT c, id, 'ingredients', 1 FROM ms WHERE id <> c UNION ALL SELECT a, b, 'embedding', score FROM cos)"""
+# Every pair of members, one by one.
+_BEST = f"""{_TITLES}, {_SETS}, {_NEAR}, {_MEMBERS}, te AS (SELECT a, b, score FROM title UNION ALL SELECT b, a, score FROM title UNION ALL SELECT DISTINCT c, c, 1 FROM mt),
+se AS (SELECT a, b, score FROM sets UNION ALL SELECT b, a, score FROM sets UNION ALL SELECT DISTINCT c, c, 1 FROM ms),
+y AS (SELECT x.id, y.id AS other, 0.4 * e.score AS score FROM mt x JOIN te e ON e.a = x.c JOIN mt y ON y.c = e.b WHERE x.id <> y.id
+UNION ALL SELECT x.id, y.id, 0.3 * e.score FROM ms x JOIN se e ON e.a = x.c JOIN ms y ON y.c = e.b WHERE x.id <> y.id UNION ALL SELECT a, b, 0.3 * score FROM cos UNION ALL SELECT b, a, 0.3 * score FROM cos),
+w AS (SELECT id, other, round(sum(CAST(score AS DOUBLE)), 9) AS score FROM y GROUP BY 1, 2), best AS (SELECT id, other, score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, other) AS r FROM w) WHERE r = 1 AND score >= 0.3)"""
 #: How much each kind of similarity counts.
 WEIGHTS = {"title_fuzzy": 0.4, "ingredients": 0.3, "embedding": 0.3}
 
 
-def _edges(t) -> DataFrame:
-    kinds = {"title_fuzzy": M.similar_titles(_titles(t)), "ingredients": M.similar_sets(_item_sets(t), 0.7), "embedding": _near(t)}
+@query("all_similarities", f"WITH {_EDGES} SELECT a, b, method, round(score, 6) AS score FROM e")
+def all_similarities(t):
+    """Links of classes, and each class's smallest id with every other member at 1."""
+    titles, sets = _titles(t), _item_sets(t)
+    kinds = [("title_fuzzy", M.similar_titles(titles)), ("title_fuzzy", M.star(M.title_classes(titles), "recipe_id")), ("ingredients", M.similar_sets(sets, 0.7)), ("ingredients", M.star(M.set_classes(sets), "id")), ("embedding", _near(t))]
     every = None
-    for method, df in kinds.items():
+    for method, df in kinds:
         df = df.select("a", "b", F.lit(method).alias("method"), "score")
         every = df if every is None else every.union(df)
-    return every
+    return J.symmetric_pairs(every.withColumn("computed_at", as_of())).select("a", "b", "method", F.round("score", 6).alias("score"))
 
 
-@query("all_similarities", f"WITH {_EDGES} SELECT a, b, method, round(score, 6) AS score FROM e")
-def all_similarities(t):
-    return J.symmetric_pairs(_edges(t).withColumn("computed_at", as_of())).select("a", "b", "method", F.round("score", 6).alias("score"))
+def _best(t) -> DataFrame:
+    """Best matches of all members. The tables' likenesses have little in common, so that the bound is lower than the usual 0.85."""
+    titles, sets = _titles(t), _item_sets(t)
+    by_title = M.title_classes(titles).select(c("recipe_id").alias("id"), "class_id")
+    return M.best_matches(by_title, M.similar_titles(titles), M.set_classes(sets).select("id", "class_id"), M.similar_sets(sets, 0.7), _near(t), WEIGHTS, 0.3)
 
 
-# The tables' likenesses have little in common, so that the bound is lower than where it decides on merging.
-@query("combined_similarity", f"WITH {_BEST} SELECT id, round(max(score), 6) AS score FROM w WHERE score >= 0.3 GROUP BY 1")
+@query("combined_similarity", f"WITH {_BEST} SELECT id, other, round(score, 6) AS score FROM best")
 def combined_similarity(t):
-    return M.combined(_edges(t), WEIGHTS, 0.3).select("id", F.round("score", 6).alias("score"))
-
-
-_LINKS = "l AS (SELECT DISTINCT l_partkey AS a, l_partkey + 7 AS b FROM lineitem WHERE l_partkey % 5 = 0)"
+    return _best(t).select("id", "other", F.round("score", 6).alias("score"))
 
 
 @query("cluster_recipes", f"""
-WITH RECURSIVE {_LINKS}, d AS (SELECT a, b FROM l UNION SELECT b, a FROM l), r AS (SELECT a AS id, a AS m
-FROM d UNION SELECT d.b, r.m FROM r JOIN d ON d.a = r.id) SELECT id, min(m) AS component FROM r GROUP BY 1
+WITH RECURSIVE {_BEST}, l AS (SELECT id AS a, other AS b FROM best UNION SELECT other, id FROM best), reached AS (SELECT a AS id, a AS m
+FROM l UNION SELECT l.b, reached.m FROM reached JOIN l ON l.a = reached.id) SELECT id, min(m) AS component FROM reached GROUP BY 1
 """)
 def cluster_recipes(t):
-    return M.components(t.lineitem.where("l_partkey % 5 = 0").select(c("l_partkey").alias("a"), (c("l_partkey") + 7).alias("b")).distinct())
+    """Components of best matches; those of odd ids come later and are merged into the stored labels of the first."""
+    links = written(_best(t).select(c("id").alias("a"), c("other").alias("b")))
+    stored = M.components(links.where("a % 2 = 0"))
+    return M.merge_components(stored, links.where("a % 2 = 1"))
 
 
 @query("fuzzy_lookup_join")
