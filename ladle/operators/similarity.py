@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -62,48 +63,89 @@ def set_classes(sets: DataFrame) -> DataFrame:
     return whole.join(whole.groupBy("items").agg(F.min("id").alias("class_id")), "items").select("id", "class_id", "items")
 
 
+#: Keys that a set of a few items may have; where all groups of so many items as are sure to be shared would be more, smaller groups serve.
+SET_KEYS = 64
+
+
+def _shared_items(n: int, m: int, least: float) -> int:
+    """Items that sets of n and m items have in common at least, to be that similar."""
+    return math.ceil(round(least / (1 + least) * (n + m), 9))
+
+
+def _group_size(n: int, least: float) -> int:
+    """How many items make a key where the larger set has n: as many as are sure to be shared, while the keys stay few."""
+    sure = math.ceil(round(least * n, 9))
+    return max(k for k in range(1, sure + 1) if k == 1 or math.comb(n - sure + k, k) <= SET_KEYS)
+
+
+def _key_plan(sizes: list[int], least: float) -> list[tuple[bool, int, int, list[list[int]]]]:
+    """(larger, n, k, groups): which places of a set of n items, the rarest first, are its keys of k items, as the larger set of a pair and as the other one."""
+
+    def groups(count: int, k: int) -> list[list[int]]:
+        return [list(g) for g in itertools.combinations(range(count), k)]
+
+    out = []
+    for n in sizes:
+        k = _group_size(n, least)
+        out.append((True, n, k, groups(n - math.ceil(round(least * n, 9)) + k, k)))
+        shared: dict[int, int] = {}  # by k the fewest items shared with a larger set
+        for other in sizes:
+            if n <= other and least * other <= n + 1e-9:
+                k = _group_size(other, least)
+                shared[k] = min(shared.get(k, n), _shared_items(other, n, least))
+        out += [(False, n, k, groups(n - least_shared + k, k)) for k, least_shared in shared.items()]
+    return out
+
+
 def similar_sets(sets: DataFrame, least: float = 0.7) -> DataFrame:
     """(a, b, score) of classes of sets (id, item) with that Jaccard similarity (0.5 at least); a < b are the class ids of set_classes.
 
-    Prefix filter: two sets that aren't equal have k = ceil(least / (1 - least)) items in common,
-    or else they are too unlike. With items in order of rarity, a set x and one y at most as
-    large then share k items of the first |x| - ceil(least * |x|) + k of x and the first
-    |y| - ceil(2 * least / (1 + least) * |y|) + k of y. So groups of k items (3 at most) are the
-    keys. What meets is cut by sizes, and by signatures (a bit for each item), which never miss
-    a pair; what is left is counted exactly.
+    Prefix filter: with items in order of rarity, two sets that must share o items share k of
+    the first n - o + k of each (n: its size, k <= o). So groups of k items are the keys, k the
+    larger the fewer groups there are: sets of few items are keyed by all that they must share,
+    and hardly anything meets that isn't similar; those of many by few items, which are rare.
+    What meets is cut by sizes, and by signatures (a bit for each item), which never miss a
+    pair; with 64 items at most signatures tell the score, else it is counted from the sets.
     """
     if not 0.5 <= least < 1:
         raise ValueError("least must be 0.5 at least and below 1")
-    k = min(3, math.ceil(round(least / (1 - least), 9)))
-    groups = set_classes(sets).where("id = class_id").select(F.col("class_id").alias("rep"), "items", F.size("items").alias("n"))
-    signature = F.aggregate("items", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(x), F.lit(64)).cast("int"))))
-    groups = written(groups.withColumn("signature", signature))
+    spark = sets.sparkSession
+    whole = sets.groupBy("id").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    groups = written(whole.groupBy("items").agg(F.min("id").alias("rep")).withColumn("n", F.size("items")).where("n > 0"))
     single = groups.select("rep", F.explode("items").alias("item"))
     order = single.groupBy("item").agg(F.count("*").alias("df"))
-    ranks = single.join(order, "item").groupBy("rep").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "item"))), lambda x: x["item"]).alias("ranked"))
-    ranked = written(groups.select("rep", "n", "signature").join(ranks, "rep"))
-
-    def combined(rest: Column, size: int) -> Column:
-        """All groups of `size` items of an array, in its order, as arrays."""
-        if size == 1:
-            return F.transform(rest, lambda x: F.array(x))
-        later = lambda i: combined(F.slice(rest, i + F.lit(2), F.size(rest)), size - 1)
-        return F.flatten(F.transform(rest, lambda x, i: F.transform(later(i), lambda more: F.concat(F.array(x), more))))
-
-    def keyed(share: float, names: tuple[str, str, str]) -> DataFrame:
-        prefix = F.slice("ranked", 1, F.greatest(F.lit(0), F.col("n") - F.ceil(F.round(F.lit(share) * F.col("n"), 9)) + k).cast("int"))
-        some = ranked.select(*(F.col(x).alias(y) for x, y in zip(("rep", "n", "signature"), names)), prefix.alias("p")).where(F.size("p") >= k)
-        return some.select(*names, F.explode(combined(F.col("p"), k)).alias("key"))
-
-    probe, index = keyed(least, ("rep", "n", "s")), keyed(2 * least / (1 + least), ("rep_b", "n_b", "s_b"))
+    few = order.limit(65).collect()
+    dense = len(few) <= 64
+    signature = lambda items, bit: F.aggregate(items, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), bit(x))))
+    if dense:
+        ranks = F.create_map(*(x for place, row in enumerate(sorted(few, key=lambda r: (r["df"], r["item"]))) for x in (F.lit(row["item"]), F.lit(place)))) if few else F.lit(None).cast("map<bigint,int>")
+        rank = lambda x: F.try_element_at(ranks, x)
+        ranked = F.transform(F.array_sort(F.transform("items", lambda x: F.struct(rank(x).alias("rank"), x.alias("item")))), lambda x: x["item"])
+        signed = groups.select("rep", "n", ranked.alias("ranked"), signature("items", rank).alias("s"))
+    else:
+        ranks = single.join(order, "item").groupBy("rep").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "item"))), lambda x: x["item"]).alias("ranked"))
+        signed = written(groups.join(ranks, "rep").select("rep", "n", "ranked", signature("items", lambda x: F.pmod(F.xxhash64(x), F.lit(64)).cast("int")).alias("s")))
+    plan = _key_plan([r["n"] for r in groups.select("n").distinct().orderBy("n").collect()], least)  # a row for each size that occurs
+    keys = F.broadcast(spark.createDataFrame(plan, "larger boolean, n int, k int, places array<array<int>>"))
+
+    def keyed(larger: bool) -> DataFrame:
+        some = signed.join(keys.where(F.col("larger") == larger), "n").select("rep", "n", "s", "k", "ranked", F.explode("places").alias("place"))
+        return some.select("rep", "n", "s", F.xxhash64("k", F.transform("place", lambda i: F.get("ranked", i))).alias("key"))
+
+    probe, index = keyed(True), keyed(False).select(F.col("rep").alias("rep_b"), F.col("n").alias("n_b"), F.col("s").alias("s_b"), "key")
     smaller = (F.col("n_b") < F.col("n")) | ((F.col("n_b") == F.col("n")) & (F.col("rep_b") < F.col("rep")))
-    # An item whose bit the other signature lacks isn't in the other set.
-    most = F.least(F.col("n") - F.bit_count(F.col("s").bitwiseAND(F.bitwise_not("s_b"))), F.col("n_b") - F.bit_count(F.col("s_b").bitwiseAND(F.bitwise_not("s"))))
-    near = (F.col("n_b") >= F.lit(least) * F.col("n") - 1e-9) & ((1 + least) * most >= least * (F.col("n") + F.col("n_b")) - 1e-9)
-    pairs = probe.join(index, "key").where(smaller & near).select("rep", "rep_b").distinct()
-    left, right = groups.select("rep", "items"), groups.select(F.col("rep").alias("rep_b"), F.col("items").alias("items_b"))
-    scored = pairs.join(left, "rep").join(right, "rep_b").withColumn("score", T.jaccard(F.col("items"), F.col("items_b"))).where(F.col("score") >= least)
-    return scored.select(F.least("rep", "rep_b").alias("a"), F.greatest("rep", "rep_b").alias("b"), "score")
+    near = F.col("n_b") >= F.lit(least) * F.col("n") - 1e-9
+    if dense:
+        common = F.bit_count(F.col("s").bitwiseAND(F.col("s_b")))
+        score = common / (F.col("n") + F.col("n_b") - common)
+        found = probe.join(index, "key").where(smaller & near & (score >= least)).select("rep", "rep_b", score.alias("score")).distinct()
+    else:
+        # An item whose bit the other signature lacks isn't in the other set.
+        most = F.least(F.col("n") - F.bit_count(F.col("s").bitwiseAND(F.bitwise_not("s_b"))), F.col("n_b") - F.bit_count(F.col("s_b").bitwiseAND(F.bitwise_not("s"))))
+        pairs = probe.join(index, "key").where(smaller & near & ((1 + least) * most >= least * (F.col("n") + F.col("n_b")) - 1e-9)).select("rep", "rep_b").distinct()
+        left, right = groups.select("rep", "items"), groups.select(F.col("rep").alias("rep_b"), F.col("items").alias("items_b"))
+        found = pairs.join(left, "rep").join(right, "rep_b").withColumn("score", T.jaccard(F.col("items"), F.col("items_b"))).where(F.col("score") >= least)
+    return found.select(F.least("rep", "rep_b").alias("a"), F.greatest("rep", "rep_b").alias("b"), "score")
 
 
 def _lcs(a: str, b: str) -> int:

@@ -77,11 +77,15 @@ def test_fuzzy_lookup(spark, duck):
         assert r["ingredient_id"] == (exact if exact is not None else -i if score >= 70 else None)
 
 
-def test_similar_sets_by_brute_force(spark):
+@pytest.mark.parametrize("items, largest, number", [(14, 9, 120), (90, 60, 160)])
+def test_similar_sets_by_brute_force(spark, items, largest, number):
     from ladle.operators.similarity import set_classes, similar_sets
 
     rng = random.Random(3)
-    sets = {i: frozenset(rng.sample(range(14), rng.randrange(1, 9))) for i in range(120)}
+    sets = {i: frozenset(rng.sample(range(items), rng.randrange(1, largest))) for i in range(number)}
+    for i in range(number // 2, number):  # some differ in a few items only
+        s = set(sets[rng.randrange(number // 2)]) ^ set(rng.sample(range(items), rng.randrange(4)))
+        sets[i] = frozenset(s or {0})
     df = spark.createDataFrame([(i, x) for i, s in sets.items() for x in s], "id long, item long")
     first = {}
     for i, s in sets.items():
