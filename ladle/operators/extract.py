@@ -123,6 +123,10 @@ def choose_extraction(pages: DataFrame) -> DataFrame:
     return found.withColumn("tier", F.when(F.coalesce("title", F.lit("")) != "", F.col("tier")).otherwise("none"))
 
 
+#: What is said of a page without anything to extract.
+NOTHING = "no title"
+
+
 def build_recipes(pages: DataFrame, done: DataFrame) -> dict[str, DataFrame]:
     """recipes, ingredients, steps, issues and rejects of pages whose URL isn't done yet; of pages with equal URLs the smallest id counts.
 
@@ -146,10 +150,33 @@ def build_recipes(pages: DataFrame, done: DataFrame) -> dict[str, DataFrame]:
     estimate = steps.groupBy("recipe_id").agg(F.sum("minutes").cast("int").alias("estimate"))
     recipes = good.join(estimate, "recipe_id", "left").select("recipe_id", "title", "tier", F.coalesce("minutes", "estimate").alias("total_time"))
     lines = good.select("recipe_id", F.posexplode("parsed").alias("line", "x")).select("recipe_id", "line", "x.original_text", "x.p.quantity", "x.p.unit", "x.p.item")
-    rejects = found.where("tier = 'none'").select(F.col("recipe_id").alias("page_id"), F.lit("no title").alias("error")).union(failed.select("recipe_id", F.lit("invalid")))
+    rejects = found.where("tier = 'none'").select(F.col("recipe_id").alias("page_id"), F.lit(NOTHING).alias("error")).union(failed.select("recipe_id", F.lit("invalid")))
     return {"recipes": recipes, "ingredients": lines, "steps": steps, "issues": issues, "rejects": rejects}
 
 
+#: Attempts after which a page is left alone.
+ATTEMPTS = 3
+QUARANTINE = "url string, page_id long, attempts int, error string, failed boolean"
+
+
+def build_with_attempts(pages: DataFrame, done: DataFrame, quarantine: DataFrame, most: int = ATTEMPTS) -> dict[str, DataFrame]:
+    """build_recipes of pages that haven't failed for good, and the quarantine (url, page_id, attempts, error, failed) after this run.
+
+    A page that is rejected has an attempt more; at `most` it has failed and later runs leave it
+    out. One that has nothing to extract fails at its first attempt. One that becomes a recipe
+    leaves the quarantine; one that isn't among the pages stays as it is.
+    """
+    given = pages.join(quarantine.where("failed").select("url"), "url", "left_anti")
+    built = build_recipes(given, done)
+    tried = built["rejects"].join(given.select("page_id", "url"), "page_id").select("url", "page_id", "error")
+    old = quarantine.select("url", F.col("attempts").alias("before"))
+    attempts = F.when((F.col("error") == NOTHING) & F.col("before").isNull(), most).otherwise(F.coalesce("before", F.lit(0)) + 1)
+    new = tried.join(old, "url", "left").select("url", "page_id", attempts.cast("int").alias("attempts"), "error").withColumn("failed", F.col("attempts") >= most)
+    gone = tried.select("url").union(built["recipes"].join(given.select(F.col("page_id").alias("recipe_id"), "url"), "recipe_id").select("url"))
+    built["quarantine"] = quarantine.join(gone, "url", "left_anti").select(*new.columns).union(new)
+    return built
+
+
 def page_tags(ingredients: DataFrame) -> DataFrame:
     """(recipe_id, dimension, tag_value): what the names of a page's ingredients say about diets."""
     from ladle.operators.dietary import GLUTEN

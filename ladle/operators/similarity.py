@@ -41,18 +41,32 @@ def similar_strings(strings: DataFrame, least: float, measure: str = "levenshtei
     Candidates share one of the strings' pieces: a string is cut into as many pieces as the edits
     allowed plus one, of which one at least must stand in the other near its place.
     """
+    left = cut_pieces(strings, least, measure)
+    other = (strings.select(F.col("t").alias("u")) if against is None else against.select(F.col("t").alias("u"))).withColumn("m", F.length("u"))
+    return score_strings(left, substrings(other, left.select("size").distinct()), least, measure)
+
+
+def cut_pieces(strings: DataFrame, least: float, measure: str = "levenshtein") -> DataFrame:
+    """(t, n, k, at, size, piece): each string t of n letters, cut into the k edits allowed plus one pieces."""
     n = F.length("t")
     slack = least if measure == "levenshtein" else least - 0.005
     # Edits possible against any string that is similar enough: levenshtein <= (1 - least) * longer, and longer <= n / least.
     edits = F.floor((1 - slack) * n / slack).cast("int") if measure == "levenshtein" else F.floor(2 * (1 - slack) * n / slack).cast("int")
-    s = strings.withColumn("n", n).withColumn("k", edits)
     pieces = F.transform(F.sequence(F.lit(0), F.col("k")), lambda i: F.struct(F.floor(F.col("n") * i / (F.col("k") + 1)).cast("int").alias("at"), F.floor(F.col("n") * (i + 1) / (F.col("k") + 1)).cast("int").alias("to")))
-    left = s.select("t", "n", "k", F.explode(pieces).alias("p")).select("t", "n", "k", F.col("p.at").alias("at"), F.expr("substring(t, p.at + 1, p.to - p.at)").alias("piece")).where("piece <> ''")
-    sizes = left.select(F.length("piece").alias("size")).distinct()
-    other = s if against is None else against.withColumn("n", n)
-    grams = other.select(F.col("t").alias("u"), F.col("n").alias("m")).join(F.broadcast(sizes), F.col("size") <= F.col("m"))  # a number for each length of a piece
-    right = grams.select("u", "m", F.explode(F.transform(F.sequence(F.lit(0), F.col("m") - F.col("size")), lambda i: F.struct(i.alias("place"), F.substring(F.col("u"), i + 1, F.col("size")).alias("piece")))).alias("g")).select("u", "m", "g.place", "g.piece")
-    near = left.join(right, "piece").where((F.abs(F.col("place") - F.col("at")) <= F.col("k")) & (F.abs(F.col("n") - F.col("m")) <= F.col("k")) & (F.col("t") != F.col("u"))).select(F.least("t", "u").alias("t"), F.greatest("t", "u").alias("u")).distinct()
+    cut = strings.select("t", n.alias("n"), edits.alias("k")).select("t", "n", "k", F.explode(pieces).alias("p"))
+    return cut.select("t", "n", "k", F.col("p.at").alias("at"), (F.col("p.to") - F.col("p.at")).alias("size"), F.expr("substring(t, p.at + 1, p.to - p.at)").alias("piece")).where("piece <> ''")
+
+
+def substrings(strings: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(u, m, place, piece): all substrings of strings (u, of m letters) of the given sizes (size), a number for each length of a piece."""
+    grams = strings.join(F.broadcast(sizes), F.col("size") <= F.col("m"))
+    places = F.transform(F.sequence(F.lit(0), F.col("m") - F.col("size")), lambda i: F.struct(i.alias("place"), F.substring(F.col("u"), i + 1, F.col("size")).alias("piece")))
+    return grams.select("u", "m", F.explode(places).alias("g")).select("u", "m", "g.place", "g.piece")
+
+
+def score_strings(pieces: DataFrame, grams: DataFrame, least: float, measure: str = "levenshtein", on: list[str] | None = None) -> DataFrame:
+    """(t, u, score), t < u, of strings of which one's piece stands in the other near its place, where they are alike enough; on: what pieces and substrings are joined by."""
+    near = pieces.join(grams, on or ["piece"]).where((F.abs(F.col("place") - F.col("at")) <= F.col("k")) & (F.abs(F.col("n") - F.col("m")) <= F.col("k")) & (F.col("t") != F.col("u"))).select(F.least("t", "u").alias("t"), F.greatest("t", "u").alias("u")).distinct()
     score = T.levenshtein_ratio(F.col("t"), F.col("u")) if measure == "levenshtein" else T.fuzz_ratio(F.col("t"), F.col("u")) / 100
     return near.withColumn("score", score).where(F.col("score") >= least)
 

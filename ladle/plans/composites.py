@@ -488,9 +488,15 @@ def stream_ingest_events(t):
     return St.run_once(St.ingest(St.read_events(t.spark, t.sf_dir)), "ingest").select("event_id", "user_id", "event_type")
 
 
-@query("stream_rating_aggregate", "SELECT user_id, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1")
+@query("stream_rating_aggregate", """
+SELECT recipe_id, count(*) AS total_ratings, round(avg(rating), 6) AS average_rating, count(*) FILTER (WHERE rating = 5) AS rating_5
+FROM (SELECT CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS recipe_id, 1 + CAST(floor(value) AS INT) % 5 AS rating FROM events) GROUP BY 1
+""")
 def stream_rating_aggregate(t):
-    return St.run_once(St.ratings(St.read_events(t.spark, t.sf_dir)), "ratings", "complete").select("user_id", "n", F.round("mean", 6).alias("mean"))
+    """The events' values stand for stars."""
+    rated = St.read_events(t.spark, t.sf_dir).select(F.regexp_extract("props", "([0-9]+)", 1).cast("long").alias("recipe_id"), (1 + F.floor("value").cast("int") % 5).alias("rating"))
+    total, _ = St.running_ratings(rated)
+    return total.select("recipe_id", "total_ratings", F.round(c("stars") / c("total_ratings"), 6).alias("average_rating"), "rating_5")
 
 
 @query("stream_trending_window", """
@@ -520,21 +526,55 @@ def stream_refine_trigger(t):
 
 
 @query("stream_affinity_state", """
-SELECT user_id, event_type AS region, round(least(1.0, 0.5 + sum(CASE WHEN event_type = 'purchase' THEN 0.4 WHEN value >= 3 THEN 0.05 ELSE 0 END)), 6) AS affinity,
-round(least(0.95, 0.6 + 0.05 * count(*) FILTER (WHERE value >= 3 OR event_type = 'purchase')), 6) AS confidence, count(*) AS n
-FROM events GROUP BY 1, 2
+WITH e AS (SELECT user_id, ts, event_id, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS recipe_id, event_type = 'purchase' AS boost,
+CASE WHEN event_type = 'purchase' THEN 0.4 + CASE event_id % 3 WHEN 0 THEN 0.3 WHEN 1 THEN 0 ELSE -0.2 END WHEN value >= 3 THEN 0.05 END AS signal FROM events),
+d AS (SELECT recipe_id, dimension, arg_max(tag_value, {'id': tag_id, 'value': tag_value}) AS value FROM tags GROUP BY 1, 2),
+k AS (SELECT user_id, ts, event_id, boost, signal, CASE WHEN boost AND dimension = 'region' THEN concat('region:', value) ELSE dimension END AS key FROM e JOIN d ON d.recipe_id = e.recipe_id WHERE signal IS NOT NULL),
+g AS (SELECT user_id, key, sum(CAST(signal AS DOUBLE)) AS s, count(*) AS n, count(*) FILTER (WHERE boost) AS b, arg_min(boost, {'ts': ts, 'id': event_id}) AS first FROM k GROUP BY 1, 2)
+SELECT user_id, key, round(least(1.0, 0.5 + s), 6) AS affinity, n,
+round(CASE WHEN contains(key, ':') THEN least(0.95, 0.6 + 0.05 * n) WHEN first THEN least(0.85, 0.5 + 0.05 * (b - 1)) ELSE least(0.85, 0.3 + 0.05 * b) END, 6) AS confidence FROM g
 """)
 def stream_affinity_state(t):
-    """The last state of each user and region."""
-    states = St.run_once(St.affinity_state(St.read_events(t.spark, t.sf_dir)), "affinity", "update")
-    last = R.latest_per(states, ["user_id", "region"], [F.desc("n")])
-    return last.select("user_id", "region", F.round("affinity", 6).alias("affinity"), F.round("confidence", 6).alias("confidence"), "n")
+    """The last state of each user's dimensions and regions."""
+    events = St.read_events(t.spark, t.sf_dir)
+    cooked = c("event_type") == "purchase"
+    again = F.when(c("event_id") % 3 == 0, True).when(c("event_id") % 3 == 2, False)
+    shown = events.select("user_id", "ts", "event_id", F.regexp_extract("props", "([0-9]+)", 1).cast("long").alias("recipe_id"), cooked.alias("cooked"), again.alias("again"), c("value").alias("dwell"))
+    states = St.run_once(St.affinity_state(St.recipe_signals(shown, t.tags)), "affinity", "update")
+    last = R.latest_per(states, ["user_id", "key"], [F.desc("n")])
+    return last.select("user_id", "key", F.round("affinity", 6).alias("affinity"), F.round("confidence", 6).alias("confidence"), "n")
+
+
+_BATCHES = f"r AS (SELECT page_id AS recipe_id, {_TITLE} AS title, page_id % 4 AS kind FROM {_FIRST} AND page_id % 4 < 2)"
 
 
-@query("incremental_pipeline", f"SELECT page_id, 'no title' AS error FROM {_FIRST}")
+@query("incremental_pipeline", f"""
+WITH {_BATCHES}, s AS (SELECT a.recipe_id, count(*) AS n FROM r a JOIN r b ON a.recipe_id <> b.recipe_id WHERE 1 - levenshtein(lower(a.title), lower(b.title)) / greatest(length(a.title), length(b.title)) >= 0.85 GROUP BY 1)
+SELECT r.recipe_id, title, CASE kind WHEN 0 THEN 'schema' ELSE 'manual' END AS tier, CAST(CASE kind WHEN 0 THEN 65 ELSE 10 END AS INT) AS total_time,
+'true' AS gluten_free, coalesce(n, 0) AS n_similar FROM r LEFT JOIN s ON s.recipe_id = r.recipe_id
+""")
 def incremental_pipeline(t):
-    """What becomes of the given pages, whose titles carry no mark."""
-    return St.incremental_recipes(t.spark, t.sf_dir)["rejects"]
+    """Recipes of the pages, which come in two halves, with a tag and the number of similar titles of each."""
+    folder = _scratch(t, "incoming")
+    half = F.floor(F.lit(t.pages.agg(F.max("page_id")).first()[0] or 0) / 2)
+    for late in (False, True):
+        _pages(t).where((c("page_id") > half) == late).coalesce(1).write.mode("append").parquet(f"{folder}/pages.parquet")
+    out = St.incremental_recipes(t.spark, folder, files=1)
+    links = out["similar"].select(c("a").alias("recipe_id")).union(out["similar"].select("b")).groupBy("recipe_id").agg(F.count("*").alias("n"))
+    gluten = out["tags"].where("dimension = 'health_gluten_free'").select("recipe_id", c("tag_value").alias("gluten_free"))
+    every = out["recipes"].join(gluten, "recipe_id", "left").join(links, "recipe_id", "left")
+    return every.select("recipe_id", "title", "tier", "total_time", "gluten_free", F.coalesce("n", F.lit(0)).cast("long").alias("n_similar"))
+
+
+@query("recipe_quarantine", f"""
+SELECT url, page_id, CAST(CASE page_id % 4 WHEN 2 THEN 2 ELSE 3 END AS INT) AS attempts, CASE page_id % 4 WHEN 2 THEN 'invalid' ELSE 'no title' END AS error, page_id % 4 = 3 AS failed FROM {_FIRST} AND page_id % 4 >= 2
+""")
+def recipe_quarantine(t):
+    """Pages that came to nothing, after two runs over all of them."""
+    none = t.spark.createDataFrame([], X.QUARANTINE)
+    done = t.pages.where("false").select("url")
+    first = written(X.build_with_attempts(_pages(t), done, none)["quarantine"])
+    return X.build_with_attempts(_pages(t), done, first)["quarantine"]
 
 
 # --- sinks, read back ------------------------------------------------------------------------

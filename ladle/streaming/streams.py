@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from ladle.sources.scratch import scratch_path
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
-AFFINITY = "user_id long, region string, affinity double, confidence double, n long"
+AFFINITY = "user_id long, key string, affinity double, confidence double, n long"
 
 
 def read_events(spark: SparkSession, folder: str, name: str = "events.parquet") -> DataFrame:
@@ -49,9 +50,47 @@ def ingest(events: DataFrame, late: str = "1 day") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def ratings(events: DataFrame) -> DataFrame:
-    """Running count and mean per user (complete or update mode)."""
-    return events.groupBy("user_id").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
+STARS = [f"rating_{k}" for k in range(1, 6)]
+RATINGS = ", ".join(["recipe_id long", "total_ratings long", "stars long", *(f"{c} long" for c in STARS)])
+
+
+def latest(spark: SparkSession, path: str, schema: str, before: int | None = None) -> DataFrame:
+    """A table that is kept by versions of buckets (path/batch=n/bucket=b): of each bucket the last version, of batches before that number if given."""
+    every = spark.read.schema(f"{schema}, batch int, bucket int").parquet(path)
+    if before is not None:
+        every = every.where(F.col("batch") < before)
+    last = every.select("bucket", "batch").groupBy("bucket").agg(F.max("batch").alias("batch"))
+    return every.join(last, ["bucket", "batch"])
+
+
+def running_ratings(rated: DataFrame, buckets: int = 64) -> tuple[DataFrame, str]:
+    """Counts, stars and their sum per recipe of a stream (recipe_id, rating 1 to 5), after all there is, and where they are kept.
+
+    A batch reads and writes the buckets (ranges of the recipes' hashes) that its ratings touch,
+    and no others: it writes new versions of them in a folder named by its number, made of
+    versions of former batches. A batch that is replayed overwrites that folder by the same.
+    """
+    spark = rated.sparkSession
+    base = scratch_path(spark, "ratings")
+
+    def step(batch: DataFrame, number: int) -> None:
+        add_ratings(batch, number, f"{base}/out", buckets)
+
+    rated.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{base}/state").foreachBatch(step).start().awaitTermination()
+    return latest(spark, f"{base}/out", RATINGS).drop("batch", "bucket"), f"{base}/out"
+
+
+def add_ratings(batch: DataFrame, number: int, path: str, buckets: int) -> None:
+    """One batch of running_ratings; ratings outside 1 to 5 and null recipes don't count."""
+    spark = batch.sparkSession
+    counts = [F.count_if(F.col("rating") == k).alias(c) for k, c in enumerate(STARS, 1)]
+    new = batch.where("rating BETWEEN 1 AND 5 AND recipe_id IS NOT NULL").groupBy("recipe_id").agg(F.count("*").alias("total_ratings"), F.sum("rating").cast("long").alias("stars"), *counts)
+    new = new.withColumn("bucket", F.pmod(F.xxhash64("recipe_id"), F.lit(buckets)).cast("int"))
+    if number:
+        touched = new.select("bucket").distinct()
+        new = new.unionByName(latest(spark, path, RATINGS, number).drop("batch").join(F.broadcast(touched), "bucket", "left_semi"))  # so many buckets at most
+    total = new.groupBy("bucket", "recipe_id").agg(*(F.sum(c).alias(c) for c in ("total_ratings", "stars", *STARS)))
+    total.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={number}")
 
 
 def trending(events: DataFrame, size: str = "7 days", slide: str = "1 day", late: str = "1 day") -> DataFrame:
@@ -80,38 +119,86 @@ def refine_triggers(events: DataFrame, every: int = 10) -> DataFrame:
     return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, n long", "n long", "append", "NoTimeout")
 
 
-def affinity_state(events: DataFrame) -> DataFrame:
-    """Affinity per user and region (the region is the event_type) after each batch.
+def recipe_signals(events: DataFrame, tags: DataFrame, dwell: float = 3.0) -> DataFrame:
+    """What each event says: (user_id, ts, event_id, key, boost, signal); events: user_id, ts, event_id, recipe_id, cooked, again, dwell; tags: recipe_id, dimension, tag_value, tag_id.
 
-    A dwell of 3 s or more adds 0.05, a purchase 0.4; affinity stays in 0.5 to 1, confidence
-    grows by 0.05 to 0.95. Within a batch events count by time.
+    A recipe that was cooked gives 0.4, 0.3 more if it would be made again, 0.2 less if not; a
+    dwell of so many seconds gives 0.05, all else nothing. The key is the tag's dimension, but
+    for cooked recipes' regions `region:` and the region. Of a recipe's tags of one dimension
+    the last counts (of equal ids the largest value).
     """
+    last = tags.groupBy("recipe_id", "dimension").agg(F.max_by("tag_value", F.struct("tag_id", "tag_value")).alias("value"))
+    again = F.when(F.col("again"), 0.3).when(~F.col("again"), -0.2).otherwise(0.0)
+    told = events.withColumn("signal", F.when(F.col("cooked"), 0.4 + again).when(F.col("dwell") >= dwell, 0.05)).where("signal IS NOT NULL")
+    key = F.when(F.col("cooked") & (F.col("dimension") == "region"), F.concat_ws(":", "dimension", "value")).otherwise(F.col("dimension"))
+    return told.join(last, "recipe_id").select("user_id", "ts", "event_id", key.alias("key"), F.col("cooked").alias("boost"), "signal")
+
+
+class Affinities(StatefulProcessor):
+    """Per user a map from key to affinity, confidence and number of signals."""
+
+    def __init__(self, idle_ms: int | None):
+        self.idle_ms = idle_ms
+
+    def init(self, handle) -> None:
+        self.known = handle.getMapState("affinities", "key string", "affinity double, confidence double, n long", self.idle_ms)
+
+    def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
+        events = pd.concat(list(rows)).sort_values(["ts", "event_id"])
+        out = {}
+        for name, boost, signal in zip(events["key"], events["boost"], events["signal"]):
+            region = name.startswith("region:")
+            old = out.get(name) or (self.known.getValue((name,)) if self.known.containsKey((name,)) else None)
+            if old:
+                affinity, confidence, n = old
+                most = 0.95 if region else 0.85
+                out[name] = (min(affinity + signal, 1.0), min(confidence + 0.05, most) if boost else confidence, n + 1)
+            elif region:
+                out[name] = (min(0.5 + signal, 1.0), 0.65, 1)
+            else:
+                out[name] = (min(0.5 + signal, 1.0), 0.5 if boost else 0.3, 1)
+        for name, value in out.items():
+            self.known.updateValue((name,), value)
+        yield pd.DataFrame([(key[0], name, *value) for name, value in out.items()], columns=["user_id", "key", "affinity", "confidence", "n"])
+
+    def close(self) -> None:
+        pass
+
+
+def affinity_state(signals: DataFrame, idle: int | None = None) -> DataFrame:
+    """Affinity per user and key after each batch, of a stream of recipe_signals; the state goes once it wasn't written for `idle` days.
+
+    Affinity begins at 0.5, adds up the signals and stays within 1. Confidence: of regions
+    cooked 0.6, and 0.05 for each time up to 0.95; of dimensions 0.5 if the first signal was a
+    cooked recipe, else 0.3, and 0.05 for each cooked recipe that follows, up to 0.85. Within a
+    batch signals count by time. The state is in RocksDB, which this sets for the session. idle
+    is for streams that go on: a state that expires by the clock makes Spark run batch after
+    batch, so that a trigger of all that is available doesn't end.
+    """
+    signals.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return signals.groupBy("user_id").transformWithStateInPandas(Affinities(None if idle is None else idle * 86_400_000), AFFINITY, "update", "None" if idle is None else "ProcessingTime")
 
-    def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        affinity, confidence, n = state.get if state.exists else (0.5, 0.6, 0)
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        for value, kind in zip(rows["value"], rows["region"]):
-            if value >= 3 or kind == "purchase":
-                affinity = min(affinity + (0.4 if kind == "purchase" else 0.05), 1.0)
-                confidence = min(confidence + 0.05, 0.95)
-            n += 1
-        state.update((affinity, confidence, n))
-        yield pd.DataFrame([(key[0], key[1], affinity, confidence, n)], columns=["user_id", "region", "affinity", "confidence", "n"])
-
-    return events.withColumn("region", F.col("event_type")).groupBy("user_id", "region").applyInPandasWithState(step, AFFINITY, "affinity double, confidence double, n long", "update", "NoTimeout")
 
+TABLES = {"recipes": "recipe_id long, title string, tier string, total_time int", "ingredients": "recipe_id long, line int, original_text string, quantity double, unit string, item string", "steps": "recipe_id long, step int, instruction string, minutes int", "tags": "recipe_id long, dimension string, tag_value string", "similar": "a long, b long, score double"}
+_TITLES = "t string, class_id long"
+_PIECES = "t string, n int, k int, at int, size int, piece string"
 
-TABLES = {"recipes": "recipe_id long, title string, tier string, total_time int", "ingredients": "recipe_id long, line int, original_text string, quantity double, unit string, item string", "steps": "recipe_id long, step int, instruction string, minutes int", "rejects": "page_id long, error string", "tags": "recipe_id long, dimension string, tag_value string", "similar": "a long, b long, score double"}
 
+def incremental_recipes(spark: SparkSession, folder: str, files: int = 1000, least: float = 0.85, buckets: int = 16) -> dict[str, DataFrame]:
+    """Recipes, ingredients, steps, dietary tags, similar titles and the quarantine of the pages that haven't been read yet, each file once; files: how many make a batch at most.
 
-def incremental_recipes(spark: SparkSession, folder: str, files: int = 1000) -> dict[str, DataFrame]:
-    """Recipes, ingredients, steps, rejects, dietary tags and similar titles of the pages that haven't been read yet, each file once; files: how many make a batch at most.
+    A URL that a former batch had is skipped, and one that failed is tried again as often as the
+    quarantine allows. Every batch has folders of its own, named by its number: a batch that is
+    replayed overwrites what it wrote, and looks at former ones only.
 
-    A URL that a former batch had is skipped. Every batch has folders of its own, named by its
-    number: a batch that is replayed overwrites what it wrote, and looks at former ones only.
+    similar links classes of equal titles (a class is named by the first recipe that had its
+    title), and each further recipe of a title with its class at 1. Former titles are looked up,
+    not read: by the buckets of their hashes for equal ones, and for similar ones in an index of
+    pieces, of which a batch reads the buckets that its own titles' substrings fall into.
     """
-    from ladle.operators.extract import build_recipes, page_tags
-    from ladle.operators.similarity import similar_titles
+    from ladle.functions.text import normalize_title
+    from ladle.operators.extract import QUARANTINE, build_with_attempts, page_tags
+    from ladle.operators.similarity import cut_pieces, score_strings, similar_strings, substrings
 
     base = scratch_path(spark, "pages")
 
@@ -120,16 +207,47 @@ def incremental_recipes(spark: SparkSession, folder: str, files: int = 1000) ->
             return spark.createDataFrame([], schema)
         return spark.read.schema(f"{schema}, batch int").parquet(f"{base}/{table}").where(F.col("batch") < number).drop("batch")
 
+    def save(df: DataFrame, table: str, number: int, by: str | None = None) -> DataFrame:
+        path = f"{base}/{table}/batch={number}"
+        writer = df.write.mode("overwrite")
+        (writer.partitionBy(by) if by else writer).parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    def bucket(column: str) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(buckets)).cast("int").alias("bucket")
+
+    def similar(recipes: DataFrame, number: int) -> None:
+        own = recipes.select("recipe_id", normalize_title(F.col("title")).alias("t")).where("t <> ''").withColumn("bucket", bucket("t"))
+        known = former("titles", f"{_TITLES}, bucket int", number)
+        had = own.join(known, ["bucket", "t"], "left").withColumn("class_id", F.coalesce("class_id", F.min("recipe_id").over(Window.partitionBy("t")))).join(known.select("bucket", "t", F.lit(True).alias("old")), ["bucket", "t"], "left")
+        had = save(had.select("recipe_id", "t", "class_id", F.col("old").isNotNull().alias("old")), "own", number)
+        new = save(had.where("NOT old").select("t", "class_id").distinct().withColumn("bucket", bucket("t")), "titles", number, "bucket").drop("bucket")
+        pieces = save(cut_pieces(new.select("t"), least).withColumn("bucket", bucket("piece")), "pieces", number, "bucket")
+        inner = similar_strings(new.select("t"), least)
+        sizes = former("sizes", "size int", number)
+        asked = substrings(new.select(F.col("t").alias("u"), F.length("t").alias("m")), sizes.distinct()).withColumn("bucket", bucket("piece"))
+        across = score_strings(former("pieces", f"{_PIECES}, bucket int", number), asked, least, on=["bucket", "piece"])
+        save(pieces.select("size").distinct(), "sizes", number)
+        classes = new.union(former("titles", f"{_TITLES}, bucket int", number).drop("bucket")) if number else new
+        named = inner.union(across).join(classes.withColumnRenamed("class_id", "x"), "t").join(classes.select(F.col("t").alias("u"), F.col("class_id").alias("y")), "u")
+        links = named.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "score")
+        equal = had.where("recipe_id <> class_id").select(F.least("recipe_id", "class_id").alias("a"), F.greatest("recipe_id", "class_id").alias("b"), F.lit(1.0).alias("score"))
+        save(links.union(equal), "similar", number)
+
     def step(pages: DataFrame, number: int) -> None:
-        built = build_recipes(pages, former("done", "url string", number))
+        before = spark.read.schema(QUARANTINE).parquet(f"{base}/quarantine/batch={number - 1}") if number else spark.createDataFrame([], QUARANTINE)
+        built = build_with_attempts(pages, former("done", "url string", number), before)
+        save(built["quarantine"], "quarantine", number)
         built["tags"] = page_tags(built["ingredients"])
-        for name in ("recipes", "ingredients", "steps", "rejects", "tags"):
-            built[name].write.mode("overwrite").parquet(f"{base}/{name}/batch={number}")
-        new = spark.read.schema(TABLES["recipes"]).parquet(f"{base}/recipes/batch={number}")
-        every = new.union(former("recipes", TABLES["recipes"], number).select(*new.columns)).select("recipe_id", "title")
-        similar_titles(every, new=new).write.mode("overwrite").parquet(f"{base}/similar/batch={number}")
-        pages.select("url").distinct().write.mode("overwrite").parquet(f"{base}/done/batch={number}")
-
+        for name in ("recipes", "ingredients", "steps", "tags"):
+            save(built[name], name, number)
+        recipes = spark.read.schema(TABLES["recipes"]).parquet(f"{base}/recipes/batch={number}")
+        save(pages.join(recipes.select(F.col("recipe_id").alias("page_id")), "page_id", "left_semi").select("url"), "done", number)
+        similar(recipes, number)
+        last[0] = number
+
+    last = [-1]
     stream = spark.readStream.schema("page_id long, url string, html string").option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", files).parquet(f"{folder}/pages.parque[t]")
     stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{base}/state").foreachBatch(step).start().awaitTermination()
-    return {name: spark.read.schema(schema).parquet(f"{base}/{name}").select(*spark.createDataFrame([], schema).columns) for name, schema in TABLES.items()}
+    out = {name: spark.read.schema(schema).parquet(f"{base}/{name}").select(*spark.createDataFrame([], schema).columns) for name, schema in TABLES.items()}
+    return out | {"quarantine": spark.read.schema(QUARANTINE).parquet(f"{base}/quarantine/batch={last[0]}") if last[0] >= 0 else spark.createDataFrame([], QUARANTINE)}

@@ -106,7 +106,7 @@ def test_pages_that_come_in_batches(spark, tmp_path):
         spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.mode("append").parquet(folder)
     out = streams.incremental_recipes(spark, str(tmp_path), files=1)
     assert {(r["recipe_id"], r["total_time"]) for r in out["recipes"].collect()} == {(1, 5), (4, 5)}
-    assert [(r["page_id"], r["error"]) for r in out["rejects"].collect()] == [(2, "no title")]
+    assert [(r["page_id"], r["error"], r["attempts"], r["failed"]) for r in out["quarantine"].collect()] == [(2, "no title", 3, True)]
     assert {(r["a"], r["b"]) for r in out["similar"].collect()} == {(1, 4)}
     assert {(r["recipe_id"], r["dimension"], r["tag_value"]) for r in out["tags"].where("recipe_id = 4").collect()} == {(4, "health_allium_free", "false"), (4, "health_gluten_free", "true")}
     assert out["steps"].count() == 4 and out["ingredients"].count() == 4
