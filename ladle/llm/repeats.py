@@ -424,7 +424,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0]
     count = ranges(2 * (size or 0) // (length - KMER + 2))  # an anchor serves half as many windows as it could, on average
     codes = written(_judge_contexts(_by_range(_send_contexts(texts, length, count), count, parts)))
-    span = F.collect_list(F.struct("first", "number"))
+    span = F.collect_set(F.struct("first", "number"))  # rows of one id and text have the same ones
     dealt = keyed.drop("text").repartition(parts, "doc", "copy")  # one shuffle of the texts, which both joins below read
     asked = codes.where(F.col("kind") == ASKED)
     count = ranges(asked.agg(F.sum("number")).first()[0])

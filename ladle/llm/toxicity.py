@@ -128,16 +128,16 @@ class Scanner:
             return 0.0, []
         good = []
         for a, b, score in segments(values, len(words), other):
-            expected = self.model.size * len(words) * math.exp(-self.model.decay * score)
-            if expected <= self.most:
-                good.append((a, b, score, expected))
+            rare = self.model.decay * score - math.log(max(self.model.size * len(words), 1e-300))  # -log of what chance gives
+            if rare >= -math.log(self.most):
+                good.append((a, b, score, rare))
         if not good:
             return 0.0, []
         places = [(m.start(), m.end()) for m in _WORDS.finditer(text)]
         if len(places) != len(words):  # lower-casing changed the words' number
             places = [(0, len(text))] * len(words)
-        passages = [{"start": places[a][0], "end": places[b - 1][1], "score": s, "expected": e} for a, b, s, e in good]
-        return sum(-math.log(max(e, 1e-300)) for *_, e in good), passages
+        passages = [{"start": places[a][0], "end": places[b - 1][1], "score": s, "expected": math.exp(-r)} for a, b, s, r in good]
+        return sum(r for *_, r in good), passages
 
 
 def _word_counts(sample: DataFrame) -> DataFrame:

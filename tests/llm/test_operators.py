@@ -534,3 +534,19 @@ def test_bounded_sample(spark):
     for g, n in ((0, 200), (1, 300)):
         want = df.where(F.col("g") == g).orderBy(F.xxhash64(F.col("doc_id").cast("string"))).limit(n)
         assert kept.where(F.col("g") == g).select("doc_id").exceptAll(want.select("doc_id")).count() == 0 and kept.where(F.col("g") == g).count() == n
+
+
+def test_a_sample_counts_ids_not_rows(spark):
+    from ladle.llm.shared import bounded_sample
+
+    rows = spark.createDataFrame([(i % 2000, "a" if i % 2000 < 1500 else "b") for i in range(20_000)], "doc_id long, lang string")
+    got = rows.where(bounded_sample(rows, "lang", "doc_id", 400)).groupBy("lang").agg(F.count_distinct("doc_id").alias("ids"), F.count("*").alias("n")).collect()
+    assert {(r["lang"], r["ids"], r["n"]) for r in got} == {("a", 400, 4000), ("b", 400, 4000)}
+
+
+def test_many_rows_of_one_id_and_text(spark):
+    rng = random.Random(6)
+    text = words(rng, 120)
+    rows = [(1, text)] + [(2, text + " end")] * 300 + [(3, "own words only")]
+    got = {(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"]) for r in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, len(text), 0, 0), (2, len(text) + 4, len(text), 1), (3, 14, 0, 0)}
