@@ -70,10 +70,12 @@ def dish_features(recipes: DataFrame, tags: DataFrame, ingredients: DataFrame, m
 
 #: What a score looks at of a profile; users that agree on all of it share one ranking.
 KIND = ["region_1", "region_2", "heat", "flavour", "time_budget", "allium_status", "is_vrat", "is_diabetic", "excluded"]
+#: What a diet looks at of a profile.
+DIET = ["allium_status", "is_vrat", "is_diabetic", "excluded"]
 
 
-def candidates(profiles: DataFrame, dishes: DataFrame, k: int | None, slots: bool = False) -> DataFrame:
-    """For each kind of user the k best dishes of its regions, with preference, dietary and base (the overall score but for a loss of diversity).
+def candidates(profiles: DataFrame, dishes: DataFrame, k: int | None, slots: bool = False, by: str = "base") -> DataFrame:
+    """For each kind of user the k best dishes of its regions by `by`, with preference, dietary and base (the overall score but for a loss of diversity).
 
     Dishes meet kinds by region, so no kind is held against every dish; a dish of both regions
     counts once. slots: k of each meal slot. k None: all of them, unranked.
@@ -87,7 +89,7 @@ def candidates(profiles: DataFrame, dishes: DataFrame, k: int | None, slots: boo
     scored = pairs.withColumns(terms)
     base = overall_score({"rating": F.col("rating"), "preference": F.col("preference"), "dietary": F.col("dietary"), "diversity": F.lit(1.0), "freshness": F.col("freshness")})
     group = [*KIND, "meal_slot"] if slots else KIND
-    rank = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("base"), "recipe_id"))
+    rank = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc(F.round(by, 9)), "recipe_id"))
     good = scored.withColumn("base", F.round(base, 9)).where("base > 0")
     return good if k is None else good.withColumn("rank", rank).where(F.col("rank") <= k)
 

@@ -18,7 +18,7 @@ from ladle.plans.relational import FEEDBACK_SQL
 c = F.col
 #: Recipes are judged at the end of the orders that they stand for.
 COOKED_AS_OF = "2001-08-01 00:00:00"
-#: Candidates of each user that scores are given for.
+#: Reports of scores give each user's so many best by the score that they report; cards are drawn from so many best by `base`.
 POOL = 100
 
 
@@ -26,9 +26,9 @@ def dishes(t) -> DataFrame:
     return C.dish_features(t.recipes, t.tags, t.ingredients, t.master, t.feedback, F.lit(COOKED_AS_OF).cast("timestamp_ntz"))
 
 
-def pool(t, k: int = POOL) -> DataFrame:
-    """Each user's candidates, with profile and dish."""
-    return t.profiles.join(C.candidates(t.profiles, dishes(t), k), C.KIND)
+def pool(t, k: int = POOL, by: str = "base") -> DataFrame:
+    """Each user's k best candidates by a score, with profile and dish."""
+    return t.profiles.join(C.candidates(t.profiles, dishes(t), k, by=by), C.KIND)
 
 
 # The same in SQL: every dish of a user's regions is scored and ranked.
@@ -60,24 +60,32 @@ def _with_loss(source: str) -> str:
     return f"SELECT x.*, round(base - 0.10 * (1 - CASE WHEN ago IS NULL OR ago >= 14 THEN 1.0 WHEN liked THEN greatest(0.7, ago / 14) ELSE ago / 14 END), 9) AS score FROM {source} x LEFT JOIN shown s ON s.user_id = x.user_id AND s.recipe_id = x.recipe_id"
 
 
-@query("preference_score", f"WITH {_POOL} SELECT user_id, recipe_id, round(preference, 6) AS score FROM pool")
+@query("preference_score", f"""
+WITH {_DISH} SELECT user_id, recipe_id, round(preference, 6) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(preference, 9) DESC, recipe_id) AS r FROM scored) WHERE r <= {POOL}
+""")
 def preference_score(t):
-    return pool(t).select("user_id", "recipe_id", F.round("preference", 6).alias("score"))
+    """Each user's dishes of the highest preference scores."""
+    return pool(t, by="preference").select("user_id", "recipe_id", F.round("preference", 6).alias("score"))
 
 
 @query("dietary_score", f"""
-WITH {_DISH} SELECT DISTINCT s.user_id, s.recipe_id, CASE WHEN allium_status = 'no_both' AND NOT jain OR is_vrat AND NOT vrat OR is_diabetic
-AND NOT diabetic OR list_contains(names, excluded) THEN 0.0 ELSE 1.0 END AS score FROM recommendations s JOIN profiles p ON p.user_id = s.user_id
-JOIN dish d ON d.recipe_id = s.recipe_id
+WITH {_DISH}, k AS (SELECT min(user_id) AS kind_id, count(*) AS users, allium_status, is_vrat, is_diabetic, excluded FROM profiles GROUP BY ALL) SELECT kind_id, users, recipe_id,
+CASE WHEN allium_status = 'no_both' AND NOT jain OR is_vrat AND NOT vrat OR is_diabetic AND NOT diabetic OR list_contains(names, excluded) THEN 0.0 ELSE 1.0 END AS score FROM k, dish
 """)
 def dietary_score(t):
-    shown = t.recommendations.select("user_id", "recipe_id").distinct()
-    return shown.join(t.profiles, "user_id").join(dishes(t), "recipe_id").select("user_id", "recipe_id", C.dietary_score().alias("score"))
+    """Every dish for every kind of diet that users keep (a kind is named by its smallest user; there are 32 at most)."""
+    kinds = t.profiles.groupBy(*C.DIET).agg(F.min("user_id").alias("kind_id"), F.count("*").alias("users"))
+    return dishes(t).crossJoin(F.broadcast(kinds)).select("kind_id", "users", "recipe_id", C.dietary_score().alias("score"))
 
 
-@query("overall_score", f"WITH {_POOL}, {_SHOWN} SELECT user_id, recipe_id, round(score, 6) AS score FROM ({_with_loss('pool')})")
+@query("overall_score", f"""
+WITH {_DISH}, {_SHOWN}, z AS ({_with_loss('scored')}) SELECT user_id, recipe_id, round(score, 6) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, recipe_id) AS r FROM z WHERE score >= 0) WHERE r <= {POOL}
+""")
 def overall_score(t):
-    return C.with_diversity(pool(t).select("user_id", "recipe_id", "base"), t.recommendations, as_of()).select("user_id", "recipe_id", F.round("score", 6).alias("score"))
+    """Each user's dishes of the highest overall scores."""
+    return C.personalized(t.profiles, dishes(t), t.recommendations, as_of(), POOL, 0.0).select("user_id", "recipe_id", F.round("score", 6).alias("score"))
 
 
 @query("personalized_recs", f"""
