@@ -9,10 +9,9 @@ from pyspark.sql import functions as F
 UNITS = ["gram", "grams", "g", "kg", "kilogram", "cup", "cups", "tablespoon", "tablespoons", "tbsp", "teaspoon", "teaspoons", "tsp", "ml", "liter", "liters", "piece", "pieces", "pinch", "whole", "medium", "large", "small"]
 FRACTIONS = {"½": 0.5, "¼": 0.25, "¾": 0.75, "⅓": 0.33, "⅔": 0.67}
 _UNIT = r"(?i)\b(" + "|".join(UNITS) + r")\b"
-#: A quantity: digits and fractions in a row, then maybe a second number behind - or / (a range, or a ratio).
-_AMOUNT = r"[\d" + "".join([*FRACTIONS, "⅛", "⅜", "⅝", "⅞"]) + "]+"
-_SECOND = r"(?:\s*[-/]\s*\d+)?"
-_QUANTITY = f"^{_AMOUNT}{_SECOND}"
+_DIGITS, _BLANKS = "0123456789", " \t\n\r\f\v"
+#: What a quantity may be written with; of the eighths no value is known.
+_NUMERALS = _DIGITS + "".join(FRACTIONS) + "⅛⅜⅝⅞"
 
 
 def normalize_title(t: Column) -> Column:
@@ -82,6 +81,35 @@ def parse_servings(s: Column) -> Column:
     return F.nullif(F.regexp_extract(s, r"(\d+)", 1), F.lit("")).try_cast("int")
 
 
+def _without(text: Column, chars: str) -> tuple[Column, Column]:
+    """The run of such characters that text begins with, and what follows it."""
+    rest = F.ltrim(text, F.lit(chars))
+    return F.left(text, F.length(text) - F.length(rest)), rest
+
+
+def _read_quantity(line: Column, decimals: bool) -> tuple[Column, Column]:
+    """The number that a line begins with (null: none, or one of no value), and the trimmed rest of the line.
+
+    Read from left to right: numerals; then, if a dash or a stroke follows with digits behind it,
+    those as well, as the end of a range or as a divisor. decimals: see `correct` of parse_ingredient.
+    """
+    head, behind = _without(line, _NUMERALS)
+    _, sign_on = _without(behind, _BLANKS)
+    sign = F.left(sign_on, F.lit(1))
+    second, after = _without(_without(F.substring(sign_on, F.lit(2), F.length(sign_on)), _BLANKS)[1], _DIGITS)
+    two = (head != "") & sign.isin("-", "/") & (second != "")
+    fraction = F.coalesce(*(F.when(F.contains(head, F.lit(c)), F.lit(v)) for c, v in FRACTIONS.items()))
+    rest = F.when(two, after).otherwise(behind)
+    if not decimals:
+        return F.coalesce(fraction, F.when(~two, head.try_cast("double"))), F.trim(rest)
+    whole = _without(head, _DIGITS)[0].try_cast("double")
+    part, end = _without(F.substring(behind, F.lit(2), F.length(behind)), _DIGITS)
+    point = whole.isNotNull() & fraction.isNull() & F.startswith(behind, F.lit(".")) & (part != "")
+    ratio = F.when(two & (sign == "/"), F.try_divide(whole, second.try_cast("double")))
+    plain = F.coalesce(ratio, F.coalesce(whole, F.lit(0.0)) + fraction, F.when(~two, whole))
+    return F.when(point, F.concat(head, F.lit("."), part).try_cast("double")).otherwise(plain), F.trim(F.when(point, end).otherwise(rest))
+
+
 def parse_ingredient(s: Column, mode: str = "faithful") -> Column:
     """struct<quantity, unit, item> of an ingredient line.
 
@@ -89,15 +117,7 @@ def parse_ingredient(s: Column, mode: str = "faithful") -> Column:
     behind the point, ranges and a/b have no quantity. correct: 1½ is 1.5, 1.5 is 1.5, 1/2 is 0.5.
     """
     line = F.trim(s)
-    raw = F.regexp_extract(line, _QUANTITY, 0) if mode == "faithful" else F.regexp_extract(line, rf"^(?:\d+\.\d+|{_AMOUNT}{_SECOND})", 0)
-    if mode == "faithful":
-        quantity = F.coalesce(*(F.when(raw.contains(c), F.lit(v)) for c, v in FRACTIONS.items()), raw.try_cast("double"))
-    else:
-        half = F.coalesce(*(F.when(raw.contains(c), F.lit(v)) for c, v in FRACTIONS.items()))
-        whole = F.coalesce(F.regexp_extract(raw, r"^(\d+)", 1).try_cast("double"), F.lit(0.0))
-        ratio = F.when(raw.contains("/"), F.try_divide(F.regexp_extract(raw, r"^(\d+)", 1).try_cast("double"), F.regexp_extract(raw, r"/\s*(\d+)", 1).try_cast("double")))
-        quantity = F.coalesce(ratio, whole + half, raw.try_cast("double"))
-    rest = F.trim(F.substring(line, F.length(raw) + 1, F.length(line)))
+    quantity, rest = _read_quantity(line, decimals=mode != "faithful")
     unit = F.nullif(F.lower(F.regexp_extract(line, _UNIT, 1)), F.lit(""))
     behind = F.when(unit.isNotNull() & rest.rlike(_UNIT), F.trim(F.regexp_extract(rest, r"(?is)\b(?:" + "|".join(UNITS) + r")\b(.*)$", 1))).otherwise(rest)
     item = F.nullif(F.initcap(F.trim(F.regexp_extract(behind, r"^([^,(]*)", 1))), F.lit(""))
