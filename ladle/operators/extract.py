@@ -188,3 +188,29 @@ def page_tags(ingredients: DataFrame) -> DataFrame:
     flags = ingredients.groupBy("recipe_id").agg(without(ALLIUM).alias("allium_free"), without(GLUTEN).alias("gluten_free"))
     rows = F.array(*(F.struct(F.lit(f"health_{n}").alias("dimension"), F.col(n).cast("string").alias("tag_value")) for n in ("allium_free", "gluten_free")))
     return flags.select("recipe_id", F.explode(rows).alias("t")).select("recipe_id", "t.*")
+
+
+def book_chunks(books: DataFrame, size: int = 50_000) -> DataFrame:
+    """books (text, and whatever names them) as chunks of whole lines of at most size characters: text becomes place (from 0) and chunk. Null texts have none."""
+    rest = [c for c in books.columns if c != "text"]
+    return books.select(*rest, F.posexplode(T.chunk_lines(F.col("text"), size)).alias("place", "chunk"))
+
+
+def book_recipes(answers: DataFrame, existing: DataFrame) -> DataFrame:
+    """(file, url, title, saved, n): recipes told by the answers (file, answer) to a book's chunks, one row a URL.
+
+    The URL is made of file and title ("untitled" without one). saved: existing (url) hasn't it;
+    of n recipes of one URL the first is saved and the others are skipped. An answer that is no
+    JSON list tells nothing.
+    """
+    told = answers.select("file", F.explode(F.from_json(T.extract_json_block(F.col("answer")), "array<struct<title:string>>")).alias("r")).where("r IS NOT NULL")
+    titled = told.select("file", F.coalesce("r.title", F.lit("untitled")).alias("title"))
+    counted = titled.groupBy("file", "title").agg(F.count("*").alias("n")).withColumn("url", F.concat(F.lit("pdf://"), "file", F.lit("#"), "title"))
+    old = existing.select("url", F.lit(True).alias("old")).distinct()
+    return counted.join(old, "url", "left").select("file", "url", "title", F.col("old").isNull().alias("saved"), "n")
+
+
+def book_report(recipes: DataFrame) -> DataFrame:
+    """(file, recipes, saved, skipped) of book_recipes."""
+    saved = F.count_if("saved")
+    return recipes.groupBy("file").agg(F.sum("n").alias("recipes"), saved.alias("saved"), (F.sum("n") - saved).alias("skipped"))

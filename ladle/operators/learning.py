@@ -96,6 +96,81 @@ def common_dimensions(runs: DataFrame, tags: DataFrame, share: float = 0.5) -> D
     return hits.join(sizes, ["user_id", "run"]).where(F.col("n") >= share * F.col("size")).select("user_id", "run", "dimension", "tag_value", "n")
 
 
+def learned_confidence(swipes: DataFrame, cooks: DataFrame) -> DataFrame:
+    """(user_id, confidence): 0.85, and up to 0.10 more for swipes (0.001 each) and cooked dishes (0.01 each)."""
+    counted = swipes.groupBy("user_id").agg(F.count("*").alias("n"), F.lit(0).cast("long").alias("k")).union(cooks.groupBy("user_id").agg(F.lit(0).cast("long").alias("n"), F.count("*").alias("k")))
+    sums = counted.groupBy("user_id").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    return sums.select("user_id", F.least(F.lit(0.95), 0.85 + F.least(F.lit(0.10), 0.001 * F.col("n") + 0.01 * F.col("k"))).alias("confidence"))
+
+
+#: How much a dimension is liked that a run of likes has in common, and how sure that is.
+PATTERN = {"affinity": 0.7, "confidence": 0.6}
+
+
+def refined_profiles(profiles: DataFrame, swipes: DataFrame, cooks: DataFrame, tags: DataFrame, as_of: Column, days: int = 14, least_cooks: int = 3, known: DataFrame | None = None) -> DataFrame:
+    """Profiles (user_id, heat) after what users did in the last days: (user_id, heat, regions, discovered, confidence), a row for each profile.
+
+    heat moves by one where most of least_cooks dishes at least were too spicy or too mild;
+    regions maps the regions of two signals at least to affinity and confidence (null without
+    any); discovered maps "<dimension>_preference" to affinity and confidence, for dimensions
+    of which half the recipes of a closed run of three likes share a value, over those already
+    known (user_id, name, affinity, confidence). Confidence counts all time.
+    """
+    since = as_of - F.make_interval(days=F.lit(days))
+    recent, cooked = swipes.where(F.col("swiped_at") >= since), cooks.where(F.col("cooked_at") >= since)
+    value = F.struct("affinity", "confidence")
+    signals = affinity_by_signals(recent, cooked, tags.where("dimension = 'region'"))
+    regions = signals.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("tag_value", value))).alias("regions"))
+    found = common_dimensions(like_runs(recent), tags).select("user_id", F.concat("dimension", F.lit("_preference")).alias("name")).distinct()
+    found = found.select("user_id", "name", *(F.lit(v).alias(k) for k, v in PATTERN.items()))
+    if known is not None:
+        found = found.unionByName(known.select(*found.columns).join(found, ["user_id", "name"], "left_anti"))
+    discovered = found.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("name", value))).alias("discovered"))
+    heat = F.greatest(F.lit(1), F.least(F.lit(5), F.col("heat") + F.coalesce("adjustment", F.lit(0))))
+    every = profiles.select("user_id", "heat").join(spice_adjustment(cooked, least_cooks), "user_id", "left")
+    for part in (regions, discovered, learned_confidence(swipes, cooks)):
+        every = every.join(part, "user_id", "left")
+    return every.select("user_id", heat.alias("heat"), "regions", "discovered", F.coalesce("confidence", F.lit(0.85)).alias("confidence"))
+
+
+#: The parts of a profile that each step of onboarding fills.
+STEP_FIELDS = {
+    1: [],
+    2: ["household"],
+    3: ["diet"],
+    4: ["regions", "style"],
+    5: ["heat", "oil"],
+    6: ["gravy", "time"],
+    7: [],
+    8: ["cook"],
+}
+
+
+def onboarding_sessions(submissions: DataFrame, discovered: DataFrame) -> DataFrame:
+    """Submissions (user_id, step from 1 to 8, answer, at, id) as a session of each user: (user_id, answers, current_step, completed, completeness, confidence).
+
+    Of each step the last submission counts, whose answer may be null: the step is submitted, but
+    its fields stay empty. current_step follows the step submitted last. Completed sessions, with
+    all steps, get their completeness (fields filled, and whether anything is discovered, of ten)
+    and confidence (0.95 for explicit answers, 0.6 for the preferences of discovered: user_id, found).
+    """
+    last = submissions.groupBy("user_id", "step").agg(F.max(F.struct("at", "id", "answer")).alias("x"))
+    steps = F.collect_list(F.struct("step", F.col("x.answer").alias("answer")))
+    fold = last.groupBy("user_id").agg(F.map_from_entries(steps).alias("answers"), (F.max_by("step", "x") + 1).alias("current_step"), F.count_if(F.col("step").between(1, len(STEP_FIELDS))).alias("n"))
+    fold = fold.join(discovered.select("user_id", F.size("found").alias("d")), "user_id", "left").withColumn("d", F.coalesce("d", F.lit(0))).withColumn("completed", F.col("n") == len(STEP_FIELDS))
+    filled = sum((F.when(F.try_element_at("answers", F.lit(step)).isNotNull(), len(fields)).otherwise(0) for step, fields in STEP_FIELDS.items() if fields), (F.col("d") > 0).cast("int"))
+    complete = F.when(F.col("completed"), filled / (sum(map(len, STEP_FIELDS.values())) + 1))
+    sure = F.when(F.col("completed"), (8 * 0.95 + F.col("d") * 0.6) / (8 + F.col("d")))
+    return fold.select("user_id", "answers", "current_step", "completed", complete.alias("completeness"), sure.alias("confidence"))
+
+
+def onboarding_status(users: DataFrame, sessions: DataFrame) -> DataFrame:
+    """(user_id, status, percent): of each user; percent of the eight steps while onboarding is in progress."""
+    status = F.when(F.col("completed"), "completed").when(F.col("completed").isNotNull(), "in_progress").otherwise("not_started")
+    percent = F.when(~F.col("completed"), F.col("current_step") / len(STEP_FIELDS) * 100)
+    return users.select("user_id").join(sessions.select("user_id", "current_step", "completed"), "user_id", "left").select("user_id", status.alias("status"), percent.alias("percent"))
+
+
 def interaction_stats(swipes: DataFrame, cooks: DataFrame) -> DataFrame:
     s = swipes.groupBy("user_id").agg(F.count("*").alias("swipes"), F.count_if(F.col("action") == "right").alias("likes"))
     c = cooks.groupBy("user_id").agg(F.count("*").alias("cooks"))

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from ladle.functions import text as T
 from ladle.sources.scratch import discard, written
@@ -322,34 +323,92 @@ def merge_components(labels: DataFrame, links: DataFrame) -> DataFrame:
     return labels.select("id", "component").union(new).join(moved, "component", "left").select("id", F.coalesce("to", "component").alias("component"))
 
 
-def most_alike(items: DataFrame, names: DataFrame, least: int, block: int = 2000) -> DataFrame:
-    """(item_l, name_id, score): for each item_l of items the name of names (name_l, name_id) with the highest fuzz ratio, least at least.
+#: Letters of which the order of rarity is kept; all others count as rarer than these.
+RANKED_LETTERS = 5000
 
-    Equally alike names: the smallest id. The items are a query set: they and the names are dealt
-    into blocks, and every block of items meets every block of names in a task of its own.
-    """
-    left, right = (max(-(-df.count() // block), 1) for df in (items, names))
 
-    def dealt(df: DataFrame, key: str, own: int, other: int, columns: tuple[str, str]) -> DataFrame:
-        return df.withColumn(columns[0], F.pmod(F.xxhash64(key), F.lit(own)).cast("int")).withColumn(columns[1], F.explode(F.sequence(F.lit(0), F.lit(other - 1)))).groupBy("i", "j")
+def _letter_ranks(strings: DataFrame) -> dict[tuple[str, int], int]:
+    """Ranks of (letter, i), the i-th time that a letter stands in a string (s), by the number of strings that have it, the rarest first."""
+    letters = F.split("s", "")
+    times = F.transform(F.array_distinct("letters"), lambda x: F.struct(x.alias("letter"), (F.size("letters") - F.size(F.array_remove("letters", x))).alias("times")))
+    counts = strings.select(letters.alias("letters")).select(F.explode(times).alias("x")).groupBy("x.letter", "x.times").agg(F.count("*").alias("n"))
+    having: dict[tuple[str, int], int] = {}
+    for letter, most, n in counts.orderBy(F.desc("n"), "letter", "times").limit(RANKED_LETTERS).collect():
+        for i in range(1, most + 1):
+            having[letter, i] = having.get((letter, i), 0) + n
+    return {x: rank for rank, x in enumerate(sorted(having, key=lambda x: (having[x], x)))}
 
-    def search(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        known = list(zip(b["name_l"], b["name_id"])) if len(b) else []
-        for item in a["item_l"] if len(a) else []:
-            best = None
-            for name, i in known:
-                total = len(item) + len(name)
-                if item and name and 200 * min(len(item), len(name)) >= (least - 0.5) * total:
-                    score = round(200 * _lcs(item, name) / total)  # half to even, as fuzz_ratio
-                    if score >= least and (best is None or (score, -i) > (best[1], -best[0])):
-                        best = (i, score)
-            if best:
-                out.append((item, *best))
-        return pd.DataFrame(out, columns=["item_l", "name_id", "score"])
-
-    found = dealt(items, "item_l", left, right, ("i", "j")).cogroup(dealt(names, "name_l", right, left, ("j", "i"))).applyInPandas(search, "item_l string, name_id long, score int")
-    return found.groupBy("item_l").agg(F.max(F.struct("score", F.negative("name_id").alias("id"))).alias("best")).select("item_l", F.negative("best.id").alias("name_id"), "best.score")
+
+def alike_candidates(items: DataFrame, names: DataFrame, least: int) -> DataFrame:
+    """(s, u): pairs of distinct strings of items (s) and names (u) that may have a fuzz ratio of least (above 0); no pair that has is missing.
+
+    A common subsequence has no more letters than the two strings' letters have in common, each
+    counted as often as it stands. So a string is taken as the set of its numbered letters, for
+    which a ratio asks a Jaccard similarity, and keys are made of the rarest ones as in
+    similar_sets: the longer string's and the shorter one's, and items may be either. What
+    meets is cut by signatures of 128 bits, a bit for each numbered letter: a letter whose bit the
+    other signature lacks isn't in the other string.
+    """
+    ratio = (least - 0.5) / 100
+    if ratio <= 0:
+        raise ValueError("least must be above 0")
+    jaccard = ratio / (2 - ratio)
+    both = items.select("s").union(names.select(F.col("u").alias("s"))).where("s <> ''")
+    sizes = [r["n"] for r in both.select(F.length("s").alias("n")).distinct().orderBy("n").collect()]  # a row for each length that occurs
+    plan: dict[tuple[bool, int], list[tuple[int, list[list[int]]]]] = {}
+    for larger, n, k, groups in _key_plan(sizes, jaccard):
+        plan.setdefault((larger, n), []).append((k, groups))
+    ranks = _letter_ranks(both)
+
+    def keys(name: str, of_items: bool):
+        def make(batches):
+            for batch in batches:
+                rows = []
+                for text in batch[name]:
+                    seen: dict[str, int] = {}
+                    numbered = []
+                    for ch in text:
+                        seen[ch] = seen.get(ch, 0) + 1
+                        numbered.append((ranks.get((ch, seen[ch]), -1), ch, seen[ch]))
+                    numbered.sort()
+                    bits = 0
+                    for rank, ch, i in numbered:
+                        bits |= 1 << (rank if rank >= 0 else ord(ch) + 7 * i) % 128
+                    low, high = ((b & (1 << 63) - 1) - (b & 1 << 63) for b in (bits & (1 << 64) - 1, bits >> 64))
+                    for larger in (True, False):
+                        for k, groups in plan[larger, len(text)]:
+                            rows += [(text, len(text), low, high, larger == of_items, f"{k} " + " ".join(f"{numbered[i][1]}{numbered[i][2]}" for i in g)) for g in groups]
+                yield pd.DataFrame(rows, columns=[name, "n", "low", "high", "item_longer", "key"])
+
+        return make
+
+    columns = "n int, low long, high long, item_longer boolean, key string"
+    left = items.where("s <> ''").select("s").mapInPandas(keys("s", True), f"s string, {columns}")
+    right = names.where("u <> ''").select("u").mapInPandas(keys("u", False), f"u string, {columns}").withColumnsRenamed({"n": "m", "low": "low_u", "high": "high_u"})
+
+    def lacking(a: str, b: str) -> Column:
+        return F.bit_count(F.col(f"low{a}").bitwiseAND(F.bitwise_not(f"low{b}"))) + F.bit_count(F.col(f"high{a}").bitwiseAND(F.bitwise_not(f"high{b}")))
+
+    most = F.least(F.col("n") - lacking("", "_u"), F.col("m") - lacking("_u", ""))
+    met = left.join(right, ["key", "item_longer"]).where((F.col("item_longer") == (F.col("m") <= F.col("n"))) & (most >= F.lit(ratio / 2) * (F.col("n") + F.col("m")) - 1e-9))
+    return met.select("s", "u").distinct()
+
+
+@F.pandas_udf(IntegerType())
+def _fuzz(s: pd.Series, u: pd.Series) -> pd.Series:
+    return pd.Series([round(200 * _lcs(a, b) / (len(a) + len(b))) for a, b in zip(s, u)], dtype="int32")  # half to even, as fuzz_ratio
+
+
+def most_alike(items: DataFrame, names: DataFrame, least: int) -> DataFrame:
+    """(item_l, name_id, score): for each item_l of items the name of names (name_l, name_id) with the highest fuzz ratio, least (above 0) at least.
+
+    Equally alike names: the smallest id. Null and empty strings are like nothing. Only
+    candidates that have enough letters in common are scored.
+    """
+    known = names.where("name_l <> ''").groupBy("name_l").agg(F.min("name_id").alias("name_id"))
+    near = alike_candidates(items.select(F.col("item_l").alias("s")).distinct(), known.select(F.col("name_l").alias("u")), least)
+    scored = near.select("s", "u", _fuzz("s", "u").alias("score")).where(F.col("score") >= least).join(known, F.col("u") == F.col("name_l"))
+    return scored.groupBy(F.col("s").alias("item_l")).agg(F.max(F.struct("score", F.negative("name_id").alias("id"))).alias("best")).select("item_l", F.negative("best.id").alias("name_id"), "best.score")
 
 
 def fuzzy_lookup(items: DataFrame, master: DataFrame, least: int = 70) -> DataFrame:

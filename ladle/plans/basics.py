@@ -89,7 +89,12 @@ def partial_update(t):
 
 @query("append_fact", "SELECT rec_id, user_id, recipe_id, CAST(recommended_at AS DATE) AS day FROM recommendations")
 def append_fact(t):
-    return t.recommendations.select("rec_id", "user_id", "recipe_id", F.to_date("recommended_at").alias("day"))
+    """What was shown, appended in two goes to a table by days, and read back."""
+    path = scratch_path(t.spark, "shown")
+    shown = t.recommendations.select("rec_id", "user_id", "recipe_id", F.to_date("recommended_at").alias("day"))
+    for half in (0, 1):
+        S.append_fact(shown.where(F.col("rec_id") % 2 == half), path, "day")
+    return t.spark.read.schema(shown.schema).parquet(path)
 
 
 @query("retention_delete", f"SELECT event_id, ts FROM events WHERE ts >= TIMESTAMP '{AS_OF}' - INTERVAL 14 DAY")

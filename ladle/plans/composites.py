@@ -13,7 +13,7 @@ from ladle.operators import learning as L
 from ladle.operators import quality as Q
 from ladle.operators import ranking as R
 from ladle.operators import similarity as M
-from ladle.plans.registry import as_of, query
+from ladle.plans.registry import AS_OF, as_of, query
 from ladle.sources import tables as S
 from ladle.sources.scratch import scratch_path, written
 from ladle.streaming import streams as St
@@ -191,27 +191,33 @@ FROM swipes)) WHERE f IS NOT NULL GROUP BY 1
 """)
 def discover_preferences(t):
     """Swipes of validation dishes; the test is told by the swipe's number."""
+    return _discovered(t).select("user_id", F.array_sort(F.transform(F.map_entries("found"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))).alias("found"))
+
+
+def _discovered(t):
     kind = F.element_at(F.array(*map(F.lit, _TESTS)), (c("swipe_id") % 5 + 1).cast("int"))
     action = F.when(c("action") == "long_press_left", F.when(kind == "perfect_match", "left").otherwise("long_press_left")).otherwise(c("action"))
-    found = L.discovered_preferences(t.swipes.select("user_id", "swiped_at", "swipe_id", action.alias("action"), kind.alias("test_type")))
-    return found.select("user_id", F.array_sort(F.transform(F.map_entries("found"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))).alias("found"))
+    return L.discovered_preferences(t.swipes.select("user_id", "swiped_at", "swipe_id", action.alias("action"), kind.alias("test_type")))
 
 
-@query("refine_profiles", """WITH a AS (SELECT user_id, CASE WHEN count(*) FILTER (WHERE spice_feedback = 'too_spicy') * 2 > count(*) THEN -1 WHEN count(*) FILTER (WHERE spice_feedback = 'too_mild') * 2 > count(*) THEN 1 ELSE 0 END AS adjustment FROM cooks GROUP BY 1 HAVING count(*) >= 3),
-e AS (SELECT user_id, recipe_id, CASE action WHEN 'right' THEN 0.2 WHEN 'long_press_left' THEN -0.5 ELSE -0.05 END AS s FROM swipes UNION ALL SELECT user_id, recipe_id, CASE WHEN would_make_again THEN 0.7 ELSE 0.4 END FROM cooks),
+@query("refine_profiles", f"""WITH recent AS (SELECT * FROM swipes WHERE swiped_at >= TIMESTAMP '{AS_OF}' - INTERVAL 14 DAY), cooked AS (SELECT * FROM cooks WHERE cooked_at >= TIMESTAMP '{AS_OF}' - INTERVAL 14 DAY),
+a AS (SELECT user_id, CASE WHEN count(*) FILTER (WHERE spice_feedback = 'too_spicy') * 2 > count(*) THEN -1 WHEN count(*) FILTER (WHERE spice_feedback = 'too_mild') * 2 > count(*) THEN 1 ELSE 0 END AS adjustment FROM cooked GROUP BY 1 HAVING count(*) >= 3),
+e AS (SELECT user_id, recipe_id, CASE action WHEN 'right' THEN 0.2 WHEN 'long_press_left' THEN -0.5 ELSE -0.05 END AS s FROM recent UNION ALL SELECT user_id, recipe_id, CASE WHEN would_make_again THEN 0.7 ELSE 0.4 END FROM cooked),
 f AS (SELECT user_id, tag_value, round(greatest(0, least(1, 0.5 + sum(CAST(s AS DOUBLE)))), 6) AS affinity FROM e JOIN (SELECT DISTINCT recipe_id, tag_value FROM tags WHERE dimension = 'region') t ON t.recipe_id = e.recipe_id GROUP BY 1, 2 HAVING count(*) >= 2),
-g AS (SELECT user_id, tag_value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY affinity DESC, tag_value) AS r FROM f) WHERE r = 1),
-n AS (SELECT user_id, least(0.85 + least(0.001 * count(*) + 0.01 * count(*) FILTER (WHERE action = 'made_it'), 0.10), 0.95) AS learned FROM swipes GROUP BY 1)
-SELECT p.user_id, CAST(greatest(1, least(5, heat + coalesce(adjustment, 0))) AS INT) AS heat, g.tag_value AS best_region, round(coalesce(learned, 0.85), 6) AS confidence FROM profiles p LEFT JOIN a ON a.user_id = p.user_id LEFT JOIN g ON g.user_id = p.user_id LEFT JOIN n ON n.user_id = p.user_id""")
+g AS (SELECT user_id, count(*) AS n_regions, arg_min(tag_value, {{'a': -affinity, 't': tag_value}}) AS best_region FROM f GROUP BY 1),
+b AS (SELECT user_id, recipe_id, action, sum(CASE WHEN action <> 'right' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY swiped_at, swipe_id) AS run FROM recent),
+w AS (SELECT *, max(run) OVER (PARTITION BY user_id) AS last, count(*) FILTER (WHERE action = 'right') OVER (PARTITION BY user_id, run) AS n FROM b),
+l AS (SELECT user_id, dimension, tag_value, w.n, count(*) AS hits FROM w JOIN (SELECT DISTINCT recipe_id, dimension, tag_value FROM tags) t ON t.recipe_id = w.recipe_id WHERE action = 'right' AND run < last AND w.n >= 3 GROUP BY user_id, run, dimension, tag_value, w.n),
+d AS (SELECT user_id, string_agg(DISTINCT concat(dimension, '_preference'), ',' ORDER BY concat(dimension, '_preference')) AS discovered FROM l WHERE hits >= 0.5 * n GROUP BY 1),
+n AS (SELECT user_id, least(0.85 + least(0.001 * sum(n) + 0.01 * sum(k), 0.10), 0.95) AS learned FROM (SELECT user_id, 1 AS n, 0 AS k FROM swipes UNION ALL SELECT user_id, 0, 1 FROM cooks) GROUP BY 1)
+SELECT p.user_id, CAST(greatest(1, least(5, heat + coalesce(adjustment, 0))) AS INT) AS heat, coalesce(n_regions, 0) AS n_regions, best_region, coalesce(discovered, '') AS discovered, round(coalesce(learned, 0.85), 6) AS confidence
+FROM profiles p LEFT JOIN a ON a.user_id = p.user_id LEFT JOIN g ON g.user_id = p.user_id LEFT JOIN d ON d.user_id = p.user_id LEFT JOIN n ON n.user_id = p.user_id""")
 def refine_profiles(t):
-    """Profiles after what the users did: heat, the region that they like best, and how sure the profile is."""
-    signals = L.affinity_by_signals(t.swipes, t.cooks, t.tags.where("dimension = 'region'")).withColumn("affinity", F.round("affinity", 6))
-    region = R.latest_per(signals, ["user_id"], [F.desc("affinity"), c("tag_value")]).select("user_id", c("tag_value").alias("best_region"))
-    n, cooked = F.count("*"), F.count_if(c("action") == "made_it")
-    learned = t.swipes.groupBy("user_id").agg(F.least(0.85 + F.least(0.001 * n + 0.01 * cooked, F.lit(0.10)), F.lit(0.95)).alias("learned"))
-    every = t.profiles.join(L.spice_adjustment(t.cooks, 3), "user_id", "left").join(region, "user_id", "left").join(learned, "user_id", "left")
-    heat = F.greatest(F.lit(1), F.least(F.lit(5), c("heat") + F.coalesce("adjustment", F.lit(0))))
-    return every.select("user_id", heat.alias("heat"), "best_region", F.round(F.coalesce("learned", F.lit(0.85)), 6).alias("confidence"))
+    """Profiles after what the users did in two weeks: heat, regions and the one that they like best, what runs of likes have in common, and how sure the profile is."""
+    refined = L.refined_profiles(t.profiles, t.swipes, t.cooks, t.tags, as_of())
+    best = F.array_min(F.transform(F.map_entries("regions"), lambda e: F.struct((-F.round(e["value"]["affinity"], 6)).alias("a"), e["key"].alias("t"))))["t"]
+    names = F.array_join(F.array_sort(F.map_keys("discovered")), ",")
+    return refined.select("user_id", "heat", F.coalesce(F.size(F.map_keys("regions")), F.lit(0)).cast("long").alias("n_regions"), best.alias("best_region"), F.coalesce(names, F.lit("")).alias("discovered"), F.round("confidence", 6).alias("confidence"))
 
 
 @query("profile_documents", """
@@ -242,9 +248,26 @@ def feedback_review(t):
     return S.mark(both, c("accepted"), status=c("decision")).select("feedback_id", "status", "accepted")
 
 
-@query("onboarding_progress", "SELECT user_id, heat / 8 * 100 AS percent, CASE WHEN heat >= 5 THEN 'completed' ELSE 'in_progress' END AS status FROM profiles")
+_SESSIONS = f"""k AS (SELECT user_id, recipe_id % 8 + 1 AS step, max({{'at': swiped_at, 'id': swipe_id}}) AS x, arg_max(CASE WHEN action <> 'view' THEN action ELSE '' END, {{'at': swiped_at, 'id': swipe_id}}) AS answer FROM swipes GROUP BY 1, 2),
+d AS (SELECT user_id, count(DISTINCT f) AS d FROM (SELECT user_id, {_FOUND} AS f FROM (SELECT user_id, action, swipe_id % 5 AS k FROM swipes)) WHERE f IS NOT NULL GROUP BY 1),
+m AS (SELECT user_id, count(*) AS steps, arg_max(step, x) + 1 AS current_step, count(*) = 8 AS completed, sum(CASE WHEN answer <> '' THEN CASE WHEN step IN (2, 3, 8) THEN 1 WHEN step IN (4, 5, 6) THEN 2 ELSE 0 END ELSE 0 END) AS filled FROM k GROUP BY 1),
+sessions AS (SELECT m.user_id, steps, CAST(current_step AS INT) AS current_step, completed, CASE WHEN completed THEN (filled + CAST(coalesce(d, 0) > 0 AS INT)) / 10 END AS completeness,
+  CASE WHEN completed THEN round((8 * 0.95 + coalesce(d, 0) * 0.6) / (8 + coalesce(d, 0)), 6) END AS confidence FROM m LEFT JOIN d ON d.user_id = m.user_id)"""
+
+
+def _sessions(t):
+    """Swipes stand for submissions: the recipe tells the step, the action is the answer, and a mere view leaves the step empty."""
+    answer = F.when(c("action") != "view", c("action"))
+    submitted = t.swipes.select("user_id", (c("recipe_id") % 8 + 1).cast("int").alias("step"), answer.alias("answer"), c("swiped_at").alias("at"), c("swipe_id").alias("id"))
+    return L.onboarding_sessions(submitted, _discovered(t))
+
+
+@query("onboarding_progress", f"""
+WITH {_SESSIONS} SELECT p.user_id, CASE WHEN completed THEN 'completed' WHEN completed IS NOT NULL THEN 'in_progress' ELSE 'not_started' END AS status,
+CASE WHEN NOT completed THEN current_step / 8 * 100 END AS percent FROM profiles p LEFT JOIN sessions s ON s.user_id = p.user_id
+""")
 def onboarding_progress(t):
-    return t.profiles.select("user_id", (c("heat") / 8 * 100).alias("percent"), F.when(c("heat") >= 5, "completed").otherwise("in_progress").alias("status"))
+    return L.onboarding_status(t.profiles, _sessions(t))
 
 
 @query("explode_tag_proposals", """WITH p AS (SELECT user_id * 20 AS recipe_id, diet, [region_1, region_2] AS region, allium_status = 'both' AS allium, ['lunch', 'dinner'] AS meal FROM profiles WHERE user_id * 20 IN (SELECT recipe_id FROM recipes))
@@ -271,18 +294,24 @@ def ingest_feedback(t):
     return every.join(known, "recipe_id", "left").select("feedback_id", "type", "detail", accepted.alias("accepted"))
 
 
-@query("ingest_book_recipes", """
-WITH u AS (SELECT concat('pdf://book#', p_name, ' ', p_type) AS url, p_size FROM part), o AS (SELECT DISTINCT url
-FROM u WHERE p_size > 40) SELECT url, url NOT IN (SELECT url FROM o) AS saved, count(*) AS n
-FROM u GROUP BY 1, 2
+_CHUNK = 2000
+
+
+@query("ingest_book_recipes", f"""
+WITH RECURSIVE l AS (SELECT doc_id, source, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+w AS (SELECT doc_id, 1 AS i, length(ls[1]) AS size, 1 AS start FROM l UNION ALL SELECT w.doc_id, i + 1,
+  CASE WHEN size + length(ls[i + 1]) + 1 <= {_CHUNK} THEN size + length(ls[i + 1]) + 1 ELSE length(ls[i + 1]) END, CASE WHEN size + length(ls[i + 1]) + 1 <= {_CHUNK} THEN start ELSE i + 1 END FROM w JOIN l ON l.doc_id = w.doc_id WHERE i < len(ls)),
+u AS (SELECT w.doc_id, source, concat('pdf://', source, '#', left(ls[i], 10)) AS url FROM w JOIN l ON l.doc_id = w.doc_id WHERE i = start),
+o AS (SELECT DISTINCT url FROM u WHERE doc_id % 2 = 0)
+SELECT source AS file, count(*) AS recipes, count(DISTINCT url) FILTER (WHERE url NOT IN (SELECT url FROM o)) AS saved, count(*) - count(DISTINCT url) FILTER (WHERE url NOT IN (SELECT url FROM o)) AS skipped FROM u GROUP BY 1
 """)
 def ingest_book_recipes(t):
-    """Recipes out of stored answers on chunks of a book; a URL that exists is skipped."""
-    answer = F.concat(F.lit('Here they are:\n```json\n[{"title":"'), "p_name", F.lit(" "), "p_type", F.lit('"}]\n```'))
-    told = t.part.select("p_size", F.explode(F.from_json(T.extract_json_block(answer), "array<struct<title:string>>")).alias("r"))
-    urls = told.select("p_size", F.concat(F.lit("pdf://book#"), "r.title").alias("url"))
-    found = P.register_urls(urls, urls.where("p_size > 40").select("url").distinct())
-    return found.groupBy("url", c("is_new").alias("saved")).agg(F.count("*").alias("n"))
+    """Chunks of books (documents of a source), for which the answer to each names its first line as a recipe; half the books were taken in before."""
+    chunks = X.book_chunks(t.documents.select(c("source").alias("file"), "doc_id", "text"), _CHUNK)
+    title = F.substring(F.substring_index("chunk", "\n", 1), 1, 10)
+    answers = chunks.withColumn("answer", F.concat(F.lit("Here they are:\n```json\n"), F.to_json(F.array(F.struct(title.alias("title")))), F.lit("\n```")))
+    before = X.book_recipes(answers.where("doc_id % 2 = 0"), t.pages.where("false").select("url"))
+    return X.book_report(X.book_recipes(answers, before.where("saved").select("url")))
 
 
 _HAVE = "(SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')"
@@ -350,14 +379,9 @@ def create_meal_plans(t):
     return plans.join(first, ["user_id", "day"]).select("plan_id", "user_id", "day", (c("plan_id") == c("first")).alias("accepted"))
 
 
-@query("fold_onboarding", """
-SELECT user_id, count(*) AS steps, max(k) AS current_step, count(*) = 8 AS completed FROM (SELECT user_id, recipe_id % 8 AS k
-FROM swipes GROUP BY 1, 2) GROUP BY 1
-""")
+@query("fold_onboarding", f"WITH {_SESSIONS} SELECT * FROM sessions")
 def fold_onboarding(t):
-    last = t.swipes.groupBy("user_id", (c("recipe_id") % 8).alias("k")).agg(F.max_by("action", F.struct("swiped_at", "swipe_id")).alias("v"))
-    fold = last.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("m"))
-    return fold.select("user_id", F.size("m").cast("long").alias("steps"), F.array_max(F.map_keys("m")).alias("current_step"), (F.size("m") == 8).alias("completed"))
+    return _sessions(t).select("user_id", F.size("answers").cast("long").alias("steps"), "current_step", "completed", "completeness", F.round("confidence", 6).alias("confidence"))
 
 
 @query("normalize_parsed_ingredients", """
