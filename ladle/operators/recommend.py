@@ -137,6 +137,21 @@ def card_scores(pairs: DataFrame, affinity: DataFrame, discovered: DataFrame) ->
     return both.withColumn("score", F.round(score, 9)).drop("affinities", "bonus")
 
 
+def pantry_cards(cards: DataFrame, pantry: DataFrame) -> DataFrame:
+    """cards (user_id, names of a dish's ingredients) of users with a pantry (user_id, item), and share: how much of the dish is in it. Names and items are compared in lower case; a dish without names has share 0."""
+    own = pantry.where("item IS NOT NULL").groupBy("user_id").agg(F.collect_set(F.lower("item")).alias("items"))
+    have = F.size(F.array_intersect(F.transform("names", lambda n: F.lower(n)), "items"))
+    return cards.join(own, "user_id").withColumn("share", F.coalesce(F.try_divide(have, F.size("names")), F.lit(0.0))).drop("items")
+
+
+def seasonal_cards(cards: DataFrame, pantry: DataFrame, recipes: DataFrame, as_of: Column) -> DataFrame:
+    """cards (user_id, recipe_id) of users without a pantry, for dishes that came in (processed_at of recipes) in the season of as_of, of any year."""
+    from ladle.functions.text import season_from_month
+
+    fresh = recipes.where(season_from_month(F.month("processed_at")) == season_from_month(F.month(as_of))).select("recipe_id")
+    return cards.join(pantry.where("item IS NOT NULL").select("user_id").distinct(), "user_id", "left_anti").join(fresh, "recipe_id", "left_semi")
+
+
 #: Weights where what is in the pantry counts most.
 PANTRY = {"pantry": 0.50, "vector": 0.25, "feedback": 0.15, "diversity": 0.05, "freshness": 0.05}
 

@@ -121,6 +121,7 @@ def match_score_cards(t):
 
 
 _BUCKETS = f"""{_CARDS},
+pantry AS (SELECT user_id, list(DISTINCT lower(p_name)) AS items FROM (SELECT user_id, unnest([1 + user_id % 200, 1 + user_id * 7 % 200]) AS k FROM profiles WHERE user_id % 3 <> 0) JOIN part ON p_partkey = k GROUP BY 1),
 h AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, recipe_id) AS pos FROM cards WHERE score >= 0.7 AND total_time_minutes <= time_budget + 10),
 i AS (SELECT *, row_number() OVER (PARTITION BY user_id, meal_slot ORDER BY pos) = 1 AS fresh FROM h),
 j AS (SELECT *, coalesce(sum(CAST(fresh AS INT)) OVER (PARTITION BY user_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM i),
@@ -129,7 +130,8 @@ b AS (
   UNION ALL SELECT user_id, recipe_id, 'validated', 1, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, recipe_id) AS n, 3, n FROM cards WHERE list_contains(textures, flavour)
   UNION ALL SELECT user_id, recipe_id, 'adjacent', 2, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, recipe_id) AS n, 3, n FROM cards WHERE score >= 0.4 AND len(list_filter(regions, lambda r: r <> region_1 AND r <> region_2)) > 0
   UNION ALL SELECT user_id, recipe_id, 'universal', 3, row_number() OVER (PARTITION BY user_id ORDER BY rating DESC, recipe_id) AS n, 2, n FROM cards
-  UNION ALL SELECT user_id, recipe_id, 'pantry_seasonal', 4, row_number() OVER (PARTITION BY user_id ORDER BY list_contains(names, 'red plate') DESC, score DESC, recipe_id) AS n, 2, n FROM cards)"""
+  UNION ALL SELECT c.user_id, recipe_id, 'pantry', 4, row_number() OVER (PARTITION BY c.user_id ORDER BY len(list_intersect(names, items)) / len(names) DESC, score DESC, recipe_id) AS n, 2, n FROM cards c JOIN pantry p ON p.user_id = c.user_id
+  UNION ALL SELECT user_id, recipe_id, 'seasonal', 5, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, recipe_id) AS n, 2, n FROM cards WHERE user_id NOT IN (SELECT user_id FROM pantry) AND recipe_id IN (SELECT recipe_id FROM recipes WHERE month(processed_at) IN (6, 7, 8)))"""
 
 
 @query("first_cards", f"""
@@ -137,13 +139,15 @@ WITH {_BUCKETS} SELECT user_id, recipe_id, card_type FROM (SELECT *, row_number(
 FROM b WHERE n <= quota) WHERE m <= 15
 """)
 def first_cards(t):
-    """Five sure matches of different kinds, three of the liked flavour, three that reach into other regions, two well rated ones, two from the pantry."""
-    k = cards(t).select("user_id", "recipe_id", "score", "rating", "total_time_minutes", "time_budget", "meal_slot", "textures", "flavour", "regions", "region_1", "region_2", "names")
+    """Five sure matches of different kinds, three of the liked flavour, three that reach into other regions, two well rated ones, two from the user's pantry, or of the season for users without one."""
+    k = cards(t).select("user_id", "recipe_id", "score", "rating", "total_time_minutes", "time_budget", "meal_slot", "textures", "flavour", "regions", "region_1", "region_2", "names", F.lit(0.0).alias("share"))
     best = [F.desc("score"), c("recipe_id")]
     sure = C.diversify(k.where("score >= 0.7 AND total_time_minutes <= time_budget + 10"), "user_id", best, "meal_slot", 5)
     adjacent = k.where("score >= 0.4 AND size(array_except(regions, array(region_1, region_2))) > 0")
-    pantry = F.array_contains("names", "red plate").cast("int")
-    buckets = [("high_confidence", sure, best, 5), ("validated", k.where("array_contains(textures, flavour)"), best, 3), ("adjacent", adjacent, best, 3), ("universal", k, [F.desc("rating"), c("recipe_id")], 2), ("pantry_seasonal", k, [F.desc(pantry), *best], 2)]
+    shelf = t.profiles.where("user_id % 3 <> 0").select("user_id", F.explode(F.array(1 + c("user_id") % 200, 1 + c("user_id") * 7 % 200)).alias("p_partkey"))
+    pantry = shelf.join(t.part, "p_partkey").select("user_id", c("p_name").alias("item"))
+    of_season = C.seasonal_cards(k, pantry, t.recipes, F.lit(COOKED_AS_OF).cast("timestamp_ntz"))
+    buckets = [("high_confidence", sure, best, 5), ("validated", k.where("array_contains(textures, flavour)"), best, 3), ("adjacent", adjacent, best, 3), ("universal", k, [F.desc("rating"), c("recipe_id")], 2), ("pantry", C.pantry_cards(k, pantry), [F.desc("share"), *best], 2), ("seasonal", of_season, best, 2)]
     return R.card_buckets(buckets, "user_id", 15).select("user_id", "recipe_id", "card_type")
 
 

@@ -59,3 +59,14 @@ def test_books(spark):
     found = X.book_recipes(spark.createDataFrame(answers, "file string, answer string"), existing)
     assert {tuple(r) for r in found.collect()} == {("a", "pdf://a#Dal", "Dal", True, 2), ("a", "pdf://a#untitled", "untitled", True, 1), ("a", "pdf://a#Rice", "Rice", False, 1), ("b", "pdf://b#Dal", "Dal", True, 1)}
     assert {tuple(r) for r in X.book_report(found).collect()} == {("a", 4, 2, 2), ("b", 1, 1, 0)}
+
+
+def test_pantry_and_seasonal_cards(spark):
+    from ladle.operators import recommend as C
+
+    cards = spark.createDataFrame([(1, 10, ["Dal", "rice"]), (1, 11, ["okra"]), (1, 12, []), (2, 10, ["dal", "rice"]), (3, 11, ["okra"])], "user_id long, recipe_id long, names array<string>")
+    pantry = spark.createDataFrame([(1, "DAL"), (1, "dal"), (2, None)], "user_id long, item string")
+    assert {(r["user_id"], r["recipe_id"], r["share"]) for r in C.pantry_cards(cards, pantry).collect()} == {(1, 10, 0.5), (1, 11, 0.0), (1, 12, 0.0)}
+    recipes = spark.createDataFrame([(10, day(365)), (11, day(200)), (12, None)], "recipe_id long, processed_at timestamp_ntz")
+    found = C.seasonal_cards(cards, pantry, recipes, F.lit(NOW).cast("timestamp_ntz"))
+    assert {(r["user_id"], r["recipe_id"]) for r in found.collect()} == {(2, 10)}
