@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import slice_hashes, steps, table, text_bytes
+from .shared import map_batches, quoted, slice_hashes, steps, table, text_bytes
 
 # Classes of code points.
 LETTER, NUMBER, OTHER, SPACE = 0, 1, 2, 3
@@ -361,9 +361,7 @@ def encode(df: DataFrame, ranks_path: str, text_col: str = "text", ids_col: str
     """
     lines = _ranks_file(df.sparkSession, ranks_path)
     keep = df.drop(ids_col, ends_col)
-    schema = keep.schema
     names = keep.columns
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + f", `{ids_col}` array<int>, `{ends_col}` array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(lines.value)
@@ -375,7 +373,7 @@ def encode(df: DataFrame, ranks_path: str, text_col: str = "text", ids_col: str
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*part.columns, _lists(ids, begins), _lists(ends, begins)], names=[*names, ids_col, ends_col])
 
-    return keep.mapInArrow(run, out)
+    return map_batches(keep, run, names, f"{quoted(ids_col)} array<int>, {quoted(ends_col)} array<int>")
 
 
 def decode(df: DataFrame, ranks_path: str, ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:
@@ -383,7 +381,6 @@ def decode(df: DataFrame, ranks_path: str, ids_col: str = "token_ids", out_col:
     lines = _ranks_file(df.sparkSession, ranks_path)
     keep = df.drop(out_col)
     names = keep.columns
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep.schema) + f", `{out_col}` binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = _ranks(lines.value)
@@ -404,7 +401,7 @@ def decode(df: DataFrame, ranks_path: str, ids_col: str = "token_ids", out_col:
                 values = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, values], names=[*names, out_col])
 
-    return keep.mapInArrow(run, out)
+    return map_batches(keep, run, names, f"{quoted(out_col)} binary")
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import bounded_sample, held_out, steps, table, text_bytes
+from .shared import bounded_sample, held_out, map_batches, quoted, steps, table, text_bytes
 
 UNDETERMINED = "und"
 LONGEST = 5
@@ -165,7 +165,6 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str
     keep = docs.drop(lang_col, score_col)
     names = keep.columns
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep.schema) + f", `{lang_col}` string, `{score_col}` double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
@@ -175,7 +174,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str
                 best, share = scorer.score([t or "" for t in column.slice(a, b - a).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(best, pa.string()), pa.array(share)], names=[*names, lang_col, score_col])
 
-    return keep.mapInArrow(run, out)
+    return map_batches(keep, run, names, f"{quoted(lang_col)} string, {quoted(score_col)} double")
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import lower, mix, slice_hashes, steps, table, text_bytes
+from .shared import lower, map_batches, mix, quoted, slice_hashes, steps, table, text_bytes
 
 #: Fixed values: (identifier, license text, or a notice or reference that documents carry in its place).
 TEMPLATES = [
@@ -205,7 +205,6 @@ def with_licenses(docs: DataFrame, text_col: str = "text", templates: list[tuple
     """
     keep = docs.drop(out_col)
     names = keep.columns
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep.schema) + f", `{out_col}` {MATCHES}"
     kind = pa.list_(pa.struct([("license", pa.string()), ("containment", pa.float64()), ("start_word", pa.int32()), ("end_word", pa.int32())]))
     built = index(templates, least)
 
@@ -216,7 +215,7 @@ def with_licenses(docs: DataFrame, text_col: str = "text", templates: list[tuple
                 found = scan_batch(offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]], built, least)
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(found, kind)], names=[*names, out_col])
 
-    return keep.mapInArrow(run, out)
+    return map_batches(keep, run, names, f"{quoted(out_col)} {MATCHES}")
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

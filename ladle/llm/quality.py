@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import discard, held_out, slice_hashes, steps, table, text_bytes, words_of, written
+from .shared import discard, held_out, map_batches, quoted, slice_hashes, steps, table, text_bytes, words_of, written
 
 STATS = ["log_bytes", "log_words", "word_length", "word_length_spread", "letters", "upper", "digits", "spaces", "stops", "exclamations", "symbols", "beyond_ascii", "words_distinct", "words_repeated", "lines_distinct", "line_words", "line_end_stops"]
 BINS = 2000
@@ -96,7 +96,6 @@ def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """
     names = docs.columns
     others = [c for c in names if c != text_col and c not in STATS]
-    out = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in others] + [f"`{s}` double" for s in STATS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,7 +105,7 @@ def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*(part.column(names.index(c)) for c in others), *(pa.array(rows[:, j]) for j in range(len(STATS)))], names=[*others, *STATS])
 
-    return docs.mapInArrow(run, out)
+    return map_batches(docs, run, others, ", ".join(f"{s} double" for s in STATS))
 
 
 @dataclass
@@ -221,19 +220,19 @@ def with_score(rows: DataFrame, model: Model | None, score_col: str = "score") -
 
     Repeated rows stay. A column named score_col is replaced, all others stay.
     """
-    others = [f for f in rows.schema if f.name not in STATS and f.name != score_col]
+    names = rows.columns
+    others = [c for c in names if c not in STATS and c != score_col]
     if model is None:
-        return rows.select(*(f.name for f in others), F.lit(0.5).alias(score_col))
-    out = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in others] + [f"`{score_col}` double"])
+        return rows.select(*(F.col(quoted(c)) for c in others), F.lit(0.5).alias(score_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, max(batch.num_rows, 1), 4096):
-                part = batch.slice(a, 4096)
+                part = batch.slice(a, 4096).rename_columns(names)
                 values = model.score(_matrix(part)) if part.num_rows else np.zeros(0)
-                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(f.name)) for f in others), pa.array(values)], names=[*(f.name for f in others), score_col])
+                yield pa.RecordBatch.from_arrays([*(part.column(names.index(c)) for c in others), pa.array(values)], names=[*others, score_col])
 
-    return rows.mapInArrow(run, out)
+    return map_batches(rows, run, others, f"{quoted(score_col)} double")
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

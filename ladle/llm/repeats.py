@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import lanes, mix, slice_hashes, steps, table, text_bytes, written
+from .shared import lanes, mix, slice_hashes, steps, table, text_bytes, with_fields, written
 
 KMER = 12
 #: Entries that a task gathers before it sorts and sends them.
@@ -367,7 +367,7 @@ def _runs(doc: np.ndarray, copy: np.ndarray, first: np.ndarray) -> pa.RecordBatc
 
 def _cut(rows: DataFrame, length: int, place: int) -> DataFrame:
     """rows: row (the caller's columns, the text at `place`) and covered: array<struct<first, number>>; null: none."""
-    out = f"row {rows.schema['row'].dataType.simpleString()}, kept_bytes binary, n_bytes long, n_removed long, n_spans long"
+    out = with_fields(rows.sparkSession, [rows.schema["row"]], "kept_bytes binary, n_bytes long, n_removed long, n_spans long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from ladle.sources.scratch import discard, written
 
-__all__ = ["bounded_batches", "bounded_sample", "discard", "held_out", "lower", "map_batches", "mix", "quoted", "shingle_sets", "slice_hashes", "steps", "table", "text_bytes", "words_of", "written"]
+__all__ = ["bounded_batches", "bounded_sample", "discard", "held_out", "lower", "map_batches", "mix", "quoted", "shingle_sets", "slice_hashes", "steps", "table", "text_bytes", "with_fields", "words_of", "written"]
 
 #: Bytes of text that one vectorised step works on; longer documents are a step of their own.
 STEP_BYTES = 1 << 20
@@ -44,6 +44,11 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def with_fields(spark: SparkSession, fields: Iterable[T.StructField], new: str) -> T.StructType:
+    """The schema of fields, whatever they and what they hold are called, and of the columns of `new` (a schema as a string)."""
+    return T.StructType([T.StructField(f.name, f.dataType) for f in [*fields, *spark.createDataFrame([], new).schema]])
+
+
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], kept: list[str], new: str) -> DataFrame:
     """df.mapInArrow for columns of any names: run gives the columns `kept` of df, then those of `new` (a schema as a string).
 

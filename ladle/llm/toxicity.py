@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import bounded_sample, discard, held_out, steps, table, text_bytes, written
+from .shared import bounded_sample, discard, held_out, map_batches, quoted, steps, table, text_bytes, written
 
 _WORDS = re.compile(r"\w+")
 #: Letters of the beginnings that are features beside the whole words, as n-grams of some lengths are elsewhere.
@@ -281,9 +281,8 @@ def scan(docs: DataFrame, model: Model, text_col: str = "text", score_col: str =
     """
     keep = docs.drop("surprise", score_col, "passages")
     names = keep.columns
-    others = [f for f in keep.schema if f.name != text_col]
+    others = [c for c in names if c != text_col]
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    out = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in others] + ["surprise double", f"`{score_col}` double", f"passages {PASSAGES}"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(shared.value)
@@ -295,9 +294,9 @@ def scan(docs: DataFrame, model: Model, text_col: str = "text", score_col: str =
                 surprise = np.array([s for s, _ in found])
                 score = 1 / (1 + np.exp(-np.clip(scanner.model.slope * np.sqrt(surprise) + scanner.model.level, -30, 30)))
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*(part.column(names.index(f.name)) for f in others), pa.array(surprise), pa.array(score), pa.array([p for _, p in found], kind)], names=[*(f.name for f in others), "surprise", score_col, "passages"])
+                yield pa.RecordBatch.from_arrays([*(part.column(names.index(c)) for c in others), pa.array(surprise), pa.array(score), pa.array([p for _, p in found], kind)], names=[*others, "surprise", score_col, "passages"])
 
-    return keep.mapInArrow(run, out)
+    return map_batches(keep, run, others, f"surprise double, {quoted(score_col)} double, passages {PASSAGES}")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

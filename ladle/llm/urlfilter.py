@@ -15,7 +15,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table, text_bytes
+from .shared import map_batches, table, text_bytes
 
 ALLOW, BLOCK = "allow", "block"
 #: (verdict, rule): a host and the beginning of a path, as host/path.
@@ -131,7 +131,6 @@ def judge(pages: DataFrame, url_col: str = "url", rules: list[tuple[str, str]] =
     ready = keep.select(*(F.col(_sql(c)) for c in keep.columns if c != url_col), F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("host"), path.alias("path"))
     machine = automaton([rule_pattern(r) for _, r in rules] + [glob_pattern(g) for g in globs])
     names = ready.columns
-    out = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in ready.schema] + ["rule string", "verdict string"])
     ranked = sorted(range(len(rules)), key=lambda k: (-len(rules[k][1]), k))
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +145,7 @@ def judge(pages: DataFrame, url_col: str = "url", rules: list[tuple[str, str]] =
             verdict = [rules[k][0] if k >= 0 else BLOCK if x else ALLOW for k, x in zip(rule.tolist(), blocked.tolist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([rules[k][1] if k >= 0 else None for k in rule.tolist()], pa.string()), pa.array(verdict, pa.string())], names=[*names, "rule", "verdict"])
 
-    return ready.mapInArrow(match, out)
+    return map_batches(ready, match, names, "rule string, verdict string")
 
 
 def _sql(name: str) -> str:

@@ -483,6 +483,22 @@ def test_clashing_columns(spark):
     assert neardup.near_duplicates(docs).where("kept").count() == 3
 
 
+def test_odd_names(spark):
+    """Names with spaces, backticks and dots, of columns and of fields within them, come through unchanged."""
+    text = words(random.Random(12), 40)
+    odd = ["my col", "back`tick", "a.b", "x, y int"]
+    inner = F.struct(F.lit(1).alias("a b"), F.array(F.struct(F.lit("z").alias("c`d"))).alias("e.f")).alias("nested")
+    docs = spark.createDataFrame([(1, text), (2, text), (3, None), (None, "x")], "doc_id long, text string").select("doc_id", "text", inner, *(F.lit(c).alias(c) for c in odd))
+    scored = quality.with_statistics(docs)
+    fitted = quality.fit(quality.with_statistics(docs.withColumn("label", F.col("doc_id") % 2)), "label")
+    outs = [repeats.remove_repeats(docs), licenses.with_licenses(docs), bpe.decode(bpe.encode(docs, RANKS, ids_col="my ids"), RANKS, ids_col="my ids", out_col="my`bytes"), langid.predict(docs, langid.fit(docs.withColumn("lang", F.lit("aa")))), toxicity.scan(docs, toxicity.Model({"w1": 3.0}), score_col="my score"), quality.with_score(scored, None), quality.with_score(scored, fitted), urlfilter.judge(docs, "text")]
+    for out in outs:
+        rows = out.collect()
+        assert len(rows) == 4, out.columns
+        for r in rows:
+            assert all(r[c] == c for c in odd) and r["nested"]["a b"] == 1 and r["nested"]["e.f"][0]["c`d"] == "z"
+
+
 def test_ties_and_repeated_rows(spark):
     rng = random.Random(13)
     a, b = words(rng, 30), words(rng, 30)
