@@ -10,13 +10,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import discard, table, written
+from .shared import table, written
 
 _GAPS = re.compile(r"[\W_]+")
 #: Items are matched in blocks of about so many characters, so that a task's automaton stays small however many items there are.
@@ -207,16 +208,21 @@ def with_matches(docs: DataFrame, items: DataFrame, text_col: str = "text", item
     blocks = chars // BLOCK_CHARS + 1
     block_of = F.pmod(F.xxhash64("i", "t"), F.lit(blocks))
     keep = docs.drop(out_col)
-    rows = keep.select(F.struct(*(F.col(_quoted(c)) for c in keep.columns)).alias("row"), F.array().cast(MATCHES).alias("found"))
-    for block in range(blocks):
-        wanted = [(r["i"], n) for r in given.where(block_of == block).orderBy("i", "t").collect() if (n := normalised(r["t"]))]
-        done = rows
-        rows = _with_block(rows, wanted, keep.columns.index(text_col), percent)
-        if block < blocks - 1:  # a pass ends before the next one's automaton is built
-            rows = written(rows)
-            if block:
-                discard(done)
-    return rows.select("row.*", F.col("found").alias(out_col))
+    row = F.struct(*(F.col(_quoted(c)) for c in keep.columns)).alias("row")
+    place = keep.columns.index(text_col)
+
+    def wanted(block: int) -> list[tuple[int, str]]:
+        return [(r["i"], n) for r in given.where(block_of == block).orderBy("i", "t").collect() if (n := normalised(r["t"]))]
+
+    if blocks == 1:
+        found = _with_block(keep.select(row), wanted(0), place, percent)
+        return found.select("row.*", F.col("found").alias(out_col))
+    # Rows are written once, with a number; the passes write what they find, and no text.
+    rows = written(keep.select(row, F.monotonically_increasing_id().alias("number")))
+    texts = rows.select(F.struct(F.col("row")[text_col].alias("text")).alias("row"), "number").where(F.col("row.text").isNotNull())
+    passes = [written(_with_block(texts, wanted(block), 0, percent).where(F.size("found") > 0).select("number", "found")) for block in range(blocks)]
+    matches = reduce(DataFrame.union, passes).groupBy("number").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("found"))
+    return rows.join(matches, "number", "left").select("row.*", F.coalesce("found", F.array().cast(MATCHES)).alias(out_col))
 
 
 def _quoted(name: str) -> str:
@@ -224,19 +230,20 @@ def _quoted(name: str) -> str:
 
 
 def _with_block(rows: DataFrame, block: list[tuple[int, str]], place: int, percent: int) -> DataFrame:
-    """rows (row, with the text at `place`, and found) with the block's matches added to found."""
+    """rows (row, with the text at `place`, and what else they have) with the block's matches as found."""
     shared = rows.sparkSession.sparkContext.broadcast(block)  # about BLOCK_CHARS characters
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
+    schema = rows.withColumn("found", F.array().cast(MATCHES)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(shared.value, percent)
         for batch in batches:
             for a in range(0, batch.num_rows, 1000):
                 part = batch.slice(a, 1000)
-                found = [before + [dict(zip(("item_id", "distance", "start", "end"), m)) for m in matcher.match(normalised(t))] if t else before for t, before in zip(part.column(0).field(place).to_pylist(), part.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, kind)], names=["row", "found"])
+                found = [[dict(zip(("item_id", "distance", "start", "end"), m)) for m in matcher.match(normalised(t))] if t else [] for t in part.column(0).field(place).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, kind)], names=schema.names)
 
-    return rows.mapInArrow(run, rows.schema)
+    return rows.mapInArrow(run, schema)
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -405,6 +405,14 @@ def test_decontamination_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 300)
     assert {r["doc_id"]: {m["item_id"] for m in r["matches"]} for r in decontaminate.with_matches(df, table).collect()} == whole
     assert all({i, (i + 5) % 12} == found for i, found in whole.items())
+    # Null, empty and repeated rows, null ids and columns of any names are the same with one block and with many.
+    odd = [(i, t, "x", i) for i, t in rows] + [(3, rows[3][1], "x", 3), (None, rows[4][1], "y", 1), (50, None, "z", 2), (51, "", "z", 2)]
+    df = spark.createDataFrame(odd, ["number", "a `b`", "row", "found"])
+    many = decontaminate.with_matches(df, table, text_col="a `b`")
+    monkeypatch.undo()
+    one = decontaminate.with_matches(df, table, text_col="a `b`")
+    assert many.columns == one.columns == ["number", "a `b`", "row", "found", "matches"]
+    assert sorted(map(repr, many.collect())) == sorted(map(repr, one.collect()))
 
 
 def exact_licenses(text, templates, least=0.8):
