@@ -17,7 +17,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import bounded_sample, held_out, map_batches, quoted, steps, table, text_bytes
+from .shared import bounded_sample, frugal, held_out, map_batches, quoted, steps, table, text_bytes
 
 UNDETERMINED = "und"
 LONGEST = 5
@@ -76,7 +76,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         if found:
             yield out()
 
-    counts = sample.mapInArrow(count, "lang string, n int, token string, c long").groupBy("lang", "n", "token").agg(F.sum("c").alias("c")).toArrow()
+    counts = sample.mapInArrow(frugal(count), "lang string, n int, token string, c long").groupBy("lang", "n", "token").agg(F.sum("c").alias("c")).toArrow()
     languages = sorted(counts["lang"].unique().to_pylist())
     column = pa.compute.index_in(counts["lang"], pa.array(languages, pa.string())).to_numpy()
     n, c = counts["n"].to_numpy(), counts["c"].to_numpy()

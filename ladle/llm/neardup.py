@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ladle.operators.similarity import components
 
-from .shared import discard, mix, shingle_sets, steps, table, text_bytes, written
+from .shared import discard, frugal, mix, shingle_sets, steps, table, text_bytes, written
 
 #: A band of ROWS bins agrees with probability J^ROWS; of BANDS bands none does with (1 - J^ROWS)^BANDS: at J = 0.8 0.000003.
 ROWS, BANDS = 6, 42
@@ -93,7 +93,7 @@ def _sketched(docs: DataFrame, width: int) -> DataFrame:
                 ends = np.arange(len(sets) + 1, dtype=np.int32) * BANDS
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel())), pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * LONGS), pa.array(bitmaps(sets).ravel()))], names=["id", "n", "same", "bands", "bits"])
 
-    return docs.mapInArrow(run, "id long, n long, same binary, bands array<long>, bits array<long>")
+    return docs.mapInArrow(frugal(run), "id long, n long, same binary, bands array<long>, bits array<long>")
 
 
 def _texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
@@ -127,7 +127,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> D
                         good.append(i)
             yield pa.RecordBatch.from_arrays([pa.array([left[i] for i in good], pa.int64()), pa.array([right[i] for i in good], pa.int64())], names=["a", "b"])
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(frugal(run), "a long, b long")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -140,7 +140,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
                 sets = shingle_sets(data[offsets[s] : offsets[e]], offsets[s : e + 1] - offsets[s], width)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(s, e - s), pa.array([x.tobytes() for x in sets], pa.binary())], names=["id", "hashes"])
 
-    return docs.select("id", "text").mapInArrow(run, "id long, hashes binary")
+    return docs.select("id", "text").mapInArrow(frugal(run), "id long, hashes binary")
 
 
 def common_counts(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4096) -> np.ndarray:

@@ -34,11 +34,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import lanes, mix, slice_hashes, steps, table, text_bytes, with_fields, written
+from .shared import frugal, lanes, mix, slice_hashes, steps, table, text_bytes, with_fields, written
 
 KMER = 12
 #: Entries that a task gathers before it sorts and sends them.
 GATHERED = 300_000
+#: Bytes of text whose contexts are found in one step, some thirty numbers for each byte.
+CONTEXT_BYTES = 1 << 17
 #: A k-mer with more contexts than this in one task: all its contexts are asked for.
 CROWDED = 1000
 #: Entries that one range of hashes holds, about; a task judges one range after the other. HELD: entries at which it sheds those
@@ -202,7 +204,7 @@ def _send_contexts(texts: DataFrame, length: int, count: int) -> DataFrame:
         for batch in batches:
             docs, copies = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             offsets, data = text_bytes(batch.column(2))
-            for a, b in steps(offsets, 1 << 19):
+            for a, b in steps(offsets, CONTEXT_BYTES):
                 found = contexts(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], length)
                 row = found.pop("row") + a
                 gathered.append(found | {"doc": docs[row], "copy": copies[row], "text": row + texts_seen})
@@ -212,7 +214,7 @@ def _send_contexts(texts: DataFrame, length: int, count: int) -> DataFrame:
         if gathered:
             yield from out()
 
-    return texts.mapInArrow(run, _BLOBS)
+    return texts.mapInArrow(frugal(run), _BLOBS)
 
 
 def _judge_contexts(blobs: DataFrame) -> DataFrame:
@@ -265,7 +267,7 @@ def _judge_contexts(blobs: DataFrame) -> DataFrame:
                     yield from shed()
         yield from finish()
 
-    return blobs.mapInArrow(run, _CODES)
+    return blobs.mapInArrow(frugal(run), _CODES)
 
 
 def _send_windows(rows: DataFrame, length: int, text_at: int, count: int) -> DataFrame:
@@ -311,7 +313,7 @@ def _send_windows(rows: DataFrame, length: int, text_at: int, count: int) -> Dat
         if gathered:
             yield from out()
 
-    return rows.mapInArrow(run, _BLOBS)
+    return rows.mapInArrow(frugal(run), _BLOBS)
 
 
 def _judge_windows(blobs: DataFrame) -> DataFrame:
@@ -345,7 +347,7 @@ def _judge_windows(blobs: DataFrame) -> DataFrame:
                     yield from shed()
         yield from shed()
 
-    return blobs.mapInArrow(run, _CODES)
+    return blobs.mapInArrow(frugal(run), _CODES)
 
 
 def _by_range(blobs: DataFrame, count: int, parts: int) -> DataFrame:
@@ -394,7 +396,7 @@ def _cut(rows: DataFrame, length: int, place: int) -> DataFrame:
                 kept = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(rest))])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), kept, *(pa.array(x, pa.int64()) for x in (size, removed, spans))], names=["row", "kept_bytes", "n_bytes", "n_removed", "n_spans"])
 
-    return rows.select("row", "covered").mapInArrow(run, out)
+    return rows.select("row", "covered").mapInArrow(frugal(run), out)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Callable, Iterable, Iterator
 
@@ -13,7 +14,7 @@ from pyspark.sql import types as T
 
 from ladle.sources.scratch import discard, written
 
-__all__ = ["bounded_batches", "bounded_sample", "discard", "held_out", "lower", "map_batches", "mix", "quoted", "shingle_sets", "slice_hashes", "steps", "table", "text_bytes", "with_fields", "words_of", "written"]
+__all__ = ["bounded_batches", "bounded_sample", "discard", "frugal", "held_out", "lower", "map_batches", "mix", "quoted", "shingle_sets", "slice_hashes", "steps", "table", "text_bytes", "with_fields", "words_of", "written"]
 
 #: Bytes of text that one vectorised step works on; longer documents are a step of their own.
 STEP_BYTES = 1 << 20
@@ -49,6 +50,25 @@ def with_fields(spark: SparkSession, fields: Iterable[T.StructField], new: str)
     return T.StructType([T.StructField(f.name, f.dataType) for f in [*fields, *spark.createDataFrame([], new).schema]])
 
 
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, followed by the return of freed memory to the system.
+
+    Spark keeps its Python workers between tasks, and with them what their allocators hold,
+    which counts against the executor while others of its tasks run.
+    """
+
+    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+            if trim:
+                trim(0)
+
+    return out
+
+
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], kept: list[str], new: str) -> DataFrame:
     """df.mapInArrow for columns of any names: run gives the columns `kept` of df, then those of `new` (a schema as a string).
 
@@ -63,7 +83,7 @@ def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterato
             yield batch.rename_columns(schema.names)
 
     placed = df.select(*(F.col(quoted(c)).alias(f"_{k}") for k, c in enumerate(df.columns)))
-    out = placed.mapInArrow(named, schema)
+    out = placed.mapInArrow(frugal(named), schema)
     return out.select(*(F.col(f"_{k}").alias(c) for k, c in enumerate([*kept, *(f.name for f in added)])))
 
 
