@@ -84,3 +84,13 @@ def test_all_tags_without_filter(spark):
     tags = spark.createDataFrame([(1, "spice", "hot")], "recipe_id long, dimension string, tag_value string")
     assert J.all_tags(recipes, tags, {}).count() == 2
     assert [r[0] for r in J.all_tags(recipes, tags, {"spice": ["hot"]}).collect()] == [1]
+
+
+def test_whole_days_count_parts_of_seconds(spark):
+    from pyspark.sql import functions as F
+
+    from ladle.functions import text as T
+
+    rows = [("2024-01-30 00:00:00.000001", 0), ("2024-01-30 00:00:00", 1), ("2024-01-29 23:59:59.999999", 1), ("2024-01-31 00:00:00.5", -1), ("2024-02-01 00:00:00", -1)]
+    df = spark.createDataFrame([(s,) for s, _ in rows], "s string").select(T.whole_days(F.col("s").cast("timestamp_ntz"), F.lit("2024-01-31").cast("timestamp_ntz")).alias("d"))
+    assert [r["d"] for r in df.collect()] == [d for _, d in rows]
