@@ -90,7 +90,8 @@ FROM ingredients i JOIN master m ON m.ingredient_id = i.ingredient_id WHERE NOT
 """)
 def parse_ingredient(t):
     text = F.concat(c("quantity").cast("int").cast("string"), F.lit(" "), c("unit"), F.lit(" "), c("standard_name"), F.lit(", chopped"))
-    return t.ingredients.join(t.master, "ingredient_id").where("NOT contains(standard_name, 'small') AND NOT contains(standard_name, 'large')").select("recipe_id", "line", T.parse_ingredient(text).alias("p")).select("recipe_id", "line", "p.*")
+    lines = t.ingredients.join(t.master, "ingredient_id").where("NOT contains(standard_name, 'small') AND NOT contains(standard_name, 'large')").select("recipe_id", "line", text.alias("text"))
+    return T.parsed_lines(lines, "text")
 
 
 @query("recipe_text", """

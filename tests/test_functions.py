@@ -94,3 +94,19 @@ def test_whole_days_count_parts_of_seconds(spark):
     rows = [("2024-01-30 00:00:00.000001", 0), ("2024-01-30 00:00:00", 1), ("2024-01-29 23:59:59.999999", 1), ("2024-01-31 00:00:00.5", -1), ("2024-02-01 00:00:00", -1)]
     df = spark.createDataFrame([(s,) for s, _ in rows], "s string").select(T.whole_days(F.col("s").cast("timestamp_ntz"), F.lit("2024-01-31").cast("timestamp_ntz")).alias("d"))
     assert [r["d"] for r in df.collect()] == [d for _, d in rows]
+
+
+def test_parsed_lines_as_parsed_one_by_one(spark, monkeypatch):
+    """Each text is parsed once, however many lines have it; lines without text stay."""
+    from pyspark.sql import functions as F
+
+    from ladle.functions import text as T
+    from ladle.sources import scratch
+
+    sizes, keep = [], scratch.written
+    monkeypatch.setattr(scratch, "written", lambda df: sizes.append(keep(df)) or sizes[-1])
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(["2 cups rice, cooked", "1 kg salt", "2 cups rice, cooked", None, ""] * 3)], "line int, text string")
+    want = df.select("line", T.parse_ingredient(F.col("text")).alias("p")).select("line", "p.*")
+    got = T.parsed_lines(df, "text")
+    assert got.columns == want.columns and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    assert sizes[0].count() == 4

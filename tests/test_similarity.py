@@ -67,3 +67,26 @@ def test_labels_in_batches_are_those_of_all(spark):
         labels = M.merge_components(labels, spark.createDataFrame(batch, "a long, b long"))
     got = [tuple(r) for r in labels.collect()]
     assert set(got) == want and len(got) == len(want)
+
+
+def test_nearest_in_small_blocks_with_copies(spark):
+    """Blocks of any size give what one matrix gives; of equal scores the smallest ids count."""
+    import numpy as np
+
+    from ladle.operators import similarity as M
+
+    rng = np.random.default_rng(3)
+    base = rng.integers(-1, 2, (60, 4)).astype(float)  # many exact copies
+    base[0] = [1, 1, 1, 1]
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(base)]
+    df = spark.createDataFrame(rows, "id long, vector array<double>")
+    unit = base / np.maximum(np.linalg.norm(base, axis=1, keepdims=True), 1e-300)
+    cos = np.round(unit @ unit.T, 12)
+    want = {(q, i) for q in range(60) for i in [i for i in np.lexsort((np.arange(60), -cos[q])) if i != q and cos[q, i] >= 0.3 - 1e-12][:5]}
+    for query_block, block in ((8000, 100_000), (20, 25)):
+        hits = M.top_matches(df.withColumnRenamed("id", "query_id"), df, 5, 0.3, query_block=query_block, block=block).collect()
+        assert sorted(round(cos[r["query_id"], r["id"]], 9) for r in hits) == sorted(round(cos[q, i], 9) for q, i in want)
+    for block in (1000, 17):
+        got = M.all_cosines(df, block).collect()
+        assert {(r["i"], r["j"]) for r in got} == {(i, j) for i in range(60) for j in range(i + 1, 60)} and len(got) == 60 * 59 // 2
+        assert all(abs(r["cos"] - cos[r["i"], r["j"]]) < 1e-9 for r in got)
