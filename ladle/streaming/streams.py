@@ -181,6 +181,7 @@ def affinity_state(signals: DataFrame, idle: int | None = None) -> DataFrame:
 
 TABLES = {"recipes": "recipe_id long, title string, tier string, total_time int", "ingredients": "recipe_id long, line int, original_text string, quantity double, unit string, item string", "steps": "recipe_id long, step int, instruction string, minutes int", "tags": "recipe_id long, dimension string, tag_value string", "similar": "a long, b long, score double"}
 _TITLES = "t string, class_id long"
+_RESTS = "t string, longer int, whole boolean, rest string"
 _PIECES = "t string, n int, k int, at int, size int, piece string"
 
 
@@ -193,14 +194,16 @@ def incremental_recipes(spark: SparkSession, folder: str, files: int = 1000, lea
 
     similar links classes of equal titles (a class is named by the first recipe that had its
     title), and each further recipe of a title with its class at 1. Former titles are looked up,
-    not read: by the buckets of their hashes for equal ones, and for similar ones in an index of
-    pieces, of which a batch reads the buckets that its own titles' substrings fall into.
+    not read: by the buckets of their hashes for equal ones, and for similar ones in indexes of
+    rests (of short titles) and pieces (of longer ones), of which a batch reads the buckets that
+    its own titles' rests and substrings fall into.
     """
     from ladle.functions.text import normalize_title
     from ladle.operators.extract import QUARANTINE, build_with_attempts, page_tags
-    from ladle.operators.similarity import cut_pieces, score_strings, similar_strings, substrings
+    from ladle.operators.similarity import cut_pieces, longish, rest_keys, score_rests, score_strings, short_letters, similar_strings, substrings
 
     base = scratch_path(spark, "pages")
+    short = short_letters(least)
 
     def former(table: str, schema: str, number: int) -> DataFrame:
         if not number:
@@ -222,11 +225,12 @@ def incremental_recipes(spark: SparkSession, folder: str, files: int = 1000, lea
         had = own.join(known, ["bucket", "t"], "left").withColumn("class_id", F.coalesce("class_id", F.min("recipe_id").over(Window.partitionBy("t")))).join(known.select("bucket", "t", F.lit(True).alias("old")), ["bucket", "t"], "left")
         had = save(had.select("recipe_id", "t", "class_id", F.col("old").isNotNull().alias("old")), "own", number)
         new = save(had.where("NOT old").select("t", "class_id").distinct().withColumn("bucket", bucket("t")), "titles", number, "bucket").drop("bucket")
-        pieces = save(cut_pieces(new.select("t"), least).withColumn("bucket", bucket("piece")), "pieces", number, "bucket")
+        rests = save(rest_keys(new.select("t"), least, short).withColumn("bucket", bucket("rest")), "rests", number, "bucket")
+        pieces = save(cut_pieces(longish(new.select("t"), least, short), least).withColumn("bucket", bucket("piece")), "pieces", number, "bucket")
         inner = similar_strings(new.select("t"), least)
         sizes = former("sizes", "size int", number)
-        asked = substrings(new.select(F.col("t").alias("u"), F.length("t").alias("m")), sizes.distinct()).withColumn("bucket", bucket("piece"))
-        across = score_strings(former("pieces", f"{_PIECES}, bucket int", number), asked, least, on=["bucket", "piece"])
+        asked = substrings(longish(new.select("t"), least, short).select(F.col("t").alias("u"), F.length("t").alias("m")), sizes.distinct()).withColumn("bucket", bucket("piece"))
+        across = score_strings(former("pieces", f"{_PIECES}, bucket int", number), asked, least, on=["bucket", "piece"], short=short).union(score_rests(former("rests", f"{_RESTS}, bucket int", number), rests, least, ("bucket",)))
         save(pieces.select("size").distinct(), "sizes", number)
         classes = new.union(former("titles", f"{_TITLES}, bucket int", number).drop("bucket")) if number else new
         named = inner.union(across).join(classes.withColumnRenamed("class_id", "x"), "t").join(classes.select(F.col("t").alias("u"), F.col("class_id").alias("y")), "u")

@@ -90,3 +90,19 @@ def test_nearest_in_small_blocks_with_copies(spark):
         got = M.all_cosines(df, block).collect()
         assert {(r["i"], r["j"]) for r in got} == {(i, j) for i in range(60) for j in range(i + 1, 60)} and len(got) == 60 * 59 // 2
         assert all(abs(r["cos"] - cos[r["i"], r["j"]]) < 1e-9 for r in got)
+
+
+def test_short_titles_with_a_common_beginning(spark):
+    short = M.short_letters(0.85)
+    titles = [f"{word} {i}" for word in ("dish", "manual") for i in range(96000, 96300, 2)] + ["manual 9600", "dish 960001", "dish", "a long title of many words 1", "a long title of many words 2", "a long title with many words", "nineteen letters it", "nineteen letters its", "nineteen lettersit"]
+    assert 13 <= short <= 19 < max(map(len, titles))
+    strings = spark.createDataFrame([(x,) for x in titles], "t string")
+    met = M.rest_keys(strings, 0.85, short)
+    pairs = met.alias("x").join(met.alias("y"), ["longer", "rest"]).where("x.t < y.t").select("x.t", "y.t").distinct().count()
+    assert pairs < len(titles) ** 2 / 2 / 10  # a piece such as "dish " makes nearly half of them meet
+    for other in (None, strings.where("t LIKE '%2'")):
+        ours = {(r["t"], r["u"]): r["score"] for r in M.similar_strings(strings, 0.85, against=other).collect()}
+        some = titles if other is None else [x for x in titles if x.endswith("2")]
+        want = spark.createDataFrame(sorted({(min(x, y), max(x, y)) for x in titles for y in some if x != y}), "t string, u string").selectExpr("t", "u", "1 - levenshtein(t, u) / greatest(length(t), length(u)) AS score").where("score >= 0.85 - 1e-12")
+        want = {(r["t"], r["u"]): r["score"] for r in want.collect()}
+        assert ours.keys() == want.keys() and all(abs(ours[k] - want[k]) < 1e-9 for k in want) and len(want) > 100
