@@ -106,3 +106,25 @@ def test_short_titles_with_a_common_beginning(spark):
         want = spark.createDataFrame(sorted({(min(x, y), max(x, y)) for x in titles for y in some if x != y}), "t string, u string").selectExpr("t", "u", "1 - levenshtein(t, u) / greatest(length(t), length(u)) AS score").where("score >= 0.85 - 1e-12")
         want = {(r["t"], r["u"]): r["score"] for r in want.collect()}
         assert ours.keys() == want.keys() and all(abs(ours[k] - want[k]) < 1e-9 for k in want) and len(want) > 100
+
+
+@pytest.mark.parametrize("weight, few", [(0.3, True), (0.5, False)])
+def test_sets_are_compared_where_they_can_matter(spark, weight, few):
+    rng = random.Random(5)
+    sets = {i: rng.sample(range(9), rng.randrange(3, 7)) for i in range(120)}
+    weights = {"title_fuzzy": 0.4, "ingredients": weight, "embedding": 0.3}
+    titles = spark.createDataFrame([(i, i - i % 3) for i in range(0, 24)], "id long, class_id long")
+    title_links = spark.createDataFrame([(0, 3, 0.9), (6, 21, 0.86)], "a long, b long, score double")
+    near = spark.createDataFrame([(5, 100, 0.7), (101, 102, 0.5)], "a long, b long, score double")
+    rows = spark.createDataFrame([(i, x) for i, items in sets.items() for x in items], "id long, item long")
+    classes, every = M.set_classes(rows), M.similar_sets(rows)
+    some = M.useful_set_links(classes, titles, near, weights, 0.3)
+    assert (some.count() < every.count() / 4) == few
+    got, want = ({(r["id"], r["other"], round(r["score"], 9)) for r in M.best_matches(titles, title_links, classes.select("id", "class_id"), links, near, weights, 0.3).collect()} for links in (some, every))
+    assert got == want and len(got) > 20
+
+
+def test_groups_around_one_id_need_no_rounds(spark, monkeypatch):
+    monkeypatch.setattr(M, "_spread", None)
+    stars = spark.createDataFrame([(10 * i, 10 * i + k) for i in range(5) for k in range(1, 9)], "a long, b long")
+    assert {(r["id"], r["component"]) for r in M.components(stars).collect()} == {(10 * i + k, 10 * i) for i in range(5) for k in range(9)}
