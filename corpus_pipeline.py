@@ -76,9 +76,9 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    coded = bpe.encode(docs.select("doc_id", "lang", "source", "n_chars", "text"), path).drop("text", "token_ends")
-    coded = coded.withColumn("n_tokens", F.size("token_ids").cast("long")).withColumn("ids_sha256", F.sha2(F.array_join("token_ids", " ").cast("binary"), 256))
-    return bpe.decode(coded, path).withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
+    coded = bpe.encode_decode(docs.select("doc_id", "lang", "source", "n_chars", "text"), path)
+    digests = {"n_tokens": F.size("token_ids").cast("long"), "ids_sha256": F.sha2(F.array_join("token_ids", " ").cast("binary"), 256), "decoded_sha256": F.sha2("decoded", 256)}
+    return coded.withColumns(digests).drop("decoded")
 
 
 STAGES = [("language ID", language), ("MinHash near-dedup", near_dedup), ("suffix-array dedup", repeated_passages), ("benchmark decontamination", benchmark_free), ("byte-level BPE", tokens)]

@@ -376,6 +376,25 @@ def encode(df: DataFrame, ranks_path: str, text_col: str = "text", ids_col: str
     return map_batches(keep, run, names, f"{quoted(ids_col)} array<int>, {quoted(ends_col)} array<int>")
 
 
+class Decoder:
+    """Bytes of ids, by the tokens of a rank file."""
+
+    def __init__(self, lines: bytes):
+        ranks = _ranks(lines)
+        tokens = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            tokens[rank] = token
+        self.sizes = np.array([len(t) for t in tokens], np.int64)
+        self.firsts = np.cumsum(self.sizes) - self.sizes
+        self.store = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def decode(self, ids: np.ndarray, begins: np.ndarray) -> pa.Array:
+        """A binary for each row, whose ids begin at begins (one more entry)."""
+        data = _gather(self.store, self.firsts[ids], self.sizes[ids])
+        ends = np.concatenate([[0], np.cumsum(self.sizes[ids])])[begins]
+        return pa.Array.from_buffers(pa.binary(), len(begins) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
 def decode(df: DataFrame, ranks_path: str, ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:
     """df with the bytes that the ids stand for; null ids give no bytes."""
     lines = _ranks_file(df.sparkSession, ranks_path)
@@ -383,27 +402,40 @@ def decode(df: DataFrame, ranks_path: str, ids_col: str = "token_ids", out_col:
     names = keep.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = _ranks(lines.value)
-        tokens = [b""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            tokens[rank] = token
-        sizes = np.array([len(t) for t in tokens], np.int64)
-        firsts = np.cumsum(sizes) - sizes
-        store = np.frombuffer(b"".join(tokens), np.uint8)
+        decoder = Decoder(lines.value)
         for batch in batches:
             column = batch.column(names.index(ids_col))
             offsets = np.concatenate([[0], np.cumsum(np.diff(column.offsets.to_numpy()))])
             flat = column.flatten().to_numpy(zero_copy_only=False)
             for a, b in steps(offsets, 1 << 19):
-                ids = flat[offsets[a] : offsets[b]]
-                data = _gather(store, firsts[ids], sizes[ids])
-                ends = np.concatenate([[0], np.cumsum(sizes[ids])])[offsets[a : b + 1] - offsets[a]]
-                values = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+                values = decoder.decode(flat[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, values], names=[*names, out_col])
 
     return map_batches(keep, run, names, f"{quoted(out_col)} binary")
 
 
+def encode_decode(df: DataFrame, ranks_path: str, text_col: str = "text", ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:
+    """df without its text, with token ids and the bytes that these stand for: encode and decode in one worker of a task, not two.
+
+    Steps are of 256 KB of text, as what a step holds is many times its text.
+    """
+    lines = _ranks_file(df.sparkSession, ranks_path)
+    keep = df.drop(ids_col, out_col)
+    names = keep.columns
+    kept = [n for n in names if n != text_col]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, decoder = Encoder(lines.value), Decoder(lines.value)
+        for batch in batches:
+            offsets, data = text_bytes(batch.column(names.index(text_col)))
+            for a, b in steps(offsets, 1 << 18):
+                ids, _, begins = encoder.encode(offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]])
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*(part.column(names.index(n)) for n in kept), _lists(ids, begins), decoder.decode(ids, begins)], names=[*kept, ids_col, out_col])
+
+    return map_batches(keep, run, kept, f"{quoted(ids_col)} array<int>, {quoted(out_col)} binary")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded; digests of the ids and of the bytes."""
     import public_tokenizers

@@ -205,6 +205,13 @@ def test_bpe_round_trip(docs, rows):
         assert (r["token_ends"] or [0])[-1] == len(text.encode())
 
 
+def test_bpe_in_one_worker(docs):
+    want = {r["doc_id"]: (r["token_ids"], r["decoded"]) for r in bpe.decode(bpe.encode(docs.limit(20), RANKS), RANKS).collect()}
+    both = bpe.encode_decode(docs.limit(20), RANKS)
+    assert {r["doc_id"]: (r["token_ids"], r["decoded"]) for r in both.collect()} == want and "text" not in both.columns
+    assert both._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
 def test_bpe_boundaries():
     tiktoken = pytest.importorskip("tiktoken")
     import numpy as np
