@@ -9,10 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
-from ladle.sources.scratch import scratch_path
+from ladle.sources.scratch import discard, scratch_path, written
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
-AFFINITY = "user_id long, key string, affinity double, confidence double, n long"
+SIGNALS = "user_id long, ts timestamp, event_id long, key string, boost boolean, signal double"
+AFFINITY = "user string, key string, affinity double, confidence double, n long"
 
 
 def read_events(spark: SparkSession, folder: str, name: str = "events.parquet") -> DataFrame:
@@ -125,47 +126,86 @@ def recipe_signals(events: DataFrame, tags: DataFrame, dwell: float = 3.0) -> Da
     A recipe that was cooked gives 0.4, 0.3 more if it would be made again, 0.2 less if not; a
     dwell of so many seconds gives 0.05, all else nothing. The key is the tag's dimension, but
     for cooked recipes' regions `region:` and the region. Of a recipe's tags of one dimension
-    the last counts (of equal ids the largest value).
+    the last counts (of equal ids the largest value). Events may be a stream or a table.
     """
-    last = tags.groupBy("recipe_id", "dimension").agg(F.max_by("tag_value", F.struct("tag_id", "tag_value")).alias("value"))
     again = F.when(F.col("again"), 0.3).when(~F.col("again"), -0.2).otherwise(0.0)
     told = events.withColumn("signal", F.when(F.col("cooked"), 0.4 + again).when(F.col("dwell") >= dwell, 0.05)).where("signal IS NOT NULL")
+    last = F.max_by("tag_value", F.struct("tag_id", "tag_value")).alias("value")
+    if events.isStreaming:
+        last = tags.groupBy("recipe_id", "dimension").agg(last)
+    else:
+        # Tables, so that their sizes are known; tags of recipes that no event names are dropped before rows are grouped.
+        named = written(told.select("recipe_id").distinct())
+        last = written(tags.join(named, "recipe_id", "left_semi").groupBy("recipe_id", "dimension").agg(last))
+        discard(named)
     key = F.when(F.col("cooked") & (F.col("dimension") == "region"), F.concat_ws(":", "dimension", "value")).otherwise(F.col("dimension"))
     return told.join(last, "recipe_id").select("user_id", "ts", "event_id", key.alias("key"), F.col("cooked").alias("boost"), "signal")
 
 
+def signals_by_batch(events: DataFrame, tags: DataFrame) -> DataFrame:
+    """recipe_signals of all there is in a stream of events, as a stream of the files that they are kept in.
+
+    A stream's own plan would group the tags of all recipes in every batch; here a batch looks
+    up those that its events name. Each batch has a folder of its own, named by its number,
+    which a replay overwrites; it ends before the files are read.
+    """
+    spark = events.sparkSession
+    base = scratch_path(spark, "signals")
+
+    def step(batch: DataFrame, number: int) -> None:
+        path = f"{base}/events/{number}"
+        batch.write.mode("overwrite").parquet(path)
+        # Read back outside the stream's session, in which Spark doesn't adapt plans to sizes.
+        told = spark.read.schema(batch.schema).parquet(path)
+        recipe_signals(told, tags).write.mode("overwrite").parquet(f"{base}/out/{number}")
+        discard(told)
+
+    events.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{base}/state").foreachBatch(step).start().awaitTermination()
+    return spark.readStream.schema(SIGNALS).parquet(f"{base}/out/*")
+
+
 class Affinities(StatefulProcessor):
-    """Per user a map from key to affinity, confidence and number of signals."""
+    """Per shard of users a map from user to what is known: by key affinity, confidence, number of signals and when it was written."""
 
     def __init__(self, idle_ms: int | None):
         self.idle_ms = idle_ms
 
     def init(self, handle) -> None:
-        self.known = handle.getMapState("affinities", "key string", "affinity double, confidence double, n long", self.idle_ms)
+        self.known = handle.getMapState("affinities", "user_id long", "known map<string, struct<affinity: double, confidence: double, n: long, written: long>>", self.idle_ms)
+
+    def recall(self, user: int | None, now: int) -> dict:
+        """What is known of a user, but for keys that were not written for too long."""
+        if not self.known.containsKey((user,)):
+            return {}
+        return {name: tuple(old) for name, old in self.known.getValue((user,))[0].items() if self.idle_ms is None or old[3] + self.idle_ms > now}
 
     def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
-        events = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        out = {}
-        for name, boost, signal in zip(events["key"], events["boost"], events["signal"]):
+        now = 0 if self.idle_ms is None else timer_values.getCurrentProcessingTimeInMs()
+        events = pd.concat(list(rows)).sort_values(["at", "event_id"])
+        known, out = {}, {}
+        for user, name, boost, signal in zip(events["user"], events["key"], events["boost"], events["signal"]):
+            if user not in known:
+                known[user] = self.recall(None if user is None else int(user), now)
             region = name.startswith("region:")
-            old = out.get(name) or (self.known.getValue((name,)) if self.known.containsKey((name,)) else None)
+            old = known[user].get(name)
             if old:
-                affinity, confidence, n = old
+                affinity, confidence, n, _ = old
                 most = 0.95 if region else 0.85
-                out[name] = (min(affinity + signal, 1.0), min(confidence + 0.05, most) if boost else confidence, n + 1)
+                new = (min(affinity + signal, 1.0), min(confidence + 0.05, most) if boost else confidence, n + 1, now)
             elif region:
-                out[name] = (min(0.5 + signal, 1.0), 0.65, 1)
+                new = (min(0.5 + signal, 1.0), 0.65, 1, now)
             else:
-                out[name] = (min(0.5 + signal, 1.0), 0.5 if boost else 0.3, 1)
-        for name, value in out.items():
-            self.known.updateValue((name,), value)
-        yield pd.DataFrame([(key[0], name, *value) for name, value in out.items()], columns=["user_id", "key", "affinity", "confidence", "n"])
+                new = (min(0.5 + signal, 1.0), 0.5 if boost else 0.3, 1, now)
+            known[user][name] = out[user, name] = new
+        for user, value in known.items():
+            self.known.updateValue((None if user is None else int(user),), (value,))
+        yield pd.DataFrame([(user, name, *value[:3]) for (user, name), value in out.items()], columns=["user", "key", "affinity", "confidence", "n"])
 
     def close(self) -> None:
         pass
 
 
-def affinity_state(signals: DataFrame, idle: int | None = None) -> DataFrame:
+def affinity_state(signals: DataFrame, idle: int | None = None, shard: int = 16) -> DataFrame:
     """Affinity per user and key after each batch, of a stream of recipe_signals; the state goes once it wasn't written for `idle` days.
 
     Affinity begins at 0.5, adds up the signals and stays within 1. Confidence: of regions
@@ -174,9 +214,18 @@ def affinity_state(signals: DataFrame, idle: int | None = None) -> DataFrame:
     batch signals count by time. The state is in RocksDB, which this sets for the session. idle
     is for streams that go on: a state that expires by the clock makes Spark run batch after
     batch, so that a trigger of all that is available doesn't end.
+
+    A call of the Python code and a look into the state cost the same for one row as for many,
+    so `shard` users with ids in a row share a call, and all keys of a user an entry. Ids go as
+    text, as numbers with nulls among them would lose digits on the way.
     """
     signals.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return signals.groupBy("user_id").transformWithStateInPandas(Affinities(None if idle is None else idle * 86_400_000), AFFINITY, "update", "None" if idle is None else "ProcessingTime")
+    user = F.col("user_id").cast("string").alias("user")
+    together = F.coalesce(F.floor(F.col("user_id") / shard).cast("string"), F.lit("")).alias("shard")
+    at = F.unix_micros(F.col("ts").cast("timestamp")).alias("at")
+    dealt = signals.select(together, user, at, "event_id", "key", "boost", "signal").groupBy("shard")
+    states = dealt.transformWithStateInPandas(Affinities(None if idle is None else idle * 86_400_000), AFFINITY, "update", "None" if idle is None else "ProcessingTime")
+    return states.select(F.col("user").cast("long").alias("user_id"), "key", "affinity", "confidence", "n")
 
 
 TABLES = {"recipes": "recipe_id long, title string, tier string, total_time int", "ingredients": "recipe_id long, line int, original_text string, quantity double, unit string, item string", "steps": "recipe_id long, step int, instruction string, minutes int", "tags": "recipe_id long, dimension string, tag_value string", "similar": "a long, b long, score double"}

@@ -50,6 +50,76 @@ def test_affinities_over_batches(spark, tmp_path):
     assert len(got) > len(last)  # several batches
 
 
+def test_signals_of_batches_look_up_the_recipes_that_they_name(spark, tmp_path):
+    schema = "user_id long, ts timestamp, event_id long, recipe_id long, cooked boolean, again boolean, dwell double"
+    tags = spark.createDataFrame([(r, d, f"{d}{r}{i}", i) for r in range(9) for d in ("texture", "region") for i in (2, 1)], "recipe_id long, dimension string, tag_value string, tag_id long")
+    rows = [(1, 1, 3, True, True, 0.0), (1, 2, 4, False, None, 9.0), (2, 3, 5, False, None, 1.0), (None, 4, 3, True, False, 0.0), (2, 5, None, True, None, 0.0)]
+    events = spark.createDataFrame(rows, "user_id long, event_id long, recipe_id long, cooked boolean, again boolean, dwell double").selectExpr("user_id", "timestamp_seconds(event_id) AS ts", "event_id", "recipe_id", "cooked", "again", "dwell")
+    static = St.recipe_signals(events, tags)
+    # Only recipes of events that tell something were looked up.
+    assert {r["recipe_id"] for r in spark.read.parquet(*static.inputFiles()).collect()} == {3, 4}
+    for number in (1, 3, 5):
+        events.where(f"event_id IN ({number}, {number - 1})").coalesce(1).write.mode("append").parquet(f"{tmp_path}/events")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/events")
+    got = St.run_once(St.signals_by_batch(stream, tags), "read").collect()
+    want = [(1, 1, "region:region32", True, 0.7), (1, 1, "texture", True, 0.7), (1, 2, "region", False, 0.05), (1, 2, "texture", False, 0.05), (None, 4, "region:region32", True, 0.2), (None, 4, "texture", True, 0.2)]
+    for found in (got, static.collect()):
+        assert sorted(((r["user_id"], r["event_id"], r["key"], r["boost"], round(r["signal"], 9)) for r in found), key=lambda r: r[1:3]) == want
+
+
+class CountedState(dict):
+    """Stands for a map state; counts what is asked of it."""
+
+    asked = 0
+
+    def containsKey(self, key):
+        self.asked += 1
+        return key in self
+
+    def getValue(self, key):
+        self.asked += 1
+        return self[key]
+
+    def updateValue(self, key, value):
+        self.asked += 1
+        self[key] = value
+
+
+class Clock:
+    def __init__(self, now):
+        self.now = now
+
+    def getCurrentProcessingTimeInMs(self):
+        return self.now
+
+
+def test_affinities_ask_the_state_a_few_times_a_user(spark):
+    state = CountedState()
+    affinities = St.Affinities(1000)
+    affinities.known = state
+    users, keys = ["-7", "9007199254740993", None], [f"region:{k}" for k in range(50)]
+
+    def batch(keys, now):
+        rows = [(u, i, i, k, True, 0.1) for i, k in enumerate(keys) for u in users]
+        (out,) = affinities.handleInputRows(("0",), iter([St.pd.DataFrame(rows, columns=["user", "at", "event_id", "key", "boost", "signal"])]), Clock(now))
+        return {(r.user, r.key): r.n for r in out.itertuples()}
+
+    assert set(batch(keys, 0).values()) == {1}
+    assert set(state) == {(-7,), (9007199254740993,), (None,)} and state.asked <= 3 * len(users)
+    # A key that isn't written for the time given begins anew, as if it were gone; the others go on.
+    assert set(batch(keys[:1], 900).values()) == {2}
+    assert {k: n for (u, k), n in batch(keys[:2], 1100).items() if u == "-7"} == {"region:0": 3, "region:1": 1}
+    assert state.asked <= 9 * len(users)
+
+
+def test_affinities_of_odd_users(spark, tmp_path):
+    ids = [2**53 + 1, -(2**53) - 1, 5, -1, None]
+    rows = spark.createDataFrame([(u, n, "texture", False, 0.05) for n in range(3) for u in ids], "user_id long, event_id long, key string, boost boolean, signal double")
+    rows.selectExpr("user_id", "timestamp_seconds(event_id) AS ts", "event_id", "key", "boost", "signal").coalesce(1).write.parquet(f"{tmp_path}/signals")
+    got = St.run_once(St.affinity_state(spark.readStream.schema(St.SIGNALS).parquet(f"{tmp_path}/signals")), "affinity", "update").collect()
+    assert {r["user_id"]: r["n"] for r in got} == dict.fromkeys(ids, 3) and len(got) == len(ids)
+
+
 def test_a_page_that_fails_three_times_is_left_out(spark):
     bare = '<h2 class="heading">Bare dish</h2>'
     pages = spark.createDataFrame([(1, "http://a/1", PAGE.format("Plain rice dish")), (2, "http://a/2", bare), (3, "http://a/3", "nothing"), (4, "http://a/4", bare)], "page_id long, url string, html string")
