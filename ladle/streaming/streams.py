@@ -237,8 +237,8 @@ _PIECES = "t string, n int, k int, at int, size int, piece string"
 def incremental_recipes(spark: SparkSession, folder: str, files: int = 1000, least: float = 0.85, buckets: int = 16) -> dict[str, DataFrame]:
     """Recipes, ingredients, steps, dietary tags, similar titles and the quarantine of the pages that haven't been read yet, each file once; files: how many make a batch at most.
 
-    A URL that a former batch had is skipped, and one that failed is tried again as often as the
-    quarantine allows. Every batch has folders of its own, named by its number: a batch that is
+    A URL that a former batch had is skipped, and a page that failed is tried again as often as the
+    quarantine allows, but no page of its URL with a larger id. Every batch has folders of its own, named by its number: a batch that is
     replayed overwrites what it wrote, and looks at former ones only.
 
     similar links classes of equal titles (a class is named by the first recipe that had its

@@ -152,3 +152,14 @@ def test_the_text_of_a_page_is_read_once(spark):
     built = X.build_recipes(pages, pages.where("false").select("url"))
     assert all("html" not in built[name]._jdf.queryExecution().optimizedPlan().toString() for name in built)
     assert [r["recipe_id"] for r in built["recipes"].collect()] == [1] and [r["page_id"] for r in built["rejects"].collect()] == [3]
+
+
+def test_of_equal_urls_the_smallest_id_counts_over_batches(spark, tmp_path):
+    bare = '<h2 class="heading">Bare dish</h2>'
+    folder = f"{tmp_path}/in"
+    batches = [[(3, "http://a/1", bare), (4, "http://a/2", bare), (5, "http://a/3", bare)], [(6, "http://a/1", PAGE.format("Plain rice dish")), (2, "http://a/2", PAGE.format("Lentil soup")), (5, "http://a/3", PAGE.format("Mended dish"))]]
+    for rows in batches:
+        spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.mode("append").parquet(f"{folder}/pages.parquet")
+    out = St.incremental_recipes(spark, folder, files=1)
+    assert {r["recipe_id"] for r in out["recipes"].collect()} == {2, 5}
+    assert [(r["page_id"], r["attempts"], r["failed"]) for r in out["quarantine"].collect()] == [(3, 1, False)]
