@@ -24,7 +24,8 @@ sorts 840 million suffixes for half a gigabyte; see the README for why it isn't
 from __future__ import annotations
 
 
-import io
+import json
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,27 +38,34 @@ from pyspark.sql import functions as F
 from .shared import frugal, lanes, mix, slice_hashes, steps, table, text_bytes, with_fields, written
 
 KMER = 12
-#: Entries that a task gathers before it sorts and sends them.
-GATHERED = 300_000
+#: Entries that a task gathers before it sorts and sends them: so many, or SENT for each range of hashes, so that what is sent
+#: at once for a range doesn't shrink as ranges grow in number, but MOST at most.
+GATHERED, SENT, MOST = 300_000, 2000, 2_000_000
 #: Bytes of text whose contexts are found in one step, some thirty numbers for each byte.
 CONTEXT_BYTES = 1 << 17
 #: A k-mer with more contexts than this in one task: all its contexts are asked for.
 CROWDED = 1000
 #: Entries that one range of hashes holds, about; a task judges one range after the other. HELD: entries at which it sheds those
 #: that are settled already.
-RANGE, HELD = 500_000, 2_000_000
+RANGE, HELD = 700_000, 2_000_000
 COVERED, ASKED = 0, 1
 
 
 def pack(**columns: np.ndarray) -> bytes:
-    out = io.BytesIO()
-    np.savez(out, **columns)
-    return zstandard.compress(out.getvalue(), 1)
+    """Arrays by name: what they are called and what they hold, then their bytes one after the other."""
+    head = json.dumps([(k, x.dtype.str, x.shape) for k, x in columns.items()]).encode()
+    return zstandard.compress(b"".join([len(head).to_bytes(4, "little"), head, *(np.ascontiguousarray(x).tobytes() for x in columns.values())]), 1)
 
 
 def unpack(blob: bytes) -> dict[str, np.ndarray]:
-    with np.load(io.BytesIO(zstandard.decompress(blob))) as found:
-        return {k: found[k] for k in found.files}
+    data = zstandard.decompress(blob)
+    at = 4 + int.from_bytes(data[:4], "little")
+    out = {}
+    for k, kind, shape in json.loads(data[4:at]):
+        size = math.prod(shape)
+        out[k] = np.frombuffer(data, np.uint8, size * np.dtype(kind).itemsize, at).copy().view(kind).reshape(shape)
+        at += size * np.dtype(kind).itemsize
+    return out
 
 
 def _low_planes(values: np.ndarray, count: int) -> dict[str, np.ndarray]:
@@ -133,7 +141,7 @@ def _ranges(keys: np.ndarray, count: int) -> np.ndarray:
 
 
 _BLOBS = "range int, blob binary"
-#: doc and copy (a hash of the text, which tells rows apart that repeat an id) name a row.
+#: doc and copy (a hash of the text, which tells rows apart that repeat an id; 0 where none does) name a row.
 _CODES = "doc long, copy int, first int, number int, kind int"
 
 
@@ -173,19 +181,51 @@ def _joined(parts: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
     return out
 
 
+class _Names:
+    """Ids and copies of the texts whose entries are being gathered; an entry holds its text's place here."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.before = 0
+
+    def add(self, docs: np.ndarray, copies: np.ndarray) -> None:
+        self.before = sum(len(d) for d, _ in self.parts)
+        self.parts.append((docs, copies))
+
+    def sent(self) -> None:
+        """Entries were sent; those of the last texts may go on."""
+        self.parts, self.before = self.parts[-1:], 0
+
+    def all(self) -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate([d for d, _ in self.parts]), np.concatenate([c for _, c in self.parts])
+
+
+def _named(texts: np.ndarray, docs: np.ndarray, copies: np.ndarray) -> dict[str, np.ndarray]:
+    """The ids and copies of the texts of entries, each once, and where an entry finds its own."""
+    some, row = np.unique(texts, return_inverse=True)
+    return {"docs": _low_planes(docs[some], 8), "copies": copies[some], "row": row.astype(np.uint32 if len(some) > 65535 else np.uint16)}
+
+
+def _names_of(x: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return _from_planes(x["docs"]).view(np.int64)[x["row"]], x["copies"][x["row"]]
+
+
 def _blobs(ranges: list[int], blobs: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ranges, pa.int32()), pa.array(blobs, pa.binary())], names=["range", "blob"])
 
 
 def _send_contexts(texts: DataFrame, length: int, count: int) -> DataFrame:
     """texts: doc, copy, text."""
+    enough = min(max(GATHERED, SENT * count), MOST)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gathered: list[dict[str, np.ndarray]] = []
+        names = _Names()
 
         def out() -> Iterator[pa.RecordBatch]:
             e = _joined(gathered)
-            known = _above_first(e["kmer"], e["whole"], e["doc"])
+            docs, copies = names.all()
+            known = _above_first(e["kmer"], e["whole"], docs[e["text"]])
             kmers, at, number = np.unique(e["kmer"], return_inverse=True, return_counts=True)
             crowded = number > CROWDED
             asked = crowded[at] & ~known
@@ -196,21 +236,20 @@ def _send_contexts(texts: DataFrame, length: int, count: int) -> DataFrame:
                 i = order[bounds[r] : bounds[r + 1]]
                 s, k, a = i[~known[i] & ~asked[i]], i[known[i]], i[asked[i]]
                 both = np.concatenate([s, k, a])
-                _, some, row = np.unique(e["text"][both], return_index=True, return_inverse=True)
-                some = both[some]
-                yield _blobs([r], [pack(n=np.array([len(s), len(k), len(a)]), kmer=_low_planes(e["kmer"][s], 8), whole=_low_planes(e["whole"][s], 5), left=e["left"][s].astype(np.uint16), right=e["right"][s].astype(np.uint16), docs=e["doc"][some], copies=e["copy"][some], row=row.astype(np.uint32 if len(some) > 65535 else np.uint16), first=e["first"][both].astype(np.uint32), number=e["number"][both].astype(np.uint8 if length < 267 else np.uint32), wild=wild[wild_bounds[r] : wild_bounds[r + 1]])])
+                yield _blobs([r], [pack(n=np.array([len(s), len(k), len(a)]), kmer=_low_planes(e["kmer"][s], 8), whole=_low_planes(e["whole"][s], 5), left=e["left"][s], right=e["right"][s], **_named(e["text"][both], docs, copies), first=e["first"][both], number=e["number"][both], wild=wild[wild_bounds[r] : wild_bounds[r + 1]])])
+            names.sent()
 
-        texts_seen = 0
+        kinds = {"left": np.uint16, "right": np.uint16, "first": np.uint32, "number": np.uint8 if length < 267 else np.uint32}
         for batch in batches:
             docs, copies = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            names.add(docs, copies)
             offsets, data = text_bytes(batch.column(2))
             for a, b in steps(offsets, CONTEXT_BYTES):
                 found = contexts(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], length)
-                row = found.pop("row") + a
-                gathered.append(found | {"doc": docs[row], "copy": copies[row], "text": row + texts_seen})
-                if sum(len(g["doc"]) for g in gathered) > GATHERED:
+                text = (found.pop("row") + a + names.before).astype(np.int32)
+                gathered.append({k: x.astype(kinds.get(k, x.dtype)) for k, x in found.items()} | {"text": text})
+                if sum(len(g["text"]) for g in gathered) > enough:
                     yield from out()
-            texts_seen += batch.num_rows
         if gathered:
             yield from out()
 
@@ -258,7 +297,7 @@ def _judge_contexts(blobs: DataFrame) -> DataFrame:
                     here, wild = r, np.zeros(0, np.uint64)
                 x = unpack(blob.as_py())
                 n, k, a = x["n"].tolist()
-                doc, copy, first, number = x["docs"][x["row"]], x["copies"][x["row"]], x["first"], x["number"]
+                (doc, copy), first, number = _names_of(x), x["first"], x["number"]
                 if k + a:
                     yield _codes(doc[n:], copy[n:], first[n:], number[n:], np.repeat([COVERED, ASKED], [k, a]))
                 wild = np.union1d(wild, x["wild"])
@@ -272,26 +311,28 @@ def _judge_contexts(blobs: DataFrame) -> DataFrame:
 
 def _send_windows(rows: DataFrame, length: int, text_at: int, count: int) -> DataFrame:
     """rows: doc, copy, row (the caller's columns, the text at `text_at`), asked: array<struct<first, number>>."""
+    enough = min(max(GATHERED, SENT * count), MOST)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gathered: list[dict[str, np.ndarray]] = []
+        names = _Names()
 
         def out() -> Iterator[pa.RecordBatch]:
             e = _joined(gathered)
-            known = _above_first(e["high"], e["low"], e["doc"])
+            docs, copies = names.all()
+            known = _above_first(e["high"], e["low"], docs[e["text"]])
             order = np.argsort(e["high"], kind="stable")
             bounds = np.searchsorted(_ranges(e["high"][order], count), np.arange(count + 1))
             for r in np.flatnonzero(np.diff(bounds)).tolist():
                 i = order[bounds[r] : bounds[r + 1]]
                 s, k = i[~known[i]], i[known[i]]
                 both = np.concatenate([s, k])
-                _, some, row = np.unique(e["text"][both], return_index=True, return_inverse=True)
-                some = both[some]
-                yield _blobs([r], [pack(n=np.array([len(s), len(k)]), high=_low_planes(e["high"][s], 8), low=e["low"][s], docs=e["doc"][some], copies=e["copy"][some], row=row.astype(np.uint32 if len(some) > 65535 else np.uint16), first=e["first"][both].astype(np.uint32))])
+                yield _blobs([r], [pack(n=np.array([len(s), len(k)]), high=_low_planes(e["high"][s], 8), low=e["low"][s], **_named(e["text"][both], docs, copies), first=e["first"][both])])
+            names.sent()
 
-        texts_seen = 0
         for batch in batches:
             docs, copies = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            names.add(docs, copies)
             offsets, data = text_bytes(batch.column(2).field(text_at))
             asked = batch.column(3)
             for a, b in steps(offsets):
@@ -306,10 +347,9 @@ def _send_windows(rows: DataFrame, length: int, text_at: int, count: int) -> Dat
                 both = np.unique(row[each] << 40 | place)
                 row, place = both >> 40, both & ((1 << 40) - 1)
                 high, low = window_hashes(data[offsets[a] : offsets[b]], offsets[row] - offsets[a] + place, length)
-                gathered.append({"high": high, "low": low, "doc": docs[row], "copy": copies[row], "text": row + texts_seen, "first": place})
-                if sum(len(g["doc"]) for g in gathered) > GATHERED:
+                gathered.append({"high": high, "low": low, "text": (row + names.before).astype(np.int32), "first": place.astype(np.uint32)})
+                if sum(len(g["text"]) for g in gathered) > enough:
                     yield from out()
-            texts_seen += batch.num_rows
         if gathered:
             yield from out()
 
@@ -339,7 +379,7 @@ def _judge_windows(blobs: DataFrame) -> DataFrame:
                     here = r
                 x = unpack(blob.as_py())
                 n, k = x["n"].tolist()
-                doc, copy, first = x["docs"][x["row"]], x["copies"][x["row"]], x["first"].astype(np.int64)
+                (doc, copy), first = _names_of(x), x["first"].astype(np.int64)
                 if k:
                     yield _runs(doc[n:], copy[n:], first[n:])
                 found.append({"high": _from_planes(x["high"]), "low": x["low"], "doc": doc[:n], "copy": copy[:n], "first": first[:n]})
@@ -416,12 +456,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def ranges(entries: int | None) -> int:
-        return parts * max(-(-(entries or 0) // (parts * RANGE)), 1)
+        return max(-(-(entries or 0) // RANGE), parts)
 
     keep = docs.drop("kept_bytes", "n_bytes", "n_removed", "n_spans")
     # A null id becomes one that is never judged: a key that can be null would add a filter to one of the joins, and its shuffle.
     nobody = F.lit(-(2**63))
-    keyed = keep.select(F.coalesce(F.col(id_col).cast("long"), nobody).alias("doc"), F.hash(text_col).alias("copy"), F.col(text_col).alias("text"), F.struct(*(F.col(_quoted(c)) for c in keep.columns)).alias("row"))
+    doc = F.coalesce(F.col(id_col).cast("long"), nobody)
+    # Where no id stands twice it names the row alone, and entries needn't carry the hash.
+    alone = keep.select(doc.alias("doc")).where(F.col("doc") != nobody).groupBy("doc").count().where("count > 1").isEmpty()
+    copy = F.when(doc == nobody, F.hash(text_col)).otherwise(0) if alone else F.hash(text_col)
+    keyed = keep.select(doc.alias("doc"), copy.alias("copy"), F.col(text_col).alias("text"), F.struct(*(F.col(_quoted(c)) for c in keep.columns)).alias("row"))
     texts = keyed.where((F.col("doc") != nobody) & (F.octet_length("text") >= length)).select("doc", "copy", "text")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0]
     count = ranges(2 * (size or 0) // (length - KMER + 2))  # an anchor serves half as many windows as it could, on average

@@ -581,3 +581,33 @@ def test_many_rows_of_one_id_and_text(spark):
     rows = [(1, text)] + [(2, text + " end")] * 300 + [(3, "own words only")]
     got = {(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"]) for r in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {(1, len(text), 0, 0), (2, len(text) + 4, len(text), 1), (3, 14, 0, 0)}
+
+
+def _random_texts(spark, n):
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9))) for _ in range(3000)]
+    texts = [" ".join(rng.choice(words) for _ in range(100)) for _ in range(n)]
+    texts[n // 2 :: 7] = [t[:200] + u[200:] for t, u in zip(texts[::7], texts[n // 2 :: 7])]
+    return spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "doc long, copy int, text string").coalesce(1)
+
+
+def test_what_repeats_send_hardly_grows_with_the_number_of_ranges(spark):
+    texts = _random_texts(spark, 2000)
+
+    def sent(count):
+        return repeats._send_contexts(texts, 50, count).selectExpr("sum(octet_length(blob))").first()[0]
+
+    assert sent(1000) < 1.35 * sent(10)
+
+
+def test_repeats_that_are_sent_in_many_rounds(spark, monkeypatch):
+    docs = _random_texts(spark, 300).select(F.col("doc").alias("doc_id"), "text")
+    want = sorted(map(tuple, repeats.remove_repeats(docs).collect()))
+    assert sum(r[4] for r in want) > 1000
+    for name, number in (("GATHERED", 700), ("SENT", 1), ("RANGE", 90)):
+        monkeypatch.setattr(repeats, name, number)
+    assert sorted(map(tuple, repeats.remove_repeats(docs).collect())) == want
+    # An id that stands twice: its rows are told apart by their texts.
+    twice = docs.withColumn("doc_id", F.col("doc_id") - F.col("doc_id") % 2)
+    got = {r["text"]: r["n_removed"] for r in repeats.remove_repeats(twice).collect()}
+    assert all(got[r[1]] == r[4] for r in want if r[4])
