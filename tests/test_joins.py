@@ -32,3 +32,13 @@ def test_join_left_or_tags_takes_both_regions(spark):
     first = t.tags.where("dimension = 'region'").select("recipe_id", F.col("tag_value").alias("region_1")).join(t.profiles.select("user_id", "region_1"), "region_1")
     got = plans.load().queries()["join_left_or_tags"](spark, SF)
     assert got.join(first, ["user_id", "recipe_id"], "left_anti").count() > 0
+
+
+def test_diversity_by_brute_force(spark):
+    rng = random.Random(3)
+    words = [f"word{i}" for i in range(90)] + ["a", "of"]
+    rows = [(u, r, " ".join(rng.choice(words) for _ in range(rng.randrange(12)))) for u in range(6) for r in range(1, 30)]
+    sets = {(u, r): {w for w in title.split() if len(w) > 3} for u, r, title in rows}
+    want = {(u, r): (1.0, 0.7, 0.4, 0.2)[min(3, sum(len(sets[u, r] & sets[u, q]) >= 2 for q in range(1, r)))] for u, r, _ in rows}
+    got = J.diversity(spark.createDataFrame(rows, "user_id long, rank int, title string")).collect()
+    assert len(got) == len(want) and {(x["user_id"], x["rank"]): x["diversity"] for x in got} == want
